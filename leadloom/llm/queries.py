@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from leadloom.llm import pii, quality_rules
+from leadloom.llm import maxscore, packing, pii, quality_rules, resharding, sentencepiece_codec, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_pii": pii.op4_pii,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_resharding": resharding.op6_resharding,
+    "op7_maxscore": maxscore.op7_maxscore,
+    "op8_warc": warc.op8_warc,
+}
+ORACLES = {
+    "op5_quality_rules": quality_rules.ORACLE,
+    "op7_maxscore": maxscore.ORACLE,
 }
-ORACLES = {"op5_quality_rules": quality_rules.ORACLE}

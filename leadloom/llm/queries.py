@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from leadloom.llm import maxscore, packing, pii, quality_rules, resharding, sentencepiece_codec, warc
+from leadloom.llm import jaccard_join, maxscore, packing, pii, quality_rules, resharding, sentencepiece_codec, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_pii": pii.op4_pii,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_resharding": resharding.op6_resharding,
     "op7_maxscore": maxscore.op7_maxscore,
     "op8_warc": warc.op8_warc,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
+    "op2_jaccard_join": jaccard_join.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
     "op7_maxscore": maxscore.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import jaccard_join, maxscore, packing, pii, quality_rules, resharding, sentencepiece_codec, toxicity, warc
+from leadloom.llm import jaccard_join, line_dedup, maxscore, packing, pii, quality_rules, resharding, sentencepiece_codec, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_resharding": resharding.op6_resharding,
     "op7_maxscore": maxscore.op7_maxscore,
     "op8_warc": warc.op8_warc,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
     "op7_maxscore": maxscore.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
 }

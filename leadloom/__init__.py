@@ -1,0 +1 @@
+"""Lead-triage analytics as PySpark jobs over tables and streams."""

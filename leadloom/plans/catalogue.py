@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from leadloom import policy
 from leadloom.functions import names
-from leadloom.operators import decide, evidence, identity, scoring
-from leadloom.sources.views import oracle, view
+from leadloom.operators import audit, decide, evidence, identity, mail, network, pages, scoring
+from leadloom.sources.views import VIEWS, oracle, pick, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,3 +290,202 @@ def _(spark, d):
 @query("contact_quality", "SELECT lead_id, CASE contact_quality WHEN 'valid' THEN 'valid' WHEN 'invalid' THEN 'invalid' ELSE 'risky' END AS quality FROM [leads]")
 def _(spark, d):
     return view(spark, d, "leads").select("lead_id", F.when(F.col("contact_quality").isin("valid", "invalid"), F.col("contact_quality")).otherwise("risky").alias("quality"))
+
+
+# ---- networks ------------------------------------------------------------------------------------------------
+_LPM = """(SELECT i.ip, m.provider, m.service, m.bits FROM [ips] i LEFT JOIN (SELECT * FROM (SELECT i.ip, r.provider, r.service, r.bits, row_number() OVER (PARTITION BY i.ip ORDER BY r.bits DESC, r.service = 'generic', r.provider, r.service) AS k
+ FROM [ips] i JOIN [ranges] r ON (r.bits = 16 AND r.network = i.ip - i.ip % 65536) OR (r.bits = 24 AND r.network = i.ip - i.ip % 256)) WHERE k = 1) m USING (ip))"""
+_DOTTED = "CAST(ip // 16777216 AS VARCHAR) || '.' || CAST(ip // 65536 % 256 AS VARCHAR) || '.' || CAST(ip // 256 % 256 AS VARCHAR) || '.' || CAST(ip % 256 AS VARCHAR)"
+
+
+@query("cidr_match", f"SELECT ip, provider, service, bits FROM {_LPM}")
+def _(spark, d):
+    return network.longest_prefix(view(spark, d, "ips"), view(spark, d, "ranges"))
+
+
+def _urls(spark, d):
+    dotted = F.concat_ws(".", *[F.floor(F.col("ip") / k) % 256 for k in (16777216, 65536, 256, 1)])
+    scheme = F.when(F.col("ip") % 7 == 0, "ftp://").when(F.col("ip") % 11 == 0, "http://u:p@").otherwise("http://")
+    return view(spark, d, "ips").select("ip", F.concat(scheme, dotted, F.lit("/x")).alias("url"))
+
+
+_RANGES_SQL = " ".join(f"WHEN ip BETWEEN {(a := int.from_bytes(bytes(map(int, c.split('/')[0].split('.'))), 'big'))} AND {a + (1 << (32 - int(c.split('/')[1]))) - 1} THEN '{w}'" for c, w in network.NOT_PUBLIC)
+
+
+@query("url_safety", f"SELECT ip, CASE WHEN ip % 7 = 0 THEN 'bad_scheme' WHEN ip % 11 = 0 THEN 'credentials' {_RANGES_SQL} ELSE 'ok' END AS verdict FROM [ips]")
+def _(spark, d):
+    return _urls(spark, d).select("ip", network.url_safety(F.col("url")).alias("verdict"))
+
+
+_CNAMES = ("x.cloudfront.net", "b.s3.amazonaws.com", "a.elb.amazonaws.com", "a.azurewebsites.net", "", "s.run.app", "e.fastly.net", "", "w.vercel.app", "")
+_HOLDER_NAMES = ("AMAZON-02", "HETZNER-AS", "CLOUDFLARENET", "MICROSOFT-CORP", "OVH")
+VIEWS["hosts"] = f"SELECT ip % 3000 AS lead_id, 'h' || CAST(ip % 997 AS VARCHAR(20)) AS host, ip, nullif({pick(_CNAMES, 'ip % 10')}, '') AS cname, {pick(_HOLDER_NAMES, 'ip % 5')} AS holder FROM (SELECT DISTINCT (l_orderkey * 2654435761 + l_linenumber) % 4294967296 AS ip FROM {{lineitem}})"
+_RULE = "CASE " + " ".join(f"WHEN contains(lower(cname), '{p}') THEN {{'provider': {repr(a) if a else 'NULL::VARCHAR'}, 'service': '{s}', 'scope': '{k}'}}" for p, a, s, k in network.CNAME_RULES) + " END"
+_HOLD = "CASE " + " ".join(f"WHEN contains(upper(holder), '{t}') THEN {{'provider': '{p}', 'service': 'network', 'scope': 'workload'}}" for t, p in network.HOLDERS) + " " + " ".join(f"WHEN contains(upper(holder), '{t}') THEN {{'provider': NULL::VARCHAR, 'service': '{t}', 'scope': 'edge'}}" for t in network.EDGE_HOLDERS) + " END"
+_CLASS = f"(SELECT lead_id, host, ip, coalesce({_RULE}, CASE WHEN m.provider IS NOT NULL THEN {{'provider': m.provider, 'service': m.service, 'scope': CASE m.service WHEN 'CLOUDFRONT' THEN 'edge' WHEN 'STORAGE' THEN 'storage' ELSE 'workload' END}} END, {_HOLD}) AS c FROM [hosts] h LEFT JOIN {_LPM} m USING (ip))"
+
+
+def _classified(spark, d):
+    hosts = view(spark, d, "hosts")
+    keyed = hosts.withColumn("host", F.concat_ws("|", "lead_id", "host", "ip"))
+    key = F.split("host", r"\|")
+    return network.classify_hosts(keyed, view(spark, d, "ranges")).withColumns({"lead_id": key[0].cast("long"), "ip": key[2].cast("long"), "host": key[1]})
+
+
+@query("host_classification", f"SELECT lead_id, host, ip, c.provider AS provider, c.service AS service, c.scope AS scope FROM {_CLASS}")
+def _(spark, d):
+    return _classified(spark, d).select("lead_id", "host", "ip", "provider", "service", "scope")
+
+
+@query("network_evidence", f"SELECT lead_id, CASE WHEN c.provider IN ('AWS', 'Azure', 'GCP', 'OCI', 'Cloudflare') THEN c.provider ELSE 'other' END AS provider, CASE WHEN max(CASE WHEN c.scope <> 'edge' THEN 1 ELSE 0 END) = 1 THEN 'network_footprint' ELSE 'edge_delivery' END AS family, CASE WHEN max(CASE WHEN c.scope <> 'edge' THEN 1 ELSE 0 END) = 0 THEN 'WEAK' WHEN count(DISTINCT host) >= 3 THEN 'STRONG' ELSE 'MEDIUM' END AS strength, CASE WHEN max(CASE WHEN c.scope = 'workload' THEN 1 ELSE 0 END) = 1 THEN 'workload' WHEN max(CASE WHEN c.scope = 'storage' THEN 1 ELSE 0 END) = 1 THEN 'storage' ELSE 'edge' END AS scope, count(DISTINCT host) AS hosts FROM {_CLASS} WHERE c IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    return network.network_evidence(_classified(spark, d))
+
+
+VIEWS["names"] = f"SELECT 'd' || CAST(p_partkey % 37 AS VARCHAR(20)) || '.com' AS domain, {pick(['*.', '', 'api.', 'WWW.', 'x', 'docs.', 'n'], 'p_partkey % 7')} || CASE WHEN p_partkey % 7 IN (4, 6) THEN CAST(p_partkey % 90 AS VARCHAR(20)) || '.' ELSE '' END || 'd' || CAST(p_partkey % 37 AS VARCHAR(20)) || '.com' AS name FROM {{part}}"
+
+
+@query("subdomains_top", r"SELECT domain, host, CAST(rank AS INTEGER) AS rank FROM (SELECT domain, host, row_number() OVER (PARTITION BY domain ORDER BY CASE WHEN split_part(host, '.', 1) IN ('api', 'app', 'www', 'files', 'assets', 'cdn', 'status', 'auth', 'docs', 'data', 'static') THEN 0 ELSE 1 END, host) AS rank FROM (SELECT DISTINCT domain, regexp_replace(lower(trim(name)), '^\*\.', '') AS host FROM [names]) WHERE ends_with(host, '.' || domain)) WHERE rank <= 30")
+def _(spark, d):
+    return network.top_subdomains(view(spark, d, "names"))
+
+
+# ---- messages ------------------------------------------------------------------------------------------------
+_SQ = lambda c: f"trim(regexp_replace(lower({c}), '[ \\t\\r\\n]+', ' ', 'g'))"
+_HASH = f"sha256({_SQ('from_addr')} || chr(10) || regexp_replace({_SQ('subject')}, '^(?:(?:re|fwd|fw): ?)+', '') || chr(10) || {_SQ('body')})"
+
+
+@query("message_routing", f"SELECT doc_id, strlen(body) AS size, CASE WHEN strlen(body) > 3000 THEN 'rejected' ELSE 'accepted' END AS route, CASE WHEN strlen(body) > 3000 THEN sha256(body) ELSE {_HASH} END AS dedupe_key FROM [messages]")
+def _(spark, d):
+    return mail.routed(view(spark, d, "messages"), 3000).select("doc_id", F.col("size").cast("long").alias("size"), "route", "dedupe_key")
+
+
+_MHOST = "split_part(lower(from_addr), '@', 2)"
+_ENDS = lambda hosts: "(" + " OR ".join(f"{_MHOST} = '{h}' OR ends_with({_MHOST}, '.{h}')" for h in hosts) + ")"
+_SENDER = f"CASE WHEN {_ENDS(mail.FREE_MAIL)} THEN 'free_mail' WHEN {_ENDS(mail.NOISE_HOSTS)} THEN 'noise' ELSE 'business' END"
+_ROOT = rf"'https://' || regexp_replace({_MHOST}, '^(?:(?:{'|'.join(mail.MAIL_LABELS)})\.)+([^.]+\..+)$', '\1')"
+
+
+@query("sender_class", f"SELECT doc_id, {_SENDER} AS kind, {_ROOT} AS site FROM [messages]")
+def _(spark, d):
+    return view(spark, d, "messages").select("doc_id", mail.sender_class(F.col("from_addr")).alias("kind"), mail.site_root(F.col("from_addr")).alias("site"))
+
+
+_FLAGS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in mail.FLAGS.items()) + ")"
+
+
+@query("injection_flags", f"SELECT doc_id, {_FLAGS} AS flags FROM [seeded]")
+def _(spark, d):
+    return view(spark, d, "seeded").select("doc_id", F.array_join(mail.injection_flags(F.col("text")), ",").alias("flags"))
+
+
+@query("message_dedup", f"""SELECT doc_id, CASE WHEN same THEN first ELSE first_value(CASE WHEN alive THEN doc_id END IGNORE NULLS) OVER (PARTITION BY hash ORDER BY claimed_at, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS duplicate_of FROM
+ (SELECT *, NOT same AND status NOT IN ('failed', 'rejected', 'dead_letter') AS alive FROM (SELECT *, message_id IS NOT NULL AND row_number() OVER (PARTITION BY message_id ORDER BY claimed_at, doc_id) > 1 AS same, first_value(doc_id) OVER (PARTITION BY message_id ORDER BY claimed_at, doc_id) AS first, {_HASH} AS hash FROM [messages]))""")
+def _(spark, d):
+    return mail.canonical_messages(view(spark, d, "messages")).select("doc_id", "duplicate_of")
+
+
+@query("resumable", "SELECT doc_id, claimed_at, CASE WHEN attempts < 3 THEN 'retry' ELSE 'dead_letter' END AS action FROM [messages] WHERE status = 'failed' OR (status = 'claimed' AND 1700030000 - claimed_at > 900)")
+def _(spark, d):
+    return mail.resumable(view(spark, d, "messages"), 1_700_030_000)
+
+
+@query("lead_extraction")
+def _(spark, d):
+    rows = view(spark, d, "messages")
+    signed = rows.withColumn("body", F.concat("body", F.get(F.array(F.lit("\nCompany: Acme Works Ltd"), F.lit("\nsee https://www.initech.io/x"), F.lit("\nwe are 120 people"), F.lit("")), (F.length("body") % 4).cast("int"))))
+    return mail.extract_leads(signed)
+
+
+@query("draft_reasons", f"SELECT m.doc_id, CASE WHEN m.doc_id % 10 = 3 THEN 'disabled' WHEN {_FLAGS} <> '' THEN 'flagged' WHEN status IN ('failed', 'rejected', 'dead_letter') THEN 'no_outcome' WHEN {_SENDER} = 'noise' THEN 'auto_generated' WHEN status <> 'processed' THEN 'status' END AS reason, CASE WHEN starts_with(lower(subject), 're:') THEN subject ELSE 'Re: ' || subject END AS subject FROM [messages] m JOIN [seeded] s USING (doc_id)")
+def _(spark, d):
+    rows = view(spark, d, "messages").join(view(spark, d, "seeded"), "doc_id")
+    return rows.select("doc_id", mail.draft_reason(rows, F.col("doc_id") % 10 != 3, mail.injection_flags(F.col("text"))).alias("reason"), mail.reply_subject(F.col("subject")).alias("subject"))
+
+
+@query("batch_counts", "SELECT status, count(*) AS n FROM [messages] GROUP BY status")
+def _(spark, d):
+    return view(spark, d, "messages").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- pages ---------------------------------------------------------------------------------------------------
+@query("page_chunks")
+def _(spark, d):
+    return pages.chunks(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@query("page_flags")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", pages.page_flag(F.col("html"), pages.visible_text(F.col("html"))).alias("flag"))
+
+
+_PRIORITY = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), '/{p}([^a-z]|$)') THEN {i}" for i, p in enumerate(pages.PATHS)) + " END"
+
+
+@query("crawl_frontier", f"SELECT page_id, path, CAST(rank AS INTEGER) AS rank FROM (SELECT page_id, path, row_number() OVER (PARTITION BY page_id ORDER BY priority, position, path) AS rank FROM (SELECT page_id, path, min({_PRIORITY}) AS priority, min(position) AS position FROM [links] WHERE {_PRIORITY} IS NOT NULL GROUP BY page_id, path)) WHERE rank <= 5")
+def _(spark, d):
+    return pages.crawl_frontier(view(spark, d, "links"))
+
+
+@query("robots_allowed", f"SELECT page_id, position, path FROM [links] l WHERE NOT (regexp_replace({_HOST('url')}, '^.*$', '\\0') LIKE '%.com' AND (starts_with(path, '/jobs') OR starts_with(path, '/blog')))")
+def _(spark, d):
+    links = view(spark, d, "links").withColumn("link_host", names.host_of(F.col("url")))
+    rules = links.where("link_host like '%.com'").select(F.col("link_host").alias("host")).distinct().withColumn("prefix", F.explode(F.array(F.lit("/jobs"), F.lit("/blog"))))
+    return pages.robots_allowed(links, rules).select("page_id", "position", "path")
+
+
+@query("url_union", "SELECT page_id, path, CAST(source AS INTEGER) AS source, position FROM (SELECT *, row_number() OVER (PARTITION BY page_id, path ORDER BY source, position) AS r FROM (SELECT page_id, path, 0 AS source, position FROM [links] WHERE position <= 3 UNION ALL SELECT page_id, path, 1, position FROM [links])) WHERE r = 1")
+def _(spark, d):
+    links = view(spark, d, "links")
+    return pages.url_union(links.where("position <= 3"), links).select("page_id", "path", "source", "position")
+
+
+# ---- audit ---------------------------------------------------------------------------------------------------
+def _entries(spark, d):
+    rows = view(spark, d, "evidence")
+    return rows.select(F.col("lead_id").alias("run_id"), F.col("ordinal").alias("seq"), F.concat_ws("|", "ordinal", "family", "strength").alias("payload"), F.when(F.col("strength") == "DIRECT", "completed").when(F.col("strength") == "WEAK", "aborted").otherwise("page").alias("kind"))
+
+
+@query("ledger_chain", "SELECT lead_id AS run_id, count(*) AS entries, list_reduce(list(CAST(ordinal AS VARCHAR) || '|' || family || '|' || strength ORDER BY ordinal), lambda a, x: sha256(a || '|' || x), repeat('0', 64)) AS head FROM [evidence] GROUP BY lead_id")
+def _(spark, d):
+    return audit.chained(_entries(spark, d))
+
+
+@query("ledger_status", "SELECT lead_id AS run_id, coalesce(arg_max(CASE strength WHEN 'DIRECT' THEN 'completed' WHEN 'WEAK' THEN 'aborted' END, CASE WHEN strength IN ('DIRECT', 'WEAK') THEN ordinal END), 'unknown') AS status FROM [evidence] GROUP BY lead_id")
+def _(spark, d):
+    return audit.run_status(_entries(spark, d))
+
+
+@query("lineage_audit", "SELECT run_id, count(*) AS n, count(DISTINCT model) AS kinds, CAST(sum(CASE WHEN model <> 'model-3' THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM [calls] GROUP BY run_id HAVING sum(CASE WHEN model <> 'model-3' THEN 1 ELSE 0 END) > 0")
+def _(spark, d):
+    return audit.lineage_problems(view(spark, d, "calls").withColumn("fingerprint", F.col("model")), F.col("run_id"), "model-3")
+
+
+@query("call_rollup", "SELECT run_id, count(*) AS calls, CAST(sum(cost_micros) AS BIGINT) AS cost_micros, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, string_agg(DISTINCT model, ',' ORDER BY model) AS models, CAST(sum(hops) AS BIGINT) AS hops FROM [calls] GROUP BY run_id")
+def _(spark, d):
+    return audit.call_rollup(view(spark, d, "calls"), "run_id")
+
+
+@query("eval_metrics", "SELECT label, CAST(support AS BIGINT) AS support, round(CASE WHEN called = 0 THEN 0.0 ELSE tp / called END, 3) AS precision, round(CASE WHEN support = 0 THEN 0.0 ELSE tp / support END, 3) AS recall, round(CASE WHEN called + support = 0 THEN 0.0 ELSE 2 * tp / (called + support) END, 3) AS f1 FROM (SELECT label, CAST(sum(CASE WHEN expected = label AND got = label THEN 1 ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN got = label THEN 1 ELSE 0 END) AS DOUBLE) AS called, CAST(sum(CASE WHEN expected = label THEN 1 ELSE 0 END) AS DOUBLE) AS support FROM [cases], (SELECT unnest(['clear', 'review', 'blocked']) AS label) GROUP BY label)")
+def _(spark, d):
+    return audit.eval_metrics(view(spark, d, "cases"))
+
+
+@query("eval_confusion", "SELECT expected, got, count(*) AS n FROM [cases] GROUP BY expected, got")
+def _(spark, d):
+    return audit.confusion(view(spark, d, "cases"))
+
+
+@query("model_comparison", "SELECT model, count(*) AS cases, CAST(sum(CASE WHEN expected = got THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN got = 'clear' AND expected <> 'clear' THEN 1 ELSE 0 END) AS BIGINT) AS false_clears FROM [cases] GROUP BY model")
+def _(spark, d):
+    return audit.model_comparison(view(spark, d, "cases"))
+
+
+@query("redacted_documents", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '<redacted>', 'g'), '(?i)(password|api_key|token|bearer)([=: ]+)[A-Za-z0-9_-]{8,}', '\1\2<redacted>', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.sha2(audit.redacted(F.col("text")), 256).alias("digest"))
+
+
+@query("evidence_wrapped", r"SELECT doc_id, sha256('<<<' || chr(10) || substring(replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F]', ' ', 'g'), '(?i)</?function_call[^>]*>', '', 'g'), '<<<', '‹‹‹'), 1, 6000) || chr(10) || '>>>') AS digest FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.sha2(audit.wrapped(F.col("text")), 256).alias("digest"))

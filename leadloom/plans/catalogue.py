@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +11,15 @@ from pyspark.sql import functions as F
 
 from leadloom import policy
 from leadloom.functions import names
-from leadloom.operators import audit, decide, evidence, identity, mail, network, pages, scoring
+from leadloom.operators import audit, decide, evidence, identity, linkage, mail, network, pages, scoring
+from leadloom.sources import feeds, mail_archive
 from leadloom.sources.views import VIEWS, oracle, pick, view
+from leadloom.streaming import claims
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-COMPETITORS = ("spring green holdings", "goldenrod lavender", "BlueSky Cloud Inc", "lace spring co")
+COMPETITORS = ("Blue Widget Inc", "bolt small holdings", "BlueSky Cloud Inc", "red anvil co")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -489,3 +493,234 @@ def _(spark, d):
 @query("evidence_wrapped", r"SELECT doc_id, sha256('<<<' || chr(10) || substring(replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F]', ' ', 'g'), '(?i)</?function_call[^>]*>', '', 'g'), '<<<', '‹‹‹'), 1, 6000) || chr(10) || '>>>') AS digest FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.sha2(audit.wrapped(F.col("text")), 256).alias("digest"))
+
+
+# ---- further joins -------------------------------------------------------------------------------------------
+@query("domain_hits")
+def _(spark, d):
+    return linkage.domain_hits(view(spark, d, "leads"), _competitors(spark))
+
+
+VIEWS["answers"] = f"""
+SELECT o_orderkey AS answer_id, o_custkey AS query_key, o_orderdate AS fetched_at, o_orderpriority AS source, {pick(['US', 'DE', 'IR', ''], 'o_orderkey % 4')} AS country, CAST(o_orderkey % 5 AS INT) AS n_results FROM {{orders}}"""
+
+
+@query("watchlist_screen")
+def _(spark, d):
+    leads = view(spark, d, "leads").select(F.col("lead_id").alias("query_key"), F.col("company").alias("query_name"))
+    topic = F.get(F.array(*map(F.lit, ("sanction", "crime.fin", "gov.soe", "sanction"))), (F.col("query_key") % 4).cast("int"))
+    hit = F.struct(F.lit("id").alias("id"), F.concat("query_name", F.when(F.col("query_key") % 3 == 0, "").otherwise(" trading")).alias("caption"), ((F.col("query_key") % 10) / 10.0).alias("score"), (F.col("query_key") % 10 >= 8).alias("match"), F.when(F.col("query_key") % 6 == 5, "Person").otherwise("Company").alias("schema"), F.array(topic).alias("topics"))
+    hits = leads.select("query_key", F.when(F.col("query_key") % 13 != 0, F.when(F.col("query_key") % 7 == 0, F.filter(F.array(hit), lambda h: F.lit(False))).otherwise(F.array(hit))).alias("hits"))
+    return linkage.screen(leads, hits)
+
+
+@query("screen_inventory", "SELECT answer_id, query_key, country, fetched_at, source, n_results FROM [answers]")
+def _(spark, d):
+    rows = view(spark, d, "answers").withColumns({"name": F.col("query_key").cast("string"), "results": F.when(F.col("n_results") > 0, F.sequence(F.lit(1), F.col("n_results")))})
+    return linkage.answer_inventory(rows.withColumn("source", F.concat_ws("|", "answer_id", "query_key", "source"))).select(F.split("source", r"\|")[0].cast("long").alias("answer_id"), F.split("source", r"\|")[1].cast("long").alias("query_key"), "country", "fetched_at", F.split("source", r"\|")[2].alias("source"), "n_results")
+
+
+@query("entity_by_host", f"SELECT lead_id, arg_min(qid, (position, qid)) AS qid FROM (SELECT lead_id, {_HOST('website')} AS host FROM [leads]) l JOIN (SELECT 'Q' || CAST(lead_id % 500 AS VARCHAR) AS qid, lead_id % 7 AS position, {_HOST('website')} AS host FROM [leads]) e USING (host) GROUP BY lead_id")
+def _(spark, d):
+    leads = view(spark, d, "leads")
+    return linkage.entity_by_host(leads, leads.select(F.concat(F.lit("Q"), F.col("lead_id") % 500).alias("qid"), (F.col("lead_id") % 7).alias("position"), "website"))
+
+
+@query("title_gate")
+def _(spark, d):
+    leads = view(spark, d, "leads").select("lead_id", "company", F.concat(F.initcap(F.regexp_replace("company", r" (inc|ltd|gmbh|kft|s\.a\.|holdings|b\.v\.)$", "")), F.when(F.col("lead_id") % 3 == 0, " (disambiguation page of things)").otherwise("")).alias("title"))
+    return linkage.relevant_titles(leads).select("lead_id", F.col("score").cast("int").alias("score"))
+
+
+@query("second_identity", f"SELECT lead_id, organisation AS company, 'second' AS identity_kind FROM (SELECT lead_id, company, CASE WHEN lead_id % 3 = 0 THEN company || ' group' WHEN lead_id % 3 = 1 THEN segment ELSE '' END AS organisation FROM [leads]) WHERE {_NORM('company')} <> '' AND {_NORM('organisation')} <> '' AND {_NORM('company')} <> {_NORM('organisation')}")
+def _(spark, d):
+    organisation = F.when(F.col("lead_id") % 3 == 0, F.concat("company", F.lit(" group"))).when(F.col("lead_id") % 3 == 1, F.col("segment")).otherwise("")
+    return linkage.second_identities(view(spark, d, "leads").withColumn("organisation", organisation))
+
+
+_FAKE = "html || CASE page_id % 4 WHEN 0 THEN '<a href=\"https://boards.greenhouse.io/acme\">' WHEN 1 THEN '<a href=\"https://github.com/features\"><a href=\"https://github.com/acme\"><a href=\"https://github.com/AcMe\">' WHEN 2 THEN 'see jobs.lever.co/beta' ELSE '' END"
+
+
+def _linked_pages(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").selectExpr("page_id", f"{_FAKE} AS html")
+
+
+@query("board_links", "SELECT page_id, 'greenhouse' AS board, 'acme' AS slug FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'lever', 'beta' FROM pages WHERE page_id % 4 = 2")
+def _(spark, d):
+    return linkage.board_links(_linked_pages(spark, d))
+
+
+@query("org_link", "SELECT page_id, 'AcMe' AS org FROM pages WHERE page_id % 4 = 1")
+def _(spark, d):
+    return linkage.org_links(_linked_pages(spark, d))
+
+
+@query("case_study_accept")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html", F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("title"), pages.visible_text(F.col("html")).alias("text"))
+    hits = rows.select(F.col("page_id").alias("lead_id"), F.substring_index("title", " ", 2).alias("company"), F.lit("x.com").alias("domain"), F.lit(1).alias("query_no"), F.lit(1).alias("position"), "url")
+    fetched = rows.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status"), "text", "title", F.when(F.col("page_id") % 2 == 0, "2020-01-31").otherwise("May 3, 2025").alias("published")).dropDuplicates(["url"])
+    return linkage.case_studies(hits, fetched, ("example.com", "example.org", "example.net"), F.to_date(F.lit("2026-01-01")))
+
+
+@query("headcount_choice", "SELECT lead_id, CASE WHEN lead_id % 3 = 0 THEN 'scored' ELSE 'hint' END AS use, CAST(lead_id % 500 + 1 AS INTEGER) AS employees FROM [leads] WHERE lead_id % 3 IN (0, 1)")
+def _(spark, d):
+    leads = view(spark, d, "leads")
+    n = (F.col("lead_id") % 500 + 1).cast("int")
+    return linkage.headcount_choice(leads.select("lead_id", "website", F.when(F.col("lead_id") % 3 == 0, "graph").otherwise("web").alias("source"), n.alias("employees"), "website", F.col("website").alias("homepage"), F.when(F.col("lead_id") % 3 == 0, 0.8).otherwise(float("nan")).alias("score"), F.when(F.col("lead_id") % 3 == 1, F.concat(n.cast("string"), F.lit(" people"))).otherwise("many people").alias("quote"), F.concat(F.lit("about "), n.cast("string"), F.lit(" people")).alias("snippet_text"), F.lit(0).alias("position")).drop("website").join(leads.select("lead_id", "website"), "lead_id"))
+
+
+@query("status_component", "SELECT doc_id AS page_id, 'AWS' AS provider FROM [seeded] WHERE doc_id % 12 = 3 UNION ALL SELECT doc_id, 'Azure' FROM [seeded] WHERE doc_id % 12 = 9")
+def _(spark, d):
+    return linkage.status_components(view(spark, d, "seeded").select(F.col("doc_id").alias("page_id"), F.concat(F.col("text"), F.lit(" all systems operational")).alias("text")))
+
+
+@query("sibling_hosts", "SELECT page_id, link_host, CAST(rank AS INTEGER) AS rank FROM (SELECT page_id, link_host, row_number() OVER (PARTITION BY page_id ORDER BY position, link_host) AS rank FROM (SELECT page_id, split_part('status|blog|docs|www|trust', '|', CAST((page_id + position) % 5 + 1 AS INT)) || '.acme.co.uk' AS link_host, min(position) AS position FROM [links] WHERE (page_id + position) % 5 IN (0, 2, 4) GROUP BY 1, 2)) WHERE rank <= 2")
+def _(spark, d):
+    label = F.get(F.array(*map(F.lit, ("status", "blog", "docs", "www", "trust"))), ((F.col("page_id") + F.col("position")) % 5).cast("int"))
+    return linkage.sibling_hosts(view(spark, d, "links").select("page_id", "position", F.lit("acme.co.uk").alias("host"), F.concat(label, F.lit(".acme.co.uk")).alias("link_host"))).select("page_id", "link_host", "rank")
+
+
+@query("statements")
+def _(spark, d):
+    return linkage.statements(view(spark, d, "seeded"))
+
+
+@query("footprints", f"SELECT lead_id, CASE WHEN c.scope = 'edge' THEN 'EDGE' ELSE 'PUBLIC_CLOUD' END AS category, c.provider AS provider, CAST(NULL AS VARCHAR) AS holder FROM {_CLASS} WHERE c.provider IS NOT NULL GROUP BY 1, 2, 3 UNION ALL SELECT lead_id, CASE WHEN lead_id % 5 = 0 AND row_number() OVER (PARTITION BY lead_id ORDER BY ordinal) = 1 THEN 'MANAGED_HOSTING' ELSE 'UNKNOWN' END, NULL, holder FROM (SELECT k.lead_id, h.holder, min(k.ip) AS ordinal FROM {_CLASS} k JOIN [hosts] h USING (lead_id, host, ip) WHERE k.c.provider IS NULL GROUP BY 1, 2)")
+def _(spark, d):
+    rows = _classified(spark, d).join(view(spark, d, "hosts").select("lead_id", "host", "ip", "holder"), ["lead_id", "host", "ip"])
+    return linkage.footprints(rows.withColumns({"ordinal": F.col("ip"), "panel": F.col("lead_id") % 5 == 0})).select("lead_id", "category", "provider", "holder")
+
+
+@query("adversarial_summary", "SELECT category, count(*) AS cases, CAST(sum(CASE WHEN expected = got AND case_id % 4 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN case_id % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS leaked FROM (SELECT *, CAST(case_id % 3 AS VARCHAR) AS category FROM [cases]) GROUP BY category")
+def _(spark, d):
+    rows = view(spark, d, "cases").select("case_id", (F.col("case_id") % 3).cast("string").alias("category"), F.col("expected").alias("expected_status"), F.col("got").alias("status"), F.array(F.lit("SECRET")).alias("must_not_contain"), F.when(F.col("case_id") % 4 == 0, "the secret is out").otherwise("fine").alias("summary"), F.lit("unknown").alias("truth"), F.lit("None").alias("hq"))
+    return linkage.adversarial_summary(rows).drop("failing")
+
+
+@query("reply_gate", "SELECT doc_id, doc_id % 4 IN (0, 1) AS allowed FROM [messages]")
+def _(spark, d):
+    header = F.get(F.array(F.lit("mx; dmarc=pass header.from=x"), F.concat(F.lit("mx; dkim=pass header.d="), F.substring_index("from_addr", "@", -1)), F.lit("mx; dkim=pass header.d=evil.example"), F.lit("mx; spf=pass")), (F.col("doc_id") % 4).cast("int"))
+    rows = view(spark, d, "messages").withColumn("auth_headers", F.array(header, F.lit("later; dmarc=pass")))
+    return rows.select("doc_id", linkage.reply_allowed(rows).alias("allowed"))
+
+
+@query("outcome_records")
+def _(spark, d):
+    card = scorecard(spark, d)
+    return card.select("lead_id", F.to_json(F.struct(*card.columns)).alias("record"))
+
+
+@query("top_hits", f"SELECT lead_id, arg_max(term, (score, term)) AS term, max(score) AS score FROM (SELECT lead_id, hq_hit AS term, 100 AS score FROM {_HITS} WHERE hq_hit IS NOT NULL UNION ALL SELECT lead_id, tld_hit, 80 FROM {_HITS} WHERE tld_hit IS NOT NULL) GROUP BY lead_id")
+def _(spark, d):
+    rows = _hits(spark, d).select("lead_id", F.explode(F.array(F.struct(F.col("hq_hit").alias("term"), F.lit(100).alias("score")), F.struct(F.col("tld_hit").alias("term"), F.lit(80).alias("score")))).alias("h")).select("lead_id", "h.*").where("term is not null")
+    return rows.groupBy("lead_id").agg(F.max_by("term", F.struct("score", "term")).alias("term"), F.max("score").alias("score"))
+
+
+# ---- sources -------------------------------------------------------------------------------------------------
+@query("leads_valid", f"SELECT lead_id, CASE WHEN lead_id % 10 = 0 THEN 'no_company' WHEN lead_id % 7 = 0 THEN 'bad_band' END AS problem FROM [leads]")
+def _(spark, d):
+    rows = view(spark, d, "leads").select("lead_id", F.when(F.col("lead_id") % 10 == 0, " ").otherwise(F.col("company")).alias("company"), F.when(F.col("lead_id") % 7 == 0, "5-6").otherwise(F.col("size_band")).alias("company_size_band"))
+    return feeds.validated_leads(rows).select("lead_id", "problem")
+
+
+@query("range_feed", "SELECT CAST(p_partkey % 223 + 1 AS VARCHAR) || '.' || CAST(p_partkey % 251 AS VARCHAR) || '.0.0/16' AS cidr, (p_partkey % 223 + 1) * 16777216 + (p_partkey % 251) * 65536 AS network, 16 AS bits, CASE WHEN p_partkey % 3 = 0 THEN 'EDGE' WHEN p_partkey % 3 = 1 THEN 'PUBLIC_CLOUD_COMPUTE' ELSE 'PUBLIC_CLOUD_SERVICE' END AS role, 'v1' AS version FROM part WHERE p_partkey % 11 <> 0")
+def _(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    service = F.get(F.array(*map(F.lit, ("CLOUDFRONT", "EC2", "S3"))), (F.col("p_partkey") % 3).cast("int"))
+    prefix = F.when(F.col("p_partkey") % 11 == 0, "not a range").otherwise(F.concat_ws(".", F.col("p_partkey") % 223 + 1, F.col("p_partkey") % 251, F.lit("0"), F.lit("0/16")))
+    body = F.to_json(F.struct(F.lit("v1").alias("syncToken"), F.array(F.struct(prefix.alias("ip_prefix"), F.lit("eu").alias("region"), service.alias("service"))).alias("prefixes")))
+    return feeds.range_feed("AWS", part.select(body.alias("body"))).select("cidr", "network", "bits", "role", "version")
+
+
+@query("registry_rows", "SELECT s_suppkey AS lead_id, 0 AS position, s_name AS legal_name, 'ACTIVE' AS status FROM supplier")
+def _(spark, d):
+    name = F.struct(F.struct(F.lit("L").alias("lei"), F.struct(F.struct(F.col("s_name").alias("name")).alias("legalName"), F.lit("ACTIVE").alias("status")).alias("entity")).alias("attributes"))
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("lead_id"), F.to_json(F.struct(F.array(name).alias("data"))).alias("body"))
+    return feeds.registry_records(rows).select("lead_id", "position", "legal_name", "status")
+
+
+@query("latest_quantity", "SELECT 'Q' || CAST(s_suppkey AS VARCHAR) AS qid, s_suppkey * 2 AS employees, '2024-01-01' AS as_of FROM supplier")
+def _(spark, d):
+    claim = lambda n, day: f'{{"mainsnak":{{"datavalue":{{"value":"+{n}"}}}}{day}}}'
+    day = ',"qualifiers":{"P585":[{"datavalue":{"value":"+2024-01-01T00:00:00Z"}}]}'
+    body = F.concat(F.lit('{"P1128":[' + claim("7", "") + "," + '{"mainsnak":{"datavalue":{"value":"+'), (F.col("s_suppkey") * 2).cast("string"), F.lit('"}}' + day + "}]}"))
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("Q"), "s_suppkey").alias("qid"), body.alias("claims"))
+    return feeds.latest_quantity(feeds.entity_claims(rows))
+
+
+@query("watchlist_rows", "SELECT s_suppkey AS query_key, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 3 = 1 THEN 0 ELSE 1 END AS n FROM supplier")
+def _(spark, d):
+    body = F.get(F.array(F.lit("<html>"), F.lit('{"results":[]}'), F.lit('{"results":[{"id":"a","score":0.5}]}')), (F.col("s_suppkey") % 3).cast("int"))
+    rows = feeds.watchlist_hits(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("query_key"), body.alias("body")))
+    return rows.select("query_key", F.when(F.col("hits").isNotNull(), F.size("hits")).alias("n"))
+
+
+@query("board_postings", "SELECT s_suppkey AS page_id, 'lever' AS board, 'AWS' AS providers, 'STRONG' AS strength FROM supplier WHERE s_suppkey % 2 = 0")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("page_id"), F.lit("lever").alias("board"), F.col("s_suppkey").cast("string").alias("slug"), F.when(F.col("s_suppkey") % 2 == 0, '[{"text":"SRE","descriptionPlain":"We run AWS"}]').otherwise('[{"text":"Cook","descriptionPlain":"weeks of tasks"}]').alias("body"))
+    return linkage.posting_evidence(rows.select("page_id", "board", "slug"), feeds.postings(rows)).select("page_id", "board", "providers", "strength")
+
+
+@query("repo_signals", "SELECT 'o' || CAST(s_suppkey % 5 AS VARCHAR) AS org, 'r' || CAST(s_suppkey AS VARCHAR) AS repo, 'terraform' AS signals, 'STRONG' AS strength FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY 'r' || CAST(s_suppkey AS VARCHAR)) AS k FROM supplier) WHERE k <= 8")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("o"), F.col("s_suppkey") % 5).alias("org"), F.concat(F.lit("r"), "s_suppkey").alias("repo"), F.lit("main.tf").alias("entry_name"), F.lit("file").alias("entry_type"), F.lit('resource "x" {}').alias("tf_text"))
+    return feeds.repo_signals(rows)
+
+
+@query("visible_text")
+def _(spark, d):
+    return mail_archive.page_texts(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@query("mail_parsed")
+def _(spark, d):
+    rows = view(spark, d, "messages").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.concat(F.lit("From: Ann <"), "from_addr", F.lit(">\r\nTo: x@y.example\r\nMessage-ID: "), F.coalesce("message_id", F.lit("")), F.lit("\r\nSubject: hello\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), "body"), "utf-8").alias("content"))
+    return mail_archive.parse_mail(rows)
+
+
+@query("webhook_mails")
+def _(spark, d):
+    kind = F.get(F.array(F.lit("message/rfc822"), F.lit("application/json"), F.lit("text/csv")), (F.col("doc_id") % 3).cast("int"))
+    body = F.when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.col("from_addr").alias("From"), F.col("body").alias("TextBody")))).otherwise(F.col("body"))
+    return mail_archive.webhook_mails(view(spark, d, "messages").select(F.col("doc_id").cast("string").alias("record_id"), kind.alias("content_type"), F.encode(body, "utf-8").alias("body")))
+
+
+# ---- streams -------------------------------------------------------------------------------------------------
+def _stream(spark, rows):
+    """A table as files, and a stream over them, in the folder that executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='leadloom-')}"
+    root = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/in")
+    return claims.poll(spark, f"{root}/in", rows.schema), root
+
+
+@query("stream_claims", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY claimed_at, doc_id) = 1 THEN 'claimed' ELSE 'duplicate' END AS outcome FROM (SELECT *, coalesce(message_id, CAST(doc_id AS VARCHAR)) AS k FROM [messages])")
+def _(spark, d):
+    stream, root = _stream(spark, view(spark, d, "messages"))
+    keyed = stream.withColumns({"key": F.coalesce("message_id", F.col("doc_id").cast("string")), "status": F.lit("processed")})
+    claims.drain(claims.claims(keyed, "key"), f"{root}/c", path=f"{root}/out")
+    return spark.read.schema(claims.CLAIM).parquet(f"{root}/out").select("doc_id", "outcome")
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    stream, root = _stream(spark, events.select(F.concat_ws("|", "user_id", "event_type").alias("key"), "user_id", "event_type", "ts"))
+    claims.drain(claims.near_window(stream, "key", "ts", "3650 days").select("user_id", "event_type"), f"{root}/c", path=f"{root}/out")
+    return spark.read.schema("user_id long, event_type string").parquet(f"{root}/out")
+
+
+@query("stream_tracker", "SELECT segment, lead_id FROM (SELECT segment, lead_id, row_number() OVER (PARTITION BY segment ORDER BY lead_id DESC) AS r FROM [leads]) WHERE r = 1")
+def _(spark, d):
+    stream, root = _stream(spark, view(spark, d, "leads"))
+    claims.drain(stream.select("segment", "lead_id"), f"{root}/c", writer=claims.upsert(f"{root}/out", "segment", "lead_id"))
+    return spark.read.parquet(f"{root}/out/v0").select("segment", "lead_id")
+
+
+@query("stream_cache", "SELECT query_key, max(fetched_at) AS fetched_at FROM [answers] WHERE n_results > 0 GROUP BY query_key")
+def _(spark, d):
+    stream, root = _stream(spark, view(spark, d, "answers"))
+    rows = claims.live_answers(stream, "query_key", "fetched_at", "30 days")
+    claims.drain(rows, f"{root}/c", writer=lambda batch, epoch: batch.write.parquet(f"{root}/out/{epoch}"), mode="update")
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/out").groupBy("query_key").agg(F.max("fetched_at").cast("timestamp_ntz").alias("fetched_at"))

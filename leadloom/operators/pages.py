@@ -27,7 +27,9 @@ def chunks(pages: DataFrame) -> DataFrame:
     bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
     every = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(1))
     block = "struct<`@type`:string,mainEntity:array<struct<name:string,acceptedAnswer:struct<text:string>>>>"
-    faq = F.flatten(F.transform(every(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), lambda j: F.coalesce(F.transform(F.filter(F.array(F.from_json(j, block)), lambda b: b["@type"] == "FAQPage"), lambda b: b["mainEntity"])[0], F.array().cast("array<struct<name:string,acceptedAnswer:struct<text:string>>>"))))
+    entities = "array<struct<name:string,acceptedAnswer:struct<text:string>>>"
+    read = lambda j: F.coalesce(F.when(F.from_json(j, block)["@type"] == "FAQPage", F.from_json(j, block)["mainEntity"]), F.array().cast(entities))
+    faq = F.flatten(F.transform(every(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), read))
     named = lambda parts, prefix: F.transform(parts, lambda t, i: F.struct(F.concat(F.lit(prefix), i.cast("string"), F.lit("]")).alias("locator"), t.alias("text")))
     rows = F.concat(
         F.array(F.struct(F.lit("main_text").alias("locator"), visible_text(html).alias("text"))),

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def test_visible_text_forms_agree(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
     native = {r.page_id: r.t for r in rows.select("page_id", pages.visible_text(F.col("html")).alias("t")).collect()}
     parsed = {r.page_id: r.text for r in mail_archive.page_texts(rows).collect()}
-    squeeze = lambda t: " ".join(t.split())
+    squeeze = lambda t: " ".join(unescape(t).split())
     assert sum(squeeze(native[i]) == squeeze(parsed[i]) for i in native) >= 0.95 * len(native)
 
 

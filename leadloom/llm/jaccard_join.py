@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from leadloom.llm._common import documents, materialize
 
 #: Counters of the rarity table, and bits of the filter that picks the sets to fetch: fixed sizes, whatever the input.
-RARITY_BITS, CHUNK_BITS, FILTER_BITS = 18, 10, 23
+RARITY_BITS, CHUNK_BITS, FILTER_BITS = 22, 14, 23
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -120,22 +120,23 @@ def rarity(docs: DataFrame, k: int) -> np.ndarray:
             if held:
                 table += np.bincount((np.concatenate(held) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(table))
         part = int(np.random.default_rng().integers(64))
-        rows = [(c, part, table[c * width : (c + 1) * width]) for c in range(chunks)]
+        small = np.minimum(table, 65535).astype(np.uint16)  # of one task; only the order matters
+        rows = [(c, part, small[c * width : (c + 1) * width]) for c in range(chunks)]
         rows = [r for r in rows if r[2].any()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["chunk", "part", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(width, dtype=np.int64)
         for x in rows.column("counts").to_pylist():
-            total += np.frombuffer(x, dtype=np.int64)
+            total += np.frombuffer(x, dtype=np.uint16 if len(x) == 2 * width else np.int64)
         return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     counted = docs.select("text").mapInArrow(count, "chunk int, part int, counts binary")
     # partial sums by part first, so that no task adds up the tables of all tasks
     summed = counted.groupBy("chunk", "part").applyInArrow(add, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    table = np.zeros(1 << RARITY_BITS, dtype=np.int64)
-    for r in summed.collect():  # 2^(RARITY_BITS - CHUNK_BITS) rows of a fixed size
-        table[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.int64)
+    table = np.zeros(1 << RARITY_BITS, dtype=np.uint32)
+    for r in summed.toLocalIterator():  # 2^(RARITY_BITS - CHUNK_BITS) rows of a fixed size
+        table[r["chunk"] * width : (r["chunk"] + 1) * width] = np.minimum(np.frombuffer(r["counts"], dtype=np.int64), 2**32 - 1)
     return table
 
 
@@ -206,11 +207,14 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 )
 
     found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, f"doc_id {kind}, cid binary, shingles binary")
-    return found.join(wanted.select(F.col("rep").alias("doc_id"), "cid"), ["doc_id", "cid"], "left_semi").dropDuplicates(["cid"]).select("cid", "shingles")
+    return found.join(wanted, "cid").where(F.col("doc_id") == F.col("rep")).dropDuplicates(["cid"]).select("cid", "shingles")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, cid_a, cid_b) whose whole sets reach the threshold."""
+    pairs = materialize(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("rep"), F.col("cid_a").alias("cid")).union(pairs.select("b", "cid_b")).distinct()
+    sets = materialize(fetch_sets(docs, materialize(ends, "ends"), k), "shingles")
     one = sets.select(F.col("cid").alias("cid_a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("cid").alias("cid_b"), F.col("shingles").alias("set_b"))
 
@@ -264,10 +268,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         most = F.least(pos, qos) + 1 + F.least(n - pos - 1, m - qos - 1)
         return (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
 
+    def enough(shared_tokens: Column, n: Column, m: Column) -> Column:
+        """Whether so many shared prefix shingles allow the threshold: beyond them, at most one whole suffix is shared."""
+        suffix = lambda size: F.ceil(size * percent / 100).cast("long") - 1
+        return (shared_tokens + F.greatest(suffix(n), suffix(m))) * (100 + percent) >= percent * (n + m)
+
     # round 1: each group and the leader it shares most prefix shingles with; each further class and the first of its group
     leaders = (
         shared.where((F.col("gid") != F.col("leader.gid")) & possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos")))
-        .groupBy("gid", F.col("leader.gid").alias("leader")).agg(F.count(F.lit(1)).alias("votes"))
+        .groupBy("gid", "n", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("m")).agg(F.count(F.lit(1)).alias("votes"))
+        .where(enough(F.col("votes"), F.col("n"), F.col("m")))
         .groupBy("gid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
     )
     firsts = classes.groupBy("gid").agg(F.min(F.struct("rep", "cid")).alias("first"), F.count(F.lit(1)).alias("k"))
@@ -276,16 +286,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         classes.join(leaders, "gid").join(firsts.select(F.col("gid").alias("leader"), "first"), "leader").select(F.col("rep").alias("a"), F.col("first.rep").alias("b"), F.col("cid").alias("cid_a"), F.col("first.cid").alias("cid_b"))
         .union(classes.join(several, "gid").where(F.col("cid") != F.col("first.cid")).select("rep", "first.rep", "cid", "first.cid"))
     )
-    star = materialize(star, "star")
-    wanted = materialize(classes.join(shared.select("gid").union(several.select("gid")).distinct(), "gid", "left_semi").select("rep", "cid"), "wanted")
-    sets = materialize(fetch_sets(docs, wanted, k), "sets")
-    first_links = materialize(verify(star, sets, percent), "links")
+    first_links = materialize(verify(star, docs, k, percent), "links")
     known = components(first_links)
 
     # round 2: pairs of a shared shingle (or of a group) whose members are not connected yet
     placed = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", "cid", F.coalesce("comp", "rep").alias("comp"))
     rows = shared.select("token", "gid", "n", "pos").join(placed, "gid").select("token", "n", "pos", "rep", "cid", "comp").union(
-        placed.join(several.select("gid"), "gid", "left_semi").join(classes.select("rep", "cid", "n"), ["rep", "cid"]).select(F.col("gid").alias("token"), "n", F.lit(0), "rep", "cid", "comp")
+        placed.join(several.select("gid"), "gid", "left_semi").join(classes.select("rep", "cid", "n"), ["rep", "cid"]).select(F.col("gid").alias("token"), "n", F.lit(-1), "rep", "cid", "comp")
     )
     open_rows = materialize(
         rows.withColumns({"lo": F.min("comp").over(block), "hi": F.max("comp").over(block)}).where("lo != hi").drop("lo", "hi"), "open"
@@ -293,10 +300,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     x, y = open_rows.alias("x"), open_rows.alias("y")
     rest = (
         x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.cid").alias("cid_a"), F.col("y.cid").alias("cid_b"))
-        .distinct()
+        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.cid").alias("cid_a"), F.col("y.cid").alias("cid_b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+        .agg(F.count(F.lit(1)).alias("common"), F.max(F.col("x.pos") < 0).alias("grouped"))
+        .where(F.col("grouped") | enough(F.col("common"), F.col("n"), F.col("m")))
+        .select("a", "b", "cid_a", "cid_b")
     )
-    links = first_links.union(verify(materialize(rest, "rest"), sets, percent))
+    links = materialize(first_links.union(verify(rest, docs, k, percent)), "links")
     final = components(links)
     class_of = classes.select("cid", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("cid", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("comp"))
     own = F.col("doc_id").isNotNull() & (F.col("n") > 0)

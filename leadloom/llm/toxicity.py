@@ -7,7 +7,7 @@ for each kind.
 
 The word classes are the fixed words below plus insults learned from labelled rows: words and stems that occur almost only
 in toxic documents, in many different contexts (so that copies of one document teach nothing). The weights are fitted to all
-labelled training rows, counted by their clause counts, which are at most (CAP + 1)^6 combinations. Rows whose
+labelled training rows (max_labelled of them, if there are more), counted by their clause counts, which are at most (CAP + 1)^6 combinations. Rows whose
 crc32(doc_id) mod 5 is 0 are never learned from.
 
 Defined results: a null or empty text has no clauses and gets the score of a text without any; a null doc_id is scored
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm._common import documents, materialize
+from leadloom.llm._common import documents, let, materialize
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Words of the grammar in the languages of the corpus.
@@ -129,18 +129,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_labels(labels: DataFrame) -> DataFrame:
-    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def training_labels(labels: DataFrame, max_labelled: int = 200_000) -> DataFrame:
+    """Labels to learn from: all, or about max_labelled picked by the hash of their doc_id. So bounded, they are broadcast."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    n = known.count()
+    if n > max_labelled:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (max_labelled << 20) // n)
+    return F.broadcast(known)
 
 
 def learn_words(
-    docs: DataFrame, labels: DataFrame, min_support: int = 8, min_precision: float = 0.9, stem_precision: float = 0.97, max_terms: int = 4000
+    docs: DataFrame, labels: DataFrame, min_support: int = 8, min_precision: float = 0.9, stem_precision: float = 0.97, max_terms: int = 4000, max_labelled: int = 200_000
 ) -> tuple[list[str], list[str]]:
     """Words and stems that mark toxic training documents. max_terms bounds what comes to the driver: the best supported ones."""
-    body = docs.select("doc_id", "text").join(training_labels(labels), "doc_id")
+    body = docs.select("doc_id", "text").join(training_labels(labels, max_labelled), "doc_id")
     ws = F.split(F.lower("text"), r"[^\p{L}]+")
-    pairs = F.arrays_zip(ws.alias("prev"), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))).alias("word"))
-    seen = body.select("toxic", F.explode(pairs).alias("p")).select("toxic", "p.word", F.pmod(F.hash("p.prev"), F.lit(63)).alias("bit")).where(F.length("word").between(3, 40))
+    after = F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0)))
+    pairs = F.array_sort(F.zip_with(after, ws, lambda word, prev: F.struct(F.coalesce(word, F.lit("")).alias("word"), prev.alias("prev"))))
+    # each word once per document, whatever its length
+    once = let(pairs, lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["word"] != x["word"])))
+    seen = body.select("toxic", F.explode(once).alias("p")).select("toxic", "p.word", F.pmod(F.hash("p.prev"), F.lit(63)).alias("bit")).where(F.length("word").between(3, 40))
     many = lambda k: F.bit_count("contexts") * 2 >= F.least(k, F.lit(40))
     vocabulary = materialize(
         seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("contexts")).where("n > 1"), "vocabulary"
@@ -172,9 +180,9 @@ def clause_counts(docs: DataFrame, grammar: Grammar, text: str = "text") -> Data
     return docs.withColumn("clauses", count(F.col(text)))
 
 
-def fit_weights(counted: DataFrame, labels: DataFrame) -> tuple[float, ...]:
+def fit_weights(counted: DataFrame, labels: DataFrame, max_labelled: int = 200_000) -> tuple[float, ...]:
     """Logistic regression by Newton's steps over the distinct clause counts of all training rows."""
-    rows = counted.select("doc_id", "clauses").join(training_labels(labels), "doc_id").groupBy("clauses").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).collect()
+    rows = counted.select("doc_id", "clauses").join(training_labels(labels, max_labelled), "doc_id").groupBy("clauses").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).collect()
     if not rows or sum(r["k"] for r in rows) in (0, sum(r["n"] for r in rows)):
         return DEFAULT
     x = np.asarray([[1, *r["clauses"]] for r in rows], dtype=float)

@@ -19,10 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from leadloom.llm._common import documents
 
@@ -83,8 +84,8 @@ class StreamingViterbi:
         return self._path(len(self.text))
 
 
-class Model:
-    """The pieces of a model file, and the ids of stretches seen before."""
+class Model(dict):
+    """The pieces of a model file; as a dict, the ids (int32 as bytes) of words seen before."""
 
     def __init__(self, path: str, bound: int = 300_000):
         from sentencepiece import SentencePieceProcessor
@@ -94,14 +95,18 @@ class Model:
         kinds = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in range(n) if not kinds[i] and not model.is_byte(i)}
+        self.begins = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.unk = model.unk_id()
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - 10.0
-        self.output = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
-        self.seen: dict[str, list[int]] = {}
+        self.output = [b""] * n
+        for p, (i, _) in self.pieces.items():
+            self.output[i] = p.replace(MARK, " ").encode()
+        for b, i in self.byte_ids.items():
+            self.output[i] = bytes([b])
         self.bound = bound
 
-    def _ids(self, pieces: list[str]) -> Iterator[int]:
+    def _ids(self, pieces: Iterator[str] | list[str]) -> Iterator[int]:
         for p in pieces:
             if p in self.pieces:
                 yield self.pieces[p][0]
@@ -111,31 +116,58 @@ class Model:
                 yield self.unk
 
     def segment(self, text: str) -> list[int]:
+        """Any text, in a window of bounded length."""
         search = StreamingViterbi(self.pieces, self.longest, self.unknown)
         return [*self._ids(search.feed(text)), *self._ids(search.finish())]
 
-    def encode(self, text: str | None) -> list[int] | None:
-        if text is None:
-            return None
+    def segment_word(self, text: str) -> list[int]:
+        """A short stretch, which is a window of its own: the same recurrence, following pieces forward."""
+        n, pieces, begins = len(text), self.pieces, self.begins
+        best, back = [-np.inf] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for begin in range(n):
+            so_far = best[begin]
+            for end in range(begin + 1, n + 1):
+                piece = text[begin:end]
+                if piece in begins:
+                    known = pieces.get(piece)
+                    if known is not None:
+                        value = so_far + known[1]
+                        if value > best[end]:
+                            best[end], back[end] = value, begin
+                    elif end == begin + 1 and so_far + self.unknown > best[end]:
+                        best[end], back[end] = so_far + self.unknown, begin
+                else:
+                    if end == begin + 1 and so_far + self.unknown > best[end]:
+                        best[end], back[end] = so_far + self.unknown, begin
+                    break
+        out = []
+        while n > 0:
+            out.append(text[back[n] : n])
+            n = back[n]
+        return list(self._ids(out[::-1]))
+
+    def __missing__(self, word: str) -> bytes:
+        short = len(word) < 64
+        ids = np.asarray(self.segment_word(MARK + word) if short else self.segment(MARK + word), dtype=np.int32).tobytes()
+        if short and len(self) < self.bound:
+            self[word] = ids
+        return ids
+
+    def encode_bytes(self, text: str) -> bytes:
         if not text:
-            return []
+            return b""
         if "  " in text or text[0] == " " or MARK in text:  # runs of marks: no certain boundaries
-            return self.segment(MARK + text.replace(" ", MARK))
-        out: list[int] = []
-        seen = self.seen
-        for word in text.split(" "):
-            ids = seen.get(word)
-            if ids is None:
-                ids = self.segment(MARK + word)
-                if len(seen) < self.bound and len(word) < 64:
-                    seen[word] = ids
-            out += ids
-        return out
+            return np.asarray(self.segment(MARK + text.replace(" ", MARK)), dtype=np.int32).tobytes()
+        return b"".join(map(self.__getitem__, text.split(" ")))
+
+    def encode(self, text: str | None) -> list[int] | None:
+        return None if text is None else np.frombuffer(self.encode_bytes(text), dtype=np.int32).tolist()
 
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
             return None
-        text = b"".join([self.output.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -148,24 +180,38 @@ def model_of(path: str) -> Model:
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each text."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
+    docs = docs.drop(ids)
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("array<int>")
-    def coded(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else np.asarray(x, dtype="int32") for x in map(model_of(path).encode, texts)], index=texts.index, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = model_of(path)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                coded = [None if t is None else coder.encode_bytes(t) for t in batch.column(at).to_pylist()]
+                ends = np.cumsum([0, *(len(x or b"") // 4 for x in coded)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(x or b"" for x in coded), dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in coded]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
 
-    return docs.withColumn(ids, coded(F.col(text)))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode(coded: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of each row's ids."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
-
-    @F.pandas_udf("string")
-    def plain(rows: pd.Series) -> pd.Series:
-        model = model_of(path)
-        return pd.Series([None if x is None else model.decode(x.tolist()) for x in rows], index=rows.index, dtype=object)
-
-    return coded.withColumn(text, plain(F.col(ids)))
+    coded = coded.drop(text)
+    at = coded.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = model_of(path)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                texts = [coder.decode(x) for x in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+
+    return coded.mapInArrow(run, StructType([*coded.schema, StructField(text, StringType())]))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,7 @@ def test_sentencepiece_equals_the_library_on_the_same_scores(texts):
     for w in sorted(words)[:3000]:
         a, b = ours.encode(w), library.encode(w)
         assert a == b or score(a) >= score(b), w
+        assert a == ours.segment("▁" + w)
     for t in [*texts.values(), "a   b", " x", "ab" * 3000, "日本語", "\n\n", "x\x00y", "é" * 999]:
         assert ours.decode(ours.encode(t)) == t
         assert ours.encode(t) == ours.segment("▁" + t.replace(" ", "▁"))

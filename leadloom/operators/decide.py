@@ -62,3 +62,21 @@ def current_rows(outcomes: DataFrame, company: Column, processed: Column) -> Dat
     """The last processed row of each company; nulls of the last row replace earlier values."""
     key = F.lower(F.trim(company))
     return outcomes.withColumns({"company_key": key, "_r": F.row_number().over(Window.partitionBy(key).orderBy(processed.desc()))}).where("_r = 1").drop("_r")
+
+
+def contact_quality(leads: DataFrame, answers: DataFrame, least_score: int = 70) -> DataFrame:
+    """Verifier answers by address: valid, invalid (also disposable), ambiguous ones by score, else risky; no answer: unverified."""
+    last = answers.groupBy(F.lower("email").alias("email")).agg(F.max_by(F.struct("status", "score"), "answer_id").alias("a"))
+    quality = (
+        F.when(F.col("a").isNull(), "unverified").when(F.col("a.status") == "valid", "valid").when(F.col("a.status").isin("invalid", "disposable"), "invalid")
+        .when((F.col("a.status") == "ambiguous") & (F.coalesce("a.score", F.lit(0)) >= least_score), "valid").otherwise("risky")
+    )
+    return leads.select("lead_id", F.lower("email").alias("email")).join(last, "email", "left").select("lead_id", quality.alias("quality"))
+
+
+def notifications(card: DataFrame) -> DataFrame:
+    """Subject and body of each lead's notification."""
+    who = F.regexp_replace(F.trim("company"), "[\r\n]+", " ")
+    subject = F.concat(F.lit("["), F.col("next_action"), F.lit("] "), who, F.lit(" (fit "), F.col("score").cast("string"), F.lit(", "), F.col("confidence"), F.lit(")"))
+    body = F.concat_ws("\n", F.concat(F.lit("Compliance: "), F.col("status")), F.concat(F.lit("Cloud usage: "), F.col("state")), F.concat(F.lit("Spend prior: "), F.col("spend_tier")))
+    return card.select("lead_id", subject.alias("subject"), body.alias("body"))

@@ -291,9 +291,18 @@ def _(spark, d):
     return decide.screen_freshness(view(spark, d, "leads"), view(spark, d, "screens"), F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")))
 
 
-@query("contact_quality", "SELECT lead_id, CASE contact_quality WHEN 'valid' THEN 'valid' WHEN 'invalid' THEN 'invalid' ELSE 'risky' END AS quality FROM [leads]")
+VIEWS["verifier"] = f"""
+SELECT c_custkey AS answer_id, 'U' || CAST(c_custkey AS VARCHAR(20)) || '@gmail.com' AS email, {pick(['valid', 'invalid', 'disposable', 'ambiguous', 'accept_all'], 'c_custkey % 5')} AS status, CAST(c_custkey % 101 AS INT) AS score FROM {{customer}} WHERE c_custkey % 8 <> 0"""
+
+
+@query("contact_quality", "SELECT l.lead_id, CASE WHEN v.status IS NULL THEN 'unverified' WHEN v.status = 'valid' THEN 'valid' WHEN v.status IN ('invalid', 'disposable') THEN 'invalid' WHEN v.status = 'ambiguous' AND v.score >= 70 THEN 'valid' ELSE 'risky' END AS quality FROM [leads] l LEFT JOIN [verifier] v ON lower(v.email) = lower(l.email)")
+def _(spark, d):
+    return decide.contact_quality(view(spark, d, "leads"), view(spark, d, "verifier"))
+
+
+@query("notifications", f"SELECT lead_id, '[' || next_action || '] ' || trim(company) || ' (fit ' || CAST(score AS VARCHAR) || ', ' || confidence || ')' AS subject, 'Compliance: ' || status || chr(10) || 'Cloud usage: ' || state || chr(10) || 'Spend prior: ' || spend_tier AS body FROM {_CARD}")
 def _(spark, d):
-    return view(spark, d, "leads").select("lead_id", F.when(F.col("contact_quality").isin("valid", "invalid"), F.col("contact_quality")).otherwise("risky").alias("quality"))
+    return decide.notifications(scorecard(spark, d))
 
 
 # ---- networks ------------------------------------------------------------------------------------------------
@@ -711,6 +720,14 @@ def _(spark, d):
     return spark.read.schema("user_id long, event_type string").parquet(f"{root}/out")
 
 
+@query("stream_poll", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type").repartition(6, "event_id")
+    _, root = _stream(spark, events)
+    claims.drain(claims.poll(spark, f"{root}/in", events.schema, per_pass=2), f"{root}/c", path=f"{root}/out")
+    return spark.read.schema(events.schema).parquet(f"{root}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_tracker", "SELECT segment, lead_id FROM (SELECT segment, lead_id, row_number() OVER (PARTITION BY segment ORDER BY lead_id DESC) AS r FROM [leads]) WHERE r = 1")
 def _(spark, d):
     stream, root = _stream(spark, view(spark, d, "leads"))

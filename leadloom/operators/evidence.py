@@ -19,8 +19,7 @@ def validated(evidence: DataFrame) -> DataFrame:
 
 
 def qualifying(evidence: DataFrame) -> DataFrame:
-    """Rows that may count towards a usage state: cloud-bearing, not a dependency, with a provider or inherent."""
-    return evidence.where((F.col("scope") != "saas_dependency") & F.col("family").isin(*policy.CLOUD_BEARING) & (F.col("provider").isNotNull() | F.col("family").isin(*policy.INHERENT)))
+    return evidence.where(counts())
 
 
 def deduplicated(evidence: DataFrame, *keys: str) -> DataFrame:
@@ -36,30 +35,36 @@ def families_present(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("lead_id", "family").agg(F.count(F.lit(1)).alias("n"), F.max("strength_rank").alias("rank")).select("lead_id", "family", "n", F.get(F.array(*map(F.lit, policy.STRENGTHS)), F.col("rank")).alias("max_strength"))
 
 
-def classify(rows: DataFrame, *keys: str) -> DataFrame:
-    """Usage state of each group of deduplicated rows."""
+def counts() -> Column:
+    """Whether a row may count towards a usage state: cloud-bearing, not a dependency, with a provider or inherent."""
+    return (F.col("scope") != "saas_dependency") & F.col("family").isin(*policy.CLOUD_BEARING) & (F.col("provider").isNotNull() | F.col("family").isin(*policy.INHERENT))
+
+
+def state_columns(counted: Column) -> list[Column]:
+    """Aggregates of a group of evidence rows: state, n_families, medium_families.
+
+    Each condition asks whether some row holds, and the row that deduplication keeps is the strongest, current first; so the
+    state is the same over all rows, and one aggregation with map-side sums does. Families are bits of a mask.
+    """
     edge = F.col("family") == policy.EDGE
-    family_if = lambda cond: F.count_distinct(F.when(cond, F.col("family")))
-    confirmed = F.max((F.col("family").isin(*policy.HOSTING) & (F.col("strength") == "DIRECT") & (F.col("freshness") == "current")).cast("int")) == 1
-    strong = F.max((~edge & (F.col("strength_rank") >= 2)).cast("int")) == 1
-    state = (
-        F.when(confirmed, "CONFIRMED").when((family_if(~edge) >= 2) & strong, "LIKELY").when(strong | (family_if(~edge & (F.col("strength_rank") >= 1)) >= 2), "POSSIBLE").when(F.max(edge.cast("int")) == 1, "EDGE_ONLY").otherwise("UNKNOWN")
-    )
-    return rows.groupBy(*keys).agg(state.alias("state"), F.count_distinct("family").alias("n_families"))
+    bit = F.call_function("shiftleft", F.lit(1), F.array_position(F.array(*map(F.lit, policy.FAMILIES)), F.col("family")).cast("int"))
+    families = lambda cond: F.bit_count(F.coalesce(F.bit_or(F.when(counted & cond, bit)), F.lit(0)))
+    some = lambda cond: F.coalesce(F.bool_or(counted & cond), F.lit(False))
+    confirmed = some(F.col("family").isin(*policy.HOSTING) & (F.col("strength") == "DIRECT") & (F.col("freshness") == "current"))
+    strong, medium = some(~edge & (F.col("strength_rank") >= 2)), families(~edge & (F.col("strength_rank") >= 1))
+    state = F.when(confirmed, "CONFIRMED").when((families(~edge) >= 2) & strong, "LIKELY").when(strong | (medium >= 2), "POSSIBLE").when(some(edge), "EDGE_ONLY").otherwise("UNKNOWN")
+    return [state.alias("state"), families(F.lit(True)).cast("long").alias("n_families"), medium.cast("long").alias("medium_families")]
 
 
 def usage_state(evidence: DataFrame) -> DataFrame:
     """State by lead; a lead whose rows all fail to qualify is UNKNOWN."""
-    known = classify(deduplicated(qualifying(evidence)), "lead_id")
-    return evidence.select("lead_id").distinct().join(known, "lead_id", "left").select("lead_id", F.coalesce("state", F.lit("UNKNOWN")).alias("state"), F.coalesce("n_families", F.lit(0)).alias("n_families"))
+    return evidence.groupBy("lead_id").agg(*state_columns(counts()))
 
 
 def provider_states(evidence: DataFrame) -> DataFrame:
     """State by lead and named provider, with row counts and ids."""
-    rows = qualifying(evidence).where(F.col("provider").isNotNull())
-    states = classify(deduplicated(rows), "lead_id", "provider")
-    seen = rows.groupBy("lead_id", "provider").agg(F.count(F.lit(1)).alias("observations"), F.array_join(F.array_sort(F.collect_list("ordinal")).cast("array<string>"), ",").alias("evidence_ids"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
-    return states.join(seen, ["lead_id", "provider"])
+    seen = [F.count(F.lit(1)).alias("observations"), F.array_join(F.array_sort(F.collect_list("ordinal")).cast("array<string>"), ",").alias("evidence_ids"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen")]
+    return qualifying(evidence).where(F.col("provider").isNotNull()).groupBy("lead_id", "provider").agg(*state_columns(F.lit(True)), *seen)
 
 
 def missing_channels(channels: DataFrame) -> DataFrame:

@@ -78,7 +78,3 @@ def fit(leads: DataFrame, states: DataFrame, bonus: DataFrame, text: Column, hq_
         spend_tier(F.col("industry"), F.col("headcount")).alias("spend_tier"), F.coalesce("state", F.lit("UNKNOWN")).alias("state"),
     ).withColumn("score", F.least(F.col("scale_points") + F.col("cloud_points") + F.col("complexity_points"), F.lit(policy.MAX_SCORE)))
 
-
-def medium_families(deduped: DataFrame) -> DataFrame:
-    """By lead: cloud-bearing families other than edge delivery that reach MEDIUM."""
-    return deduped.where((F.col("family") != policy.EDGE) & (F.col("strength_rank") >= 1)).groupBy("lead_id").agg(F.count_distinct("family").alias("medium_families"))

@@ -68,12 +68,12 @@ def _(spark, d):
 
 @query("evidence_state", f"SELECT lead_id, state, n_families FROM {_STATES}")
 def _(spark, d):
-    return evidence.usage_state(view(spark, d, "evidence"))
+    return evidence.usage_state(view(spark, d, "evidence")).drop("medium_families")
 
 
 @query("provider_states", f"SELECT s.lead_id, s.provider, s.state, s.n_families, o.observations, o.evidence_ids, o.first_seen, o.last_seen FROM (SELECT lead_id, provider, {_STATE} AS state, count(DISTINCT family) AS n_families FROM {_DEDUP} WHERE provider IS NOT NULL GROUP BY lead_id, provider) s JOIN (SELECT lead_id, provider, count(*) AS observations, string_agg(CAST(ordinal AS VARCHAR), ',' ORDER BY ordinal) AS evidence_ids, min(observed_at) AS first_seen, max(observed_at) AS last_seen FROM {_QUAL} WHERE provider IS NOT NULL GROUP BY lead_id, provider) o USING (lead_id, provider)")
 def _(spark, d):
-    return evidence.provider_states(view(spark, d, "evidence"))
+    return evidence.provider_states(view(spark, d, "evidence")).drop("medium_families")
 
 
 _MISSING = f"(SELECT lead_id, coalesce(string_agg(DISTINCT channel, ',' ORDER BY channel) FILTER (channel IN {_in(policy.CLOUD_CHANNELS)} AND (status = 'degraded' OR (status = 'skipped' AND channel = 'vendor'))), '') AS missing FROM [channels] GROUP BY lead_id)"
@@ -139,8 +139,7 @@ _FIT = f"""(SELECT *, least(scale_points + cloud_points + complexity_points, 100
 def _fit(spark, d):
     leads = scoring.employees_for_scoring(view(spark, d, "leads")).join(view(spark, d, "hq_candidates"), "lead_id")
     rows = view(spark, d, "evidence")
-    states = evidence.usage_state(rows).join(scoring.medium_families(evidence.deduplicated(evidence.qualifying(rows))), "lead_id", "left")
-    return scoring.fit(leads, states, scoring.workload_bonus(view(spark, d, "signals"), rows), F.col("website_text"), F.coalesce("gleif", "wikidata").isNotNull())
+    return scoring.fit(leads, evidence.usage_state(rows), scoring.workload_bonus(view(spark, d, "signals"), rows), F.col("website_text"), F.coalesce("gleif", "wikidata").isNotNull())
 
 
 @query("scale_points", f"SELECT lead_id, CAST(headcount AS INTEGER) AS headcount, {_SCALE} AS scale_points FROM {_HEADS}")

@@ -256,12 +256,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     groups = linkable.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
     block = Window.partitionBy("token")
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = materialize(
-        postings.withColumns({"leader": F.min(F.struct("gid", "n", "pos")).over(block), "last": F.max("gid").over(block)})
-        .where(F.col("leader.gid") != F.col("last"))
-        .select("token", "gid", "n", "pos", "leader"),
-        "shared",
-    )
+    met = (
+        postings.withColumns({"least": F.min("gid").over(block), "most": F.max("gid").over(block)})
+        .where(F.col("least") != F.col("most")).select("token", "gid", "n", "pos")
+    )
+    # how many of its prefix shingles a group shares: in a family of copies, the least edited ones share most
+    shared = materialize(met.withColumn("weight", F.count(F.lit(1)).over(Window.partitionBy("gid"))), "shared")
 
     def possible(n: Column, pos: Column, m: Column, qos: Column) -> Column:
         """Whether sizes, and what can still be shared from these positions on, allow the threshold."""
@@ -273,13 +273,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         suffix = lambda size: F.ceil(size * percent / 100).cast("long") - 1
         return (shared_tokens + F.greatest(suffix(n), suffix(m))) * (100 + percent) >= percent * (n + m)
 
-    # round 1: each group and the leader it shares most prefix shingles with; each further class and the first of its group
-    leaders = (
-        shared.where((F.col("gid") != F.col("leader.gid")) & possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos")))
-        .groupBy("gid", "n", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("m")).agg(F.count(F.lit(1)).alias("votes"))
-        .where(enough(F.col("votes"), F.col("n"), F.col("m")))
-        .groupBy("gid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
+    # round 1: each group and up to three leaders, those of most shared shingles; each further class and the first of its group
+    best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("weight"), "gid"))
+    heads = shared.withColumn("_r", best).where(F.col("_r") <= 3).select("token", F.col("gid").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("qos"))
+    votes = (
+        shared.join(heads, "token").where((F.col("gid") != F.col("leader")) & possible(F.col("n"), F.col("pos"), F.col("m"), F.col("qos")))
+        .groupBy("gid", "leader", "n", "m").agg(F.count(F.lit(1)).alias("votes")).where(enough(F.col("votes"), F.col("n"), F.col("m")))
     )
+    most_votes = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("votes"), "leader"))
+    leaders = votes.withColumn("_r", most_votes).where(F.col("_r") <= 3).select("gid", "leader")
     firsts = classes.groupBy("gid").agg(F.min(F.struct("rep", "cid")).alias("first"), F.count(F.lit(1)).alias("k"))
     several = firsts.where("k > 1")
     star = (
@@ -319,8 +321,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i+1] || ' ' || w[i+2]))
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))
                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
 c AS MATERIALIZED (SELECT min(doc_id) AS rep, len(any_value(s)) AS n, list_sort(s) AS s FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
 t AS MATERIALIZED (SELECT rep, n, unnest(s) AS g FROM c),

@@ -85,9 +85,9 @@ class StreamingViterbi:
 
 
 class Model(dict):
-    """The pieces of a model file; as a dict, the ids (int32 as bytes) of words seen before."""
+    """The pieces of a model file; as a dict, the ids (int32 as bytes) of words seen before, bound of them at most."""
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 800_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -96,6 +96,7 @@ class Model(dict):
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in range(n) if not kinds[i] and not model.is_byte(i)}
         self.begins = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        self.single = {p for p in self.pieces if len(p) == 1}
         self.unk = model.unk_id()
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - 10.0
@@ -122,30 +123,33 @@ class Model(dict):
 
     def segment_word(self, text: str) -> list[int]:
         """A short stretch, which is a window of its own: the same recurrence, following pieces forward."""
-        n, pieces, begins = len(text), self.pieces, self.begins
-        best, back = [-np.inf] * (n + 1), [0] * (n + 1)
+        n, get, begins, unknown = len(text), self.pieces.get, self.begins, self.unknown
+        best, back, ids = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for begin in range(n):
             so_far = best[begin]
-            for end in range(begin + 1, n + 1):
-                piece = text[begin:end]
-                if piece in begins:
-                    known = pieces.get(piece)
-                    if known is not None:
-                        value = so_far + known[1]
-                        if value > best[end]:
-                            best[end], back[end] = value, begin
-                    elif end == begin + 1 and so_far + self.unknown > best[end]:
-                        best[end], back[end] = so_far + self.unknown, begin
-                else:
-                    if end == begin + 1 and so_far + self.unknown > best[end]:
-                        best[end], back[end] = so_far + self.unknown, begin
+            end = begin + 1
+            piece = text[begin]
+            if piece not in self.single and so_far + unknown > best[end]:
+                best[end], back[end], ids[end] = so_far + unknown, begin, -1
+            while piece in begins:
+                known = get(piece)
+                if known is not None:
+                    value = so_far + known[1]
+                    if value > best[end]:
+                        best[end], back[end], ids[end] = value, begin, known[0]
+                end += 1
+                if end > n:
                     break
-        out = []
+                piece = text[begin:end]
+        out: list[int] = []
         while n > 0:
-            out.append(text[back[n] : n])
+            if ids[n] >= 0:
+                out.append(ids[n])
+            else:
+                out += list(self._ids([text[back[n] : n]]))[::-1]
             n = back[n]
-        return list(self._ids(out[::-1]))
+        return out[::-1]
 
     def __missing__(self, word: str) -> bytes:
         short = len(word) < 64

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from leadloom.llm._common import documents, let, materialize, shingles
 
 #: Bits of the rarity table and of the filter that picks the documents to read again: fixed sizes, whatever the input.
-RARITY_BITS, FILTER_BITS = 16, 20
+RARITY_BITS, FILTER_BITS = 16, 19
 
 
 def tokens_of(line: Column, k: int) -> Column:
@@ -32,9 +32,11 @@ def tokens_of(line: Column, k: int) -> Column:
     return F.array_distinct(shingles(F.array_remove(F.split(plain, " "), ""), k))
 
 
-def lines_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, line_no (from 0) and tokens of the lines that have any."""
+def lines_of(docs: DataFrame, k: int, only: Column | None = None) -> DataFrame:
+    """doc_id, line_no (from 0) and tokens of the lines that have any; of the lines that pass a filter alone."""
     each = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    if only is not None:
+        each = each.where(only)
     return each.select("doc_id", "line_no", tokens_of(F.col("line"), k).alias("tokens")).where(F.size("tokens") > 0)
 
 
@@ -62,14 +64,15 @@ def by_rarity(tokens: Column, table: bytes) -> Column:
     return F.array_sort(packed)
 
 
-def id_filter(ids: DataFrame) -> Column:
-    """Whether doc_id may be among ids: one bit per bucket, four bits per byte."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    bits = ids.select(bucket.alias("b")).groupBy(F.shiftright("b", 2).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("b").bitwiseAND(3).cast("int"))).alias("bits")).toArrow()
-    table = np.full(1 << (FILTER_BITS - 2), 64, dtype=np.uint8)
-    if bits.num_rows:
-        table[bits["byte"].to_numpy()] += bits["bits"].to_numpy().astype(np.uint8)
-    return byte_at(table.tobytes(), F.shiftright(bucket, 2)).bitwiseAND(F.call_function("shiftleft", F.lit(1), bucket.bitwiseAND(3).cast("int"))) != 0
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """Whether a row's key (the columns of keys) may be among keys: one bit per bucket, four bits per byte."""
+    bucket = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << bits))
+    one = lambda b: F.call_function("shiftleft", F.lit(1), b.bitwiseAND(3).cast("int"))
+    filled = keys.select(bucket.alias("b")).groupBy(F.shiftright("b", 2).alias("byte")).agg(F.bit_or(one(F.col("b"))).alias("bits")).toArrow()
+    table = np.full(1 << (bits - 2), 64, dtype=np.uint8)
+    if filled.num_rows:
+        table[filled["byte"].to_numpy()] += filled["bits"].to_numpy().astype(np.uint8)
+    return byte_at(table.tobytes(), F.shiftright(bucket, 2)).bitwiseAND(one(bucket)) != 0
 
 
 def possible(percent: int, n: Column, pos: Column, m: Column, qos: Column) -> Column:
@@ -78,12 +81,19 @@ def possible(percent: int, n: Column, pos: Column, m: Column, qos: Column) -> Co
     return (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
 
 
+def enough(percent: int, common: Column, n: Column, m: Column) -> Column:
+    """Whether so many shared prefix tokens allow the threshold: beyond them, at most one whole suffix is shared."""
+    suffix = lambda size: F.ceil(size * percent / 100).cast("int") - 1
+    return (common + F.greatest(suffix(n), suffix(m))) * (100 + percent) >= percent * (n + m)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (xd, xl, yd, yl) the lines xd, xl that reach the threshold with one of their partners."""
-    pairs = materialize(pairs, "pairs")
+    """Of pairs (xd, xl, yd, yl and sizes n, m; a row for each shared token) the lines xd, xl that reach the threshold with a partner."""
+    pairs = pairs.groupBy("xd", "xl", "yd", "yl", "n", "m").agg(F.count(F.lit(1)).alias("common"))
+    pairs = materialize(pairs.where(enough(percent, F.col("common"), F.col("n"), F.col("m"))).select("xd", "xl", "yd", "yl"), "pairs")
     ends = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct()
     ends = materialize(ends, "ends")
-    sets = lines_of(docs.where(id_filter(ends.select("doc_id"))), k).join(ends, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
+    sets = lines_of(docs.where(key_filter(ends.select("doc_id"))), k, key_filter(ends)).join(ends, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
     sets = materialize(sets, "lines")
     one, two = (sets.select(F.col("doc_id").alias(f"{s}d"), F.col("line_no").alias(f"{s}l"), F.col("tokens").alias(f"{s}t")) for s in "xy")
     both = pairs.join(one, ["xd", "xl"]).join(two, ["yd", "yl"])
@@ -112,14 +122,14 @@ def kept_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     led = shared.where(
         ((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("line_no") != F.col("lead.line_no"))) & possible(percent, F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))
-    ).select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("lead.doc_id").alias("yd"), F.col("lead.line_no").alias("yl")).distinct()
+    ).select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("lead.doc_id").alias("yd"), F.col("lead.line_no").alias("yl"), "n", F.col("lead.n").alias("m"))
     matched = materialize(verified(led, docs, k, percent), "matched")
     x = shared.join(matched, ["doc_id", "line_no"], "left_anti").alias("x")
-    y = shared.where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("line_no") != F.col("lead.line_no"))).alias("y")
+    y = shared.alias("y")
     earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no")))
     rest = x.join(
         y, (F.col("x.token") == F.col("y.token")) & earlier & possible(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    ).select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl")).distinct()
+    ).select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
     late = materialize(verified(rest, docs, k, percent), "late")
     return classes.select("doc_id", "line_no").join(matched.union(late), ["doc_id", "line_no"], "left_anti")
 
@@ -127,23 +137,32 @@ def kept_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def dedup_lines(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated lines taken out of the text, and n_lines and n_removed."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    bare = lambda line: F.trim(F.translate(line, "\t\x0b\f\r", "    ")) == ""
     kept = kept_lines(own, k, percent).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list("line_no")).alias("_kept"))
-    joined = docs.drop("n_lines", "n_removed", "_id", "_kept").join(kept, F.col(doc_id) == F.col("_id"), "left").drop("_id")
+    kept = materialize(kept, "kept")
+    # only documents that lose a line are shuffled
+    full = own.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: ~bare(x))).alias("full"))
+    losing = full.join(kept.select(F.col("_id").alias("doc_id"), F.size("_kept").alias("k")), "doc_id", "left").where(F.coalesce("k", F.lit(0)) < F.col("full"))
+    hit = key_filter(materialize(losing.select(F.col("doc_id").alias(doc_id)), "losing"))
+    source = docs.drop("n_lines", "n_removed", "_id", "_kept")
+    still = source.where(~hit).withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"), "n_removed": F.lit(0).cast("long")})
+    joined = source.where(hit).join(kept, F.col(doc_id) == F.col("_id"), "left").drop("_id")
 
     def rebuilt(lines: Column) -> Column:
-        bare = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.translate(lines[i], "\t\x0b\f\r", "    ")) == "")
-        staying = F.array_sort(F.array_union(F.coalesce(F.col("_kept"), F.array().cast("array<int>")), bare))
+        empty = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: bare(lines[i]))
+        staying = F.array_sort(F.array_union(F.coalesce(F.col("_kept"), F.array().cast("array<int>")), empty))
         return let(staying, lambda s: F.struct(F.size(lines).alias("n"), (F.size(lines) - F.size(s)).alias("gone"), F.array_join(F.transform(F.filter(s, lambda i: i < F.size(lines)), lambda i: lines[i]), "\n").alias("text")))
 
     out = joined.withColumn("_out", let(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), rebuilt))
     whole = F.col(doc_id).isNull() | F.col(text).isNull()
-    return out.withColumns(
+    changed = out.withColumns(
         {
             "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col("_out.n")).cast("long"),
             "n_removed": F.when(whole, 0).otherwise(F.greatest(F.col("_out.gone"), F.lit(0))).cast("long"),
             text: F.when(whole, F.col(text)).otherwise(F.col("_out.text")),
         }
-    ).drop("_out", "_kept")
+    )
+    return still.unionByName(changed.drop("_out", "_kept"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +171,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH l AS (SELECT doc_id, i - 1 AS line_no, x[i] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
-w AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM l),
-s AS MATERIALIZED (SELECT doc_id, line_no, line, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+w AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+s AS MATERIALIZED (SELECT doc_id, line_no, line, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 c AS MATERIALIZED (SELECT s, min(doc_id * 1000000 + line_no) AS k FROM s WHERE len(s) > 0 GROUP BY s),
 t AS MATERIALIZED (SELECT k, len(s) AS n, unnest(s) AS g FROM c),
 p AS (SELECT b.k AS k, a.n AS na, b.n AS nb, count(*) AS same FROM t a JOIN t b ON a.g = b.g AND a.k < b.k AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.k, b.k, a.n, b.n),

@@ -17,7 +17,6 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from leadloom.llm._common import documents, materialize
 
 #: Counters of the rarity table, and bits of the filter that picks the sets to fetch: fixed sizes, whatever the input.
-RARITY_BITS, CHUNK_BITS, FILTER_BITS = 22, 14, 23
+RARITY_BITS, CHUNK_BITS, FILTER_BITS = 23, 15, 23
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -104,11 +103,11 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def rarity(docs: DataFrame, k: int) -> np.ndarray:
-    """How often the shingles of each of 2^RARITY_BITS buckets occur in all documents."""
+    """How often the shingles of each of 2^RARITY_BITS buckets occur in all documents, on a logarithmic scale of a byte."""
     chunks, width = 1 << (RARITY_BITS - CHUNK_BITS), 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+        table = np.zeros(1 << RARITY_BITS, dtype=np.int32)
         for batch in batches:
             held, n = [], 0
             for s in text_sets(batch.column(0), k):
@@ -125,18 +124,22 @@ def rarity(docs: DataFrame, k: int) -> np.ndarray:
         rows = [r for r in rows if r[2].any()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["chunk", "part", "counts"])
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(width, dtype=np.int64)
-        for x in rows.column("counts").to_pylist():
-            total += np.frombuffer(x, dtype=np.uint16 if len(x) == 2 * width else np.int64)
-        return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def adder(out: type, limit: int):
+        def add(rows: pa.Table) -> pa.Table:
+            total = np.zeros(width, dtype=np.int64)
+            for x in rows.column("counts").to_pylist():
+                total += np.frombuffer(x, dtype=np.uint16 if len(x) == 2 * width else np.uint32)
+            return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, limit).astype(out).tobytes()], pa.binary())})
+
+        return add
 
     counted = docs.select("text").mapInArrow(count, "chunk int, part int, counts binary")
     # partial sums by part first, so that no task adds up the tables of all tasks
-    summed = counted.groupBy("chunk", "part").applyInArrow(add, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    table = np.zeros(1 << RARITY_BITS, dtype=np.uint32)
-    for r in summed.toLocalIterator():  # 2^(RARITY_BITS - CHUNK_BITS) rows of a fixed size
-        table[r["chunk"] * width : (r["chunk"] + 1) * width] = np.minimum(np.frombuffer(r["counts"], dtype=np.int64), 2**32 - 1)
+    parts = counted.groupBy("chunk", "part").applyInArrow(adder(np.uint32, 2**32 - 1), "chunk int, counts binary")
+    summed = parts.groupBy("chunk").applyInArrow(adder(np.uint32, 2**32 - 1), "chunk int, counts binary").toArrow()
+    table = np.zeros(1 << RARITY_BITS, dtype=np.uint8)  # of a fixed size, as is what comes to the driver
+    for c, counts in zip(summed["chunk"].to_pylist(), summed["counts"], strict=True):
+        table[c * width : (c + 1) * width] = 7.9 * np.log2(1.0 + np.frombuffer(counts.as_buffer(), dtype=np.uint32))
     return table
 
 
@@ -273,15 +276,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         suffix = lambda size: F.ceil(size * percent / 100).cast("long") - 1
         return (shared_tokens + F.greatest(suffix(n), suffix(m))) * (100 + percent) >= percent * (n + m)
 
-    # round 1: each group and up to three leaders, those of most shared shingles; each further class and the first of its group
+    # round 1: each group and up to six leaders, those of most shared shingles; each further class and the first of its group
     best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("weight"), "gid"))
-    heads = shared.withColumn("_r", best).where(F.col("_r") <= 3).select("token", F.col("gid").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("qos"))
+    heads = shared.withColumn("_r", best).where(F.col("_r") <= 6).select("token", F.col("gid").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("qos"))
     votes = (
         shared.join(heads, "token").where((F.col("gid") != F.col("leader")) & possible(F.col("n"), F.col("pos"), F.col("m"), F.col("qos")))
         .groupBy("gid", "leader", "n", "m").agg(F.count(F.lit(1)).alias("votes")).where(enough(F.col("votes"), F.col("n"), F.col("m")))
     )
     most_votes = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("votes"), "leader"))
-    leaders = votes.withColumn("_r", most_votes).where(F.col("_r") <= 3).select("gid", "leader")
+    leaders = votes.withColumn("_r", most_votes).where(F.col("_r") <= 6).select("gid", "leader")
     firsts = classes.groupBy("gid").agg(F.min(F.struct("rep", "cid")).alias("first"), F.count(F.lit(1)).alias("k"))
     several = firsts.where("k > 1")
     star = (

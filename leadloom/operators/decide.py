@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +17,38 @@ def screen_freshness(leads: DataFrame, answers: DataFrame, as_of: Column, days:
     return leads.select("lead_id").join(last, "lead_id", "left").select("lead_id", "answer_id", F.when(F.col("fetched_at").isNull(), "never_asked").when(age <= days, "fresh").otherwise("stale").alias("freshness"))
 
 
+def with_list_hits(cases: DataFrame, names: DataFrame, short: DataFrame, domains: DataFrame, second: DataFrame, second_screens: DataFrame) -> DataFrame:
+    """cases with the best name_score, domain_score and second_score, short_hit and second_screen of each lead_id.
+
+    names, short, domains, second: hits (lead_id, score) of the typed name, its acronym, its domains and its second identities;
+    second_screens: the worst status of these by lead_id.
+    """
+    fields = {"name_score": "int", "short_hit": "boolean", "domain_score": "int", "second_score": "int", "second_screen": "string"}
+    parts = ((names, "name_score", F.col("score")), (short, "short_hit", F.lit(True)), (domains, "domain_score", F.col("score")), (second, "second_score", F.col("score")), (second_screens, "second_screen", F.col("status")))
+    rows = [hits.select("lead_id", *[(value if c == own else F.lit(None)).cast(t).alias(c) for c, t in fields.items()]) for hits, own, value in parts]
+    best = reduce(DataFrame.unionByName, rows).groupBy("lead_id").agg(*[F.max(c).alias(c) for c in fields])
+    return cases.join(best, "lead_id", "left")
+
+
 def compliance(cases: DataFrame) -> DataFrame:
     """status, floors and notes: the verdict (review where there is none), then floors in order; a status never softens.
 
     cases: verdict, hq_hit, hq_origin, tld_hit, name_score, short_hit, domain_score, screen_status, screen_reason, screenable,
-    marker. Each floor that acts leaves its name.
+    marker; second_score and second_screen of the second identity where it was looked up. Each floor that acts leaves its name.
     """
+    second_score = F.coalesce("second_score", F.lit(0)) if "second_score" in cases.columns else F.lit(0)
+    second_screen = F.coalesce("second_screen", F.lit("")) if "second_screen" in cases.columns else F.lit("")
+    second_blocked = (second_screen == "blocked_evidence") | (second_score >= policy.NAME_FLOOR)
     steps: list[tuple[str, Column, str]] = [
         ("no_verdict", F.coalesce("verdict", F.lit("")) == "", "review"),
         ("restricted_hq", F.coalesce(F.col("hq_origin") == "prescreen:hq", F.lit(False)), "blocked"),
-        ("near_exact", F.coalesce(F.col("hq_hit").isNotNull(), F.lit(False)) | (F.coalesce("name_score", F.lit(0)) >= policy.NAME_FLOOR), "clear>review"),
+        ("near_exact", F.coalesce(F.col("hq_hit").isNotNull(), F.lit(False)) | (F.greatest(F.coalesce("name_score", F.lit(0)), F.coalesce("domain_score", F.lit(0))) >= policy.NAME_FLOOR), "clear>review"),
         ("abbreviation", F.coalesce("short_hit", F.lit(False)), "clear>review"),
         ("domain", F.coalesce("domain_score", F.lit(0)) >= policy.DOMAIN_FLOOR, "clear>review"),
         ("watchlist_blocked", F.col("screen_status") == "blocked_evidence", "blocked"),
         ("watchlist_review", F.col("screen_status") == "review_evidence", "clear>review"),
+        ("second_blocked", second_blocked, "blocked"),
+        ("second_review", ~second_blocked & ((second_screen == "review_evidence") | (second_score >= policy.CANDIDATE_FLOOR)), "review"),
         ("jurisdiction", ~F.col("screenable"), "clear>review"),
         ("not_screened", (F.col("screen_status") == "skipped") & (F.coalesce("screen_reason", F.lit("")) != "not_configured"), "clear>review"),
     ]

@@ -24,17 +24,19 @@ def domain_readings(host: Column) -> Column:
     return F.array_distinct(F.array(names.normalise_name(F.regexp_replace(label, "-", "")), names.normalise_name(F.regexp_replace(label, "[-.]", " "))))
 
 
-def domain_hits(leads: DataFrame, competitors: DataFrame) -> DataFrame:
+def domain_hits(leads: DataFrame, competitors: DataFrame, generic: tuple[str, ...] = ("cloud", "group", "data", "software", "global")) -> DataFrame:
     """The best score of each lead's website or mail domain against each listed name, from CANDIDATE_FLOOR up.
 
-    Distinct readings are blocked on 3-grams before they are scored.
+    Distinct readings are blocked on 3-grams before they are scored; a weak reading stays below the identity floor.
     """
     hosts = F.array_distinct(F.array_compact(F.array(names.host_of(F.col("website")), F.substring_index("email", "@", -1))))
     ours = leads.select("lead_id", F.explode(hosts).alias("host")).select("lead_id", "host", F.explode(domain_readings(F.col("host"))).alias("reading")).where(F.col("reading") != "")
     theirs = competitors.select("term", names.normalise_name(F.col("term")).alias("listed"))
     grams = lambda c: let(F.regexp_replace(c, " ", ""), lambda b: F.when(F.length(b) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(b) - 2), lambda i: F.substring(b, i, F.lit(3))))).otherwise(F.array(b)))
     pairs = ours.select("reading").distinct().select("reading", F.explode(grams(F.col("reading"))).alias("g")).join(theirs.select("term", "listed", F.explode(grams(F.col("listed"))).alias("g")), "g").select("reading", "term", "listed").distinct()
-    scored = pairs.withColumn("score", F.greatest(fuzzy.fuzz_name("reading", "listed"), fuzzy.fuzz_ratio(F.regexp_replace("reading", " ", ""), F.regexp_replace("listed", " ", "")))).where(F.col("score") >= policy.CANDIDATE_FLOOR)
+    raw = F.greatest(fuzzy.fuzz_name("reading", "listed"), fuzzy.fuzz_ratio(F.regexp_replace("reading", " ", ""), F.regexp_replace("listed", " ", "")))
+    capped = F.when(names.is_weak_name(F.col("reading"), generic), F.least(F.col("raw"), F.lit(float(policy.WEAK_CAP)))).otherwise(F.col("raw"))
+    scored = pairs.withColumn("raw", raw).withColumn("score", capped).where(F.col("score") >= policy.CANDIDATE_FLOOR)
     return ours.join(scored, "reading").groupBy("lead_id", "term", "host").agg(F.max(F.col("score").cast("int")).alias("score"))
 
 

@@ -254,9 +254,24 @@ for _name, _test, _to in _STEPS:
     _DECIDED = f"(SELECT * REPLACE (CASE WHEN {_test} THEN {_to} ELSE status END AS status, CASE WHEN {_test} THEN list_append(fl, '{_name}') ELSE fl END AS fl) FROM {_DECIDED})"
 
 
+def _organisations(leads):
+    return leads.withColumn("organisation", F.when(F.col("lead_id") % 3 == 0, F.concat("company", F.lit(" group"))).when(F.col("lead_id") % 3 == 1, F.col("segment")).otherwise(""))
+
+
+def _watchlist(queries):
+    """The watch list's answer to each query_key and query_name."""
+    topic = F.get(F.array(*map(F.lit, ("sanction", "crime.fin", "gov.soe", "sanction"))), (F.col("query_key") % 4).cast("int"))
+    hit = F.struct(F.lit("id").alias("id"), F.concat("query_name", F.when(F.col("query_key") % 3 == 0, "").otherwise(" trading")).alias("caption"), ((F.col("query_key") % 10) / 10.0).alias("score"), (F.col("query_key") % 10 >= 8).alias("match"), F.when(F.col("query_key") % 6 == 5, "Person").otherwise("Company").alias("schema"), F.array(topic).alias("topics"))
+    return queries.select("query_key", F.when(F.col("query_key") % 13 != 0, F.when(F.col("query_key") % 7 == 0, F.filter(F.array(hit), lambda h: F.lit(False))).otherwise(F.array(hit))).alias("hits"))
+
+
 def _decided(spark, d):
-    cases = _hits(spark, d).withColumns({"name_score": F.lit(0), "short_hit": F.lit(False), "domain_score": F.lit(0)})
-    return decide.compliance(cases)
+    leads, listed = view(spark, d, "leads"), _competitors(spark)
+    second = linkage.second_identities(_organisations(leads))
+    asked = second.select(F.col("lead_id").alias("query_key"), F.col("company").alias("query_name"))
+    screens = linkage.worst_screen(linkage.screen(asked, _watchlist(asked)).withColumnRenamed("query_key", "lead_id"))
+    hits = (identity.competitor_hits(leads, listed), identity.acronym_hits(leads, listed), linkage.domain_hits(leads, listed), identity.competitor_hits(second, listed))
+    return decide.compliance(decide.with_list_hits(_hits(spark, d), *hits, screens))
 
 
 @query("compliance_decision", f"SELECT lead_id, status, status <> 'clear' AS flagged, array_to_string(fl, ',') AS floors, CASE WHEN status = 'clear' AND screen_status = 'skipped' THEN 'not_configured' END AS note FROM {_DECIDED}")
@@ -516,10 +531,7 @@ SELECT o_orderkey AS answer_id, o_custkey AS query_key, o_orderdate AS fetched_a
 @query("watchlist_screen")
 def _(spark, d):
     leads = view(spark, d, "leads").select(F.col("lead_id").alias("query_key"), F.col("company").alias("query_name"))
-    topic = F.get(F.array(*map(F.lit, ("sanction", "crime.fin", "gov.soe", "sanction"))), (F.col("query_key") % 4).cast("int"))
-    hit = F.struct(F.lit("id").alias("id"), F.concat("query_name", F.when(F.col("query_key") % 3 == 0, "").otherwise(" trading")).alias("caption"), ((F.col("query_key") % 10) / 10.0).alias("score"), (F.col("query_key") % 10 >= 8).alias("match"), F.when(F.col("query_key") % 6 == 5, "Person").otherwise("Company").alias("schema"), F.array(topic).alias("topics"))
-    hits = leads.select("query_key", F.when(F.col("query_key") % 13 != 0, F.when(F.col("query_key") % 7 == 0, F.filter(F.array(hit), lambda h: F.lit(False))).otherwise(F.array(hit))).alias("hits"))
-    return linkage.screen(leads, hits)
+    return linkage.screen(leads, _watchlist(leads))
 
 
 @query("screen_inventory", "SELECT answer_id, query_key, country, fetched_at, source, n_results FROM [answers]")
@@ -542,8 +554,7 @@ def _(spark, d):
 
 @query("second_identity", f"SELECT lead_id, organisation AS company, 'second' AS identity_kind FROM (SELECT lead_id, company, CASE WHEN lead_id % 3 = 0 THEN company || ' group' WHEN lead_id % 3 = 1 THEN segment ELSE '' END AS organisation FROM [leads]) WHERE {_NORM('company')} <> '' AND {_NORM('organisation')} <> '' AND {_NORM('company')} <> {_NORM('organisation')}")
 def _(spark, d):
-    organisation = F.when(F.col("lead_id") % 3 == 0, F.concat("company", F.lit(" group"))).when(F.col("lead_id") % 3 == 1, F.col("segment")).otherwise("")
-    return linkage.second_identities(view(spark, d, "leads").withColumn("organisation", organisation))
+    return linkage.second_identities(_organisations(view(spark, d, "leads")))
 
 
 _FAKE = "html || CASE page_id % 4 WHEN 0 THEN '<a href=\"https://boards.greenhouse.io/acme\">' WHEN 1 THEN '<a href=\"https://github.com/features\"><a href=\"https://github.com/acme\"><a href=\"https://github.com/AcMe\">' WHEN 2 THEN 'see jobs.lever.co/beta' ELSE '' END"

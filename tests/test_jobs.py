@@ -4,13 +4,16 @@ import itertools
 import random
 from html import unescape
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from leadloom import policy
 from leadloom.functions import fuzzy, names
 from leadloom.operators import decide, evidence, identity, linkage, mail, pages
+from leadloom.plans import catalogue
 from leadloom.sources import feeds, mail_archive
+from leadloom.sources.views import view
 
 
 def plain_lcs(a, b):
@@ -118,6 +121,49 @@ def test_compliance_never_softens(spark):
             assert r.status == "clear" and (r.note == "not_configured") == (r.screen_reason == "not_configured")
 
 
+def test_compliance_screens_the_second_identity(spark):
+    rows = [(1, "clear", 0, "blocked_evidence", "blocked", "second_blocked"), (2, "clear", 96, "none", "blocked", "second_blocked"), (3, "clear", 85, "skipped", "review", "second_review"), (4, "blocked", 0, "review_evidence", "blocked", "second_review"), (5, "clear", 84, "skipped", "clear", ""), (6, "clear", None, None, "clear", "")]
+    df = spark.createDataFrame(rows, "lead_id int, verdict string, second_score int, second_screen string, want string, floor string")
+    none = {"hq_hit": "string", "hq_origin": "string", "name_score": "int", "short_hit": "boolean", "domain_score": "int", "screen_reason": "string"}
+    df = df.withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"screen_status": F.lit("none"), "screenable": F.lit(True)})
+    assert all((r.status, r.floors) == (r.want, r.floor) for r in decide.compliance(df).collect())
+
+
+def test_a_generic_domain_stays_below_the_identity_floor(spark):
+    leads = spark.createDataFrame([(1, "https://cloud.com", "x@gmail.com"), (2, "https://blue-sky-cloud.com", "x@gmail.com")], "lead_id long, website string, email string")
+    got = {r.lead_id: r.score for r in linkage.domain_hits(leads, spark.createDataFrame([("BlueSky Cloud Inc",)], "term string")).collect()}
+    assert got == {1: policy.WEAK_CAP, 2: 100}
+
+
+def test_decisions_hold_listed_names(spark, sf_dir):
+    """Every lead against all listed names by brute force; leads that no such floor meets are as in the SQL."""
+    leads = view(spark, sf_dir, "leads").select("lead_id", "segment", names.normalise_name(F.col("company")).alias("normal"), names.host_of(F.col("website")).alias("site"), F.substring_index("email", "@", -1).alias("mail")).collect()
+    listed = [c.lower().replace(" inc", "").replace(" holdings", "").replace(" co", "") if not c.startswith("BlueSky") else "bluesky cloud" for c in catalogue.COMPETITORS]
+    score = lambda a: max(max(fuzzy.token_set(a, t), fuzzy.partial(a, t)) for t in listed)
+    domain = lambda h: max(max(score(h.rsplit(".", 1)[0].removesuffix(".co")), *(fuzzy.ratio(h.rsplit(".", 1)[0].removesuffix(".co"), t.replace(" ", "")) for t in listed)), 0)
+    name_scores = {n: score(n) for n in {r.normal for r in leads}}
+    domain_scores = {h: domain(h) for r in leads for h in (r.site, r.mail)}
+
+    con = duckdb.connect()
+    for t in ("customer", "nation", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    plain = {i: (s, f) for i, s, f in con.execute(f"SELECT lead_id, status, floors FROM ({catalogue.ORACLES['compliance_decision']})").fetchall()}
+    got = {r.lead_id: r for r in catalogue.QUERIES["compliance_decision"](spark, sf_dir).collect()}
+    assert len(got) == len(leads) and set(got) == set(plain)
+    met = 0
+    for r in leads:
+        k = r.lead_id
+        hit = name_scores[r.normal] >= policy.NAME_FLOOR or max(domain_scores[r.site], domain_scores[r.mail]) >= policy.DOMAIN_FLOOR
+        asked = k % 3 == 1 and r.segment.lower() != r.normal and k % 13 and k % 7 and k % 6 != 5 and k % 4 != 2
+        blocked, review = asked and k % 10 == 9, asked and 5 <= k % 10 < 9
+        status = "blocked" if plain[k][0] == "blocked" or blocked else "review" if plain[k][0] == "review" or hit or review else "clear"
+        assert got[k].status == status, (k, r)
+        if not (hit or blocked or review):
+            assert got[k].floors == plain[k][1]
+        met += bool(hit and plain[k][0] == "clear")
+    assert met
+
+
 RAW = {
     "plain": b"From: Ann <Ann@Acme.io>\r\nTo: b@x.y\r\nSubject: =?iso-8859-2?q?=E1rv=EDz?=\r\nMessage-ID: <A@B>\r\n\r\nhello\r\n",
     "html": b"From: a@b.c\r\nContent-Type: text/html\r\n\r\n<p>Hi <span style='display: none'>ignore</span></p><script>x</script><a href='https://s.example/x'>l</a>",

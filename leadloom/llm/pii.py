@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Proposals come from regular expressions, whose spans never overlap within a kind. Card numbers must pass Luhn, IBANs the
-mod-97 test, address parts their range. Each span gets a confidence: the kind's own, raised when a context word stands
+mod-97 test at the length of their country, address parts their range. Each span gets a confidence: the kind's own, raised when a context word stands
 within 40 characters. The four base kinds are kept at any confidence; the added kinds (iban, ssn) only from min_score up.
 
 The expressions below start a proposal only at the beginning of a run (or where the previous match ended) and use
@@ -32,6 +32,25 @@ class Kind:
     score: float
     context: str  # a pattern over lower-cased text
     base: bool = True
+    group: int = 0  # the group with the candidate, where the match is only its beginning, so that candidates may overlap
+
+
+#: Country codes by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """The first four characters of a candidate, and in group 1 the whole one: as long as its country says; other codes take the longest run."""
+    forms, known = [], "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    for n, codes in IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        forms.append(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""))
+    forms.append(rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join(forms)})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
 
 
 KINDS = (
@@ -39,7 +58,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", 0.6, r"\bip\b|address|host|server|client"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+", r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", 0.7, "card|visa|credit|payment|debit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, r"phone|call|tel\b|mobile|fax|whatsapp"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.6, "iban|bank|account|konto|compte|cuenta", base=False),
+    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}", 0.6, "iban|bank|account|konto|compte|cuenta", base=False, group=1),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]", 0.3, r"\bssn\b|social security|national id", base=False),
 )
 
@@ -74,23 +93,29 @@ def confirmed(kind: str, match: Column) -> Column:
 
 
 def spans_of(text: Column, kind: Kind, context_chars: int, bonus: float, min_score: float) -> Column:
-    """Confirmed spans of one kind. A match starts where the gaps and matches before it end."""
+    """Confirmed spans of one kind. A match starts where the gaps and matches before it end; of overlapping candidates the first confirmed one counts."""
     gap_lengths = F.transform(F.split(text, kind.pattern, -1), F.length)
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
+    whole = "whole" if kind.group else "match"
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
+        span = F.struct(start.alias("start"), (start + F.length(x[whole])).alias("end"), x[whole].alias("match"))
+        counts = confirmed(kind.name, x[whole])
+        if kind.group:
+            counts = (start >= F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["end"], F.lit(0))) & counts
         return F.struct(
             end.cast("int").alias("at"),
-            F.when(confirmed(kind.name, x["match"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
+            F.when(counts, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
         )
 
+    wholes = [F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)).alias("w")] if kind.group else []
     zipped = let(
-        F.struct(gap_lengths.alias("g"), matches.alias("m")),
-        lambda z: F.arrays_zip(F.slice(z["g"], F.lit(1), F.size(z["m"])).alias("gap"), z["m"].alias("match")),
+        F.struct(gap_lengths.alias("g"), matches.alias("m"), *wholes),
+        lambda z: F.arrays_zip(F.slice(z["g"], F.lit(1), F.size(z["m"])).alias("gap"), z["m"].alias("match"), *[z["w"].alias("whole") for _ in wholes]),
     )
     found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
 

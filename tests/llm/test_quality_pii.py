@@ -64,6 +64,20 @@ def test_pii_on_edge_texts(edge):
     assert added == {("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("ssn", "123-45-6789")}
 
 
+def test_words_beside_an_iban_never_decide(spark):
+    texts = [
+        ("ES9121000418450200051332", " GRACIAS"), ("BE68539007547034", " 2024-05-01"), ("BE68539007547034", " EUR"), ("AT611904300234573201", " BANK"), ("PL61 1090 1014 0000 0712 1981 2874", " ABCD"),
+        ("SE4550000000058398257466", " KR 12"), ("CZ6508000000192000145399", " X"), ("HU42 1177 3016 1111 1018 0000 0000", " HUF."), ("NO9386011117947", " NOK"), ("DE89 3704 0044 0532 0130 00", " BIC"),
+    ]
+    rows = [(i, f"pay {x}{after}", x) for i, (x, after) in enumerate(texts)]
+    rows += [(100, "to ES91 2100 0418 DE89 3704 0044 0532 0130 00 EUR", "DE89 3704 0044 0532 0130 00"), (101, "BE68539007547034 BE68539007547034", "BE68539007547034"), (102, "BE68539007547034EUR BE68539007547035 BANK", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    for r in find_pii(docs).collect():
+        assert {r.text[s.start : s.end] for s in r.pii if s.kind == "iban"} == ({r.want} if r.want else set()), r.text
+    got = {r.doc_id: r.text for r in redact_pii(find_pii(docs)).collect()}
+    assert all(got[i] == f"pay [IBAN]{after}" for i, (_, after) in enumerate(texts)) and got[101] == "[IBAN] [IBAN]"
+
+
 def test_redaction(edge):
     got = {r.doc_id: r.text for r in redact_pii(find_pii(edge)).where("doc_id in (1, 2, 9, 14)").collect()}
     assert got == {1: None, 2: "", 9: "[PHONE] ++49 17 +1-", 14: "[EMAIL] [IP] ü".replace("[EMAIL]", "é@x.yz", 1) if not base_spans("é@x.yz") else got[14]}

@@ -86,12 +86,22 @@ def acronym_hits(leads: DataFrame, competitors: DataFrame) -> DataFrame:
 def registry_match(leads: DataFrame, records: DataFrame) -> DataFrame:
     """The first accepted registry record of each lead: position, legal_name, status, country; leads carry hq (may be null).
 
-    Blocked on the first word of the normal name, scored by sorted words, active only; a known country must agree.
+    Scored by sorted words, active only; a known country must agree. Distinct names are blocked on grams of their sorted words:
+    at this bound two names of more than 16 letters together share a 3-gram, others a 2-gram (then neither has more than 9) or all.
     """
-    block = lambda c: F.split(names.normalise_name(F.col(c)), " ")[0]
-    pairs = leads.withColumn("_b", block("company")).join(records.withColumn("_b", block("legal_name")), "_b")
-    scored = pairs.withColumn("score", fuzzy.fuzz_token_sort(names.normalise_name(F.col("company")), names.normalise_name(F.col("legal_name"))))
+    key = lambda c: F.array_join(F.array_sort(F.array_remove(F.split(names.normalise_name(F.col(c)), " "), "")), " ")
+
+    def grams(c: str) -> Column:
+        runs = lambda q: F.when(F.length(c) >= q, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.array(F.col(c)), runs(3), F.when(F.length(c) <= 9, runs(2)).otherwise(F.array().cast("array<string>"))))
+
+    leads, records = leads.withColumn("_ours", key("company")), records.where(F.col("status") == "ACTIVE").withColumn("_theirs", key("legal_name"))
+    blocks = lambda rows, c: rows.select(c).where(F.col(c).isNotNull()).distinct().select(c, F.explode(grams(c)).alias("gram"))
+    near = F.least(F.length("_ours"), F.length("_theirs")) * 200 >= (F.length("_ours") + F.length("_theirs")) * 85
+    pairs = blocks(leads, "_ours").join(blocks(records, "_theirs"), "gram").where(near).select("_ours", "_theirs").distinct()
+    close = pairs.withColumn("score", fuzzy.fuzz_token_sort("_ours", "_theirs")).where(F.col("score") >= 85)
+    scored = leads.join(close, "_ours").join(records, "_theirs")
     known = F.col("hq").isNotNull() & (F.col("hq") != "")
-    accepted = scored.where((F.col("score") >= 85) & (F.col("status") == "ACTIVE") & (~known | (F.col("hq") == F.col("country"))))
+    accepted = scored.where(~known | (F.col("hq") == F.col("country")))
     first = F.row_number().over(Window.partitionBy("lead_id").orderBy("position"))
     return accepted.withColumn("_r", first).where("_r = 1").select("lead_id", "position", "legal_name", F.when(known, "STRONG").otherwise("WEAK").alias("strength"), F.col("score").cast("int").alias("score"))

@@ -91,6 +91,28 @@ def test_registry_match_needs_name_activity_and_country(spark):
     assert got == {1: (2, "STRONG"), 2: (1, "WEAK")}
 
 
+def test_registry_match_loses_no_close_name(spark):
+    rng = random.Random(6)
+    words = ["old", "cold", "bolt", "widget", "anvil", "a", "io", "nova", "terra", "harbour", "x1"]
+
+    def slip(s):
+        i = rng.randrange(len(s) + 1)
+        return rng.choice([s, s[:i] + rng.choice("abz") + s[i:], s[:i] + s[i + 1 :], " ".join(reversed(s.split()))])
+
+    made = [" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(70)]
+    ours = ["old bolt", "olt bold", "widget old", "Inc", *made]
+    theirs = ["cold bolt", "cold widget", "bolt old", *[slip(s) for s in made], *[slip(slip(s)) for s in made]]
+    leads = spark.createDataFrame([(i, s, None) for i, s in enumerate(ours)], "lead_id long, company string, hq string")
+    records = spark.createDataFrame([(i, s, "LAPSED" if i % 5 == 4 else "ACTIVE", "DE") for i, s in enumerate(theirs)], "position int, legal_name string, status string, country string")
+    plain = lambda rows, c: dict(rows.select(c, names.normalise_name(F.col(c)).alias("n")).distinct().collect())
+    a, b = plain(leads, "company"), plain(records, "legal_name")
+    want = {}
+    for i, s in enumerate(ours):
+        found = [p for p, t in enumerate(theirs) if p % 5 != 4 and fuzzy.token_sort(a[s], b[t]) >= 85]
+        want |= {i: found[0]} if found else {}
+    assert {r.lead_id: r.position for r in identity.registry_match(leads, records).collect()} == want and want[0] == 0
+
+
 def test_duplicate_evidence_never_changes_a_state_and_more_never_lowers_it(spark):
     rng = random.Random(9)
     order = ["UNKNOWN", "EDGE_ONLY", "POSSIBLE", "LIKELY", "CONFIRMED"]

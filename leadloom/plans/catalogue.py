@@ -719,7 +719,7 @@ def _(spark, d):
     stream, root = _stream(spark, view(spark, d, "messages"))
     keyed = stream.withColumns({"key": F.coalesce("message_id", F.col("doc_id").cast("string")), "status": F.lit("processed")})
     claims.drain(claims.claims(keyed, "key"), f"{root}/c", path=f"{root}/out")
-    return spark.read.schema(claims.CLAIM).parquet(f"{root}/out").select("doc_id", "outcome")
+    return claims.last_revisions(spark.read.schema(claims.CLAIM).parquet(f"{root}/out")).select("doc_id", "outcome")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
@@ -742,12 +742,12 @@ def _(spark, d):
 def _(spark, d):
     stream, root = _stream(spark, view(spark, d, "leads"))
     claims.drain(stream.select("segment", "lead_id"), f"{root}/c", writer=claims.upsert(f"{root}/out", "segment", "lead_id"))
-    return spark.read.parquet(f"{root}/out/v0").select("segment", "lead_id")
+    return claims.newest(spark, f"{root}/out").select("segment", "lead_id")
 
 
 @query("stream_cache", "SELECT query_key, max(fetched_at) AS fetched_at FROM [answers] WHERE n_results > 0 GROUP BY query_key")
 def _(spark, d):
     stream, root = _stream(spark, view(spark, d, "answers"))
-    rows = claims.live_answers(stream, "query_key", "fetched_at", "30 days")
-    claims.drain(rows, f"{root}/c", writer=lambda batch, epoch: batch.write.parquet(f"{root}/out/{epoch}"), mode="update")
+    rows = claims.live_answers(stream, "query_key", "fetched_at")
+    claims.drain(rows, f"{root}/c", writer=lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{root}/out/{epoch}"), mode="update")
     return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/out").groupBy("query_key").agg(F.max("fetched_at").cast("timestamp_ntz").alias("fetched_at"))

@@ -1,7 +1,8 @@
-"""Streams of messages: idempotent claims, near-window deduplication, upserts, bounded polls, answers with a lifetime."""
+"""Streams of messages: idempotent claims, near-window deduplication, upserts, bounded polls, newest answers."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,40 +11,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CLAIM = "doc_id long, claimed_at long, outcome string, duplicate_of long, attempts int"
+CLAIM = "doc_id long, claimed_at long, outcome string, duplicate_of long, attempts int, claim_key string, seq long, revision long"
+
+
+def _decide(messages: list[list], stale_s: int, max_attempts: int) -> list[list]:
+    """outcome, duplicate_of and attempts of a key's messages (doc_id, claimed_at, status), which are in order."""
+    winner, since, status, attempts, out = None, 0, "", 0, []
+    for doc_id, at, now in messages:
+        free = winner is None or (status == "failed" and attempts < max_attempts) or (status == "claimed" and at - since > stale_s and attempts < max_attempts)
+        if free:
+            outcome = "claimed" if winner is None else "taken_over"
+            winner, since, status, attempts = doc_id, at, now, attempts + 1
+            if status == "failed" and attempts >= max_attempts:
+                status = outcome = "dead_letter"
+            out.append([outcome, None, attempts])
+        else:
+            out.append(["duplicate", winner, attempts])
+    return out
 
 
 def claims(messages: DataFrame, key: str, lifetime_ms: int | None = None, stale_s: int = 900, max_attempts: int = 3) -> DataFrame:
     """One winner per key: the first message claims it, later ones are duplicates; a failed or stale claim is taken over.
 
-    messages: doc_id, claimed_at, status and the key. State per key: the winner, its time, status and attempts; it is dropped
-    after lifetime_ms of processing time without a message, or never. A claim that fails max_attempts times is dead.
+    messages: doc_id, claimed_at, status and the key. First is who claimed first, in whatever batch it comes: the state holds a
+    key's messages and their outcomes, and a message that comes after later ones decides them anew. Such changes leave as further
+    rows of the same claim_key and seq with a higher revision; last_revisions reads them. State is dropped after lifetime_ms of
+    processing time without a message, or never. A claim that fails max_attempts times is dead.
     """
 
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        winner, since, status, attempts = state.get if state.exists else (None, 0, "", 0)
+        known, revision = (json.loads(state.get[0]), state.get[1] + 1) if state.exists else ([], 0)
         rows = pd.concat(list(batches)).sort_values(["claimed_at", "doc_id"])
+        came = zip(rows["doc_id"].tolist(), rows["claimed_at"].tolist(), rows["status"].tolist(), strict=True)
+        known = sorted([*known, *([d, at, now, len(known) + n, None] for n, (d, at, now) in enumerate(came))], key=lambda m: (m[1], m[0], m[3]))
         out = []
-        for doc_id, at, now in zip(rows["doc_id"].tolist(), rows["claimed_at"].tolist(), rows["status"].tolist(), strict=True):
-            free = winner is None or (status == "failed" and attempts < max_attempts) or (status == "claimed" and at - since > stale_s and attempts < max_attempts)
-            if free:
-                outcome = "claimed" if winner is None else "taken_over"
-                winner, since, status, attempts = doc_id, at, now, attempts + 1
-                if status == "failed" and attempts >= max_attempts:
-                    status = outcome = "dead_letter"
-                out.append((doc_id, at, outcome, None, attempts))
-            else:
-                out.append((doc_id, at, "duplicate", winner, attempts))
-        state.update((winner, since, status, attempts))
+        for m, decided in zip(known, _decide([m[:3] for m in known], stale_s, max_attempts), strict=True):
+            if m[4] != decided:
+                m[4] = decided
+                out.append((m[0], m[1], *decided, str(group[0]), m[3], revision))
+        state.update((json.dumps(known), revision))
         if lifetime_ms:
             state.setTimeoutDuration(lifetime_ms)
-        yield pd.DataFrame(out, columns=["doc_id", "claimed_at", "outcome", "duplicate_of", "attempts"]).astype({"duplicate_of": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "claimed_at", "outcome", "duplicate_of", "attempts", "claim_key", "seq", "revision"]).astype({"duplicate_of": "Int64"})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if lifetime_ms else GroupStateTimeout.NoTimeout
-    return messages.groupBy(key).applyInPandasWithState(step, CLAIM, "winner long, since long, status string, attempts int", "append", timeout)
+    return messages.groupBy(key).applyInPandasWithState(step, CLAIM, "messages string, revision long", "append", timeout)
+
+
+def last_revisions(decided: DataFrame) -> DataFrame:
+    """The last row of each message among those that claims wrote (without a lifetime)."""
+    last = F.max_by(F.struct("doc_id", "claimed_at", "outcome", "duplicate_of", "attempts"), "revision")
+    return decided.groupBy("claim_key", "seq").agg(last.alias("m")).select("m.*")
 
 
 def near_window(messages: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
@@ -52,22 +73,25 @@ def near_window(messages: DataFrame, key: str, time: str, delay: str = "1 hour")
 
 
 def upsert(path: str, key: str, order: str):
-    """A foreachBatch writer that keeps the last row by key in a Parquet table; versions alternate, so readers see whole ones."""
+    """A foreachBatch writer that keeps the last row by key in a Parquet table, a version per batch; newest reads the last whole one."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/v{epoch}"
-        try:
-            old = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else None
-        except Exception:  # noqa: BLE001  no version before this one
-            old = None
-        rows = batch if old is None else old.unionByName(batch)
+        rows = batch.sparkSession.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch) if epoch else batch
         last = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-        rows.withColumn("_r", last).where("_r = 1").drop("_r").write.mode("overwrite").parquet(target)
+        rows.withColumn("_r", last).where("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return write
 
 
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The last version that upsert wrote to its end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{path}/v{max(whole)}")
+
+
 def poll(spark: SparkSession, path: str, schema: str, per_pass: int = 25) -> DataFrame:
     """A folder of message files, per_pass of them in a batch; the checkpoint acknowledges a file once its batch is written."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_pass).parquet(path)
@@ -86,7 +110,8 @@ def drain(stream: DataFrame, checkpoint: str, name: str | None = None, writer=No
     return query
 
 
-def live_answers(answers: DataFrame, key: str, time: str, lifetime: str = "30 days") -> DataFrame:
-    """The newest answer of each key as a stream of updates; empty answers are never kept; old keys leave with the watermark."""
-    kept = answers.where(F.coalesce(F.col("n_results"), F.lit(0)) > 0).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lifetime)
-    return kept.groupBy(F.window(time, lifetime), key).agg(F.max_by("answer_id", time).alias("answer_id"), F.max(time).alias(time))
+def live_answers(answers: DataFrame, key: str, time: str) -> DataFrame:
+    """The newest answer of each key as a stream of updates; empty answers are never kept. One state row per key; no answer is too
+    late, and how old one may be is decided where it is read (decide.screen_freshness)."""
+    kept = answers.where(F.coalesce(F.col("n_results"), F.lit(0)) > 0)
+    return kept.groupBy(key).agg(F.max_by("answer_id", F.struct(time, "answer_id")).alias("answer_id"), F.max(time).alias(time))

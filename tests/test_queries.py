@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.plans import catalogue
+from leadloom.streaming import claims
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -41,6 +43,27 @@ def test_query_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
+@pytest.mark.parametrize("name", ["stream_tracker", "stream_cache", "stream_claims"])
+def test_streams_over_many_batches(spark, duck, sf_dir, name, monkeypatch):
+    """One file a batch, the latest rows first."""
+    poll, stream = claims.poll, catalogue._stream
+    order = {"stream_tracker": "lead_id", "stream_cache": "fetched_at", "stream_claims": "claimed_at"}[name]
+
+    def written(session, rows):
+        source, root = stream(session, rows.limit(0))
+        parts = rows.repartitionByRange(3, F.col(order).desc()).withColumn("_p", F.spark_partition_id()).persist()
+        for p in range(3):
+            parts.where(F.col("_p") == p).drop("_p").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        return source, root
+
+    monkeypatch.setattr(claims, "poll", lambda session, path, schema, per_pass=1: poll(session, path, schema, 1))
+    monkeypatch.setattr(catalogue, "_stream", written)
+    got = catalogue.QUERIES[name](spark, sf_dir)
+    cursor = duck.execute(catalogue.ORACLES[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(v) for v in r) for r in cursor.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -6,17 +6,21 @@ blocks; the flow cuts the line into stretches, and rows follow the stretch in wh
 from sums per (old shard, block) and running sums inside a block, so no task ever holds a whole shard.
 
 Defined results: a null text has no bytes (size 1 with the separator); a null doc_id is placed like any other value;
-repeated rows are placed one by one; an empty table gives no rows; other columns are not read.
+repeated rows are placed one by one; an empty table gives no rows; other columns travel along, save those named shard or slot.
+
+The shards that lose or gain rows are then written anew, whole, and the others stay as they are. Rows are known by their place in
+the first copy, never by doc_id; their text is shuffled once.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm._common import materialize
+from leadloom.llm._common import materialize, shared_dir
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -80,17 +84,20 @@ def transfers(old_sizes: dict[int, int], capacities: list[int]) -> list[tuple[in
 def reshard(
     docs: DataFrame, old: Column, n_new: int, n_old: int, doc_id: str = "doc_id", text: str = "text", rows_per_block: int = 16384,
 ) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """Each row's doc_id, size, text_crc32, old and new shard and slot; and the transfers that the flow chose.
+    """Each row's doc_id, size, text_crc32, old and new shard, slot and the row itself; and the transfers that the flow chose.
 
     old: the row's old shard, 0 to n_old - 1. The new shards get equal bytes, up to one row at each cut.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     sized = materialize(
         docs.select(
-            F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), old.cast("int").alias("old")
+            F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), old.cast("int").alias("old"),
+            F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("row"),
         ),
         "sized",
     )
+    place = (F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    rows, sized = sized.select("row", *place), sized.select("doc_id", "size", "text_crc32", "old", *place)
     blocks = max(1, -(-sized.count() // rows_per_block))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
     sums = materialize(sized.groupBy("old", "block").agg(F.sum("size").alias("bytes")), "sums")
@@ -117,20 +124,34 @@ def reshard(
     firsts = materialize(counts.select("shard", "old", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")), "firsts")
     rank = F.row_number().over(Window.partitionBy("old", "block", "shard").orderBy("begin", "doc_id")) - 1
     slotted = placed.withColumn("_rank", rank).join(firsts, ["shard", "old", "block"])
-    return slotted.select("doc_id", "size", "text_crc32", "old", "shard", (F.col("first") + F.col("_rank")).cast("long").alias("slot")), cuts
+    slotted = slotted.select("doc_id", "size", "text_crc32", "old", "shard", (F.col("first") + F.col("_rank")).cast("long").alias("slot"), "_file", "_at")
+    return slotted.join(rows, ["_file", "_at"]).drop("_file", "_at"), cuts
 
 
-def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str, n_new: int, doc_id: str = "doc_id") -> DataFrame:
-    """Writes the rows that leave their home shard to path/shard=N; files of rows that stay need no rewriting."""
-    moved = assigned.where(F.col("old") % n_new != F.col("shard")).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"))
-    joined = docs.join(moved.dropDuplicates(["_id"]), F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id").withColumnRenamed("_shard", "shard")
-    joined.write.partitionBy("shard").parquet(path)
+def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str, n_new: int) -> DataFrame:
+    """Writes the rows of docs that leave their home shard to path/shard=N, each as often as it is assigned there."""
+    moved = assigned.where(F.col("old") % n_new != F.col("shard"))
+    moved.select(*[F.col("row")[c].alias(c) for c in docs.columns], "shard").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def rewrite_shards(assigned: DataFrame, cuts: list[tuple[int, int, int, int]], path: str, n_new: int) -> DataFrame:
+    """The new table: the shards that lose or gain rows as written to path/shard=N, without the rows they lose and with those they
+    gain, and the other shards as they are. Columns of the rows, shard and slot."""
+    affected = sorted({k for o, _, _, j in cuts if o % n_new != j for k in (o % n_new, j)})
+    table = assigned.select("row.*", "slot", "shard")
+    if not affected:
+        return table
+    table.where(F.col("shard").isin(affected)).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    written = assigned.sparkSession.read.schema(table.schema).parquet(path)
+    return written if len(affected) == n_new else written.unionByName(table.where(~F.col("shard").isin(affected)))
+
+
 def op6_resharding(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # the table's files are its old shards, held as eight nodes
     old = F.pmod(F.xxhash64(F.col("_metadata.file_name")), F.lit(shards))
-    assigned, _ = reshard(docs, old, shards, shards)
-    return assigned.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    assigned, cuts = reshard(docs, old, shards, shards)
+    table = rewrite_shards(assigned, cuts, f"{shared_dir(spark)}/leadloom/shards-{uuid.uuid4().hex}", shards)
+    body = F.coalesce("text", F.lit(""))
+    return table.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -271,3 +271,18 @@ def test_toxicity_edges(spark, edge):
     assert len(rows) == len(EDGE) and {r.predicted for r in rows} == {0}
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (4, 1), (4, 1)], "doc_id long, toxic int")
     assert toxicity.score_documents(edge, edge.select("doc_id", "text"), labels).count() == len(EDGE)
+
+
+def test_rewritten_shards_hold_every_row_once(spark, edge, tmp_path):
+    docs = edge.unionByName(edge).unionByName(edge.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    for n_old, n_new, old in ((3, 4, F.pmod(F.hash("source", "doc_id"), F.lit(3))), (4, 4, F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1)), (1, 1, F.lit(0))):
+        assigned, cuts = resharding.reshard(docs, old, n_new, n_old)
+        table = resharding.rewrite_shards(assigned, cuts, str(tmp_path / f"{n_old}-{n_new}"), n_new)
+        key = lambda r: repr([r[c] for c in docs.columns])
+        rows = table.collect()
+        assert sorted(map(key, rows)) == sorted(map(key, docs.collect()))
+        assert sorted((r.shard, r.slot) for r in rows) == sorted((r.shard, r.slot) for r in assigned.collect())
+        assert len({(r.shard, r.slot) for r in rows}) == len(rows)
+    assigned, cuts = resharding.reshard(docs, F.lit(0), 4, 1)
+    moved = resharding.rewrite_affected(docs, assigned, str(tmp_path / "moved"), 4)
+    assert moved.count() == assigned.where("shard <> 0").count()

@@ -32,6 +32,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class KeyFilter:
+    """Which rows may hold one of some keys: one bit a key, hashed, in a table of 2^24 bits at most that is broadcast.
+
+    The number of bits follows the number of keys; where there are more keys than bits, more rows pass, and none is lost.
+    """
+
+    def __init__(self, keys: DataFrame, most_bits: int = 24):
+        self.log = min(max((8 * keys.count()).bit_length(), 16), most_bits)
+        bucket = self._bucket(F.xxhash64(*keys.columns))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bucket").bitwiseAND(63).cast("int"))
+        words = keys.select(bucket.alias("bucket")).groupBy(F.shiftright("bucket", 6).alias("filter_word"))
+        self.table = F.broadcast(words.agg(F.bit_or(one).alias("filter_bits")))
+
+    def _bucket(self, hashed: Column) -> Column:
+        return F.shiftrightunsigned(hashed, 64 - self.log)
+
+    def passing(self, df: DataFrame, *key: Column) -> DataFrame:
+        """Rows of df (no column of which is named filter_word or filter_bits) whose key may be among the keys."""
+        bucket = self._bucket(F.xxhash64(*key))
+        hit = F.call_function("shiftright", F.col("filter_bits"), bucket.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        return df.join(self.table, (F.shiftright(bucket, 6) == F.col("filter_word")) & hit).select(*df.columns)
+
+    def missing(self, df: DataFrame, *key: Column) -> DataFrame:
+        """The other rows."""
+        bucket = self._bucket(F.xxhash64(*key))
+        hit = F.call_function("shiftright", F.col("filter_bits"), bucket.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        return df.join(self.table, (F.shiftright(bucket, 6) == F.col("filter_word")) & hit, "left_anti")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value once inside an expression, so that the optimizer cannot inline it into a lambda."""
     return F.transform(F.array(value), lambda x: body(x))[0]

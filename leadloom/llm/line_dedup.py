@@ -2,98 +2,82 @@
 
 A line is the set of its distinct 5-word shingles (a shorter line is one shingle). Lines of the same set are collapsed first.
 Tokens are ordered by rarity: counts of all shingles in a table of fixed size, then the hash. Two lines within the threshold
-share a token of their prefixes in this order; the pairs that do pass the length and positional filters and are verified on
-whole sets. A line is removed when an earlier one (by doc_id, then line number) is of the same set or within the threshold.
+share a token so early in this order that the rest of either line still holds the overlap they need; pairs of such tokens
+are verified on whole sets. A line is removed when an earlier one (by doc_id, then line number) is of the same set or within
+the threshold.
 
-Candidates are verified in two rounds: each line against the earliest line of every token it shares; then the lines that
-found no match, against all earlier lines of those tokens. A large family of near copies thus costs pairs in proportion to
+Candidates are verified in two rounds: each line against the earliest line it shares most tokens with; then the lines that
+found no match, against all earlier lines of their tokens. A large family of near copies thus costs pairs in proportion to
 its lines. Everything is DataFrame expressions: no Python runs on the executors.
 
 Defined results: null texts stay null; lines without words are never removed; rows with a null doc_id take no part and stay
 whole; rows that repeat a doc_id count as one document and keep the same line numbers; an empty table stays empty; extra
-columns are carried through, save n_lines and n_removed, which are replaced.
+columns are carried through whatever their names, save n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm._common import documents, let, materialize, shingles
+from leadloom.llm._common import KeyFilter, documents, let, materialize
 
-#: Bits of the rarity table and of the filter that picks the documents to read again: fixed sizes, whatever the input.
-RARITY_BITS, FILTER_BITS = 16, 19
+#: Bits of the rarity table, a fixed size whatever the input. Beyond some 10^9 shingles its counters even out: then more pairs
+#: are compared, and the result stays the same.
+RARITY_BITS = 16
 
 
-def tokens_of(line: Column, k: int) -> Column:
-    """Distinct shingle hashes of a line."""
+def line_shingles(line: Column, k: int) -> Column:
+    """Hashes of the k-word windows of a line that has words, repeats included; with fewer words the whole line as one."""
     plain = F.when(line.rlike("[\t\x0b\f\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
-    return F.array_distinct(shingles(F.array_remove(F.split(plain, " "), ""), k))
+    hashes = F.transform(F.array_remove(F.split(plain, " "), ""), lambda word: F.xxhash64(word))
 
+    def windows(h: Column) -> Column:
+        each = F.transform(F.slice(h, F.lit(1), F.size(h) - (k - 1)), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
+        return F.when(F.size(h) >= k, each).otherwise(F.array(F.xxhash64(h)))
 
-def lines_of(docs: DataFrame, k: int, only: Column | None = None) -> DataFrame:
-    """doc_id, line_no (from 0) and tokens of the lines that have any; of the lines that pass a filter alone."""
-    each = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    if only is not None:
-        each = each.where(only)
-    return each.select("doc_id", "line_no", tokens_of(F.col("line"), k).alias("tokens")).where(F.size("tokens") > 0)
+    return let(hashes, windows)
 
 
-def byte_at(table: bytes, index: Column) -> Column:
-    """A byte below 128 of a constant table."""
-    return F.ascii(F.substring(F.lit(table), index.cast("int") + 1, 1).cast("string"))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0) and line, of the lines with words."""
+    each = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.where(F.col("line").rlike(r"[^\x20\t\x0b\f\r]"))
 
 
-def rarity_table(lines: DataFrame) -> bytes:
-    """The binary logarithm of how often the tokens of each of 2^RARITY_BITS buckets occur in all lines."""
+def rarity_table(lines: DataFrame, k: int) -> Column:
+    """An array of constants: the binary logarithm of how often the shingles of each of 2^RARITY_BITS buckets occur in all lines."""
     bucket = F.shiftrightunsigned("token", 64 - RARITY_BITS)
-    counts = lines.select(F.explode("tokens").alias("token")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    table = np.zeros(1 << RARITY_BITS, dtype=np.uint8)
+    counts = lines.select(F.explode(line_shingles(F.col("line"), k)).alias("token")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    table = np.zeros(1 << RARITY_BITS, dtype=np.int64)
     if counts.num_rows:
-        table[counts["bucket"].to_numpy()] = np.log2(counts["n"].to_numpy()).astype(np.uint8) + 1
-    return table.tobytes()
+        table[counts["bucket"].to_numpy()] = np.log2(counts["n"].to_numpy()).astype(np.int64) + 1
+    return F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")
 
 
-def by_rarity(tokens: Column, table: bytes) -> Column:
+def by_rarity(tokens: Column, table: Column) -> Column:
     """Tokens as numbers whose order is rarity, then hash: seven bits of rarity and 56 of the hash."""
-    packed = F.transform(
-        tokens,
-        lambda h: F.shiftleft(byte_at(table, F.shiftrightunsigned(h, 64 - RARITY_BITS)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)),
-    )
-    return F.array_sort(packed)
-
-
-def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Column:
-    """Whether a row's key (the columns of keys) may be among keys: one bit per bucket, four bits per byte."""
-    bucket = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << bits))
-    one = lambda b: F.call_function("shiftleft", F.lit(1), b.bitwiseAND(3).cast("int"))
-    filled = keys.select(bucket.alias("b")).groupBy(F.shiftright("b", 2).alias("byte")).agg(F.bit_or(one(F.col("b"))).alias("bits")).toArrow()
-    table = np.full(1 << (bits - 2), 64, dtype=np.uint8)
-    if filled.num_rows:
-        table[filled["byte"].to_numpy()] += filled["bits"].to_numpy().astype(np.uint8)
-    return byte_at(table.tobytes(), F.shiftright(bucket, 2)).bitwiseAND(one(bucket)) != 0
+    rarity = lambda h: F.get(table, F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int"))
+    return F.sort_array(F.transform(F.array_distinct(tokens), lambda h: F.coalesce(F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)), h)))
 
 
 def possible(percent: int, n: Column, pos: Column, m: Column, qos: Column) -> Column:
-    """Length and positional filters: whether these positions in these prefixes still allow the threshold."""
-    most = F.least(pos, qos) + 1 + F.least(n - pos - 1, m - qos - 1)
-    return (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
+    """Length and positional filter: whether lines of n and m tokens reach the threshold if what they share begins here.
 
-
-def enough(percent: int, common: Column, n: Column, m: Column) -> Column:
-    """Whether so many shared prefix tokens allow the threshold: beyond them, at most one whole suffix is shared."""
-    suffix = lambda size: F.ceil(size * percent / 100).cast("int") - 1
-    return (common + F.greatest(suffix(n), suffix(m))) * (100 + percent) >= percent * (n + m)
+    It holds for the first token that two matching lines share, so it may be asked of every token by itself.
+    """
+    need = percent * (n + m)
+    return ((n - pos) * (100 + percent) >= need) & ((m - qos) * (100 + percent) >= need)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (xd, xl, yd, yl and sizes n, m; a row for each shared token) the lines xd, xl that reach the threshold with a partner."""
-    pairs = pairs.groupBy("xd", "xl", "yd", "yl", "n", "m").agg(F.count(F.lit(1)).alias("common"))
-    pairs = materialize(pairs.where(enough(percent, F.col("common"), F.col("n"), F.col("m"))).select("xd", "xl", "yd", "yl"), "pairs")
-    ends = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct()
-    ends = materialize(ends, "ends")
-    sets = lines_of(docs.where(key_filter(ends.select("doc_id"))), k, key_filter(ends)).join(ends, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
+    """Of distinct pairs (xd, xl, yd, yl) the lines xd, xl, as doc_id and line_no, that reach the threshold with a partner."""
+    pairs = materialize(pairs, "pairs")
+    ends = materialize(pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct(), "ends")
+    held = KeyFilter(ends.select("doc_id").distinct()).passing(docs, F.col("doc_id"))
+    found = KeyFilter(ends).passing(lines_of(held), F.col("doc_id"), F.col("line_no")).join(ends, ["doc_id", "line_no"], "left_semi")
+    sets = found.dropDuplicates(["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(line_shingles(F.col("line"), k)).alias("tokens"))
     sets = materialize(sets, "lines")
     one, two = (sets.select(F.col("doc_id").alias(f"{s}d"), F.col("line_no").alias(f"{s}l"), F.col("tokens").alias(f"{s}t")) for s in "xy")
     both = pairs.join(one, ["xd", "xl"]).join(two, ["yd", "yl"])
@@ -101,68 +85,63 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.where(100 * same >= percent * (F.size("xt") + F.size("yt") - same)).select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).distinct()
 
 
-def kept_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id and line_no of the lines with words that stay."""
-    lines = lines_of(docs, k)
-    table = rarity_table(lines)
+def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id and gone, the numbers of its lines that an earlier line stands for; only documents that lose a line."""
+    each = lines_of(docs)
+    table = rarity_table(each, k)
     n = F.size("ordered")
-    ordered = lines.select("doc_id", "line_no", by_rarity(F.col("tokens"), table).alias("ordered")).select(
-        "doc_id", "line_no", n.alias("n"), F.xxhash64("ordered").alias("s1"), F.hash("ordered").alias("s2"), F.slice("ordered", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix")
+    lines = materialize(
+        each.select("doc_id", "line_no", by_rarity(line_shingles(F.col("line"), k), table).alias("ordered")).select(
+            "doc_id", "line_no", n.alias("n"), F.xxhash64("ordered").alias("s1"), F.hash("ordered").alias("s2"), F.slice("ordered", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix")
+        ),
+        "lines",
     )
     # the earliest line of each set stands for it
-    classes = materialize(ordered.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "line_no", "prefix")).alias("first")).select("n", "first.*"), "sets")
-    block = Window.partitionBy("token")
-    here = F.struct("doc_id", "line_no", "n", "pos")
-    shared = materialize(
-        classes.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
-        .withColumns({"lead": F.min(here).over(block), "last": F.max(here).over(block)})
-        .where(F.col("lead") != F.col("last"))
-        .select("token", "doc_id", "line_no", "n", "pos", "lead"),
-        "shared",
-    )
-    led = shared.where(
+    classes = materialize(lines.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "line_no", "prefix")).alias("first")).select("n", "s1", "s2", "first.*"), "sets")
+    # tokens of two sets or more, then their places
+    twice = materialize(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token"), "tokens")
+    places = classes.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = materialize(KeyFilter(twice).passing(places, F.col("token")).join(twice, "token", "left_semi"), "shared")
+    lead = shared.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "pos")).alias("lead"))
+    led = shared.join(lead, "token").where(
         ((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("line_no") != F.col("lead.line_no"))) & possible(percent, F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))
-    ).select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("lead.doc_id").alias("yd"), F.col("lead.line_no").alias("yl"), "n", F.col("lead.n").alias("m"))
-    matched = materialize(verified(led, docs, k, percent), "matched")
+    ).select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("lead.doc_id").alias("yd"), F.col("lead.line_no").alias("yl"))
+    votes = led.groupBy("xd", "xl", "yd", "yl").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("xd", "xl").agg(F.max(F.struct("votes", "yd", "yl")).alias("best")).select("xd", "xl", "best.yd", "best.yl")
+    matched = materialize(verified(best, docs, k, percent), "matched")
     x = shared.join(matched, ["doc_id", "line_no"], "left_anti").alias("x")
     y = shared.alias("y")
     earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no")))
     rest = x.join(
         y, (F.col("x.token") == F.col("y.token")) & earlier & possible(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    ).select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-    late = materialize(verified(rest, docs, k, percent), "late")
-    return classes.select("doc_id", "line_no").join(matched.union(late), ["doc_id", "line_no"], "left_anti")
+    ).select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl")).distinct()
+    late = verified(rest, docs, k, percent)
+    gone = matched.union(late).withColumn("late", F.lit(True))
+    judged = classes.select("n", "s1", "s2", "doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left").select("n", "s1", "s2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"), "late")
+    own = (F.col("doc_id") == F.col("fd")) & (F.col("line_no") == F.col("fl")) & F.col("late").isNull()
+    fates = lines.select("doc_id", "line_no", "n", "s1", "s2").join(judged, ["n", "s1", "s2"]).groupBy("doc_id").agg(F.collect_set(F.when(~own, F.col("line_no"))).alias("gone"), F.collect_set(F.when(own, F.col("line_no"))).alias("stay"))
+    return fates.select("doc_id", F.array_except("gone", "stay").alias("gone")).where(F.size("gone") > 0)
 
 
 def dedup_lines(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated lines taken out of the text, and n_lines and n_removed."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    bare = lambda line: F.trim(F.translate(line, "\t\x0b\f\r", "    ")) == ""
-    kept = kept_lines(own, k, percent).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list("line_no")).alias("_kept"))
-    kept = materialize(kept, "kept")
-    # only documents that lose a line are shuffled
-    full = own.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: ~bare(x))).alias("full"))
-    losing = full.join(kept.select(F.col("_id").alias("doc_id"), F.size("_kept").alias("k")), "doc_id", "left").where(F.coalesce("k", F.lit(0)) < F.col("full"))
-    hit = key_filter(materialize(losing.select(F.col("doc_id").alias(doc_id)), "losing"))
-    source = docs.drop("n_lines", "n_removed", "_id", "_kept")
-    still = source.where(~hit).withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"), "n_removed": F.lit(0).cast("long")})
-    joined = source.where(hit).join(kept, F.col(doc_id) == F.col("_id"), "left").drop("_id")
-
-    def rebuilt(lines: Column) -> Column:
-        empty = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: bare(lines[i]))
-        staying = F.array_sort(F.array_union(F.coalesce(F.col("_kept"), F.array().cast("array<int>")), empty))
-        return let(staying, lambda s: F.struct(F.size(lines).alias("n"), (F.size(lines) - F.size(s)).alias("gone"), F.array_join(F.transform(F.filter(s, lambda i: i < F.size(lines)), lambda i: lines[i]), "\n").alias("text")))
-
-    out = joined.withColumn("_out", let(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), rebuilt))
-    whole = F.col(doc_id).isNull() | F.col(text).isNull()
-    changed = out.withColumns(
-        {
-            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col("_out.n")).cast("long"),
-            "n_removed": F.when(whole, 0).otherwise(F.greatest(F.col("_out.gone"), F.lit(0))).cast("long"),
-            text: F.when(whole, F.col(text)).otherwise(F.col("_out.text")),
-        }
-    )
-    return still.unionByName(changed.drop("_out", "_kept"))
+    lost = materialize(removed_lines(own, k, percent), "lost")
+    losing = KeyFilter(lost.select("doc_id"))  # only documents that may lose a line are shuffled
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rows = docs.select(F.struct(*names).alias("row"))
+    body, key = F.col("row")[text], F.col("row")[doc_id]
+    n_lines = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+    still = losing.missing(rows, key).select("row.*", F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    held = losing.passing(rows, key).join(lost, key == F.col("doc_id"), "left").select("row", F.split(body, "\n").alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    staying = held.select("row", "lines", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone").alias("staying"))
+    new = F.array_join(F.transform("staying", lambda i: F.get("lines", i)), "\n")
+    changed = staying.select(
+        *[F.when(F.col("lines").isNotNull(), new).alias(c) if c == text else F.col("row")[c].alias(c) for c in names],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size("staying"), F.lit(0)).cast("long").alias("n_removed"),
+    )
+    return still.unionByName(changed)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

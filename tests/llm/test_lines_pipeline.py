@@ -52,9 +52,11 @@ def test_line_dedup_of_families_and_odd_texts(spark):
     docs = {i: f"head {i}\n" + " ".join([*base[:i], f"x{i}", *base[i + 1 :]]) + "\n\nsame tail line of words" for i in range(40)}
     docs |= {50: None, 51: "", 52: "\n\n", 53: "a\tb  c\x0bd e f", 54: "a b c d e f", 55: "x\nx\nx", 56: "w " * 3000, 57: "\n".join("r s t" for _ in range(500)), 58: " ".join(f"c{j}" for j in range(3, 40)), 59: " ".join(f"c{j}" for j in range(36))}
     frame = spark.createDataFrame([*docs.items(), (None, "x\nx"), (None, None)], "doc_id long, text string").withColumn("n_lines", F.lit("old")).withColumn("n", F.lit(1))
+    for clash in ("_id", "_kept", "_out", "row", "gone", "lines", "token", "filter_word"):
+        frame = frame.withColumn(clash, F.lit(7))
     rows = dedup_lines(frame).collect()
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in rows if r.doc_id is not None}
-    assert got == brute(docs) and all(r.n == 1 for r in rows)
+    assert got == brute(docs) and all(r.n == 1 and r["_out"] == r["gone"] == r["row"] == r["filter_word"] == 7 for r in rows)
     assert sorted((r.text or "", r.n_removed) for r in rows if r.doc_id is None) == [("", 0), ("x\nx", 0)]
     assert dedup_lines(frame.limit(0)).count() == 0
 

@@ -11,8 +11,8 @@ found no match, against all earlier lines of their tokens. A large family of nea
 its lines. Everything is DataFrame expressions: no Python runs on the executors.
 
 Defined results: null texts stay null; lines without words are never removed; rows with a null doc_id take no part and stay
-whole; rows that repeat a doc_id count as one document and keep the same line numbers; an empty table stays empty; extra
-columns are carried through whatever their names, save n_lines and n_removed, which are replaced.
+whole; rows that repeat a doc_id lose the same line numbers, each as soon as one row's line of that number repeats an earlier
+one; an empty table stays empty; extra columns are carried through whatever their names, save n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -71,14 +71,20 @@ def possible(percent: int, n: Column, pos: Column, m: Column, qos: Column) -> Co
     return ((n - pos) * (100 + percent) >= need) & ((m - qos) * (100 + percent) >= need)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of distinct pairs (xd, xl, yd, yl) the lines xd, xl, as doc_id and line_no, that reach the threshold with a partner."""
-    pairs = materialize(pairs, "pairs")
-    ends = materialize(pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct(), "ends")
+def line_sets(docs: DataFrame, ends: DataFrame, k: int) -> DataFrame:
+    """doc_id, line_no and tokens of the lines named in ends, read from the texts again."""
     held = KeyFilter(ends.select("doc_id").distinct()).passing(docs, F.col("doc_id"))
     found = KeyFilter(ends).passing(lines_of(held), F.col("doc_id"), F.col("line_no")).join(ends, ["doc_id", "line_no"], "left_semi")
     sets = found.dropDuplicates(["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(line_shingles(F.col("line"), k)).alias("tokens"))
-    sets = materialize(sets, "lines")
+    return materialize(sets, "lines")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (xd, xl, yd, yl) the lines xd, xl, as doc_id and line_no, that reach the threshold with a partner."""
     one, two = (sets.select(F.col("doc_id").alias(f"{s}d"), F.col("line_no").alias(f"{s}l"), F.col("tokens").alias(f"{s}t")) for s in "xy")
     both = pairs.join(one, ["xd", "xl"]).join(two, ["yd", "yl"])
     same = F.size(F.array_intersect("xt", "yt"))
@@ -108,19 +114,22 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ).select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("lead.doc_id").alias("yd"), F.col("lead.line_no").alias("yl"))
     votes = led.groupBy("xd", "xl", "yd", "yl").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("xd", "xl").agg(F.max(F.struct("votes", "yd", "yl")).alias("best")).select("xd", "xl", "best.yd", "best.yl")
-    matched = materialize(verified(best, docs, k, percent), "matched")
+    best = materialize(best, "pairs")
+    sets = line_sets(docs, materialize(ends_of(best), "ends"), k)
+    matched = materialize(verified(best, sets, percent), "matched")
     x = shared.join(matched, ["doc_id", "line_no"], "left_anti").alias("x")
     y = shared.alias("y")
     earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no")))
     rest = x.join(
         y, (F.col("x.token") == F.col("y.token")) & earlier & possible(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     ).select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl")).distinct()
-    late = verified(rest, docs, k, percent)
-    gone = matched.union(late).withColumn("late", F.lit(True))
+    rest = materialize(rest, "pairs")
+    more = materialize(ends_of(rest).join(sets.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"), "ends")
+    gone = matched.union(verified(rest, sets.union(line_sets(docs, more, k)), percent)).withColumn("late", F.lit(True))
     judged = classes.select("n", "s1", "s2", "doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left").select("n", "s1", "s2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"), "late")
-    own = (F.col("doc_id") == F.col("fd")) & (F.col("line_no") == F.col("fl")) & F.col("late").isNull()
-    fates = lines.select("doc_id", "line_no", "n", "s1", "s2").join(judged, ["n", "s1", "s2"]).groupBy("doc_id").agg(F.collect_set(F.when(~own, F.col("line_no"))).alias("gone"), F.collect_set(F.when(own, F.col("line_no"))).alias("stay"))
-    return fates.select("doc_id", F.array_except("gone", "stay").alias("gone")).where(F.size("gone") > 0)
+    repeats = (F.col("doc_id") != F.col("fd")) | (F.col("line_no") != F.col("fl")) | F.col("late")
+    fates = lines.select("doc_id", "line_no", "n", "s1", "s2").join(judged, ["n", "s1", "s2"]).where(repeats)
+    return fates.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

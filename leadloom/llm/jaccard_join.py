@@ -6,9 +6,11 @@ shingle in their prefixes. Documents with the same prefix and size are one group
 shingles, behind the size and positional filters. Group pairs are then expanded to their classes (documents of the same set)
 and verified on whole sets.
 
-Pairs are verified in two rounds, so that a large family of near copies costs rows in proportion to its members: first every
-group against the leader it shares most prefix shingles with; then, exactly, all pairs of a shared shingle whose members are not yet
-connected. What stays unchecked is already in one component, so no link between components is lost.
+Group pairs are verified in two rounds, so that a large family of near copies costs rows in proportion to its members: first every
+group against the leader it shares most prefix shingles with; then, exactly, all group pairs of a shared shingle whose members are
+not yet connected. What stays unchecked is already in one component, so no link between components is lost. The positional filter
+is the pair's own: both must meet so early in their prefixes that what follows can still hold the overlap they need. Members of a
+family with many edits of their own begin with shingles nobody shares, so they pass it with nobody.
 
 Defined results: texts that are null or without words have the empty set and link with nothing; so do rows with a null
 doc_id, which keep a null component; repeated rows fall into one class; rows of one doc_id count as one document; an empty
@@ -17,17 +19,18 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm._common import documents, materialize
+from leadloom.llm._common import KeyFilter, documents, materialize
 
-#: Counters of the rarity table, and bits of the filter that picks the sets to fetch: fixed sizes, whatever the input.
-RARITY_BITS, CHUNK_BITS, FILTER_BITS = 23, 15, 23
+#: Counters of the rarity table, a fixed size whatever the input. Beyond some 10^9 shingles they even out: then more pairs are
+#: compared, and the result stays the same.
+RARITY_BITS, CHUNK_BITS = 23, 15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -96,10 +99,10 @@ def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             at = to
 
 
-def signature(s: np.ndarray) -> bytes:
-    """128 bits that depend on the set alone."""
+def signature(s: np.ndarray, extra: int = 0) -> bytes:
+    """128 bits that depend on the set, and an extra number, alone."""
     a, b = mix(s ^ np.uint64(0x2545F4914F6CDD1D)), mix(s + np.uint64(0x9FB21C651E98DF25))
-    return np.asarray([a.sum(dtype=np.uint64) + np.uint64(len(s)), np.bitwise_xor.reduce(b) if len(s) else 0], dtype="<u8").tobytes()
+    return np.asarray([a.sum(dtype=np.uint64) + np.uint64(len(s) + (extra << 32)), np.bitwise_xor.reduce(b) if len(s) else 0], dtype="<u8").tobytes()
 
 
 def rarity(docs: DataFrame, k: int) -> np.ndarray:
@@ -124,22 +127,23 @@ def rarity(docs: DataFrame, k: int) -> np.ndarray:
         rows = [r for r in rows if r[2].any()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["chunk", "part", "counts"])
 
-    def adder(out: type, limit: int):
+    def adder(finish: Callable[[np.ndarray], np.ndarray]):
         def add(rows: pa.Table) -> pa.Table:
             total = np.zeros(width, dtype=np.int64)
-            for x in rows.column("counts").to_pylist():
-                total += np.frombuffer(x, dtype=np.uint16 if len(x) == 2 * width else np.uint32)
-            return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, limit).astype(out).tobytes()], pa.binary())})
+            for x in rows.column("counts"):
+                counts = x.as_buffer()
+                total += np.frombuffer(counts, dtype=np.uint16 if len(counts) == 2 * width else np.uint32)
+            return pa.table({"chunk": rows.column("chunk")[:1].cast(pa.int32()), "counts": pa.array([finish(total).tobytes()], pa.binary())})
 
         return add
 
     counted = docs.select("text").mapInArrow(count, "chunk int, part int, counts binary")
     # partial sums by part first, so that no task adds up the tables of all tasks
-    parts = counted.groupBy("chunk", "part").applyInArrow(adder(np.uint32, 2**32 - 1), "chunk int, counts binary")
-    summed = parts.groupBy("chunk").applyInArrow(adder(np.uint32, 2**32 - 1), "chunk int, counts binary").toArrow()
+    parts = counted.groupBy("chunk", "part").applyInArrow(adder(lambda x: np.minimum(x, 2**32 - 1).astype(np.uint32)), "chunk int, counts binary")
+    summed = parts.groupBy("chunk").applyInArrow(adder(lambda x: (7.9 * np.log2(1.0 + x)).astype(np.uint8)), "chunk int, counts binary").toArrow()
     table = np.zeros(1 << RARITY_BITS, dtype=np.uint8)  # of a fixed size, as is what comes to the driver
     for c, counts in zip(summed["chunk"].to_pylist(), summed["counts"], strict=True):
-        table[c * width : (c + 1) * width] = 7.9 * np.log2(1.0 + np.frombuffer(counts.as_buffer(), dtype=np.uint32))
+        table[c * width : (c + 1) * width] = np.frombuffer(counts.as_buffer(), dtype=np.uint8)
     return table
 
 
@@ -163,53 +167,38 @@ def features(docs: DataFrame, table: np.ndarray, k: int, percent: int) -> DataFr
                     p = s[order[: prefix_length(len(s), percent)]] if len(s) else s
                     with np.errstate(over="ignore"):
                         places = np.arange(1, len(p) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                        g = mix(np.asarray([mix(p + places).sum(dtype=np.uint64) ^ np.uint64(len(s))]))
+                        gid.append(signature(mix(p + places), len(s)))
                         cid.append(signature(s))
                     n.append(len(s))
-                    gid.append(g.view(np.int64)[0])
                     prefix.append(p.view(np.int64))
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, dtype=np.int64)
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(gid, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     ["doc_id", "n", "cid", "gid", "prefix"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, cid binary, gid long, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, cid binary, gid binary, prefix array<long>")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """cid and the whole shingle set of each wanted class (columns rep, cid), read from the texts again.
 
-    A filter of fixed size passes nearly only the wanted documents, so that the other texts are neither shuffled nor kept.
+    A broadcast filter passes nearly only the wanted documents, so that the other texts are neither shuffled nor kept.
     """
-    mask = (1 << FILTER_BITS) - 1
-    bits = [F.shiftrightunsigned("key", i * 20).bitwiseAND(mask) for i in range(3)]
-    keyed = wanted.select(F.xxhash64("rep").alias("key")).select(F.explode(F.array(*bits)).alias("bit"))
-    filled = keyed.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(31).cast("int"))).alias("bits"))
-    table = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
-    for r in filled.collect():  # 2^(FILTER_BITS - 5) rows at most
-        table[r["word"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(table)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = shared.value
         for batch in batches:
-            key = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            hit = np.ones(len(key), dtype=bool)
-            for i in range(3):
-                bit = (key >> np.uint64(20 * i)) & np.uint64(mask)
-                hit &= (filled[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32)) & 1 == 1
-            some = batch.filter(pa.array(hit))
-            for at in range(0, some.num_rows, 500):
-                part = some.slice(at, 500)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 sets = list(text_sets(part.column(1), k))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cid", "shingles"]
                 )
 
-    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, f"doc_id {kind}, cid binary, shingles binary")
+    held = KeyFilter(wanted.select("rep")).passing(docs.select("doc_id", "text"), F.col("doc_id"))
+    found = held.mapInArrow(run, f"doc_id {kind}, cid binary, shingles binary")
     return found.join(wanted, "cid").where(F.col("doc_id") == F.col("rep")).dropDuplicates(["cid"]).select("cid", "shingles")
 
 
@@ -248,67 +237,85 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", F.col("new").alias("comp"))
 
 
+def possible(percent: int, n: Column, pos: Column, m: Column, qos: Column) -> Column:
+    """Size and positional filter: whether sets of n and m shingles reach the threshold if what they share begins here.
+
+    It holds for the first shingle that two linked sets share, so it may be asked of every shingle by itself.
+    """
+    need = percent * (n + m)
+    return ((n - pos) * (100 + percent) >= need) & ((m - qos) * (100 + percent) >= need)
+
+
+def shared_places(linkable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups (gid, g: their smallest doc_id, n), and g, n, pos, token of the prefix shingles that two groups or more share."""
+    groups = materialize(linkable.groupBy("gid").agg(F.min("doc_id").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
+    twice = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
+    twice = materialize(twice, "tokens")
+    places = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    return groups.select("gid", "g", "n"), materialize(KeyFilter(twice).passing(places, F.col("token")).join(twice, "token", "left_semi"), "shared")
+
+
+def leaders_of(shared: DataFrame, percent: int, most: int = 6) -> DataFrame:
+    """g and up to six leaders: groups it shares most shingles with, of those that share most with all others of a shingle.
+
+    In a family of copies those are the least edited ones.
+    """
+    weighed = shared.join(shared.groupBy("g").agg(F.count(F.lit(1)).alias("weight")), "g")
+    best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("weight"), "g"))
+    heads = weighed.withColumn("_r", best).where(F.col("_r") <= most).select("token", F.col("g").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("qos"))
+    votes = (
+        shared.join(heads, "token").where((F.col("g") != F.col("leader")) & possible(percent, F.col("n"), F.col("pos"), F.col("m"), F.col("qos")))
+        .groupBy("g", "leader").agg(F.count(F.lit(1)).alias("votes"))
+    )
+    most_votes = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("votes"), "leader"))
+    return votes.withColumn("_r", most_votes).where(F.col("_r") <= most).select("g", "leader")
+
+
+def unconnected(shared: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (g, h) that pass the filters at a shared shingle and are not wholly in one component.
+
+    spans: g, lo and hi, the least and greatest component of each group's classes.
+    """
+    placed = shared.join(spans, "g")
+    # the sizes that a partner must have at least, and may have at most, at this place
+    cap = F.floor((100 * F.col("n") - (100 + percent) * F.col("pos")) / percent)
+    placed = placed.withColumn("cap", cap)
+    open_tokens = placed.groupBy("token").agg(F.min("lo").alias("lo_"), F.max("hi").alias("hi_"), F.min("n").alias("n_"), F.max("cap").alias("cap_")).where("lo_ <> hi_")
+    feasible = (F.col("n_") <= F.col("cap")) & (F.col("n") <= F.col("cap_"))
+    rows = materialize(placed.join(open_tokens, "token").where(feasible).select("token", "g", "n", "pos", "lo", "hi"), "open")
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & apart & possible(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    inside = spans.where("lo <> hi").select("g", F.col("g").alias("h"))
+    return met.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct().union(inside)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (smallest doc_id of the same set) and component_id."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     every = materialize(features(docs, rarity(docs, k), k, percent), "features")
     linkable = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = materialize(
-        linkable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("n")), "classes"
-    )
-    groups = linkable.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
-    block = Window.partitionBy("token")
-    postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    met = (
-        postings.withColumns({"least": F.min("gid").over(block), "most": F.max("gid").over(block)})
-        .where(F.col("least") != F.col("most")).select("token", "gid", "n", "pos")
-    )
-    # how many of its prefix shingles a group shares: in a family of copies, the least edited ones share most
-    shared = materialize(met.withColumn("weight", F.count(F.lit(1)).over(Window.partitionBy("gid"))), "shared")
-
-    def possible(n: Column, pos: Column, m: Column, qos: Column) -> Column:
-        """Whether sizes, and what can still be shared from these positions on, allow the threshold."""
-        most = F.least(pos, qos) + 1 + F.least(n - pos - 1, m - qos - 1)
-        return (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
-
-    def enough(shared_tokens: Column, n: Column, m: Column) -> Column:
-        """Whether so many shared prefix shingles allow the threshold: beyond them, at most one whole suffix is shared."""
-        suffix = lambda size: F.ceil(size * percent / 100).cast("long") - 1
-        return (shared_tokens + F.greatest(suffix(n), suffix(m))) * (100 + percent) >= percent * (n + m)
-
-    # round 1: each group and up to six leaders, those of most shared shingles; each further class and the first of its group
-    best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("weight"), "gid"))
-    heads = shared.withColumn("_r", best).where(F.col("_r") <= 6).select("token", F.col("gid").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("qos"))
-    votes = (
-        shared.join(heads, "token").where((F.col("gid") != F.col("leader")) & possible(F.col("n"), F.col("pos"), F.col("m"), F.col("qos")))
-        .groupBy("gid", "leader", "n", "m").agg(F.count(F.lit(1)).alias("votes")).where(enough(F.col("votes"), F.col("n"), F.col("m")))
-    )
-    most_votes = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("votes"), "leader"))
-    leaders = votes.withColumn("_r", most_votes).where(F.col("_r") <= 6).select("gid", "leader")
-    firsts = classes.groupBy("gid").agg(F.min(F.struct("rep", "cid")).alias("first"), F.count(F.lit(1)).alias("k"))
-    several = firsts.where("k > 1")
+    groups, shared = shared_places(linkable)
+    classes = linkable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"))
+    classes = materialize(classes.join(groups.select("gid", "g"), "gid").select("cid", "rep", "g"), "classes")
+
+    # round 1: each group's classes and the first class of its leaders; each further class and the first of its group
+    firsts = classes.groupBy("g").agg(F.min(F.struct("rep", "cid")).alias("first"))
+    pairs = leaders_of(shared, percent).union(classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", F.col("g").alias("leader")))
     star = (
-        classes.join(leaders, "gid").join(firsts.select(F.col("gid").alias("leader"), "first"), "leader").select(F.col("rep").alias("a"), F.col("first.rep").alias("b"), F.col("cid").alias("cid_a"), F.col("first.cid").alias("cid_b"))
-        .union(classes.join(several, "gid").where(F.col("cid") != F.col("first.cid")).select("rep", "first.rep", "cid", "first.cid"))
+        classes.join(pairs, "g").join(firsts.select(F.col("g").alias("leader"), "first"), "leader").where(F.col("cid") != F.col("first.cid"))
+        .select(F.col("rep").alias("a"), F.col("first.rep").alias("b"), F.col("cid").alias("cid_a"), F.col("first.cid").alias("cid_b"))
     )
     first_links = materialize(verify(star, docs, k, percent), "links")
     known = components(first_links)
 
-    # round 2: pairs of a shared shingle (or of a group) whose members are not connected yet
-    placed = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", "cid", F.coalesce("comp", "rep").alias("comp"))
-    rows = shared.select("token", "gid", "n", "pos").join(placed, "gid").select("token", "n", "pos", "rep", "cid", "comp").union(
-        placed.join(several.select("gid"), "gid", "left_semi").join(classes.select("rep", "cid", "n"), ["rep", "cid"]).select(F.col("gid").alias("token"), "n", F.lit(-1), "rep", "cid", "comp")
-    )
-    open_rows = materialize(
-        rows.withColumns({"lo": F.min("comp").over(block), "hi": F.max("comp").over(block)}).where("lo != hi").drop("lo", "hi"), "open"
-    )
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    # round 2: group pairs that are not connected yet, expanded to their classes
+    placed = materialize(classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("g", "rep", "cid", F.coalesce("comp", "rep").alias("comp")), "placed")
+    met = unconnected(shared, placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), percent)
+    a, b = placed.alias("a"), placed.alias("b")
     rest = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.cid").alias("cid_a"), F.col("y.cid").alias("cid_b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-        .agg(F.count(F.lit(1)).alias("common"), F.max(F.col("x.pos") < 0).alias("grouped"))
-        .where(F.col("grouped") | enough(F.col("common"), F.col("n"), F.col("m")))
-        .select("a", "b", "cid_a", "cid_b")
+        met.join(a, F.col("a.g") == met["g"]).join(b, F.col("b.g") == met["h"]).where((F.col("a.comp") != F.col("b.comp")) & ((met["g"] != met["h"]) | (F.col("a.rep") < F.col("b.rep"))))
+        .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
     )
     links = materialize(first_links.union(verify(rest, docs, k, percent)), "links")
     final = components(links)

@@ -129,6 +129,26 @@ def test_near_duplicates_of_families(spark, edge):
     assert jaccard_join.near_duplicates(edge).count() == len(EDGE)
 
 
+def test_a_large_family_of_which_few_link(spark):
+    """1000 copies with up to 30 own words each: links are few, and the pairs compared stay in proportion to the copies."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(1000):
+        words = list(base)
+        for j in rng.choice(150, int(rng.integers(0, 30)), replace=False):
+            words[j] = f"x{i}y{j}" if rng.random() < 0.8 else f"w{rng.integers(150)}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame, 3, 90).collect()}
+    want = brute_components(rows, 3, 90)
+    assert got == want and 100 < len({c for _, c in want.values()}) < 1000
+    every = jaccard_join.features(frame, jaccard_join.rarity(frame, 3), 3, 90)
+    _, shared = jaccard_join.shared_places(every)
+    spans = spark.createDataFrame([(i, want[i][1], want[i][1]) for i, _ in rows], "g long, lo long, hi long")
+    assert jaccard_join.unconnected(shared, spans.join(shared.select("g").distinct(), "g"), 90).count() < 10 * len(rows)
+
+
 def test_sentencepiece_equals_the_library_on_the_same_scores(texts):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor

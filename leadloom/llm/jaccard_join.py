@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm._common import KeyFilter, documents, materialize
+from leadloom.llm._common import KeyFilter, discard, documents, materialize
 
 #: Counters of the rarity table, a fixed size whatever the input. Beyond some 10^9 shingles they even out: then more pairs are
 #: compared, and the result stays the same.
@@ -252,17 +252,18 @@ def shared_places(linkable: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
     twice = materialize(twice, "tokens")
     places = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    return groups.select("gid", "g", "n"), materialize(KeyFilter(twice).passing(places, F.col("token")).join(twice, "token", "left_semi"), "shared")
+    shared = materialize(KeyFilter(twice).passing(places, F.col("token")).join(twice, "token", "left_semi"), "shared")
+    discard(twice)
+    return groups.select("gid", "g", "n"), shared
 
 
 def leaders_of(shared: DataFrame, percent: int, most: int = 6) -> DataFrame:
-    """g and up to six leaders: groups it shares most shingles with, of those that share most with all others of a shingle.
+    """g and up to six leaders: groups it shares most shingles with, of those that hold a shingle earliest.
 
-    In a family of copies those are the least edited ones.
+    In a family of copies those are the least edited ones: they have the fewest shingles of their own, which come first.
     """
-    weighed = shared.join(shared.groupBy("g").agg(F.count(F.lit(1)).alias("weight")), "g")
-    best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("weight"), "g"))
-    heads = weighed.withColumn("_r", best).where(F.col("_r") <= most).select("token", F.col("g").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("qos"))
+    best = F.row_number().over(Window.partitionBy("token").orderBy("pos", "g"))
+    heads = shared.withColumn("_r", best).where(F.col("_r") <= most).select("token", F.col("g").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("qos"))
     votes = (
         shared.join(heads, "token").where((F.col("g") != F.col("leader")) & possible(percent, F.col("n"), F.col("pos"), F.col("m"), F.col("qos")))
         .groupBy("g", "leader").agg(F.count(F.lit(1)).alias("votes"))

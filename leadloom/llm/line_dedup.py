@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm._common import KeyFilter, documents, let, materialize
+from leadloom.llm._common import KeyFilter, discard, documents, let, materialize
 
 #: Bits of the rarity table, a fixed size whatever the input. Beyond some 10^9 shingles its counters even out: then more pairs
 #: are compared, and the result stays the same.
@@ -71,6 +71,16 @@ def possible(percent: int, n: Column, pos: Column, m: Column, qos: Column) -> Co
     return ((n - pos) * (100 + percent) >= need) & ((m - qos) * (100 + percent) >= need)
 
 
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough: beyond them, at most one whole rest is shared. Prefixes are a fifth of the sets to move."""
+    ends = ends_of(pairs)
+    held = KeyFilter(ends).passing(classes.select("doc_id", "line_no", "n", "prefix"), F.col("doc_id"), F.col("line_no"))
+    one, two = (held.select(F.col("doc_id").alias(f"{s}d"), F.col("line_no").alias(f"{s}l"), F.col("n").alias(f"{s}n"), F.col("prefix").alias(f"{s}p")) for s in "xy")
+    rest = F.greatest(F.col("xn") - F.size("xp"), F.col("yn") - F.size("yp"))
+    most = F.size(F.array_intersect("xp", "yp")) + rest
+    return pairs.join(one, ["xd", "xl"]).join(two, ["yd", "yl"]).where(most * (100 + percent) >= percent * (F.col("xn") + F.col("yn"))).select("xd", "xl", "yd", "yl")
+
+
 def line_sets(docs: DataFrame, ends: DataFrame, k: int) -> DataFrame:
     """doc_id, line_no and tokens of the lines named in ends, read from the texts again."""
     held = KeyFilter(ends.select("doc_id").distinct()).passing(docs, F.col("doc_id"))
@@ -102,19 +112,26 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         ),
         "lines",
     )
-    # the earliest line of each set stands for it
-    classes = materialize(lines.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "line_no", "prefix")).alias("first")).select("n", "s1", "s2", "first.*"), "sets")
+    # the earliest line of each set stands for it, the others are repeats
+    same = F.struct("doc_id", "line_no", "prefix")
+    classes = materialize(lines.groupBy("n", "s1", "s2").agg(F.min(same).alias("first"), F.count(F.lit(1)).alias("k")).select("n", "s1", "s2", "k", "first.*"), "sets")
+    several = classes.where("k > 1").select("n", "s1", "s2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"))
+    members = KeyFilter(several.select("n", "s1", "s2")).passing(lines.select("doc_id", "line_no", "n", "s1", "s2"), F.col("n"), F.col("s1"), F.col("s2"))
+    other = (F.col("doc_id") != F.col("fd")) | (F.col("line_no") != F.col("fl"))
+    repeats = materialize(members.join(several, ["n", "s1", "s2"]).where(other).select("doc_id", "line_no"), "repeats")
+    discard(lines)
     # tokens of two sets or more, then their places
     twice = materialize(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token"), "tokens")
     places = classes.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = materialize(KeyFilter(twice).passing(places, F.col("token")).join(twice, "token", "left_semi"), "shared")
+    discard(twice)
     lead = shared.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "pos")).alias("lead"))
     led = shared.join(lead, "token").where(
         ((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("line_no") != F.col("lead.line_no"))) & possible(percent, F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))
     ).select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("lead.doc_id").alias("yd"), F.col("lead.line_no").alias("yl"))
     votes = led.groupBy("xd", "xl", "yd", "yl").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("xd", "xl").agg(F.max(F.struct("votes", "yd", "yl")).alias("best")).select("xd", "xl", "best.yd", "best.yl")
-    best = materialize(best, "pairs")
+    best = materialize(likely(materialize(best, "met"), classes, percent), "pairs")
     sets = line_sets(docs, materialize(ends_of(best), "ends"), k)
     matched = materialize(verified(best, sets, percent), "matched")
     x = shared.join(matched, ["doc_id", "line_no"], "left_anti").alias("x")
@@ -123,19 +140,19 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rest = x.join(
         y, (F.col("x.token") == F.col("y.token")) & earlier & possible(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     ).select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl")).distinct()
-    rest = materialize(rest, "pairs")
+    rest = materialize(likely(materialize(rest, "met"), classes, percent), "pairs")
     more = materialize(ends_of(rest).join(sets.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"), "ends")
-    gone = matched.union(verified(rest, sets.union(line_sets(docs, more, k)), percent)).withColumn("late", F.lit(True))
-    judged = classes.select("n", "s1", "s2", "doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left").select("n", "s1", "s2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"), "late")
-    repeats = (F.col("doc_id") != F.col("fd")) | (F.col("line_no") != F.col("fl")) | F.col("late")
-    fates = lines.select("doc_id", "line_no", "n", "s1", "s2").join(judged, ["n", "s1", "s2"]).where(repeats)
-    return fates.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    late = verified(rest, sets.union(line_sets(docs, more, k)), percent)
+    lost = materialize(repeats.union(matched).union(late).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "lost")
+    for table in (classes, shared, repeats):
+        discard(table)
+    return lost
 
 
 def dedup_lines(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated lines taken out of the text, and n_lines and n_removed."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lost = materialize(removed_lines(own, k, percent), "lost")
+    lost = removed_lines(own, k, percent)
     losing = KeyFilter(lost.select("doc_id"))  # only documents that may lose a line are shuffled
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*names).alias("row"))

@@ -247,14 +247,14 @@ def possible(percent: int, n: Column, pos: Column, m: Column, qos: Column) -> Co
 
 
 def shared_places(linkable: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The groups (gid, g: their smallest doc_id, n), and g, n, pos, token of the prefix shingles that two groups or more share."""
+    """The groups (gid, g: their smallest doc_id, n, prefix), and g, n, pos, token of the prefix shingles that two groups or more share."""
     groups = materialize(linkable.groupBy("gid").agg(F.min("doc_id").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
     twice = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
     twice = materialize(twice, "tokens")
     places = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = materialize(KeyFilter(twice).passing(places, F.col("token")).join(twice, "token", "left_semi"), "shared")
     discard(twice)
-    return groups.select("gid", "g", "n"), shared
+    return groups, shared
 
 
 def leaders_of(shared: DataFrame, percent: int, most: int = 6) -> DataFrame:
@@ -272,6 +272,18 @@ def leaders_of(shared: DataFrame, percent: int, most: int = 6) -> DataFrame:
     return votes.withColumn("_r", most_votes).where(F.col("_r") <= most).select("g", "leader")
 
 
+def likely(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs of groups (g, h) whose prefixes share enough: beyond them, at most one whole rest is shared. Prefixes are a tenth of
+    the sets to move."""
+    pairs = materialize(pairs, "met")
+    ends = pairs.select("g").union(pairs.select("h")).distinct()
+    held = KeyFilter(ends).passing(groups.select("g", "n", "prefix"), F.col("g"))
+    one, two = (held.select(F.col("g").alias(g), F.col("n").alias(f"{g}n"), F.col("prefix").alias(f"{g}p")) for g in "gh")
+    rest = F.greatest(F.col("gn") - F.size("gp"), F.col("hn") - F.size("hp"))
+    most = F.size(F.array_intersect("gp", "hp")) + rest
+    return pairs.join(one, "g").join(two, "h").where(most * (100 + percent) >= percent * (F.col("gn") + F.col("hn"))).select("g", "h")
+
+
 def unconnected(shared: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (g, h) that pass the filters at a shared shingle and are not wholly in one component.
 
@@ -302,9 +314,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     # round 1: each group's classes and the first class of its leaders; each further class and the first of its group
     firsts = classes.groupBy("g").agg(F.min(F.struct("rep", "cid")).alias("first"))
-    pairs = leaders_of(shared, percent).union(classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", F.col("g").alias("leader")))
+    pairs = likely(leaders_of(shared, percent).select("g", F.col("leader").alias("h")), groups, percent).union(classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", F.col("g").alias("h")))
     star = (
-        classes.join(pairs, "g").join(firsts.select(F.col("g").alias("leader"), "first"), "leader").where(F.col("cid") != F.col("first.cid"))
+        classes.join(pairs, "g").join(firsts.select(F.col("g").alias("h"), "first"), "h").where(F.col("cid") != F.col("first.cid"))
         .select(F.col("rep").alias("a"), F.col("first.rep").alias("b"), F.col("cid").alias("cid_a"), F.col("first.cid").alias("cid_b"))
     )
     first_links = materialize(verify(star, docs, k, percent), "links")
@@ -312,7 +324,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     # round 2: group pairs that are not connected yet, expanded to their classes
     placed = materialize(classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("g", "rep", "cid", F.coalesce("comp", "rep").alias("comp")), "placed")
-    met = unconnected(shared, placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), percent)
+    met = likely(unconnected(shared, placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), percent), groups, percent)
     a, b = placed.alias("a"), placed.alias("b")
     rest = (
         met.join(a, F.col("a.g") == met["g"]).join(b, F.col("b.g") == met["h"]).where((F.col("a.comp") != F.col("b.comp")) & ((met["g"] != met["h"]) | (F.col("a.rep") < F.col("b.rep"))))

@@ -10,8 +10,10 @@ Vectors are dealt to shards and queries to blocks by a hash, and every (shard, q
 the stated query set against all rows, and no cell grows with the data.
 
 Defined results: null vectors and vectors with null or non-finite components take no part; vectors of different lengths
-are compared over the shorter one's dimensions; repeated rows are separate candidates; ties go to the smaller vec_id; a
-null vec_id is never a query nor a candidate; an empty table gives no rows; other columns are not read.
+are compared over the shorter one's dimensions; repeated rows are separate candidates; queries that repeat a vec_id are one query,
+whose list is the best of all their scores; ties go to the smaller vec_id; a null vec_id is never a query nor a candidate; an empty
+table or query set gives no rows; other columns are not read. Scores are exact; cells whose scores could pass 2^53 are counted in
+whole numbers of any size, and a score beyond 64 bits is given as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -35,12 +37,19 @@ def quantized(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width))
+    out = np.zeros((len(rows), width), dtype=np.int64)
     for i, x in enumerate(rows):
         out[i, : len(x)] = x
     return out
 
 
+def large_top(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k best of one shard where doubles are not exact: Python's whole numbers, row by row."""
+    q = [int(x) for x in query]
+    scores = ((sum(a * int(b) for a, b in zip(q, v, strict=True)), int(i)) for i, v in zip(ids, vectors, strict=True) if i != query_id)
+    return sorted(((max(min(s, 2**63 - 1), -(2**63)), i) for s, i in scores), key=lambda x: (-x[0], x[1]))[:k]
+
+
 def shard_top(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int, chunk: int = 8) -> list[tuple[int, int]]:
     """The k best (score, vec_id) of one shard. Values are integers below 2^53, so doubles are exact.
 
@@ -91,9 +100,14 @@ def top_k(
         if len(stored) and len(wanted):
             width = max(stored["v"].map(len).max(), wanted["v"].map(len).max())
             ids, matrix = stored["vec_id"].to_numpy(), _matrix(stored["v"], width)
-            for query_id, q in zip(wanted["vec_id"].tolist(), _matrix(wanted["v"], width), strict=True):
-                rows += [(query_id, vec_id, score) for score, vec_id in shard_top(ids, matrix, query_id, q, k)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+            asked = _matrix(wanted["v"], width)
+            most = max(1, width) * float(np.abs(matrix.astype(float)).max(initial=0)) * float(np.abs(asked.astype(float)).max(initial=0))
+            best = shard_top if most < 2**53 else large_top
+            if best is shard_top:
+                matrix, asked = matrix.astype(float), asked.astype(float)
+            for query_id, q in zip(wanted["vec_id"].tolist(), asked, strict=True):
+                rows += [(query_id, vec_id, score) for score, vec_id in best(ids, matrix, query_id, q, k)]
+        return pd.DataFrame({c: np.asarray([r[i] for r in rows], dtype=np.int64) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
     found = (
         dealt.groupBy("shard", "qb")

@@ -1,24 +1,26 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of tokens. A window hands out window_tokens: queue s earns its quantum of share(s) * window_tokens,
-may spend whole tokens only, and carries the rest (its deficit) to the next window. After r windows a queue has spent
-floor(r * quantum) tokens, so the carried deficit is known in closed form at any window. That is what makes the schedule
-distributed: a task needs no state of the windows or partitions before its own, only the queue totals (one row per queue)
-and where its block of documents begins in each queue. A queue that runs dry is skipped, and the others keep their
-proportions. Windows are laid end to end and cut into sequences, so that only the last sequence is padded.
+Each source is a queue of tokens. A window hands out window_tokens: the queues that still hold tokens earn them in proportion to
+their shares, spend whole tokens only, and carry the rest (their deficit) to the next window. When a queue runs dry, the others
+fill its place in proportion, so that every window but the last is full. What a queue has earned after so many windows is its
+share of a clock that all queues have in common: it runs faster each time a queue runs dry, and is known in closed form at any
+window. That is what makes the schedule distributed: a task needs no state of the windows or partitions before its own, only the
+queue totals (one row per source) and where its block of documents begins in each queue. Windows are laid end to end and cut
+into sequences, so that only the last sequence is padded.
 
 Three steps: tokenize once and write ids, block and running position; sum the tokens of (block, queue), which is small, and
 take prefix sums per queue; cut every document where windows and sequences end. The ids are never shuffled unless there are
 too many (block, queue) rows for a broadcast join.
 
 Defined results: a null or empty text is the end id alone; a null source is a queue of its own; repeated rows are packed as
-often as they occur; an empty table gives no pieces; other columns are not read, so their names cannot clash. Texts are
-ordinary text: the strings of special tokens get no special ids. Beyond max_queues sources, the smallest share one queue.
+often as they occur; an empty table gives no pieces; other columns are not read, so their names cannot clash. The string of a
+special token of the tokenizer file is that token, as its library has it.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 from leadloom.llm._common import documents, materialize
 
 SEQUENCE, END_ID = 2048, 1
-#: Quanta are fixed-point numbers with this many fractional bits.
-FRACTION = 12
-_LOADED: dict[str, WordIds] = {}
+#: Entries of window and queue that a task holds at once.
+HELD = 1 << 20
+_LOADED: dict[tuple[str, str], WordIds] = {}
 
 
 class WordIds(dict):
@@ -43,17 +45,19 @@ class WordIds(dict):
     encoded word by word.
     """
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, special: str, bound: int = 300_000):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoder = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.dtype = np.dtype("<u2" if len(ranks) < 1 << 16 else "<u4")
+        with open(special, encoding="utf-8") as spec:
+            self.special = {t["content"]: t["id"] for t in json.load(spec)["added_tokens"]}
+        self.encoder = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.dtype = np.dtype("<u2" if max([len(ranks), *self.special.values()]) < 1 << 16 else "<u4")
         self.bound = bound
 
     def direct(self, text: str) -> bytes:
-        return np.asarray(self.encoder.encode_ordinary(text), dtype=self.dtype).tobytes()
+        return np.asarray(self.encoder.encode(text, allowed_special="all", disallowed_special=()), dtype=self.dtype).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.direct(f" {word}")
@@ -62,7 +66,7 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if "  " in text or len(text) < 8:
+        if "  " in text or len(text) < 8 or any(t in text for t in self.special):
             return self.direct(text)
         first, *rest = text.split(" ")
         if rest and not rest[-1]:  # a trailing space belongs to white space before it
@@ -70,18 +74,18 @@ class WordIds(dict):
         return self.direct(first) + b"".join(map(self.__getitem__, rest))
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+def word_ids(path: str, special: str) -> WordIds:
+    if (path, special) not in _LOADED:
+        _LOADED[path, special] = WordIds(path, special)
+    return _LOADED[path, special]
 
 
-def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", queue: str = "source") -> DataFrame:
+def tokenize(docs: DataFrame, path: str, special: str, doc_id: str = "doc_id", text: str = "text", queue: str = "source") -> DataFrame:
     """doc_id, queue, block (the task), start in the block's queue, n_tokens and the ids, END_ID last."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, block, spent = word_ids(path), TaskContext.get().partitionId(), {}
+        coder, block, spent = word_ids(path, special), TaskContext.get().partitionId(), {}
         end = np.asarray([END_ID], dtype=coder.dtype).tobytes()
         for batch in batches:
             starts, counts, ids = [], [], []
@@ -101,41 +105,52 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
     return picked.mapInArrow(run, f"doc_id {kind}, queue string, block int, start long, n_tokens long, ids binary, width int")
 
 
-def quanta(totals: list[int], window_tokens: int, weights: list[float] | None = None, least_share: float = 1 / 1024) -> np.ndarray:
-    """Fixed-point tokens that each queue earns in a window; never below least_share, so that a tail is not cut to crumbs."""
+def shares_of(totals: list[int], weights: list[float] | None = None, least_share: float = 1 / 1024) -> np.ndarray:
+    """The share of each queue: as the weights ask; without weights as the totals are, but least_share at least, so that the few
+    tokens of a small source lie together instead of one in every window."""
     share = np.asarray(weights if weights else totals, dtype=float)
-    share = np.maximum(share / max(share.sum(), 1e-12), least_share)
-    return np.maximum(np.rint(share / share.sum() * window_tokens * (1 << FRACTION)), 1).astype(np.int64)
+    share = share / max(share.sum(), 1e-12)
+    return np.maximum(share, 1e-12) if weights else np.maximum(share, least_share)
 
 
 class Schedule:
     """Where the tokens of each queue lie in the packed stream."""
 
-    def __init__(self, totals: list[int], earned: np.ndarray):
-        self.totals, self.earned = np.asarray(totals, dtype=np.int64), earned
-        self.dry = -((-self.totals << FRACTION) // earned) + 1  # windows after which a queue is surely spent
+    def __init__(self, totals: list[int], shares: np.ndarray, window_tokens: int):
+        self.totals, self.shares = np.asarray(totals, dtype=np.int64), np.asarray(shares, dtype=float)
+        dry = self.totals / self.shares  # the clock at which each queue runs dry
+        order = np.argsort(dry, kind="stable")
+        active = np.cumsum(self.shares[order][::-1])[::-1]  # shares of the queues that are not dry before
+        self.clock = np.concatenate([[0.0], dry[order]])
+        self.window = np.concatenate([[0.0], np.cumsum(np.diff(self.clock) * active / window_tokens)])
 
     def spent(self, windows: np.ndarray) -> np.ndarray:
         """Tokens that each queue has spent after so many windows: one row per entry, one column per queue."""
-        r = np.minimum(np.asarray(windows, dtype=np.int64)[:, None], self.dry[None, :])
-        return np.minimum((r * self.earned[None, :]) >> FRACTION, self.totals[None, :])
+        w = np.asarray(windows, dtype=float)
+        clock = np.where(w > self.window[-1], np.inf, np.interp(w, self.window, self.clock))
+        earned = np.where(np.isinf(clock)[:, None], self.totals[None, :], np.floor(np.where(np.isinf(clock), 0.0, clock)[:, None] * self.shares[None, :]))
+        return np.minimum(earned.astype(np.int64), self.totals[None, :])
 
     def window_of(self, queue: np.ndarray, position: np.ndarray) -> np.ndarray:
-        """The window in which a queue spends the token at a position."""
-        return (((position + 1) << FRACTION) - 1) // self.earned[queue]
+        """The window in which a queue spends the token at a position, or one beside it where rounding decides."""
+        return np.maximum(np.ceil(np.interp((position + 1) / self.shares[queue], self.clock, self.window)).astype(np.int64) - 1, 0)
 
     def pieces(self, queue: np.ndarray, position: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         """Row, start in the row, length and packed position of each piece, cut where windows and sequences end."""
-        first, last = self.window_of(queue, position), self.window_of(queue, position + count - 1)
+        first, last = np.maximum(self.window_of(queue, position) - 1, 0), self.window_of(queue, position + count - 1) + 1
         row = np.repeat(np.arange(len(queue)), last - first + 1)
         window = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
-        before, after = self.spent(window), self.spent(window + 1)
         own = queue[row]
-        at = np.arange(len(row))
-        lo = np.maximum(before[at, own], position[row])
-        hi = np.minimum(after[at, own], position[row] + count[row])
-        ahead = np.cumsum(after - before, axis=1)[at, own] - (after - before)[at, own]
-        place = before.sum(axis=1) + ahead + lo - before[at, own]
+        lo, hi, place = (np.zeros(len(row), dtype=np.int64) for _ in range(3))
+        step = max(1, HELD // len(self.totals))
+        for a in range(0, len(row), step):
+            here = slice(a, a + step)
+            before, after = self.spent(window[here]), self.spent(window[here] + 1)
+            mine, at = own[here], np.arange(len(before))
+            lo[here] = np.maximum(before[at, mine], position[row[here]])
+            hi[here] = np.minimum(after[at, mine], position[row[here]] + count[row[here]])
+            ahead = np.cumsum(after - before, axis=1)[at, mine] - (after - before)[at, mine]
+            place[here] = before.sum(axis=1) + ahead + lo[here] - before[at, mine]
         some = hi > lo
         row, start, size, place = row[some], (lo - position[row])[some], (hi - lo)[some], place[some]
         # cut at the ends of sequences
@@ -154,31 +169,27 @@ class Schedule:
 
 
 def pack(
-    docs: DataFrame, path: str | None = None, targets: dict[str, float] | None = None, length: int = SEQUENCE,
-    window_sequences: int = 32, max_queues: int = 1024, doc_id: str = "doc_id", text: str = "text", queue: str = "source",
+    docs: DataFrame, path: str | None = None, special: str | None = None, targets: dict[str | None, float] | None = None, length: int = SEQUENCE,
+    window_sequences: int = 32, doc_id: str = "doc_id", text: str = "text", queue: str = "source",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     targets: token proportions by source; a source without one gets the smallest that is given. None: proportions of the corpus.
+    path: ranks of the byte-level vocabulary; special: the tokenizer file that names its added tokens.
     """
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = materialize(tokenize(docs, path, doc_id, text, queue), "tokens")
+    path, special = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), special or public_tokenizers.path("byte_bpe_50k.json")
+    tokens = materialize(tokenize(docs, path, special, doc_id, text, queue), "tokens")
     kind = tokens.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
     sums = materialize(tokens.groupBy("block", "queue").agg(F.sum("n_tokens").alias("n")), "blocks")
-    largest = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "queue").limit(max_queues - 1).collect()
-    names = sorted((r["queue"] for r in largest), key=lambda q: (q is not None, q or ""))
-    by_name = {r["queue"]: r["n"] for r in largest}
-    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    totals = [by_name[q] for q in names] + [total - sum(by_name.values())]  # the last queue holds all other sources
-    weights = [targets.get(q, min(targets.values())) for q in [*names, None]] if targets else None
-    plan = Schedule(totals, quanta(totals, window_sequences * length, weights))
+    total = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # one row a source
+    names = sorted(total, key=lambda q: (q is not None, q or ""))
+    weights = [targets.get(q, min(targets.values())) for q in names] if targets else None
+    plan = Schedule([total[q] for q in names], shares_of([total[q] for q in names], weights), window_sequences * length)
 
     index = spark.createDataFrame([(q, i) for i, q in enumerate(names)], "queue string, qi int")
-    numbered = sums.alias("s").join(F.broadcast(index).alias("i"), F.col("s.queue").eqNullSafe(F.col("i.queue")), "left").select(
-        "s.block", "s.queue", "s.n", F.coalesce("i.qi", F.lit(len(names))).alias("qi")
-    )
-    before = Window.partitionBy("qi").orderBy("block", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = sums.alias("s").join(index.alias("i"), F.col("s.queue").eqNullSafe(F.col("i.queue"))).select("s.block", "s.queue", "s.n", "i.qi")
+    before = Window.partitionBy("qi").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(numbered.select("block", "queue", "qi", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "offsets")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

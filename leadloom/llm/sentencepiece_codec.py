@@ -1,17 +1,17 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The best segmentation maximises the sum of piece scores. The forward pass keeps only the positions that a piece could still
-start from (at most the longest piece's length) and, as soon as the backpointer paths of all of them share a boundary,
-commits the ids up to it. Memory is bounded by that window, not by the text. A space mark starts a piece and never stands
-inside one (but for runs of marks), so all paths meet before each word; the ids of such stretches are remembered, up to a
-bound.
+The best segmentation maximises the sum of piece scores. The forward pass follows the pieces that start at each position, keeps
+only the positions that a piece could still start from or end at (about the longest piece's length) and, as soon as the
+backpointer paths of all of them share a boundary, commits the ids up to it. Memory is bounded by that window, not by the text.
+A space mark starts a piece and never stands inside one (but for runs of marks), so all paths meet before each word: a memory
+of words, bounded in number, stands in front of the search and holds its ids for the stretches it has already been through.
 
 The scores are the model file's. For a file of merge ranks, such as the default, this is the segmentation of the best total
 score over the same pieces, not the library's merge order: see the README.
 
 Defined results: a null text gives null ids, an empty one none; characters without a piece become byte pieces; decoding
 replaces bytes that are not UTF-8; a text that itself holds the space mark U+2581 decodes to spaces; repeated rows are coded
-one by one; extra columns are carried through, save one named like the result.
+one by one; an empty table stays empty; extra columns are carried through, save one named like the result.
 """
 
 from __future__ import annotations
@@ -32,36 +32,60 @@ _LOADED: dict[str, Model] = {}
 
 
 class StreamingViterbi:
-    """Takes characters one at a time and yields ids as soon as they are certain."""
-
-    def __init__(self, pieces: dict[str, tuple[int, float]], longest: int, unknown: float):
-        self.pieces, self.longest, self.unknown = pieces, longest, unknown
-        self.text, self.offset = "", 0  # the characters from the last commit on
-        self.best, self.back = [0.0], [0]  # of each boundary from the last commit on
-        self.widest = 1
-
-    def feed(self, chars: str) -> Iterator[str]:
-        for c in chars:
-            self.text += c
-            end = len(self.text)
-            score, start = -np.inf, end - 1
-            for begin in range(max(0, end - self.longest), end):
-                piece = self.text[begin:end]
-                known = self.pieces.get(piece)
-                if known is not None or begin == end - 1:
-                    value = self.best[begin] + (known[1] if known is not None else self.unknown)
-                    if value > score:
-                        score, start = value, begin
-            self.best.append(score)
-            self.back.append(start)
-            self.widest = max(self.widest, end)
-            if end % (2 * self.longest) == 0:
+    """Takes text in parts and yields ids (-1 and the character for one without a piece) as soon as they are certain."""
+
+    def __init__(self, model: Model):
+        self.pieces, self.begins, self.single = model.pieces, model.begins, model.single
+        self.longest, self.unknown = model.longest, model.unknown
+        self.text, self.done, self.widest = "", 0, 0  # the characters from the last commit on; positions whose pieces are followed
+        self.best, self.back, self.ids = [0.0], [0], [-1]  # of each boundary from the last commit on
+
+    def feed(self, chars: str) -> Iterator[tuple[int, str]]:
+        for i in range(0, len(chars), 2 * self.longest):
+            self._extend(chars[i : i + 2 * self.longest])
+            self._follow(len(self.text) - self.longest)
+            if self.done > self.longest:
                 yield from self._commit()
 
-    def _commit(self) -> Iterator[str]:
+    def finish(self, chars: str = "") -> list[tuple[int, str]]:
+        """The rest, of a last stretch too if it is short."""
+        self._extend(chars)
+        self._follow(len(self.text))
+        return self._path(len(self.text))
+
+    def _extend(self, chars: str) -> None:
+        self.text += chars
+        n = len(chars)
+        self.best += [-np.inf] * n
+        self.back += [0] * n
+        self.ids += [-1] * n
+        self.widest = max(self.widest, len(self.text))
+
+    def _follow(self, limit: int) -> None:
+        """Follow the pieces that start before limit."""
+        text, best, back, ids, get, begins, single, unknown = self.text, self.best, self.back, self.ids, self.pieces.get, self.begins, self.single, self.unknown
+        n = len(text)
+        for begin in range(self.done, limit):
+            so_far = best[begin]
+            end = begin + 1
+            piece = text[begin]
+            if piece not in single and so_far + unknown > best[end]:
+                best[end], back[end], ids[end] = so_far + unknown, begin, -1
+            while piece in begins:
+                known = get(piece)
+                if known is not None:
+                    value = so_far + known[1]
+                    if value > best[end]:
+                        best[end], back[end], ids[end] = value, begin, known[0]
+                end += 1
+                if end > n:
+                    break
+                piece = text[begin:end]
+        self.done = max(self.done, limit)
+
+    def _commit(self) -> Iterator[tuple[int, str]]:
         """Follows the paths of all live boundaries back until they meet, and gives out what lies before."""
-        end = len(self.text)
-        live = set(range(max(0, end - self.longest + 1), end + 1))
+        live = {p for p in range(self.done, min(len(self.text), self.done + self.longest) + 1) if self.best[p] > -np.inf}
         while len(live) > 1:
             last = max(live)
             live.discard(last)
@@ -69,20 +93,19 @@ class StreamingViterbi:
         meet = live.pop()
         if meet > 0:
             yield from self._path(meet)
-            self.text = self.text[meet:]
+            self.text, self.done = self.text[meet:], self.done - meet
             self.best = [x - self.best[meet] for x in self.best[meet:]]
-            self.back = [0, *(x - meet for x in self.back[meet + 1 :])]
+            self.back = [0, *(max(x - meet, 0) for x in self.back[meet + 1 :])]
+            self.ids = self.ids[meet:]
 
-    def _path(self, end: int) -> list[str]:
+    def _path(self, end: int) -> list[tuple[int, str]]:
         out = []
         while end > 0:
-            out.append(self.text[self.back[end] : end])
-            end = self.back[end]
+            begin = self.back[end]
+            out.append((self.ids[end], self.text[begin] if self.ids[end] < 0 else ""))
+            end = begin
         return out[::-1]
 
-    def finish(self) -> list[str]:
-        return self._path(len(self.text))
-
 
 class Model(dict):
     """The pieces of a model file; as a dict, the ids (int32 as bytes) of words seen before, bound of them at most."""
@@ -107,53 +130,25 @@ class Model(dict):
             self.output[i] = bytes([b])
         self.bound = bound
 
-    def _ids(self, pieces: Iterator[str] | list[str]) -> Iterator[int]:
-        for p in pieces:
-            if p in self.pieces:
-                yield self.pieces[p][0]
+    def _ids(self, found: Iterator[tuple[int, str]] | list[tuple[int, str]]) -> Iterator[int]:
+        for i, char in found:
+            if i >= 0:
+                yield i
             elif self.byte_ids:
-                yield from (self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
+                yield from (self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
             else:
                 yield self.unk
 
     def segment(self, text: str) -> list[int]:
         """Any text, in a window of bounded length."""
-        search = StreamingViterbi(self.pieces, self.longest, self.unknown)
+        search = StreamingViterbi(self)
+        if len(text) <= 2 * self.longest:
+            return [*self._ids(search.finish(text))]
         return [*self._ids(search.feed(text)), *self._ids(search.finish())]
 
-    def segment_word(self, text: str) -> list[int]:
-        """A short stretch, which is a window of its own: the same recurrence, following pieces forward."""
-        n, get, begins, unknown = len(text), self.pieces.get, self.begins, self.unknown
-        best, back, ids = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
-        for begin in range(n):
-            so_far = best[begin]
-            end = begin + 1
-            piece = text[begin]
-            if piece not in self.single and so_far + unknown > best[end]:
-                best[end], back[end], ids[end] = so_far + unknown, begin, -1
-            while piece in begins:
-                known = get(piece)
-                if known is not None:
-                    value = so_far + known[1]
-                    if value > best[end]:
-                        best[end], back[end], ids[end] = value, begin, known[0]
-                end += 1
-                if end > n:
-                    break
-                piece = text[begin:end]
-        out: list[int] = []
-        while n > 0:
-            if ids[n] >= 0:
-                out.append(ids[n])
-            else:
-                out += list(self._ids([text[back[n] : n]]))[::-1]
-            n = back[n]
-        return out[::-1]
-
     def __missing__(self, word: str) -> bytes:
         short = len(word) < 64
-        ids = np.asarray(self.segment_word(MARK + word) if short else self.segment(MARK + word), dtype=np.int32).tobytes()
+        ids = np.asarray(self.segment(MARK + word), dtype=np.int32).tobytes()
         if short and len(self) < self.bound:
             self[word] = ids
         return ids

@@ -203,10 +203,11 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, cid_a, cid_b) whose whole sets reach the threshold."""
+    """The pairs (a, b, cid_a, cid_b) whose whole sets reach the threshold, as a written table of a and b."""
     pairs = materialize(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("rep"), F.col("cid_a").alias("cid")).union(pairs.select("b", "cid_b")).distinct()
-    sets = materialize(fetch_sets(docs, materialize(ends, "ends"), k), "shingles")
+    ends = materialize(ends, "ends")
+    sets = materialize(fetch_sets(docs, ends, k), "shingles")
     one = sets.select(F.col("cid").alias("cid_a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("cid").alias("cid_b"), F.col("shingles").alias("set_b"))
 
@@ -220,7 +221,10 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(one, "cid_a").join(two, "cid_b").select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}")
+    links = materialize(pairs.join(one, "cid_a").join(two, "cid_b").select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    for table in (pairs, ends, sets):
+        discard(table)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -319,7 +323,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         classes.join(pairs, "g").join(firsts.select(F.col("g").alias("h"), "first"), "h").where(F.col("cid") != F.col("first.cid"))
         .select(F.col("rep").alias("a"), F.col("first.rep").alias("b"), F.col("cid").alias("cid_a"), F.col("first.cid").alias("cid_b"))
     )
-    first_links = materialize(verify(star, docs, k, percent), "links")
+    first_links = verify(star, docs, k, percent)
     known = components(first_links)
 
     # round 2: group pairs that are not connected yet, expanded to their classes
@@ -330,8 +334,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         met.join(a, F.col("a.g") == met["g"]).join(b, F.col("b.g") == met["h"]).where((F.col("a.comp") != F.col("b.comp")) & ((met["g"] != met["h"]) | (F.col("a.rep") < F.col("b.rep"))))
         .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
     )
-    links = materialize(first_links.union(verify(rest, docs, k, percent)), "links")
-    final = components(links)
+    final = components(first_links.union(verify(rest, docs, k, percent)))
+    for table in (groups, shared, placed):
+        discard(table)
     class_of = classes.select("cid", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("cid", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("comp"))
     own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return every.select("doc_id", "n", "cid").join(class_of, "cid", "left").select(

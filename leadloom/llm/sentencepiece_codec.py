@@ -27,39 +27,40 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from leadloom.llm._common import documents
 
-MARK = "▁"
+MARK, LEAST = "▁", float("-inf")
 _LOADED: dict[str, Model] = {}
 
 
 class StreamingViterbi:
-    """Takes text in parts and yields ids (-1 and the character for one without a piece) as soon as they are certain."""
+    """Takes text in parts and yields ids as soon as they are certain."""
 
     def __init__(self, model: Model):
         self.pieces, self.begins, self.single = model.pieces, model.begins, model.single
-        self.longest, self.unknown = model.longest, model.unknown
+        self.longest, self.unknown, self.without = model.longest, model.unknown, model.without_piece
         self.text, self.done, self.widest = "", 0, 0  # the characters from the last commit on; positions whose pieces are followed
         self.best, self.back, self.ids = [0.0], [0], [-1]  # of each boundary from the last commit on
 
-    def feed(self, chars: str) -> Iterator[tuple[int, str]]:
+    def feed(self, chars: str) -> Iterator[int]:
         for i in range(0, len(chars), 2 * self.longest):
             self._extend(chars[i : i + 2 * self.longest])
             self._follow(len(self.text) - self.longest)
             if self.done > self.longest:
                 yield from self._commit()
 
-    def finish(self, chars: str = "") -> list[tuple[int, str]]:
+    def finish(self, chars: str = "") -> list[int]:
         """The rest, of a last stretch too if it is short."""
         self._extend(chars)
         self._follow(len(self.text))
         return self._path(len(self.text))
 
     def _extend(self, chars: str) -> None:
-        self.text += chars
         n = len(chars)
-        self.best += [-np.inf] * n
+        self.text += chars
+        self.best += [LEAST] * n
         self.back += [0] * n
         self.ids += [-1] * n
-        self.widest = max(self.widest, len(self.text))
+        if len(self.text) > self.widest:
+            self.widest = len(self.text)
 
     def _follow(self, limit: int) -> None:
         """Follow the pieces that start before limit."""
@@ -67,6 +68,8 @@ class StreamingViterbi:
         n = len(text)
         for begin in range(self.done, limit):
             so_far = best[begin]
+            if so_far == LEAST:
+                continue  # no path comes here
             end = begin + 1
             piece = text[begin]
             if piece not in single and so_far + unknown > best[end]:
@@ -83,9 +86,9 @@ class StreamingViterbi:
                 piece = text[begin:end]
         self.done = max(self.done, limit)
 
-    def _commit(self) -> Iterator[tuple[int, str]]:
+    def _commit(self) -> Iterator[int]:
         """Follows the paths of all live boundaries back until they meet, and gives out what lies before."""
-        live = {p for p in range(self.done, min(len(self.text), self.done + self.longest) + 1) if self.best[p] > -np.inf}
+        live = {p for p in range(self.done, min(len(self.text), self.done + self.longest) + 1) if self.best[p] > LEAST}
         while len(live) > 1:
             last = max(live)
             live.discard(last)
@@ -98,12 +101,15 @@ class StreamingViterbi:
             self.back = [0, *(max(x - meet, 0) for x in self.back[meet + 1 :])]
             self.ids = self.ids[meet:]
 
-    def _path(self, end: int) -> list[tuple[int, str]]:
-        out = []
+    def _path(self, end: int) -> list[int]:
+        out, back, ids = [], self.back, self.ids
         while end > 0:
-            begin = self.back[end]
-            out.append((self.ids[end], self.text[begin] if self.ids[end] < 0 else ""))
-            end = begin
+            i = ids[end]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += self.without(self.text[back[end]])[::-1]
+            end = back[end]
         return out[::-1]
 
 
@@ -130,21 +136,15 @@ class Model(dict):
             self.output[i] = bytes([b])
         self.bound = bound
 
-    def _ids(self, found: Iterator[tuple[int, str]] | list[tuple[int, str]]) -> Iterator[int]:
-        for i, char in found:
-            if i >= 0:
-                yield i
-            elif self.byte_ids:
-                yield from (self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
-            else:
-                yield self.unk
+    def without_piece(self, char: str) -> list[int]:
+        return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unk]
 
     def segment(self, text: str) -> list[int]:
         """Any text, in a window of bounded length."""
         search = StreamingViterbi(self)
         if len(text) <= 2 * self.longest:
-            return [*self._ids(search.finish(text))]
-        return [*self._ids(search.feed(text)), *self._ids(search.finish())]
+            return search.finish(text)
+        return [*search.feed(text), *search.finish()]
 
     def __missing__(self, word: str) -> bytes:
         short = len(word) < 64

@@ -19,14 +19,16 @@ from leadloom.streaming import claims
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: SQL of queries whose list floors are fuzzy scores that SQL does not give: it equals them where no lead is on a list.
+UNLISTED: dict[str, str] = {}
 COMPETITORS = ("Blue Widget Inc", "bolt small holdings", "BlueSky Cloud Inc", "red anvil co")
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, whole: bool = True) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = oracle(sql)
+            (ORACLES if whole else UNLISTED)[name] = oracle(sql)
         return f
 
     return add
@@ -274,7 +276,7 @@ def _decided(spark, d):
     return decide.compliance(decide.with_list_hits(_hits(spark, d), *hits, screens))
 
 
-@query("compliance_decision", f"SELECT lead_id, status, status <> 'clear' AS flagged, array_to_string(fl, ',') AS floors, CASE WHEN status = 'clear' AND screen_status = 'skipped' THEN 'not_configured' END AS note FROM {_DECIDED}")
+@query("compliance_decision", f"SELECT lead_id, status, status <> 'clear' AS flagged, array_to_string(fl, ',') AS floors, CASE WHEN status = 'clear' AND screen_status = 'skipped' THEN 'not_configured' END AS note FROM {_DECIDED}", whole=False)
 def _(spark, d):
     return _decided(spark, d).select("lead_id", "status", "flagged", "floors", "note")
 
@@ -288,14 +290,14 @@ _CARD = f"""(SELECT lead_id, c.company, c.status, f.score, f.confidence, f.spend
  FROM {_DECIDED} c JOIN {_FIT} f USING (lead_id))"""
 
 
-@query("scorecard", f"SELECT * FROM {_CARD}")
+@query("scorecard", f"SELECT * FROM {_CARD}", whole=False)
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: evidence state, fit, compliance and next action of every lead."""
     joined = _decided(spark, sf_dir).select("lead_id", "company", "status", "employees", "size_band", "contact_quality").join(_fit(spark, sf_dir), "lead_id")
     return decide.next_action(joined).select("lead_id", "company", "status", "score", "confidence", "spend_tier", "state", "sales_ready", "next_action")
 
 
-@query("tracker_latest", f"SELECT company_key, lead_id, status, score, next_action FROM (SELECT *, lower(trim(company)) AS company_key, row_number() OVER (PARTITION BY lower(trim(company)) ORDER BY lead_id DESC) AS r FROM {_CARD}) WHERE r = 1")
+@query("tracker_latest", f"SELECT company_key, lead_id, status, score, next_action FROM (SELECT *, lower(trim(company)) AS company_key, row_number() OVER (PARTITION BY lower(trim(company)) ORDER BY lead_id DESC) AS r FROM {_CARD}) WHERE r = 1", whole=False)
 def _(spark, d):
     return decide.current_rows(scorecard(spark, d), F.col("company"), F.col("lead_id")).select("company_key", "lead_id", "status", "score", "next_action")
 
@@ -314,7 +316,7 @@ def _(spark, d):
     return decide.contact_quality(view(spark, d, "leads"), view(spark, d, "verifier"))
 
 
-@query("notifications", f"SELECT lead_id, '[' || next_action || '] ' || trim(company) || ' (fit ' || CAST(score AS VARCHAR) || ', ' || confidence || ')' AS subject, 'Compliance: ' || status || chr(10) || 'Cloud usage: ' || state || chr(10) || 'Spend prior: ' || spend_tier AS body FROM {_CARD}")
+@query("notifications", f"SELECT lead_id, '[' || next_action || '] ' || trim(company) || ' (fit ' || CAST(score AS VARCHAR) || ', ' || confidence || ')' AS subject, 'Compliance: ' || status || chr(10) || 'Cloud usage: ' || state || chr(10) || 'Spend prior: ' || spend_tier AS body FROM {_CARD}", whole=False)
 def _(spark, d):
     return decide.notifications(scorecard(spark, d))
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from leadloom.operators import decide
 from leadloom.plans import catalogue
 from leadloom.streaming import claims
 
@@ -37,6 +38,16 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == want and want
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.UNLISTED))
+def test_cascade_without_lists_equals_its_sql(spark, sf_dir, duck, name, monkeypatch):
+    none = {"name_score": "int", "short_hit": "boolean", "domain_score": "int", "second_score": "int", "second_screen": "string"}
+    monkeypatch.setattr(decide, "with_list_hits", lambda cases, *hits: cases.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}))
+    got = catalogue.QUERIES[name](spark, sf_dir)
+    cursor = duck.execute(catalogue.UNLISTED[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(v) for v in r) for r in cursor.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_runs(spark, name):
     df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")

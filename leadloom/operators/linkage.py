@@ -9,7 +9,8 @@ from leadloom import policy
 from leadloom.functions import fuzzy, names
 from leadloom.functions.expr import let
 
-HARD_TOPICS = ("sanction", "sanction.linked", "debarment", "crime", "export.control", "export.risk", "wanted", "role.pep", "asset.frozen", "reg.action", "poi", "corp.disqual")
+#: Topics that end a relationship; crime.* counts too. Fixed values.
+HARD_TOPICS = ("sanction", "sanction.linked", "sanction.counter", "export.control", "export.risk", "debarment", "crime")
 BOARD_PATTERNS = {"greenhouse": r"(?i)(?:boards|job-boards)\.greenhouse\.io/([a-z0-9_-]+)", "lever": r"(?i)jobs\.lever\.co/([a-z0-9_-]+)", "ashby": r"(?i)jobs\.ashbyhq\.com/([a-z0-9_-]+)"}
 RESERVED = ("features", "pricing", "about", "login", "join", "topics", "collections", "sponsors", "settings", "orgs", "apps", "marketplace", "security", "enterprise", "readme", "site", "contact")
 PROVIDER_WORDS = {"AWS": r"(?i)\b(?:aws|amazon web services|ec2|eks)\b", "Azure": r"(?i)\b(?:microsoft azure|azure|aks)\b", "GCP": r"(?i)\b(?:gcp|google cloud|gke)\b", "OCI": r"(?i)\b(?:oracle cloud|oci)\b"}

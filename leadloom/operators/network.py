@@ -18,8 +18,13 @@ CNAME_RULES = (
 HOLDERS = (("AMAZON", "AWS"), ("MICROSOFT", "Azure"), ("GOOGLE", "GCP"), ("ORACLE", "OCI"))
 EDGE_HOLDERS = ("CLOUDFLARE", "FASTLY", "AKAMAI")
 PREFERRED = ("api", "app", "www", "files", "assets", "cdn", "status", "auth", "docs", "data", "static")
-#: First and last address and why it is no public one.
-NOT_PUBLIC = (("0.0.0.0/8", "this_network"), ("10.0.0.0/8", "private"), ("100.64.0.0/10", "shared"), ("127.0.0.0/8", "loopback"), ("169.254.0.0/16", "link_local"), ("172.16.0.0/12", "private"), ("192.168.0.0/16", "private"), ("224.0.0.0/3", "multicast_or_reserved"))
+#: Ranges of addresses that are no public ones, and why: fixed values of the address registries.
+NOT_PUBLIC = (
+    ("0.0.0.0/8", "this_network"), ("10.0.0.0/8", "private"), ("100.64.0.0/10", "shared"), ("127.0.0.0/8", "loopback"), ("169.254.0.0/16", "link_local"), ("172.16.0.0/12", "private"), ("192.0.0.0/24", "protocol"),
+    ("192.0.2.0/24", "documentation"), ("192.168.0.0/16", "private"), ("198.18.0.0/15", "benchmarking"), ("198.51.100.0/24", "documentation"), ("203.0.113.0/24", "documentation"), ("224.0.0.0/3", "multicast_or_reserved"),
+)
+#: Digits, letters and dots of wide scripts that resolvers read as plain ones.
+WIDE, PLAIN = "０１２３４５６７８９ａｂｃｄｅｆｘ。．｡", "0123456789abcdefx..."
 
 
 def ipv4(text: Column) -> Column:
@@ -88,12 +93,85 @@ def address_class(ip: Column) -> Column:
     return out.otherwise("public")
 
 
+def legacy_ipv4(text: Column) -> Column:
+    """An address as resolvers read it: one to four parts, each decimal, octal or hexadecimal, the last one filling the bytes left; null where it is none."""
+    digits = lambda p: F.regexp_replace(p, "^(?:0x0*|0+)(?=.)", "")
+    base = lambda p: F.when(p.rlike("^0x[0-9a-f]+$"), 16).when(p.rlike("^0[0-7]*$"), 8).when(p.rlike("^[1-9][0-9]*$"), 10)
+    # conv needs a literal base; twelve digits hold every address in any of the three
+    read = lambda p: F.when(F.length(digits(p)) <= 12, F.when(base(p) == 16, F.conv(digits(p), 16, 10)).when(base(p) == 8, F.conv(digits(p), 8, 10)).when(base(p) == 10, p)).cast("bigint")
+    shaped = text.rlike(r"^(?:0x[0-9a-f]+|[0-9]+)(?:\.(?:0x[0-9a-f]+|[0-9]+)){0,3}$")
+
+    def number(p: Column) -> Column:
+        out = None
+        for n in range(1, 5):
+            fits = F.forall(F.slice(p, 1, n - 1), lambda x: F.coalesce(x <= 255, F.lit(False))) & F.coalesce(p[n - 1] < 256 ** (5 - n), F.lit(False)) if n > 1 else F.coalesce(p[0] < 256**4, F.lit(False))
+            value = F.when(fits, sum((p[i] * 256 ** (3 - i) for i in range(n - 1)), F.lit(0).cast("bigint")) + p[n - 1])
+            out = F.when(F.size(p) == n, value) if out is None else out.when(F.size(p) == n, value)
+        return out
+
+    return F.when(shaped, let(F.transform(F.split(text, r"\."), read), number))
+
+
+def ipv6_groups(text: Column) -> Column:
+    """The eight groups of an address without brackets as numbers; null where it is none. A zone is left out; the last two groups may be dotted."""
+    tail = F.regexp_extract(text, r":([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1)
+    dotted = let(ipv4(tail), lambda n: F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.conv(F.shiftright(n, 16).cast("string"), 10, 16), F.lit(":"), F.conv((n % 65536).cast("string"), 10, 16)))
+    bare = F.lower(F.when(tail == "", text).otherwise(dotted))
+    list_of = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))
+
+    def filled(t: Column) -> Column:
+        sides = F.split(t, "::", -1)
+        left, right = list_of(sides[0]), list_of(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+        gap = F.lit(8) - F.size(left) - F.size(right)
+        whole = F.when((F.size(sides) == 1) & (gap == 0), left).when((F.size(sides) == 2) & (gap > 0), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right))
+        return F.when(F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(whole, lambda g: F.conv(g, 16, 10).cast("bigint")))
+
+    return let(F.regexp_replace(bare, "%.*$", ""), filled)
+
+
+def ipv6_class(groups: Column) -> Column:
+    """Why an address of eight groups is no public one, or public; a mapped one is judged by the address that it holds."""
+
+    def judged(g: Column) -> Column:
+        starts = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
+        protocol = (g[0] == 0x2001) & (g[1] < 0x200) & ~((g[1] == 3) | ((g[1] == 4) & (g[2] == 0x112)) | g[1].between(0x20, 0x3F))
+        return (
+            F.when(starts(5) & (g[5] == 0xFFFF), address_class(g[6] * 65536 + g[7])).when(starts(7) & (g[7] == 1), "loopback").when(starts(8), "this_network")
+            .when(g[0].between(0xFC00, 0xFDFF), "private").when(g[0].between(0xFE80, 0xFEBF), "link_local").when(~g[0].between(0x2000, 0x3FFF), "multicast_or_reserved")
+            .when(((g[0] == 0x2001) & (g[1] == 0xDB8)) | ((g[0] == 0x3FFF) & (g[1] < 0x1000)), "documentation").when(protocol | (g[0] == 0x2002), "protocol").otherwise("public")
+        )
+
+    return let(groups, judged)
+
+
+def url_host(url: Column) -> Column:
+    """The host of an address as the resolver sees it: lower case, plain digits and dots, no brackets, port or dots at its end."""
+    authority = F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), "^[a-z][a-z0-9+.-]*://", ""), r"[/?#\\].*$", "")
+    host = F.translate(F.regexp_replace(authority, "^.*@", ""), WIDE, PLAIN)
+    named = F.regexp_replace(F.regexp_replace(host, ":[0-9]*$", ""), r"\.+$", "")
+    return F.when(host.startswith("["), F.regexp_extract(host, r"^\[([^\]]*)\]", 1)).otherwise(named)
+
+
+def literal_class(host: Column) -> Column:
+    """The class of a host that is an address in any spelling; null for a name."""
+    four = lambda h: let(legacy_ipv4(h), lambda n: F.when(n.isNotNull(), address_class(n)))
+    six = lambda h: let(ipv6_groups(h), lambda g: F.when(g.isNotNull(), ipv6_class(g)))
+    return let(host, lambda h: F.when(h.contains(":"), F.coalesce(six(h), F.lit("no_host"))).otherwise(four(h)))
+
+
 def url_safety(url: Column) -> Column:
-    """ok, or the first rule that a submitted address breaks."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(url), "^[a-z][a-z0-9+.-]*://", ""), "[/?#].*$", "")
-    kind = lambda h: let(ipv4(F.regexp_replace(h, ":[0-9]+$", "")), lambda n: F.when(n.isNotNull(), address_class(n)))
-    judged = lambda h: F.when(h.contains("@"), "credentials").when(h == "", "no_host").otherwise(let(kind(h), lambda k: F.when(k != "public", k).otherwise("ok")))
-    return F.when(~F.lower(url).rlike("^https?://"), "bad_scheme").otherwise(let(host, judged))
+    """ok, or the first rule that a submitted address breaks. A null address has no scheme; a name passes, see resolved_safety."""
+    given = F.coalesce(url, F.lit(""))
+    authority = F.regexp_replace(F.regexp_replace(F.lower(F.trim(given)), "^https?://", ""), r"[/?#\\].*$", "")
+    judged = lambda h: F.when(h == "", "no_host").otherwise(let(literal_class(h), lambda k: F.when(k != "public", k).otherwise("ok")))
+    return F.when(~F.lower(F.trim(given)).rlike("^https?://"), "bad_scheme").when(authority.contains("@"), "credentials").otherwise(let(url_host(given), judged))
+
+
+def resolved_safety(urls: DataFrame, answers: DataFrame) -> DataFrame:
+    """url, verdict: url_safety, and for names resolves_private where any answer is no public address. answers: host, ip (as text)."""
+    refused = answers.select(F.lower("host").alias("host"), F.coalesce(literal_class(F.lower("ip")) != "public", F.lit(False)).alias("bad")).groupBy("host").agg(F.bool_or("bad").alias("bad"))
+    named = urls.select("url").withColumns({"host": url_host(F.col("url")), "verdict": url_safety(F.col("url"))})
+    return named.join(refused, "host", "left").select("url", F.when((F.col("verdict") == "ok") & F.col("bad"), "resolves_private").otherwise(F.col("verdict")).alias("verdict"))
 
 
 def top_subdomains(names: DataFrame, limit: int = 30) -> DataFrame:

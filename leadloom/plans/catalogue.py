@@ -333,9 +333,17 @@ def _(spark, d):
 
 
 def _urls(spark, d):
-    dotted = F.concat_ws(".", *[F.floor(F.col("ip") / k) % 256 for k in (16777216, 65536, 256, 1)])
-    scheme = F.when(F.col("ip") % 7 == 0, "ftp://").when(F.col("ip") % 11 == 0, "http://u:p@").otherwise("http://")
-    return view(spark, d, "ips").select("ip", F.concat(scheme, dotted, F.lit("/x")).alias("url"))
+    """Each address in one of eight spellings, by ip % 8, with and without a port."""
+    ip = F.col("ip")
+    part = lambda k: F.floor(ip / k).cast("long") % 256
+    dotted = F.concat_ws(".", *map(part, (16777216, 65536, 256, 1)))
+    hexed = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+    groups = F.concat(F.lower(F.hex(F.floor(ip / 65536).cast("long"))), F.lit(":"), F.lower(F.hex(ip % 65536)))
+    short = F.concat_ws(".", part(16777216), ip % 16777216)
+    spelled = [dotted, ip.cast("string"), F.concat(F.lit("0"), F.conv(ip.cast("string"), 10, 8)), F.concat_ws(".", *[hexed(part(k)) for k in (16777216, 65536, 256, 1)]), short, F.concat(dotted, F.lit(".")), F.concat(F.lit("[::ffff:"), dotted, F.lit("]")), F.concat(F.lit("[::FFFF:"), groups, F.lit("]"))]
+    host = F.get(F.array(*[s.cast("string") for s in spelled]), (ip % 8).cast("int"))
+    scheme = F.when(ip % 7 == 0, "ftp://").when(ip % 11 == 0, "http://u:p@").otherwise("http://")
+    return view(spark, d, "ips").select("ip", F.concat(scheme, host, F.when(ip % 3 == 0, ":8080").otherwise(""), F.lit("/x")).alias("url"))
 
 
 _RANGES_SQL = " ".join(f"WHEN ip BETWEEN {(a := int.from_bytes(bytes(map(int, c.split('/')[0].split('.'))), 'big'))} AND {a + (1 << (32 - int(c.split('/')[1]))) - 1} THEN '{w}'" for c, w in network.NOT_PUBLIC)
@@ -400,7 +408,7 @@ def _(spark, d):
     return view(spark, d, "messages").select("doc_id", mail.sender_class(F.col("from_addr")).alias("kind"), mail.site_root(F.col("from_addr")).alias("site"))
 
 
-_FLAGS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in mail.FLAGS.items()) + ")"
+_FLAGS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in mail.FLAGS.items()) + ")"
 
 
 @query("injection_flags", f"SELECT doc_id, {_FLAGS} AS flags FROM [seeded]")

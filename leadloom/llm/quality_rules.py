@@ -84,24 +84,36 @@ def host_verdicts(
     hosts = ruled.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("host_docs"), F.sum(failed.cast("long")).alias("host_failures")
     )
-    rate = F.col("host_failures") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v")).first()
-    mean = min(max(prior["m"] if prior["m"] is not None else 0.5, 1e-6), 1 - 1e-6)
-    # method of moments: the between-host variance fixes the prior's strength, kept between 1 and 10^6 documents
-    strength = min(max(mean * (1 - mean) / max(prior["v"], 1e-9) - 1, 1.0), 1e6)
+    # rates to twelve places add up alike in any order
+    rate = (F.col("host_failures") / F.col("host_docs")).cast("decimal(16,12)")
+    chance = (F.col("rate") * (1 - F.col("rate")) / F.col("host_docs")).cast("decimal(16,12)")
+    rates = hosts.select(rate.alias("rate"), "host_docs")
+    square = (F.col("rate") * F.col("rate")).cast("decimal(16,12)")
+    sums = rates.agg(F.count("rate").alias("n"), F.sum("rate").alias("r"), F.sum(square).alias("r2"), F.sum(chance).alias("c")).first()
+    n = max(sums["n"], 1)
+    average, noise = float(sums["r"] if sums["n"] else 0.5) / n, float(sums["c"] or 0) / n
+    mean = min(max(average, 1e-6), 1 - 1e-6)
+    # method of moments: what varies between hosts beyond chance fixes the prior's strength, between 1 and 10^6 documents
+    between = max(float(sums["r2"] or 0) / n - average * average - noise, 1e-9)
+    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6)
     shrunk = (F.col("host_failures") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
     return hosts.withColumn("host_rate", shrunk).withColumn("host_ok", F.col("host_rate") <= max_host_rate)
 
 
 def apply_quality_rules(docs: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """Documents without their text, with rule counts, base_failed, the host's shrunk rate and kept."""
+    """Documents without their text, with rule counts, base_failed, the host's shrunk rate and kept.
+
+    Columns of docs named host_rate, host_ok or kept are replaced; all others stay as they are.
+    """
     ruled = materialize(document_rules(docs, text), "quality")
     verdicts = host_verdicts(ruled, host, **limits).select("host", "host_rate", "host_ok")
     clash = [c for c in ("host_rate", "host_ok", "kept") if c in ruled.columns]
-    left = ruled.drop(*clash).withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("\x00none")))
-    right = verdicts.withColumn("_host", F.coalesce(F.col("host").cast("string"), F.lit("\x00none"))).drop("host")
-    return left.join(right, "_host", "left").drop("_host").withColumn(
-        "kept", ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))
+    own = ruled.drop(*clash)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00none"))
+    left = own.select(F.struct(*own.columns).alias("row"), key(host).alias("joined_host"))
+    right = verdicts.select(key("host").alias("joined_host"), "host_rate", "host_ok")
+    return left.join(right, "joined_host", "left").select(
+        "row.*", "host_rate", "host_ok", (~F.col("row.base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))).alias("kept")
     )
 
 
@@ -131,7 +143,7 @@ b AS (SELECT c.*, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
 h AS (SELECT source, count(*) AS n,
              sum(CASE WHEN base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines THEN 1 ELSE 0 END) AS k
       FROM b GROUP BY source),
-p AS (SELECT least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS m, coalesce(var_pop(k / n), 0) AS v FROM h),
+p AS (SELECT least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS m, coalesce(var_pop(k / n), 0) - coalesce(avg(k / n * (1 - k / n) / n), 0) AS v FROM h),
 q AS (SELECT m, least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 1.0), 1e6) AS a FROM p),
 o AS (SELECT source, (k + m * a) / (n + a) <= 0.5 AS ok FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept

@@ -108,3 +108,24 @@ def test_op5_equals_python(spark, sf_dir):
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == quality(texts[r.doc_id])
         assert r.kept == (not r.base_failed)
+
+
+def test_failing_hosts_take_their_documents_along(spark):
+    """Hosts by brute force: one fails throughout by symbols, one by chance once, one has no name."""
+    clean = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, clean + " #" * 12, "bad", i, "x") for i in range(40)] + [(100, clean, "bad", 7, "y")] + [(200 + i, clean, f"good{i % 5}", 1, None) for i in range(50)] + [(300, clean + " # # # # # # # #", "good1", 1, None), (400, "few", None, 2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, joined_host int, _host string")
+    out = apply_quality_rules(docs).collect()
+    hosts = {}
+    for i, text, host, *_ in rows:
+        n = len(text.split())
+        hosts.setdefault(host, []).append(n < 50 or 100 * text.count("#") > 10 * n)
+    rates = {h: sum(f) / len(f) for h, f in hosts.items()}
+    mean = sum(rates.values()) / len(rates)
+    between = sum(r * r for r in rates.values()) / len(rates) - mean**2 - sum(r * (1 - r) / len(hosts[h]) for h, r in rates.items()) / len(rates)
+    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6)
+    shrunk = {h: (sum(f) + mean * strength) / (len(f) + strength) for h, f in hosts.items()}
+    assert {r.doc_id: r.host_rate for r in out} == pytest.approx({r[0]: shrunk[r[2]] for r in rows})
+    assert {r.doc_id: r.kept for r in out} == {r[0]: shrunk[r[2]] <= 0.5 and len(r[1].split()) >= 50 for r in rows}
+    assert not any(r.kept for r in out if r.source == "bad") and all(r.kept for r in out if r.source == "good1")
+    assert {r.doc_id: (r.joined_host, r["_host"]) for r in out} == {r[0]: (r[3], r[4]) for r in rows}

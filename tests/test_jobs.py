@@ -169,7 +169,7 @@ def test_decisions_hold_listed_names(spark, sf_dir):
     con = duckdb.connect()
     for t in ("customer", "nation", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    plain = {i: (s, f) for i, s, f in con.execute(f"SELECT lead_id, status, floors FROM ({catalogue.ORACLES['compliance_decision']})").fetchall()}
+    plain = {i: (s, f) for i, s, f in con.execute(f"SELECT lead_id, status, floors FROM ({catalogue.UNLISTED['compliance_decision']})").fetchall()}
     got = {r.lead_id: r for r in catalogue.QUERIES["compliance_decision"](spark, sf_dir).collect()}
     assert len(got) == len(leads) and set(got) == set(plain)
     met = 0

@@ -6,9 +6,12 @@ abuse that is negated, abuse that is reported. A document's score is a logistic
 for each kind.
 
 The word classes are the fixed words below plus insults learned from labelled rows: words and stems that occur almost only
-in toxic documents, in many different contexts (so that copies of one document teach nothing). The weights are fitted to all
-labelled training rows (max_labelled of them, if there are more), counted by their clause counts, which are at most (CAP + 1)^6 combinations. Rows whose
-crc32(doc_id) mod 5 is 0 are never learned from.
+in toxic documents, in many different contexts (so that copies of one document teach nothing). Words of every length and place
+count, and every word and stem that meets the criteria is kept. The weights are fitted to all labelled training rows. Learning
+reads max_labelled rows, if there are more; that alone bounds what comes to the driver: the learned terms, each of which needs
+min_support of those rows, and the distinct clause counts of those rows. Every clause of a text counts, on a logarithmic scale,
+so that each further one says less. Rows whose crc32(doc_id)
+mod 5 is 0 are never learned from.
 
 Defined results: a null or empty text has no clauses and gets the score of a text without any; a null doc_id is scored
 and counts as not held out; repeated rows are scored one by one; without labels the default weights hold; other columns are
@@ -39,7 +42,6 @@ WORDS = {
     REPORT: "said says wrote claimed reported quoted sagte schrieb dit écrit dijo escribió".split(),
 }
 KINDS = ("insult", "targeted_insult", "threat", "targeted_threat", "negated", "reported")
-CAP = 3
 DEFAULT = (-2.0, 2.5, 3.0, 2.5, 3.5, 1.0, 1.0)
 CLAUSE, WORD = re.compile(r"[.!?;\n]+"), re.compile(r"[^\W\d_]+")
 
@@ -121,7 +123,7 @@ class Matcher:
                 for word in WORD.findall(clause):
                     state = self.table[state][self.class_of(word)]
                 if kind := self.kinds[state]:
-                    out[kind - 1] = min(CAP, out[kind - 1] + 1)
+                    out[kind - 1] += 1
         return out
 
 
@@ -139,21 +141,21 @@ def training_labels(labels: DataFrame, max_labelled: int = 200_000) -> DataFrame
 
 
 def learn_words(
-    docs: DataFrame, labels: DataFrame, min_support: int = 8, min_precision: float = 0.9, stem_precision: float = 0.97, max_terms: int = 4000, max_labelled: int = 200_000
+    docs: DataFrame, labels: DataFrame, min_support: int = 8, min_precision: float = 0.9, stem_precision: float = 0.97, max_labelled: int = 200_000
 ) -> tuple[list[str], list[str]]:
-    """Words and stems that mark toxic training documents. max_terms bounds what comes to the driver: the best supported ones."""
+    """Words and stems that mark toxic training documents; words that such a stem covers are left out."""
     body = docs.select("doc_id", "text").join(training_labels(labels, max_labelled), "doc_id")
     ws = F.split(F.lower("text"), r"[^\p{L}]+")
-    after = F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0)))
-    pairs = F.array_sort(F.zip_with(after, ws, lambda word, prev: F.struct(F.coalesce(word, F.lit("")).alias("word"), prev.alias("prev"))))
+    before = F.concat(F.array(F.lit("")), ws)  # one longer than ws: its last pair has no word and goes with the empty ones
+    pairs = F.array_sort(F.zip_with(ws, before, lambda word, prev: F.struct(F.coalesce(word, F.lit("")).alias("word"), prev.alias("prev"))))
     # each word once per document, whatever its length
     once = let(pairs, lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["word"] != x["word"])))
-    seen = body.select("toxic", F.explode(once).alias("p")).select("toxic", "p.word", F.pmod(F.hash("p.prev"), F.lit(63)).alias("bit")).where(F.length("word").between(3, 40))
+    seen = body.select("toxic", F.explode(once).alias("p")).select("toxic", "p.word", F.pmod(F.hash("p.prev"), F.lit(63)).alias("bit")).where(F.col("word") != "")
     many = lambda k: F.bit_count("contexts") * 2 >= F.least(k, F.lit(40))
     vocabulary = materialize(
-        seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("contexts")).where("n > 1"), "vocabulary"
+        seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("contexts")), "vocabulary"
     )
-    top = lambda df, c: [r[c] for r in df.orderBy(F.desc("k"), c).limit(max_terms).collect()]
+    terms = lambda df, c: sorted(r[c] for r in df.select(c).collect())
     marked = vocabulary.where((F.col("k") >= min_support) & (F.col("k") >= min_precision * F.col("n")) & many(F.col("k")))
     prefixes = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda n: F.substring("word", F.lit(1), n))).alias("stem"), "word", "n", "k", "contexts").where(F.length("word") > F.length("stem"))
     stems = (
@@ -161,15 +163,15 @@ def learn_words(
         .where((F.col("forms") >= 5) & (F.col("k") >= 3 * min_support) & (F.col("k") >= stem_precision * F.col("n")) & many(F.col("k")))
     )
     chosen: list[str] = []
-    for s in sorted(top(stems, "stem"), key=len):
+    for s in sorted(terms(stems, "stem"), key=len):
         if not any(s.startswith(c) for c in chosen):
             chosen.append(s)
     cover = tuple(chosen)
-    return [w for w in top(marked, "word") if not (cover and w.startswith(cover))], chosen
+    return [w for w in terms(marked, "word") if not (cover and w.startswith(cover))], chosen
 
 
 def clause_counts(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
-    """Adds clauses: how many of each kind, CAP at most."""
+    """Adds clauses: how many of each kind."""
 
     @F.pandas_udf("array<int>")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -185,7 +187,7 @@ def fit_weights(counted: DataFrame, labels: DataFrame, max_labelled: int = 200_0
     rows = counted.select("doc_id", "clauses").join(training_labels(labels, max_labelled), "doc_id").groupBy("clauses").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).collect()
     if not rows or sum(r["k"] for r in rows) in (0, sum(r["n"] for r in rows)):
         return DEFAULT
-    x = np.asarray([[1, *r["clauses"]] for r in rows], dtype=float)
+    x = np.asarray([[1, *np.log2(np.asarray(r["clauses"]) + 1.0)] for r in rows], dtype=float)
     n, k = (np.asarray([r[c] for r in rows], dtype=float) for c in ("n", "k"))
     w, ridge = np.asarray(DEFAULT), np.diag([1e-6, *[1.0] * len(KINDS)])
     for _ in range(50):
@@ -210,7 +212,7 @@ def score_documents(docs: DataFrame, learned_from: DataFrame, labels: DataFrame,
         scored = clause_counts(docs, grammar)
     total = F.lit(weights[0])
     for i, w in enumerate(weights[1:]):
-        total = total + F.col("clauses")[i] * F.lit(w)
+        total = total + F.log2(F.col("clauses")[i] + F.lit(1.0)) * F.lit(w)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
     return scored.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("clauses")
 

@@ -5,9 +5,10 @@ conversion record (text/plain). Both refer to the response by WARC-Refers-To and
 and payload digest are preserved, and each block carries its own SHA-1 digest in base 32. Only built-in expressions are
 used, row by row, so nothing is shuffled.
 
-Defined results: a null payload is an empty one and a null URI or date gives an empty header value; repeated responses
-give repeated records with the same identifiers (identifiers derive from the source's); an empty table gives no records;
-other columns are not read.
+Defined results: a null payload is an empty one and a null URI or date gives an empty header value; line breaks in header
+values are percent-encoded; repeated responses give repeated records with the same identifiers (identifiers derive from the
+source's); an empty table gives no records; other columns are not read. As browsers do, a comment, script, style, title or
+noscript that never closes reaches to the end of the page. Every expression takes time in proportion to the page, however long.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from leadloom.llm._common import let
 HEX_DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Character references by name that are decoded, besides numeric ones.
 NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
-UNSEEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>|<noscript\b[^>]*>.*?</noscript\s*>"
+#: Every start of an unseen element ends somewhere, at the page's end at the latest, so that no part is read twice.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{e}\b[^>]*+(?:>.*?(?:</{e}\s*+>|\z)|\z)" for e in ("script", "style", "title", "noscript"))
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|body|blockquote|pre)\b[^>]*>"
 
 
@@ -41,15 +43,14 @@ def decoded(text: Column) -> Column:
     """Numeric, then named references, the ampersand last."""
 
     def numeric(t: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(t, F.lit("&#([0-9]{1,7});"), F.lit(1)))
-
-        def put(acc: Column, code: Column) -> Column:
-            n = code.cast("int")
-            valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        def put(part: Column, i: Column) -> Column:
+            code = F.regexp_extract(part, "^([0-9]{1,7});", 1)
+            n = code.try_cast("int")
+            valid = (i > 0) & (n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF))
             char = F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
-            return F.when(valid, F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char)).otherwise(acc)
+            return F.when(valid, F.concat(char, F.substring(part, F.length(code) + 2, F.length(part)))).when(i == 0, part).otherwise(F.concat(F.lit("&#"), part))
 
-        return F.when(F.size(codes) > 0, F.aggregate(codes, t, put)).otherwise(t)
+        return F.when(t.contains("&#"), F.array_join(F.transform(F.split(t, "&#"), put), "")).otherwise(t)
 
     out = let(text, numeric)
     for name, char in NAMED:
@@ -59,13 +60,19 @@ def decoded(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Visible text: unseen elements go, block tags end lines, other tags vanish, white space is squeezed."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), BREAKS, "\n"), r"<[^>]*>", "")
-    squeezed = F.regexp_replace(decoded(bare), r"[ \t\f\r\x0B]+", " ")
+
+    def bare(seen: Column) -> Column:
+        # behind the last > no tag ends, and before it every one does
+        tail = F.substring_index(seen, ">", -1)
+        head = F.left(seen, F.length(seen) - F.length(tail))
+        return F.concat(F.regexp_replace(F.regexp_replace(head, BREAKS, "\n"), "<[^>]*>", ""), tail)
+
+    squeezed = F.regexp_replace(decoded(let(F.regexp_replace(html, UNSEEN, ""), bare)), r"[ \t\f\r\x0B]+", " ")
     return F.regexp_replace(F.regexp_replace(squeezed, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def title_of(html: Column) -> Column:
-    return F.trim(F.regexp_replace(decoded(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1)), r"[ \t\n\f\r\x0B]+", " "))
+    return F.trim(F.regexp_replace(decoded(F.regexp_extract(html, r"(?is)<title\b[^>]*+(?:>(.*?)(?:</title|\z)|\z)", 1)), r"[ \t\n\f\r\x0B]+", " "))
 
 
 def derive(responses: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def derive(responses: DataFrame) -> DataFrame:
         (F.length("payload") - F.length(F.regexp_replace("payload", r"(?i)<a\s", "<a"))).alias("outlinks"), F.octet_length("payload").alias("payload_bytes"), urn("metadata", F.col("refers_to")).alias("mid"), urn("conversion", F.col("refers_to")).alias("cid"),
     )
     fields = F.concat(
-        F.lit("title: "), F.col("title"), F.lit("\r\nsourceHeaders: "), F.regexp_replace("http", r"\r?\n", " | "), F.lit("\r\nsourcePayloadDigest: "), F.col("payload_digest"),
+        F.lit("title: "), F.col("title"), F.lit("\r\nsourceHeaders: "), F.regexp_replace("http", r"\r\n?|\n", " | "), F.lit("\r\nsourcePayloadDigest: "), F.col("payload_digest"),
         F.lit("\r\nsourcePayloadLength: "), F.col("payload_bytes").cast("string"), F.lit("\r\noutlinks: "), F.col("outlinks").cast("string"), F.lit("\r\nhasConversion: "), F.col("cid"), F.lit("\r\n"),
     )
     one = lambda kind, own, other, mime, block: F.struct(
@@ -93,7 +100,8 @@ def derive(responses: DataFrame) -> DataFrame:
     rows = known.select("refers_to", "target_uri", "warc_date", "payload_digest", F.explode(both).alias("d")).select("refers_to", "target_uri", "warc_date", "payload_digest", "d.*")
     whole = rows.withColumns({"block_digest": sha1_base32(F.col("block")), "content_length": F.octet_length("block").cast("long")})
     lines = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "linked_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
-    header = F.concat(F.lit("WARC/1.1\r\n"), *[F.concat(F.lit(f"{k}: "), F.col(c).cast("string"), F.lit("\r\n")) for k, c in lines], F.lit("\r\n"))
+    one_line = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    header = F.concat(F.lit("WARC/1.1\r\n"), *[F.concat(F.lit(f"{k}: "), one_line(c), F.lit("\r\n")) for k, c in lines], F.lit("\r\n"))
     return whole.withColumn("header", header)
 
 

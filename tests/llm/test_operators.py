@@ -3,11 +3,15 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from html import unescape
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from leadloom.llm import jaccard_join, maxscore, packing, resharding, sentencepiece_codec, toxicity, warc
@@ -317,6 +321,80 @@ def test_grammar_composes():
     assert count(None) == count("") == count("you said not") == [0] * 6
 
 
+def test_warc_hostile_pages(spark):
+    n = 40_000
+    hostile = ["<script>" * n, "<script " * n, "<!--" * n, "<" * n * 4, "<p " * n, "<title>" * n, "<title " * n, "</script   " * n, "".join(f"&#{i};" for i in range(33, n)), "<style>a</style" * n + ">", "&#" * n, " \n" * n]
+    rows = spark.createDataFrame([(str(i), "http://a/\r\nX: y", None, "A\rB", h) for i, h in enumerate(hostile)], "record_id string, target_uri string, warc_date string, http_headers string, payload string")
+    began = time.time()
+    got = {r.refers_to: r for r in warc.derive(rows).where("warc_type = 'conversion'").collect()}
+    assert time.time() - began < 30 and len(got) == len(hostile)
+    assert got["3"].block == hostile[3] and got["10"].block == hostile[10] and got["0"].block == got["2"].block == got["9"].block == got["11"].block == ""
+    assert got["8"].block == "".join(chr(i) for i in range(33, n))
+    assert "Target-URI: http://a/%0D%0AX: y\r\n" in got["0"].header
+
+
+def test_warc_no_rows_and_other_columns(spark):
+    rows = spark.createDataFrame([("r", "u", "d", "h", "<p>a</p>b", "x", "y")], "record_id string, target_uri string, warc_date string, http_headers string, payload string, block string, header string")
+    assert warc.derive(rows.limit(0)).count() == 0 and [r.block for r in warc.derive(rows).where("warc_type = 'conversion'").collect()] == ["a\nb"]
+
+
+def test_warc_text_against_a_parser(spark, sf_dir):
+    class Seen(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.parts = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "title", "noscript")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "title", "noscript")
+
+        def handle_data(self, data):
+            if self.hidden <= 0:
+                self.parts.append(data)
+
+    def words_of(html):
+        parser = Seen()
+        parser.feed(html)
+        parser.close()
+        return "".join("".join(parser.parts).split())
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    sources = {r.record_id: r.payload for r in warc.pages_as_responses(pages).collect()}
+    rows = warc.derive(warc.pages_as_responses(pages)).where("warc_type = 'conversion'").collect()
+    # names beyond warc.NAMED stay as they are
+    same = sum("".join(unescape(r.block).split()) == words_of(sources[r.refers_to]) for r in rows)
+    assert same >= 0.99 * len(rows), (same, len(rows))
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Words learned, clauses counted and scores given again in plain Python, without any bound on terms, lengths or clauses."""
+    long = "q" * 45
+    toxic = [f"Vorak {w} und {w}{i} da. {long} {w}x! ok" + " idiot!" * (i % 9) for i, w in enumerate(f"w{a}{b}" for a in "abcdefgh" for b in "ijklm")]
+    clean = [f"das {w}{i} ist gut. und {i} mehr" for i, w in enumerate(f"v{a}{b}" for a in "abcdefgh" for b in "ijklm")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(toxic + clean)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < len(toxic)).cast("int").alias("toxic"))
+    learned = toxicity.learn_words(docs, labels)
+    training = [(t, int(i < len(toxic))) for i, t in enumerate(toxic + clean) if zlib.crc32(str(i).encode()) % 5]
+    in_docs, hits, contexts = Counter(), Counter(), defaultdict(set)
+    for text, label in training:
+        found = [w for w in regex.split(r"[^\p{L}]+", text.lower())]
+        for w in {w for w in found if w}:
+            in_docs[w] += 1
+            hits[w] += label
+        for before, w in zip(["", *found], found):
+            contexts[w].add(before)
+    sure = {w for w in in_docs if hits[w] >= 8 and hits[w] >= 0.9 * in_docs[w]}
+    assert set(learned[0]) <= sure and {w for w in sure if len(contexts[w]) >= 25} <= set(learned[0]) | {w for w in sure if any(w.startswith(s) for s in learned[1])}
+    rows = toxicity.score_documents(docs, docs, labels).collect()
+    counts = toxicity.Matcher(toxicity.Grammar(tuple(learned[0]), tuple(learned[1]))).counts
+    by_clauses = defaultdict(set)
+    for r in rows:
+        by_clauses[tuple(counts((toxic + clean)[r.doc_id]))].add(round(r.score, 12))
+    assert all(len(v) == 1 for v in by_clauses.values()) and max(max(c) for c in by_clauses) > 3
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()

@@ -42,9 +42,17 @@ def confusion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("expected", "got").agg(F.count(F.lit(1)).alias("n"))
 
 
-def model_comparison(rows: DataFrame) -> DataFrame:
-    """Per model: cases, hits and false clears (cleared though not expected)."""
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("cases"), F.sum((F.col("expected") == F.col("got")).cast("long")).alias("hits"), F.sum(((F.col("got") == "clear") & (F.col("expected") != "clear")).cast("long")).alias("false_clears"))
+def model_comparison(rows: DataFrame, calls: DataFrame, answers: tuple[str, ...] = ("clear", "review", "blocked")) -> DataFrame:
+    """Per model: cases, hits, flagged_hits (cleared or not, as expected), false_clears (cleared though not expected), valid_rate (answers
+    of the schema, to three places), errors (all others, which count as wrong) and median_latency_ms of its calls."""
+    times = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    valid, cleared = F.coalesce(F.col("got").isin(*answers), F.lit(False)), lambda c: F.col(c) == "clear"
+    sums = rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("cases"), times(F.col("expected") == F.col("got")).alias("hits"), times(valid & (cleared("got") == cleared("expected"))).alias("flagged_hits"),
+        times(cleared("got") & ~cleared("expected")).alias("false_clears"), times(~valid).alias("errors"),
+    )
+    latency = calls.groupBy("model").agg(F.round(F.median("latency_ms")).cast("long").alias("median_latency_ms"))
+    return sums.withColumn("valid_rate", F.round((F.col("cases") - F.col("errors")) / F.col("cases"), 3)).join(latency, "model", "left")
 
 
 def redacted(text: Column) -> Column:

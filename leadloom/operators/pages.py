@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 #: Path segments in order of priority; and those that count beyond the landing page's own links.
 PATHS = ("about", "company", "team", "careers", "jobs", "engineering", "technology", "platform", "security", "infrastructure", "trust", "subprocessors", "privacy", "dpa", "status", "architecture", "legal", "compliance")
 NOT_OWN = ("blog", "questions", "careers", "jobs", "community", "forum", "tag", "tags", "news", "press")
+#: Sections of hiring and engineering, and the words of cloud technology that make a page there strong evidence.
+HIRING_SECTIONS = ("careers", "jobs", "engineering")
+CLOUD_WORDS = ("aws", "amazon web services", "azure", "gcp", "google cloud", "kubernetes", "terraform", "docker", "cloud", "sre", "site reliability", "platform engineer")
 SHELL_MARKERS = ('<div id="root"></div>', 'id="__next"', "ng-app")
 
 
 def visible_text(html: Column) -> Column:
-    """Text of the body: no script, style, title or comment; block tags end lines; entities of markup are decoded."""
-    unseen = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>"
-    lines = F.regexp_replace(F.regexp_replace(html, unseen, ""), r"(?i)</?(?:p|div|br|li|ul|h[1-6]|article|nav|footer|table|tr)\b[^>]*>", "\n")
-    text = F.regexp_replace(lines, "<[^>]*>", "")
+    """Text of the body: no script, style, title or comment; block tags end lines; entities of markup are decoded.
+
+    What never closes reaches to the end of the page, so that the time is in proportion to the page.
+    """
+    unseen = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{e}\b[^>]*+(?:>.*?(?:</{e}\s*+>|\z)|\z)" for e in ("script", "style", "title"))
+    seen = F.regexp_replace(html, unseen, "")
+    tail = F.substring_index(seen, ">", -1)  # no tag ends in it, and before it every tag does
+    lines = F.regexp_replace(F.left(seen, F.length(seen) - F.length(tail)), r"(?i)</?(?:p|div|br|li|ul|h[1-6]|article|nav|footer|table|tr)\b[^>]*>", "\n")
+    text = F.concat(F.regexp_replace(lines, "<[^>]*>", ""), tail)
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[ \t\r]+", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
@@ -58,6 +66,13 @@ def path_priority(path: Column) -> Column:
     return out
 
 
+def page_strength(path: Column, text: Column) -> Column:
+    """STRONG for a page of hiring or engineering that names cloud technology, else MEDIUM."""
+    named = F.exists(F.array(*map(F.lit, CLOUD_WORDS)), lambda w: F.lower(text).contains(w))
+    hiring = F.lower(path).rlike(f"/({'|'.join(HIRING_SECTIONS)})")
+    return F.when(F.coalesce(hiring & named, F.lit(False)), "STRONG").otherwise("MEDIUM")
+
+
 def crawl_frontier(links: DataFrame, limit: int = 5) -> DataFrame:
     """The best paths of each page: first by priority, then in the order of the links; each path once."""
     once = links.withColumn("priority", path_priority(F.col("path"))).where(F.col("priority").isNotNull()).groupBy("page_id", "path").agg(F.min("priority").alias("priority"), F.min("position").alias("position"))

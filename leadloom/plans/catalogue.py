@@ -459,6 +459,15 @@ def _(spark, d):
 _PRIORITY = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), '/{p}([^a-z]|$)') THEN {i}" for i, p in enumerate(pages.PATHS)) + " END"
 
 
+_NAMED = " OR ".join(f"contains(lower(text), '{w}')" for w in pages.CLOUD_WORDS)
+
+
+@query("page_strength", f"SELECT page_id, position, CASE WHEN regexp_matches(lower(path), '/({'|'.join(pages.HIRING_SECTIONS)})') AND ({_NAMED}) THEN 'STRONG' ELSE 'MEDIUM' END AS strength FROM [links] l JOIN (SELECT doc_id, text FROM [seeded]) s ON s.doc_id = l.page_id")
+def _(spark, d):
+    texts = view(spark, d, "seeded").select(F.col("doc_id").alias("page_id"), "text")
+    return view(spark, d, "links").join(texts, "page_id").select("page_id", "position", pages.page_strength(F.col("path"), F.col("text")).alias("strength"))
+
+
 @query("crawl_frontier", f"SELECT page_id, path, CAST(rank AS INTEGER) AS rank FROM (SELECT page_id, path, row_number() OVER (PARTITION BY page_id ORDER BY priority, position, path) AS rank FROM (SELECT page_id, path, min({_PRIORITY}) AS priority, min(position) AS position FROM [links] WHERE {_PRIORITY} IS NOT NULL GROUP BY page_id, path)) WHERE rank <= 5")
 def _(spark, d):
     return pages.crawl_frontier(view(spark, d, "links"))
@@ -513,9 +522,16 @@ def _(spark, d):
     return audit.confusion(view(spark, d, "cases"))
 
 
-@query("model_comparison", "SELECT model, count(*) AS cases, CAST(sum(CASE WHEN expected = got THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN got = 'clear' AND expected <> 'clear' THEN 1 ELSE 0 END) AS BIGINT) AS false_clears FROM [cases] GROUP BY model")
+_TIMES = lambda test: f"CAST(sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS BIGINT)"
+_VALID = "got IN ('clear', 'review', 'blocked')"
+
+
+@query(
+    "model_comparison",
+    f"SELECT model, cases, hits, flagged_hits, false_clears, errors, round((cases - errors) / cases, 3) AS valid_rate, median_latency_ms FROM (SELECT model, count(*) AS cases, {_TIMES('expected = got')} AS hits, {_TIMES(f"{_VALID} AND (got = 'clear') = (expected = 'clear')")} AS flagged_hits, {_TIMES("got = 'clear' AND expected <> 'clear'")} AS false_clears, {_TIMES(f'NOT ({_VALID})')} AS errors FROM [cases] GROUP BY model) LEFT JOIN (SELECT model, CAST(round(median(latency_ms)) AS BIGINT) AS median_latency_ms FROM [calls] GROUP BY model) USING (model)",
+)
 def _(spark, d):
-    return audit.model_comparison(view(spark, d, "cases"))
+    return audit.model_comparison(view(spark, d, "cases"), view(spark, d, "calls"))
 
 
 @query("redacted_documents", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '<redacted>', 'g'), '(?i)(password|api_key|token|bearer)([=: ]+)[A-Za-z0-9_-]{8,}', '\1\2<redacted>', 'g')) AS digest FROM documents WHERE text IS NOT NULL")

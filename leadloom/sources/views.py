@@ -68,7 +68,7 @@ UNION ALL SELECT (p_partkey * 2654435) % 65536 * 65536 + (p_partkey % 256) * 256
 SELECT l_orderkey AS run_id, 'model-' || CAST(l_suppkey % 7 AS VARCHAR(20)) AS model, CAST(l_quantity AS INT) * 100 AS latency_ms, CAST(round(l_extendedprice) AS BIGINT) AS cost_micros, CAST(l_linenumber % 3 AS INT) AS hops FROM {{lineitem}}""",
     "cases": f"""
 SELECT doc_id AS case_id, CASE WHEN toxic = 1 THEN 'blocked' WHEN quality = 1 THEN 'clear' ELSE 'review' END AS expected,
-       {pick(['clear', 'review', 'blocked', 'clear', 'clear'], 'doc_id % 5')} AS got, 'model-' || CAST(doc_id % 3 AS VARCHAR(20)) AS model FROM {{labels}}""",
+       {pick(['clear', 'review', 'blocked', 'clear', 'error'], 'doc_id % 5')} AS got, 'model-' || CAST(doc_id % 3 AS VARCHAR(20)) AS model FROM {{labels}}""",
     "screens": """
 SELECT o_custkey AS lead_id, o_orderkey AS answer_id, o_orderdate AS fetched_at, o_orderpriority AS source FROM {orders}""",
     "links": f"""

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from html import unescape
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom import policy
 from leadloom.functions import fuzzy, names
-from leadloom.operators import decide, evidence, identity, linkage, mail, network, pages
+from leadloom.operators import audit, decide, evidence, identity, linkage, mail, network, pages
 from leadloom.plans import catalogue
 from leadloom.sources import feeds, mail_archive
 from leadloom.sources.views import view
@@ -228,6 +229,28 @@ def test_visible_text_forms_agree(spark, sf_dir):
     assert sum(squeeze(native[i]) == squeeze(parsed[i]) for i in native) >= 0.95 * len(native)
 
 
+def test_visible_text_of_hostile_pages(spark):
+    n = 40_000
+    hostile = {"<script>" * n: "", "<script " * n: "", "<!--" * n: "", "<" * 4 * n: "<" * 4 * n, "a<p " * n: "a<p" + " a<p" * (n - 1), "<title>" * n: "", "<div>" * 20_000 + "x": "x", "a < b <b>c</b> d < e": "a c d < e"}
+    rows = spark.createDataFrame([(h,) for h in hostile], "html string")
+    began = time.time()
+    got = {r.html: r.t for r in rows.select("html", pages.visible_text(F.col("html")).alias("t")).collect()}
+    assert time.time() - began < 30 and got == hostile
+
+
+def test_page_strength(spark):
+    rows = spark.createDataFrame([("/Careers/1", "We run Kubernetes", "STRONG"), ("/about", "AWS", "MEDIUM"), ("/jobs", "bakers", "MEDIUM"), (None, "aws", "MEDIUM"), ("/engineering", None, "MEDIUM")], "path string, text string, want string")
+    assert all(r.got == r.want for r in rows.withColumn("got", pages.page_strength(F.col("path"), F.col("text"))).collect())
+
+
+def test_model_comparison(spark):
+    cases = spark.createDataFrame([("m", "clear", "clear"), ("m", "blocked", "review"), ("m", "review", "clear"), ("m", "clear", "error"), ("m", "clear", None), ("n", "clear", "clear")], "model string, expected string, got string")
+    calls = spark.createDataFrame([("m", 10), ("m", 20), ("m", 41), ("m", 1000)], "model string, latency_ms int")
+    got = {r.model: r for r in audit.model_comparison(cases, calls).collect()}
+    assert (got["m"].cases, got["m"].hits, got["m"].flagged_hits, got["m"].false_clears, got["m"].errors, got["m"].valid_rate, got["m"].median_latency_ms) == (5, 1, 2, 1, 2, 0.6, 31)
+    assert got["n"].median_latency_ms is None and got["n"].valid_rate == 1
+
+
 def test_lead_extraction(spark):
     rows = [(1, "bob@mail.acme.io", "hi\nCompany: Acme Works Ltd\nwe are 120 people"), (2, "x@gmail.com", "see https://www.initech.io/a"), (3, "x@gmail.com", "nothing")]
     got = {r.doc_id: r for r in mail.extract_leads(spark.createDataFrame(rows, "doc_id long, from_addr string, body string")).collect()}

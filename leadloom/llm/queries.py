@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import byte_bpe, jaccard_join, line_dedup, maxscore, packing, pii, quality_rules, resharding, sentencepiece_codec, toxicity, warc
+from leadloom.llm import byte_bpe, jaccard_join, line_dedup, maxscore, ns_kmeans, packing, pii, quality_rules, resharding, sentencepiece_codec, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_ns_kmeans": ns_kmeans.op11_ns_kmeans,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
 }
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_quality_rules": quality_rules.ORACLE,
     "op7_maxscore": maxscore.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_ns_kmeans": ns_kmeans.ORACLE,
 }

@@ -9,7 +9,8 @@ character covers the whole character.
 Decoding takes every token's characters back to bytes by the reversed table. A character may be split over tokens: bytes are
 joined before they are read as UTF-8, and token_texts gives a split character to the token that completes it.
 
-Each text is a row of its own and texts are taken in parts of bounded size, so that memory follows the longest text alone.
+Texts are taken in parts of bounded size and long ones are cut where no match of the pattern can go on, so that memory follows
+the ids of the longest text. A pattern given instead must have that property too: no match with white space after another character.
 
 Defined results: a null or empty text has no ids and decodes to an empty one; bytes of a text that are not UTF-8 count as
 U+FFFD; the string of a special token is ordinary text; ids that the file does not have are an error; null ids decode to null;
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import codecs
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,11 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from leadloom.llm._common import documents
 
-#: Bytes of text that a task encodes at once, unless one text is longer.
-PART = 1 << 22
+#: Bytes of text that a task holds at once, unless one text is longer, and characters that the library encodes at once.
+PART, HELD = 1 << 20, 1 << 17
+#: Characters from which on a text is cut before white space that follows another character.
+LONG = 1 << 16
+_CUT = re.compile(r"(?<=\S)[ \t\n\r]")
 _LOADED: dict[tuple[str, str], Coder] = {}
 
 
@@ -71,9 +76,30 @@ class Coder:
         to_byte = {c: b for b, c in enumerate(to_char)}
         self.bytes_of = {i: bytes(map(to_byte.__getitem__, t)) for t, i in self.tokenizer.get_vocab().items()}
 
-    def encode(self, texts: list[str], offsets: bool = False) -> list:
-        coded = (self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast)(texts, add_special_tokens=False)
-        return [(e.ids, e.offsets) for e in coded] if offsets else [e.ids for e in coded]
+    def encode(self, texts: list[str], offsets: bool = False) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """The ids of each text and, if asked for, where they start and stop (one row each)."""
+        ids: list[list[np.ndarray]] = [[] for _ in texts]
+        spans: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, int, str]] = []
+
+        def flush() -> None:
+            coded = (self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast)([p for _, _, p in held], add_special_tokens=False)
+            for (i, begin, _), e in zip(held, coded, strict=True):
+                ids[i].append(np.asarray(e.ids, dtype="<u4"))
+                if offsets:
+                    spans[i].append(np.asarray(e.offsets, dtype=np.int64).reshape(-1, 2) + begin)
+            held.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            for begin, piece in pieces(text):
+                held.append((i, begin, piece))
+                size += len(piece)
+                if size > HELD:
+                    flush()
+                    size = 0
+        flush()
+        return [(x[0] if len(x) == 1 else np.concatenate(x), (s[0] if len(s) == 1 else np.concatenate(s)) if offsets else None) for x, s in zip(ids, spans, strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -87,6 +113,15 @@ class Coder:
         return out
 
 
+def pieces(text: str) -> Iterator[tuple[int, str]]:
+    """A long text in parts, each with its place. No match goes on from another character into white space, so none is cut."""
+    begin = 0
+    while len(text) - begin > LONG and (cut := _CUT.search(text, begin + LONG)):
+        yield begin, text[begin : cut.start()]
+        begin = cut.start()
+    yield begin, text[begin:]
+
+
 def coder_of(path: str, pattern: str) -> Coder:
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = Coder(path, pattern)
@@ -132,11 +167,10 @@ def encode(
         for batch in batches:
             for a, b, texts in _parts(batch.column(at)):
                 coded = coder.encode(texts, bool(offsets))
-                found = [np.asarray(x[0] if offsets else x, dtype="<u4") for x in coded]
+                found = [x for x, _ in coded]
                 new = [pa.array([x.tobytes() for x in found], pa.binary()) if packed else _lists([x.astype(np.int32) for x in found], pa.int32())]
                 if offsets:
-                    spans = [np.asarray(x[1], dtype=np.int32).reshape(-1, 2) for x in coded]
-                    new.append(pa.StructArray.from_arrays([_lists([s[:, i] for s in spans], pa.int32()) for i in (0, 1)], ["starts", "stops"]))
+                    new.append(pa.StructArray.from_arrays([_lists([s[:, i].astype(np.int32) for _, s in coded], pa.int32()) for i in (0, 1)], ["starts", "stops"]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -179,11 +213,10 @@ def token_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
         coder = coder_of(path, pattern)
         for batch in batches:
             for a, _, texts in _parts(batch.column(1)):
-                for r, (ids, spans) in enumerate(coder.encode(texts, True)):
-                    ends = np.asarray(spans, dtype=np.int64).reshape(-1, 2)
+                for r, (ids, ends) in enumerate(coder.encode(texts, True)):
                     row = pa.array(np.full(len(ids), a + r))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(row), pa.array(np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(coder.texts(ids), pa.string())], names=schema.names
+                        [batch.column(0).take(row), pa.array(np.arange(len(ids))), pa.array(ids.astype(np.int64)), pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(coder.texts(ids.tolist()), pa.string())], names=schema.names
                     )
 
     return picked.mapInArrow(run, schema)

@@ -43,11 +43,23 @@ def test_random_texts(library):
             text = "".join(rng.choice(tokens) for _ in range(6))
         else:
             text = "".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) if rng.random() < 0.4 else rng.choice("ab's 1") for _ in range(12))
-        [ids] = coder.encode([text])
+        [(ids, _)] = coder.encode([text])
+        ids = ids.tolist()
         assert ids == library.encode_ordinary(text), text
         assert coder.decode(ids).decode() == text and "".join(coder.texts(ids)) == text
 
 
+def test_long_texts_are_cut_between_matches(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG", 7)
+    monkeypatch.setattr(byte_bpe, "HELD", 20)
+    coder, rng = byte_bpe.coder_of(PATH, public_tokenizers.PATTERN), random.Random(4)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "don't", " ", "  ", "\n", "\t", "!", "7", "\x1c", "\u3000", "\u0085", "é"]) for _ in range(rng.randint(0, 60)))
+        [(ids, spans)] = coder.encode([text], True)
+        assert ids.tolist() == library.encode_ordinary(text) and coder.decode(ids.tolist()).decode() == text
+        assert len(spans) == len(ids) and all(library.decode_single_token_bytes(i) in text[a:b].encode() for i, (a, b) in zip(ids.tolist(), spans.tolist(), strict=True))
+
+
 def test_split_characters_and_offsets(spark, library):
     text = "a\U0001f9dc‍♀️ 乕龘 naïve"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")

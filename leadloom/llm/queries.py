@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import byte_bpe, jaccard_join, line_dedup, maxscore, ns_kmeans, packing, pii, quality_rules, resharding, sentencepiece_codec, toxicity, warc
+from leadloom.llm import byte_bpe, jaccard_join, line_dedup, maxscore, ns_kmeans, packing, pii, prefix_trie, quality_rules, resharding, sentencepiece_codec, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_ns_kmeans": ns_kmeans.op11_ns_kmeans,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op2_jaccard_join": jaccard_join.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_maxscore": maxscore.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op11_ns_kmeans": ns_kmeans.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }

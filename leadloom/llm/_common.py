@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,9 +18,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one of our own where it is unset (tests)."""
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it. Where it is unset, a fresh one is made
+    for a session whose driver and executor are one process (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='leadloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -42,11 +46,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that materialize wrote and that nothing reads any more."""
-    context = table.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class KeyFilter:

@@ -222,23 +222,24 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
     kind = pairs.schema["a"].dataType.simpleString()
     links = materialize(pairs.join(one, "cid_a").join(two, "cid_b").select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}"), "links")
-    for table in (pairs, ends, sets):
-        discard(table)
+    discard(pairs, ends, sets)
     return links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp, the smallest node reachable: labels spread over edges and jump along labels until none changes."""
+    """node and comp, the smallest node reachable, a written table: labels spread over edges and jump along labels until none changes."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         spread = labels.join(around, "node").select("node", "comp", F.least("comp", "near").alias("new"))
         ahead = labels.select(F.col("node").alias("new"), F.col("comp").alias("jump"))
-        step = materialize(spread.join(ahead, "new", "left").select("node", "comp", F.least("new", F.coalesce("jump", "new")).alias("new")), "labels")
-        if step.where(F.col("new") != F.col("comp")).isEmpty():
-            return step.select("node", "comp")
-        labels = step.select("node", F.col("new").alias("comp"))
+        step = spread.join(ahead, "new", "left").select("node", F.least("new", F.coalesce("jump", "new")).alias("comp"), (F.least("new", F.coalesce("jump", "new")) != F.col("comp")).alias("moved"))
+        before, labels = labels, materialize(step, "labels")
+        discard(before)
+        if labels.where("moved").isEmpty():
+            discard(both)
+            return labels
 
 
 def possible(percent: int, n: Column, pos: Column, m: Column, qos: Column) -> Column:
@@ -277,9 +278,8 @@ def leaders_of(shared: DataFrame, percent: int, most: int = 6) -> DataFrame:
 
 
 def likely(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The pairs of groups (g, h) whose prefixes share enough: beyond them, at most one whole rest is shared. Prefixes are a tenth of
-    the sets to move."""
-    pairs = materialize(pairs, "met")
+    """The pairs of groups (g, h, a written table) whose prefixes share enough: beyond them, at most one whole rest is shared. Prefixes
+    are a tenth of the sets to move."""
     ends = pairs.select("g").union(pairs.select("h")).distinct()
     held = KeyFilter(ends).passing(groups.select("g", "n", "prefix"), F.col("g"))
     one, two = (held.select(F.col("g").alias(g), F.col("n").alias(f"{g}n"), F.col("prefix").alias(f"{g}p")) for g in "gh")
@@ -289,7 +289,7 @@ def likely(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def unconnected(shared: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (g, h) that pass the filters at a shared shingle and are not wholly in one component.
+    """Pairs of groups (g, h), a written table, that pass the filters at a shared shingle and are not wholly in one component.
 
     spans: g, lo and hi, the least and greatest component of each group's classes.
     """
@@ -304,44 +304,55 @@ def unconnected(shared: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
     apart = F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & apart & possible(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
     inside = spans.where("lo <> hi").select("g", F.col("g").alias("h"))
-    return met.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct().union(inside)
+    found = materialize(met.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct().union(inside), "met")
+    discard(rows)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (smallest doc_id of the same set) and component_id."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    every = materialize(features(docs, rarity(docs, k), k, percent), "features")
+    found = materialize(features(docs, rarity(docs, k), k, percent), "features")
+    groups, shared = shared_places(found.where((F.col("n") > 0) & F.col("doc_id").isNotNull()))
+    every = materialize(found.select("doc_id", "n", "cid", "gid"), "documents")
+    discard(found)
     linkable = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    groups, shared = shared_places(linkable)
     classes = linkable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"))
     classes = materialize(classes.join(groups.select("gid", "g"), "gid").select("cid", "rep", "g"), "classes")
 
     # round 1: each group's classes and the first class of its leaders; each further class and the first of its group
     firsts = classes.groupBy("g").agg(F.min(F.struct("rep", "cid")).alias("first"))
-    pairs = likely(leaders_of(shared, percent).select("g", F.col("leader").alias("h")), groups, percent).union(classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", F.col("g").alias("h")))
+    led = materialize(leaders_of(shared, percent).select("g", F.col("leader").alias("h")), "met")
+    pairs = likely(led, groups, percent).union(classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", F.col("g").alias("h")))
     star = (
         classes.join(pairs, "g").join(firsts.select(F.col("g").alias("h"), "first"), "h").where(F.col("cid") != F.col("first.cid"))
         .select(F.col("rep").alias("a"), F.col("first.rep").alias("b"), F.col("cid").alias("cid_a"), F.col("first.cid").alias("cid_b"))
     )
     first_links = verify(star, docs, k, percent)
+    discard(led)
     known = components(first_links)
 
     # round 2: group pairs that are not connected yet, expanded to their classes
-    placed = materialize(classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("g", "rep", "cid", F.coalesce("comp", "rep").alias("comp")), "placed")
-    met = likely(unconnected(shared, placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), percent), groups, percent)
+    placed = materialize(classes.join(known.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("g", "rep", "cid", F.coalesce("comp", "rep").alias("comp")), "placed")
+    apart = unconnected(shared, placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), percent)
+    discard(shared, known)
+    met = likely(apart, groups, percent)
     a, b = placed.alias("a"), placed.alias("b")
     rest = (
         met.join(a, F.col("a.g") == met["g"]).join(b, F.col("b.g") == met["h"]).where((F.col("a.comp") != F.col("b.comp")) & ((met["g"] != met["h"]) | (F.col("a.rep") < F.col("b.rep"))))
         .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
     )
-    final = components(first_links.union(verify(rest, docs, k, percent)))
-    for table in (groups, shared, placed):
-        discard(table)
-    class_of = classes.select("cid", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("cid", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("comp"))
+    more_links = verify(rest, docs, k, percent)
+    discard(groups, apart, placed)
+    final = components(first_links.union(more_links))
+    class_of = classes.select("cid", "rep").join(final.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("cid", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("comp"))
     own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    return every.select("doc_id", "n", "cid").join(class_of, "cid", "left").select(
+    result = every.select("doc_id", "n", "cid").join(class_of, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")
     )
+    result = materialize(result, "components")
+    discard(every, classes, first_links, more_links, final)
+    return result
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

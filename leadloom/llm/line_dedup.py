@@ -131,21 +131,28 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ).select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("lead.doc_id").alias("yd"), F.col("lead.line_no").alias("yl"))
     votes = led.groupBy("xd", "xl", "yd", "yl").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("xd", "xl").agg(F.max(F.struct("votes", "yd", "yl")).alias("best")).select("xd", "xl", "best.yd", "best.yl")
-    best = materialize(likely(materialize(best, "met"), classes, percent), "pairs")
-    sets = line_sets(docs, materialize(ends_of(best), "ends"), k)
+    met = materialize(best, "met")
+    best = materialize(likely(met, classes, percent), "pairs")
+    discard(met)
+    ends = materialize(ends_of(best), "ends")
+    sets = line_sets(docs, ends, k)
     matched = materialize(verified(best, sets, percent), "matched")
+    discard(best, ends)
     x = shared.join(matched, ["doc_id", "line_no"], "left_anti").alias("x")
     y = shared.alias("y")
     earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no")))
     rest = x.join(
         y, (F.col("x.token") == F.col("y.token")) & earlier & possible(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     ).select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl")).distinct()
-    rest = materialize(likely(materialize(rest, "met"), classes, percent), "pairs")
+    met = materialize(rest, "met")
+    discard(shared)
+    rest = materialize(likely(met, classes, percent), "pairs")
+    discard(met, classes)
     more = materialize(ends_of(rest).join(sets.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"), "ends")
-    late = verified(rest, sets.union(line_sets(docs, more, k)), percent)
+    further = line_sets(docs, more, k)
+    late = verified(rest, sets.union(further), percent)
     lost = materialize(repeats.union(matched).union(late).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "lost")
-    for table in (classes, shared, repeats):
-        discard(table)
+    discard(rest, more, sets, further, matched, repeats)
     return lost
 
 

@@ -15,8 +15,6 @@ BOARD_PATTERNS = {"greenhouse": r"(?i)(?:boards|job-boards)\.greenhouse\.io/([a-
 RESERVED = ("features", "pricing", "about", "login", "join", "topics", "collections", "sponsors", "settings", "orgs", "apps", "marketplace", "security", "enterprise", "readme", "site", "contact")
 PROVIDER_WORDS = {"AWS": r"(?i)\b(?:aws|amazon web services|ec2|eks)\b", "Azure": r"(?i)\b(?:microsoft azure|azure|aks)\b", "GCP": r"(?i)\b(?:gcp|google cloud|gke)\b", "OCI": r"(?i)\b(?:oracle cloud|oci)\b"}
 WORKLOAD_WORDS = r"(?i)\b(?:kubernetes|terraform|infrastructure|platform|sre|devops)\b"
-DENY_LABELS, PURPOSE_LABELS = ("blog", "forum", "community", "shop", "store"), ("status", "trust", "security", "docs", "careers", "jobs")
-SUFFIXES = ("com", "org", "net", "io", "de", "fr", "hu", "eu", "co.uk", "com.au", "github.io")
 
 
 def domain_readings(host: Column) -> Column:
@@ -158,21 +156,6 @@ def status_components(texts: DataFrame) -> DataFrame:
     return texts.where(F.lower("text").rlike(r"\b(?:status|uptime|operational|incident)\b")).select("page_id", F.explode(found).alias("provider"))
 
 
-def registrable(host: Column) -> Column:
-    """The domain below the longest listed suffix, or null."""
-    tries = sorted(SUFFIXES, key=lambda s: (-s.count("."), -len(s)))
-    return F.coalesce(*[F.when(F.endswith(host, F.lit(f".{s}")), F.concat(F.regexp_extract(host, rf"([^.]+)\.{s.replace('.', chr(92) + '.')}$", 1), F.lit(f".{s}"))) for s in tries])
-
-
-def sibling_hosts(links: DataFrame, limit: int = 2) -> DataFrame:
-    """Other hosts of the same registrable domain with a purpose label and no denied one, the first by link. links: page_id, position, host, link_host."""
-    label = F.substring_index("link_host", ".", 1)
-    rows = links.where((F.col("link_host") != F.col("host")) & (registrable(F.col("link_host")) == registrable(F.col("host"))) & label.isin(*PURPOSE_LABELS) & ~label.isin(*DENY_LABELS))
-    once = rows.groupBy("page_id", "link_host").agg(F.min("position").alias("position"))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("position", "link_host"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= limit)
-
-
 def statements(texts: DataFrame) -> DataFrame:
     """First-party statements: sentences that name a provider, with how (integration, sub-processor, own hosting) and scope."""
     sentences = F.split("text", r"(?<=[.!?])\s+|\n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom import policy
 from leadloom.functions import names
-from leadloom.operators import audit, decide, evidence, identity, injection, linkage, mail, network, pages, scoring
+from leadloom.operators import audit, decide, evidence, identity, injection, linkage, mail, network, pages, scoring, suffixes
 from leadloom.sources import feeds, mail_archive
 from leadloom.sources.views import VIEWS, oracle, pick, view
 from leadloom.streaming import claims
@@ -633,10 +633,41 @@ def _(spark, d):
     return linkage.status_components(view(spark, d, "seeded").select(F.col("doc_id").alias("page_id"), F.concat(F.col("text"), F.lit(" all systems operational")).alias("text")))
 
 
-@query("sibling_hosts", "SELECT page_id, link_host, CAST(rank AS INTEGER) AS rank FROM (SELECT page_id, link_host, row_number() OVER (PARTITION BY page_id ORDER BY position, link_host) AS rank FROM (SELECT page_id, split_part('status|blog|docs|www|trust', '|', CAST((page_id + position) % 5 + 1 AS INT)) || '.acme.co.uk' AS link_host, min(position) AS position FROM [links] WHERE (page_id + position) % 5 IN (0, 2, 4) GROUP BY 1, 2)) WHERE rank <= 2")
+VIEWS["hosts"] = f"""
+SELECT page_id, {pick(['www.', '', 'docs.eu.', 'Status.', ''], 'page_id % 5')} || 'site' || CAST(page_id % 97 AS VARCHAR(20)) || '.' ||
+       {pick(['com', 'co.uk', 'github.io', 'x.ck', 'ck', 'www.ck', 'nowhere', 'kobe.jp', 'city.kobe.jp', 'eu-west-1.compute.amazonaws.com', 'com.', 'hu'], 'page_id % 12')} AS host FROM {{pages}}
+UNION ALL SELECT page_id, {pick(['ck', 'www.ck', 'co.uk', 'github.io', 'localhost', '10.0.0.1', '[::1]', 'a..b', '', 'city.kobe.jp'], 'page_id % 10')} FROM {{pages}}"""
+_RULES = "(SELECT regexp_replace(r, '^(!|\\*\\.)', '') AS suffix, CASE WHEN starts_with(r, '!') THEN -1 WHEN starts_with(r, '*.') THEN 1 ELSE 0 END AS kind FROM unnest([" + ", ".join(f"'{r}'" for r in (*suffixes.COMMON_RULES, *suffixes.COMMON_PRIVATE_RULES)) + "]) t(r))"
+
+
+def _registrable_sql(hosts: str) -> str:
+    split = f"(SELECT host, string_split(regexp_replace(lower(trim(host)), '^\\.+|\\.+$', '', 'g'), '.') AS l FROM (SELECT DISTINCT host FROM {hosts}))"
+    tried = f"(SELECT host, l, unnest(range(1, len(l) + 1)) AS k FROM {split})"
+    best = f"(SELECT host, max(struct_pack(first := kind = -1, length := k + kind, kind := kind)) AS b FROM {tried} JOIN {_RULES} r ON r.suffix = array_to_string(l[len(l) - k + 1:], '.') AND k + kind <= len(l) GROUP BY host)"
+    cut = f"(SELECT h.host, l, b.kind AS kind, coalesce(b.length, 1) AS m FROM {split} h LEFT JOIN {best} b USING (host) WHERE NOT list_contains(l, '') AND NOT regexp_matches(array_to_string(l, '.'), '^[0-9.]+$|:'))"
+    rule = "CASE kind WHEN -1 THEN 'exception' WHEN 1 THEN 'wildcard' WHEN 0 THEN 'normal' ELSE 'default' END"
+    return f"(SELECT host, array_to_string(l[len(l) - m + 1:], '.') AS public_suffix, CASE WHEN m < len(l) THEN array_to_string(l[len(l) - m:], '.') END AS registrable, {rule} AS rule FROM {cut})"
+
+
+@query("registrable_domains", f"SELECT * FROM {_registrable_sql('[hosts]')}")
+def _(spark, d):
+    return suffixes.registrable(view(spark, d, "hosts"), suffixes.common_rules(spark))
+
+
+VIEWS["nominations"] = f"""
+SELECT p.page_id, k.l_linenumber AS position, 'www.site' || CAST(p.page_id % 97 AS VARCHAR(20)) || {pick(['.co.uk', '.github.io', '.com', '.site.ck'], 'p.page_id % 4')} AS host,
+       {pick(['status', 'blog', 'karriere', 'www', 'trust-center', 'shop', 'eng_team', 'api'], '(p.page_id + k.l_linenumber * 3) % 8')} || '.' || {pick(['', 'x.', '', ''], 'k.l_linenumber % 4')} || 'site' ||
+       CAST((p.page_id + CASE WHEN k.l_linenumber % 5 = 4 THEN 1 ELSE 0 END) % 97 AS VARCHAR(20)) || {pick(['.co.uk', '.github.io', '.com', '.site.ck'], 'p.page_id % 4')} AS link_host
+FROM {{pages}} p JOIN (SELECT DISTINCT l_linenumber FROM {{lineitem}}) k ON k.l_linenumber <= 2 + p.page_id % 6"""
+_BOTH = "(SELECT host FROM [nominations] UNION SELECT link_host FROM [nominations])"
+_LABEL = "split_part(link_host, '.', 1)"
+
+
+@query("sibling_hosts", f"""WITH r AS (SELECT host, registrable FROM {_registrable_sql(_BOTH)} WHERE registrable IS NOT NULL)
+SELECT page_id, link_host, CAST(rank AS INTEGER) AS rank FROM (SELECT page_id, link_host, row_number() OVER (PARTITION BY page_id ORDER BY position, link_host) AS rank FROM (SELECT page_id, link_host, min(position) AS position FROM [nominations] n
+ JOIN r a ON a.host = n.host JOIN r b ON b.host = n.link_host WHERE a.registrable = b.registrable AND n.host <> n.link_host AND len(list_filter(regexp_split_to_array({_LABEL}, '[-_]'), lambda x: x IN {_in(suffixes.PURPOSE_LABELS)})) > 0 AND {_LABEL} NOT IN {_in(suffixes.DENY_LABELS)} GROUP BY 1, 2)) WHERE rank <= 2""")
 def _(spark, d):
-    label = F.get(F.array(*map(F.lit, ("status", "blog", "docs", "www", "trust"))), ((F.col("page_id") + F.col("position")) % 5).cast("int"))
-    return linkage.sibling_hosts(view(spark, d, "links").select("page_id", "position", F.lit("acme.co.uk").alias("host"), F.concat(label, F.lit(".acme.co.uk")).alias("link_host"))).select("page_id", "link_host", "rank")
+    return suffixes.sibling_hosts(view(spark, d, "nominations"), suffixes.common_rules(spark))
 
 
 @query("statements")

@@ -140,7 +140,9 @@ def rarity(docs: DataFrame, k: int) -> np.ndarray:
     counted = docs.select("text").mapInArrow(count, "chunk int, part int, counts binary")
     # partial sums by part first, so that no task adds up the tables of all tasks
     parts = counted.groupBy("chunk", "part").applyInArrow(adder(lambda x: np.minimum(x, 2**32 - 1).astype(np.uint32)), "chunk int, counts binary")
-    summed = parts.groupBy("chunk").applyInArrow(adder(lambda x: (7.9 * np.log2(1.0 + x)).astype(np.uint8)), "chunk int, counts binary").toArrow()
+    written = materialize(parts.groupBy("chunk").applyInArrow(adder(lambda x: (7.9 * np.log2(1.0 + x)).astype(np.uint8)), "chunk int, counts binary"), "rarity")  # drops the tasks' tables
+    summed = written.toArrow()
+    discard(written)
     table = np.zeros(1 << RARITY_BITS, dtype=np.uint8)  # of a fixed size, as is what comes to the driver
     for c, counts in zip(summed["chunk"].to_pylist(), summed["counts"], strict=True):
         table[c * width : (c + 1) * width] = np.frombuffer(counts.as_buffer(), dtype=np.uint8)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom import policy
 from leadloom.functions import names
-from leadloom.operators import audit, decide, evidence, identity, injection, linkage, mail, network, pages, scoring, suffixes
+from leadloom.operators import audit, decide, evidence, extraction, identity, injection, linkage, mail, network, pages, scoring, suffixes, threads
 from leadloom.sources import feeds, mail_archive
 from leadloom.sources.views import VIEWS, oracle, pick, view
 from leadloom.streaming import claims
@@ -440,11 +440,49 @@ def _(spark, d):
     return mail.resumable(view(spark, d, "messages"), 1_700_030_000)
 
 
-@query("lead_extraction")
+def _mail(text: str) -> str:
+    """A SQL string of lines; {piece} stands for a piece of the document's text."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{piece}", "' || piece || '") + "'"
+
+
+def _eight(*values: str | None) -> str:
+    """A SQL choice by doc_id % 8."""
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else _mail(v)}" for i, v in enumerate(values)) + " END"
+
+
+_SIGNED = ("Best regards,\nAnn Bolt\nChief Technology Officer\nInitech Kft, Budapest\nhttps://www.linkedin.com/in/ann\nwww.initech.hu", "Viele Grüße\nCarl Meier\nInitech GmbH", "Eva Stone\nVP Engineering\nUmbrella Ltd.\nteam@umbrella.co.uk")
+_NEW = (
+    "{piece}", "{piece}", "{piece}\nCompany: Globex Holdings\nTitle:  Head of Platform \nWe are 51-200 people, see https://globex.com/x", "Hallo, wir sind 40 Mitarbeiter.",
+    "{piece}\nhttps://www.linkedin.com/in/max\nhttps://bit.ly/abc", "{piece}\nKb. 1.200 munkatárs", "{piece}", "",
+)
+_FORWARD = "{piece}\n\n---------- Weitergeleitete Nachricht ---------\nVon: Carl Meier <Carl@initech.de>\nDatum: Montag\nBetreff: Anfrage\n\n"
+_MAILS = (
+    _NEW[0], f"{_NEW[1]}\n\n{_SIGNED[0]}\n\nOn Mon, 3 Jun 2024, Bob <b@x.io> wrote:\n> 5000 employees at https://evil.net", _NEW[2], f"{_FORWARD}{_NEW[3]}\n\n{_SIGNED[1]}",
+    _NEW[4], f"{_NEW[5]}\n\n2024. jún. 3., Kovács Anna <a@b.hu> írta:\n> 12 people", f"{_NEW[6]}\n\n{_SIGNED[2]}\n\nFrom: Bob\nSent: Monday\nTo: Eva\n\nCompany: Other Inc", _NEW[7],
+)
+_FIRST_LINE = "substring(translate(split_part(text, chr(10), 1), '0123456789:/@.<>-_=', ''), 1, 60)"
+VIEWS["mails"] = f"""
+SELECT doc_id, piece, from_name, from_addr, subject, {_eight(*_MAILS)} AS body FROM (SELECT doc_id, 'Dear team, ' || {_FIRST_LINE} || ' thanks' AS piece,
+       CASE WHEN doc_id % 8 = 5 THEN 'anna@corp.hu' WHEN doc_id % 8 = 6 THEN 'Eva Stone' WHEN doc_id % 8 <> 4 AND doc_id % 8 <> 7 THEN 'Ann Bolt' END AS from_name,
+       {pick(['ann@mail.acme-tools.io', 'ann@gmail.com', 'ann@posteo.de', 'ann@web.de', 'max.muster42@gmx.de', 'anna.kiss@corp.hu', 'eva@t-online.de', 'info@em.news.contoso.de'], 'doc_id % 8')} AS from_addr, 'Offer' AS subject FROM {{documents}} WHERE text IS NOT NULL)"""
+
+
+@query("mail_threads", f"""SELECT doc_id, {_eight('', '', '', '{piece}', '', '', '', '')} AS note, {_eight('Ann Bolt', 'Ann Bolt', 'Ann Bolt', 'Carl Meier', '', 'anna@corp.hu', 'Eva Stone', '')} AS from_name,
+ CASE WHEN doc_id % 8 = 3 THEN 'carl@initech.de' ELSE from_addr END AS from_addr, CASE WHEN doc_id % 8 = 3 THEN 'Anfrage' ELSE subject END AS subject, CASE WHEN doc_id % 8 = 3 THEN from_addr END AS forwarded_by,
+ {_eight(*_NEW)} AS body, {_eight('', _SIGNED[0], '', _SIGNED[1], '', '', _SIGNED[2], '')} AS signature, doc_id % 8 IN (1, 5, 6) AS quoted FROM [mails]""")
+def _(spark, d):
+    return threads.threads(view(spark, d, "mails")).select("doc_id", "thread.*")
+
+
+@query("lead_extraction", f"""SELECT doc_id, {_eight('Ann Bolt', 'Ann Bolt', 'Ann Bolt', 'Carl Meier', 'Max Muster42', 'Anna Kiss', 'Eva Stone', 'Info')} AS name, CASE WHEN doc_id % 8 = 3 THEN 'carl@initech.de' ELSE from_addr END AS email,
+ {_eight('https://acme-tools.io', 'https://initech.hu', 'https://globex.com', 'https://initech.de', None, 'https://corp.hu', 'https://umbrella.co.uk', 'https://contoso.de')} AS website,
+ {_eight('Acme Tools', 'Initech Kft', 'Globex Holdings', 'Initech GmbH', None, 'Corp', 'Umbrella Ltd.', 'Contoso')} AS company, {_eight(None, 'Chief Technology Officer', 'Head of Platform', None, None, None, 'VP Engineering', None)} AS job_title,
+ {_eight(None, None, '51-200', '11-50', None, '1000+', None, None)} AS company_size_band, {_eight('header', 'header', 'header', 'forwarded', 'header', 'header', 'header', 'header')} AS email_by, {_eight('sender', 'link', 'link', 'sender', None, 'sender', 'link', 'sender')} AS website_by,
+ {_eight('domain', 'signature', 'label', 'signature', None, 'domain', 'signature', 'domain')} AS company_by, {_eight(None, 'signature', 'label', None, None, None, 'signature', None)} AS job_title_by, {_eight(None, None, 'stated', 'stated', None, 'stated', None, None)} AS company_size_band_by,
+ {_eight('job_title,company_size_band', 'company_size_band', '', 'job_title', 'website,company,job_title,company_size_band', 'job_title', 'company_size_band', 'job_title,company_size_band')} AS missing, doc_id % 8 <> 4 AS usable FROM [mails]""")
 def _(spark, d):
-    rows = view(spark, d, "messages")
-    signed = rows.withColumn("body", F.concat("body", F.get(F.array(F.lit("\nCompany: Acme Works Ltd"), F.lit("\nsee https://www.initech.io/x"), F.lit("\nwe are 120 people"), F.lit("")), (F.length("body") % 4).cast("int"))))
-    return mail.extract_leads(signed)
+    found = extraction.extract_leads(threads.threads(view(spark, d, "mails")))
+    return found.select("doc_id", "lead.*").withColumn("missing", F.array_join("missing", ","))
 
 
 @query("draft_reasons", f"SELECT m.doc_id, CASE WHEN m.doc_id % 10 = 3 THEN 'disabled' WHEN {_FLAGS} <> '' THEN 'flagged' WHEN status IN ('failed', 'rejected', 'dead_letter') THEN 'no_outcome' WHEN {_SENDER} = 'noise' THEN 'auto_generated' WHEN status <> 'processed' THEN 'status' END AS reason, CASE WHEN starts_with(lower(subject), 're:') THEN subject ELSE 'Re: ' || subject END AS subject FROM [messages] m JOIN [seeded] s USING (doc_id)")

@@ -1,6 +1,6 @@
 """Lead-domain tables derived from the test tables by projections that Spark and DuckDB read alike.
 
-Each view is SQL over {table} placeholders; // is integer division.
+Each view is SQL over {table} placeholders; // between blanks is integer division.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ _TABLE = re.compile(r"\{(\w+)\}")
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_TABLE.findall(VIEWS[name]))}
-    return spark.sql(VIEWS[name].replace("//", "div"), **tables)
+    return spark.sql(VIEWS[name].replace(" // ", " div "), **tables)
 
 
 def oracle(sql: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom import policy
 from leadloom.functions import fuzzy, names
-from leadloom.operators import audit, decide, evidence, identity, injection, linkage, mail, network, pages
+from leadloom.operators import audit, decide, evidence, extraction, identity, injection, linkage, mail, network, pages, threads
 from leadloom.plans import catalogue
 from leadloom.sources import feeds, mail_archive
 from leadloom.sources.views import view
@@ -252,10 +252,21 @@ def test_model_comparison(spark):
 
 
 def test_lead_extraction(spark):
-    rows = [(1, "bob@mail.acme.io", "hi\nCompany: Acme Works Ltd\nwe are 120 people"), (2, "x@gmail.com", "see https://www.initech.io/a"), (3, "x@gmail.com", "nothing")]
-    got = {r.doc_id: r for r in mail.extract_leads(spark.createDataFrame(rows, "doc_id long, from_addr string, body string")).collect()}
-    assert (got[1].website, got[1].company, got[1].company_by, got[1].size_band) == ("https://acme.io", "Acme Works Ltd", "label", "51-200")
-    assert got[2].website == "https://www.initech.io" and got[2].company == "Initech" and not got[3].usable
+    """Noise links are passed over, signatures read, titles cut, sizes read in several spellings, and what is missing named."""
+    rows = [
+        (1, None, "bob@mail.acme.io", "hi\nCompany: Acme Works Ltd\nwe are 120 people"), (2, "X", "x@gmail.com", "see https://www.linkedin.com/in/ann, https://www.initech.io/a"), (3, "X", "x@t-online.de", "nothing at https://x.com/y"),
+        (4, "Ann", "ann@posteo.de", "hello\n\nBest,\nAnn\nAcme Kft\nHead of Site Reliability and Platform Work, Budapest office\nann@acme.hu"), (5, "a", "a@b.io", "we have 1,200 people"), (6, "a", "a@b.io", "team size: 9"), (7, "a", "a@b.io", "201-1000 employees"),
+        (8, "a", "a@b.io", "10-60 staff"), (9, "a", "", "x"), (10, None, None, None), (11, "a", "a@b.io", "Title: \x07Chief   Officer " + "x" * 300), (12, "a", "a@gmail.com", "hi\n-- \nas long as it works for us\n(initech-labs.co.uk)\n"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, from_name string, from_addr string, body string").withColumn("subject", F.lit(None).cast("string"))
+    got = {r.doc_id: r.lead for r in extraction.extract_leads(threads.threads(table)).collect()}
+    assert (got[1].website, got[1].company, got[1].company_by, got[1].company_size_band, got[1].name) == ("https://acme.io", "Acme Works Ltd", "label", "51-200", "Bob")
+    assert (got[2].website, got[2].company, got[2].usable) == ("https://initech.io", "Initech", True)
+    assert (got[3].website, got[3].usable, got[3].missing) == (None, False, ["website", "company", "job_title", "company_size_band"])
+    assert (got[4].website, got[4].company, got[4].job_title) == ("https://acme.hu", "Acme Kft", "Head of Site Reliability and Platform Work")
+    assert [got[i].company_size_band for i in (5, 6, 7, 8)] == ["1000+", "1-10", "201-1000", "51-200"]
+    assert not got[9].usable and not got[10].usable and got[10].email == "" and len(got[11].job_title) == 120 and got[11].job_title.startswith("Chief Officer")
+    assert (got[12].website, got[12].company, got[12].company_by) == ("https://initech-labs.co.uk", "Initech Labs", "domain")
 
 
 def test_unreadable_answers_stay_null(spark):

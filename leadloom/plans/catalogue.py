@@ -814,20 +814,59 @@ def _(spark, d):
 
 
 # ---- streams -------------------------------------------------------------------------------------------------
+def _root(spark):
+    """A fresh place in the folder that executors share; a session of one process may do without a named one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or f'file://{tempfile.mkdtemp(prefix='leadloom-')}').rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
 def _stream(spark, rows):
-    """A table as files, and a stream over them, in the folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='leadloom-')}"
-    root = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A table as files, and a stream over them."""
+    root = _root(spark)
     rows.write.parquet(f"{root}/in")
     return claims.poll(spark, f"{root}/in", rows.schema), root
 
 
+_ATTEMPTS = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY claimed_at, doc_id) AS n FROM (SELECT doc_id, claimed_at, hash, {status} AS status, coalesce(message_id, chr(1) || CAST(doc_id AS VARCHAR)) AS k FROM ({hashed}))),
+w AS (SELECT k, n, doc_id, claimed_at, hash, status, 'claimed' AS outcome, doc_id AS held, claimed_at AS since, status AS held_status, 1 AS attempts FROM o WHERE n = 1
+ UNION ALL SELECT k, n, doc_id, claimed_at, hash, status, CASE WHEN NOT free THEN 'duplicate' WHEN dead THEN 'dead_letter' ELSE 'taken_over' END, CASE WHEN free THEN doc_id ELSE held END, CASE WHEN free THEN claimed_at ELSE since END,
+  CASE WHEN NOT free THEN held_status WHEN dead THEN 'dead_letter' ELSE status END, attempts + CASE WHEN free THEN 1 ELSE 0 END
+ FROM (SELECT *, free AND status = 'failed' AND attempts + 1 >= 3 AS dead FROM (SELECT o.k, o.n, o.doc_id, o.claimed_at, o.hash, o.status, w.held, w.since, w.held_status, w.attempts,
+   (w.held_status = 'failed' OR (w.held_status = 'claimed' AND o.claimed_at - w.since > 900)) AND w.attempts < 3 AS free FROM w JOIN o ON o.k = w.k AND o.n = w.n + 1)))"""
+VIEWS["arrivals"] = f"""
+SELECT doc_id, '<m' || CAST(doc_id % 90 AS VARCHAR(20)) || '@mail.example>' AS message_id, 1700000000 + doc_id * 60 AS claimed_at, 'user@acme.io' AS from_addr, 'Offer' AS subject, CASE WHEN doc_id % 7 < 3 THEN 'same words ' || CAST(doc_id % 40 AS VARCHAR(20)) ELSE substring(text, 1, 200) END AS body,
+       {pick(['processed', 'claimed', 'failed', 'failed', 'processed', 'rejected', 'claimed', 'claimed', 'failed'], 'doc_id % 9')} AS status FROM {{documents}} WHERE text IS NOT NULL"""
+_CHAIN = _ATTEMPTS.format(status="status", hashed=f"SELECT *, {_HASH} AS hash FROM [arrivals]")
+_TWINS = """SELECT *, first_value(CASE WHEN outcome IN ('claimed', 'taken_over') AND held_status NOT IN ('failed', 'rejected', 'dead_letter') THEN doc_id END IGNORE NULLS) OVER (PARTITION BY hash ORDER BY claimed_at, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS twin FROM w"""
+
+
+def _passes(spark, rows, order, times=3):
+    """rows as an inbox that fills in so many passes, in order; after each, one run of both claim steps. Returns the decided rows."""
+    root = _root(spark)
+    edges = rows.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    slice_of = F.least(F.floor((F.col(order) - edges["a"]) * times / (edges["b"] - edges["a"] + 1)), F.lit(times - 1)) if edges["a"] is not None else F.lit(0)
+    for i in range(times):
+        rows.where(slice_of == i).write.mode("append").parquet(f"{root}/in")
+        claims.drain(claims.claims(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), "message_id"), f"{root}/c1", path=f"{root}/by_id")
+        claims.drain(claims.content_twins(spark.readStream.schema(claims.CLAIM).parquet(f"{root}/by_id")), f"{root}/c2", path=f"{root}/out")
+    return spark.read.schema(claims.CLAIM).parquet(f"{root}/out")
+
+
 @query("stream_claims", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY claimed_at, doc_id) = 1 THEN 'claimed' ELSE 'duplicate' END AS outcome FROM (SELECT *, coalesce(message_id, CAST(doc_id AS VARCHAR)) AS k FROM [messages])")
 def _(spark, d):
-    stream, root = _stream(spark, view(spark, d, "messages"))
-    keyed = stream.withColumns({"key": F.coalesce("message_id", F.col("doc_id").cast("string")), "status": F.lit("processed")})
-    claims.drain(claims.claims(keyed, "key"), f"{root}/c", path=f"{root}/out")
-    return claims.last_revisions(spark.read.schema(claims.CLAIM).parquet(f"{root}/out")).select("doc_id", "outcome")
+    rows = view(spark, d, "messages").select("doc_id", "message_id", "claimed_at", F.lit("processed").alias("status"), mail.content_hash().alias("content_hash"))
+    out = _passes(spark, rows, "claimed_at")
+    return out.select("doc_id", F.when(F.col("reason") == "content", "claimed").otherwise(F.col("outcome")).alias("outcome"))
+
+
+@query("stream_claim_chain", f"""{_CHAIN}, t AS ({_TWINS}), d AS (SELECT doc_id, CASE WHEN outcome = 'claimed' AND twin IS NOT NULL THEN 'duplicate' ELSE outcome END AS outcome, CASE WHEN outcome = 'duplicate' THEN 'message_id' WHEN outcome = 'claimed' AND twin IS NOT NULL THEN 'content' END AS reason,
+ CASE WHEN outcome = 'duplicate' THEN held WHEN outcome = 'claimed' THEN twin END AS duplicate_of, attempts FROM t)
+SELECT d.doc_id, d.outcome, d.reason, coalesce(o.duplicate_of, d.duplicate_of) AS duplicate_of, d.attempts FROM d LEFT JOIN d o ON o.doc_id = d.duplicate_of AND o.reason = 'content'""")
+def _(spark, d):
+    rows = view(spark, d, "arrivals").withColumn("content_hash", mail.content_hash()).select("doc_id", "message_id", "claimed_at", "status", "content_hash")
+    return claims.canonical(_passes(spark, rows, "claimed_at")).select("doc_id", "outcome", "reason", "duplicate_of", "attempts")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")

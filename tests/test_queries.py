@@ -54,11 +54,11 @@ def test_query_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
-@pytest.mark.parametrize("name", ["stream_tracker", "stream_cache", "stream_claims"])
+@pytest.mark.parametrize("name", ["stream_tracker", "stream_cache"])
 def test_streams_over_many_batches(spark, duck, sf_dir, name, monkeypatch):
     """One file a batch, the latest rows first."""
     poll, stream = claims.poll, catalogue._stream
-    order = {"stream_tracker": "lead_id", "stream_cache": "fetched_at", "stream_claims": "claimed_at"}[name]
+    order = {"stream_tracker": "lead_id", "stream_cache": "fetched_at"}[name]
 
     def written(session, rows):
         source, root = stream(session, rows.limit(0))

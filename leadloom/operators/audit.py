@@ -14,6 +14,48 @@ def chained(entries: DataFrame) -> DataFrame:
     return entries.groupBy("run_id").agg(F.count(F.lit(1)).alias("entries"), F.aggregate(ordered, F.lit(GENESIS), lambda acc, x: F.sha2(F.concat(acc, F.lit("|"), x["payload"]), 256)).alias("head"))
 
 
+def sealed(entries: DataFrame) -> DataFrame:
+    """run_id, seq, payload, prev_hash and hash of each entry, as a writer that appends them one by one stores them. A run is a unit of
+    work of one process, so its entries fit in memory."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "payload")))
+    start = F.array().cast("array<struct<seq:bigint,payload:string,prev_hash:string,hash:string>>")
+
+    def append(rows: Column, x: Column) -> Column:
+        before = F.coalesce(F.get(rows, F.size(rows) - 1)["hash"], F.lit(GENESIS))
+        return F.concat(rows, F.array(F.struct(x["seq"].cast("long").alias("seq"), x["payload"].alias("payload"), before.alias("prev_hash"), F.sha2(F.concat(before, F.lit("|"), x["payload"]), 256).alias("hash"))))
+
+    return entries.groupBy("run_id").agg(F.explode(F.aggregate(ordered, start, append)).alias("e")).select("run_id", "e.*")
+
+
+def verify_ledger(ledger: DataFrame, heads: DataFrame | None = None, first_seq: int = 0) -> DataFrame:
+    """Per run: entries, head, ok, and the first broken seq with its problem.
+
+    Every entry is checked by itself: its hash is computed again from the stored previous hash and its payload (edited), the previous hash
+    is that of the entry before (relinked), which must exist (gap) and be the only one of its seq (repeated). Entries meet their
+    predecessors by an equi-join on run and seq, so no run comes into one task, however long. heads (run_id, entries, head), kept
+    elsewhere, tells a ledger that was cut short (truncated) or written anew from its start (replaced).
+
+    ledger: run_id, seq, payload, prev_hash, hash. A null field of an entry counts as an edit.
+    """
+    before = ledger.groupBy("run_id", "seq").agg(F.min("hash").alias("before"), F.count(F.lit(1)).alias("copies"))
+    prior = before.select("run_id", (F.col("seq") + 1).alias("seq"), "before")
+    again = F.sha2(F.concat("prev_hash", F.lit("|"), "payload"), 256)
+    first = F.col("seq") == first_seq
+    rows = ledger.join(before.select("run_id", "seq", "copies"), ["run_id", "seq"]).join(prior, ["run_id", "seq"], "left")
+    problem = (
+        F.when(F.col("copies") > 1, "repeated").when(~first & F.col("before").isNull(), "gap").when(F.coalesce(again != F.col("hash"), F.lit(True)), "edited")
+        .when(F.coalesce(F.col("prev_hash") != F.when(first, F.lit(GENESIS)).otherwise(F.col("before")), F.lit(True)), "relinked")
+    )
+    runs = rows.withColumn("problem", problem).groupBy("run_id").agg(F.count(F.lit(1)).alias("entries"), F.max_by("hash", "seq").alias("head"), F.min(F.when(F.col("problem").isNotNull(), F.struct("seq", "problem"))).alias("b"))
+    if heads is None:
+        return runs.select("run_id", "entries", "head", F.col("b").isNull().alias("ok"), F.col("b.seq").alias("bad_seq"), "b.problem")
+    kept = heads.select("run_id", F.col("entries").alias("_entries"), F.col("head").alias("_head"))
+    both = runs.join(kept, "run_id", "full")
+    n = F.coalesce("entries", F.lit(0))
+    late = F.when(F.col("_head").isNull(), "unknown_run").when(n < F.col("_entries"), "truncated").when((n != F.col("_entries")) | (F.col("head") != F.col("_head")), "replaced")
+    return both.select("run_id", n.alias("entries"), "head", (F.col("b").isNull() & late.isNull()).alias("ok"), F.col("b.seq").alias("bad_seq"), F.coalesce("b.problem", late).alias("problem"))
+
+
 def run_status(entries: DataFrame) -> DataFrame:
     """The last terminal marker of each run, or unknown."""
     marker = F.col("kind").isin("completed", "aborted")

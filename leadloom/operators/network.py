@@ -48,6 +48,67 @@ def longest_prefix(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     return ips.join(best, "ip", "left").select("ip", "m.provider", "m.service", "m.bits")
 
 
+#: Services that name a whole provider and not a product, by provider: fixed values.
+GENERIC_SERVICES = {"AWS": ("AMAZON", "EC2"), "GCP": ("Google Cloud", "GOOGLE")}
+
+
+def ip_key(text: Column) -> Column:
+    """An address as family (4 or 6), hi and lo: its 128 bits as two longs; null where it is none. An IPv4 address fills lo alone."""
+    four = let(ipv4(F.trim(text)), lambda n: F.when(n.isNotNull(), F.struct(F.lit(4).alias("family"), F.lit(0).cast("long").alias("hi"), n.alias("lo"))))
+
+    def six(g: Column) -> Column:
+        long = lambda at: F.shiftleft(g[at], 48).bitwiseOR(F.shiftleft(g[at + 1], 32)).bitwiseOR(F.shiftleft(g[at + 2], 16)).bitwiseOR(g[at + 3])
+        return F.when(g.isNotNull(), F.struct(F.lit(6).alias("family"), long(0).alias("hi"), long(4).alias("lo")))
+
+    return F.when(text.contains(":"), let(ipv6_groups(F.trim(text)), six)).otherwise(four)
+
+
+def masked(family: Column, hi: Column, lo: Column, bits: Column) -> tuple[Column, Column]:
+    """hi and lo with all but the first bits of the address cleared."""
+    left = lambda n: F.call_function("shiftleft", F.lit(-1).cast("long"), n.cast("int"))
+    high = F.when(family == 4, hi).when(bits <= 0, F.lit(0).cast("long")).when(bits >= 64, hi).otherwise(hi.bitwiseAND(left(64 - bits)))
+    low4 = F.when(bits <= 0, F.lit(0).cast("long")).otherwise(lo.bitwiseAND(left(32 - bits)))
+    low6 = F.when(bits <= 64, F.lit(0).cast("long")).otherwise(lo.bitwiseAND(left(128 - bits)))
+    return high, F.when(family == 4, low4).otherwise(low6)
+
+
+def range_key(cidr: Column) -> Column:
+    """A range as family, bits, hi and lo; null where it is none. Bits behind the prefix are cleared; without a length it is one address."""
+    bits = F.when(cidr.contains("/"), F.when(F.substring_index(cidr, "/", -1).rlike("^[0-9]{1,3}$"), F.substring_index(cidr, "/", -1)).try_cast("int")).otherwise(-1)
+
+    def key(a: Column) -> Column:
+        full = F.when(a["family"] == 4, 32).otherwise(128)
+        n = F.when(bits == -1, full).otherwise(bits)
+        hi, lo = masked(a["family"], a["hi"], a["lo"], n)
+        return F.when(a.isNotNull() & (n <= full), F.struct(a["family"].alias("family"), n.alias("bits"), hi.alias("hi"), lo.alias("lo")))
+
+    return let(ip_key(F.substring_index(cidr, "/", 1)), key)
+
+
+def is_generic(provider: Column, service: Column) -> Column:
+    named = [(provider == p) & service.isin(*some) for p, some in GENERIC_SERVICES.items()]
+    return F.coalesce(named[0] | named[1] | ((provider == "Azure") & ~service.contains(".")) | (service == "generic"), F.lit(False))
+
+
+def match_addresses(addresses: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
+    """Of each distinct address (text, either family) the range of the longest prefix: ip, provider, service, region, role, bits; then specific
+    before generic services, provider, service. Texts that are no address and addresses without a range have nulls.
+
+    ranges: cidr, provider, service, region, role. An address is masked to each length that its family's ranges have (33 and 129 at most)
+    and joined by equality on family, length and 128 bits.
+    """
+    table = ranges.withColumn("r", range_key(F.col("cidr"))).where("r is not null").select("r.*", "provider", "service", "region", "role")
+    asked = addresses.select(F.col(ip).alias("ip")).distinct().withColumn("a", ip_key(F.col("ip")))
+    lengths = [(r["family"], r["bits"]) for r in table.select("family", "bits").distinct().collect()]
+    none = F.array().cast("array<int>")
+    of = {f: F.array(*[F.lit(b) for b in sorted(b for g, b in lengths if g == f)]).cast("array<int>") if any(g == f for g, _ in lengths) else none for f in (4, 6)}
+    each = asked.where("a is not null").select("ip", "a.*", F.explode(F.when(F.col("a.family") == 4, of[4]).otherwise(of[6])).alias("bits"))
+    hi, lo = masked(F.col("family"), F.col("hi"), F.col("lo"), F.col("bits"))
+    order = F.struct((-F.col("bits")).alias("a"), is_generic(F.col("provider"), F.col("service")).alias("b"), F.col("provider").alias("c"), F.col("service").alias("d"))
+    best = each.select("ip", "family", "bits", hi.alias("hi"), lo.alias("lo")).join(table, ["family", "bits", "hi", "lo"]).groupBy("ip").agg(F.min_by(F.struct("provider", "service", "region", "role", "bits"), order).alias("m"))
+    return asked.join(best, "ip", "left").select("ip", "m.provider", "m.service", "m.region", "m.role", "m.bits")
+
+
 def cname_rule(cname: Column) -> Column:
     """The first matching rule as a struct, or null."""
     rules = [F.when(F.lower(cname).contains(p), F.struct(F.lit(a).cast("string").alias("provider"), F.lit(s).alias("service"), F.lit(k).alias("scope"))) for p, a, s, k in CNAME_RULES]

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom import policy
@@ -548,6 +548,23 @@ def _(spark, d):
     return audit.chained(_entries(spark, d))
 
 
+@query("ledger_verification", """SELECT run_id, CASE WHEN kind IN ('gap', 'cut') THEN n - 1 ELSE n END AS entries, kind IN ('', 'short') AS ok, CASE kind WHEN 'edit' THEN 2 WHEN 'gap' THEN 2 WHEN 'swap' THEN 1 WHEN 'hash' THEN 3 WHEN 'start' THEN 0 END AS bad_seq,
+ CASE kind WHEN 'edit' THEN 'edited' WHEN 'gap' THEN 'gap' WHEN 'swap' THEN 'relinked' WHEN 'hash' THEN 'edited' WHEN 'start' THEN 'relinked' WHEN 'cut' THEN 'truncated' END AS problem
+ FROM (SELECT run_id, n, CASE WHEN n < 4 THEN 'short' ELSE ['', 'edit', 'gap', 'swap', 'hash', 'cut', 'start'][1 + run_id % 7] END AS kind FROM (SELECT lead_id AS run_id, count(*) AS n FROM [evidence] GROUP BY lead_id))""")
+def _(spark, d):
+    n = F.row_number().over(Window.partitionBy("run_id").orderBy("seq")) - 1
+    entries = _entries(spark, d).withColumn("seq", n.cast("long"))
+    rows = audit.sealed(entries)
+    whole = F.count(F.lit(1)).over(Window.partitionBy("run_id")) == 4
+    kind = F.when(whole, F.col("run_id") % 7).otherwise(0)
+    anew = F.sha2(F.concat(F.lit("1" * 64), F.lit("|"), "payload"), 256)
+    broken = rows.withColumn("k", kind).where(~((F.col("k") == 2) & (F.col("seq") == 1)) & ~((F.col("k") == 5) & (F.col("seq") == 3))).withColumns({
+        "payload": F.when((F.col("k") == 1) & (F.col("seq") == 2), F.concat("payload", F.lit("!"))).otherwise(F.col("payload")), "hash": F.when((F.col("k") == 4) & (F.col("seq") == 3), "0").when((F.col("k") == 6) & (F.col("seq") == 0), anew).otherwise(F.col("hash")),
+        "prev_hash": F.when((F.col("k") == 6) & (F.col("seq") == 0), "1" * 64).otherwise(F.col("prev_hash")), "seq": F.when((F.col("k") == 3) & F.col("seq").isin(1, 2), 3 - F.col("seq")).otherwise(F.col("seq")),
+    })
+    return audit.verify_ledger(broken, audit.chained(entries)).select("run_id", "entries", "ok", "bad_seq", "problem")
+
+
 @query("ledger_status", "SELECT lead_id AS run_id, coalesce(arg_max(CASE strength WHEN 'DIRECT' THEN 'completed' WHEN 'WEAK' THEN 'aborted' END, CASE WHEN strength IN ('DIRECT', 'WEAK') THEN ordinal END), 'unknown') AS status FROM [evidence] GROUP BY lead_id")
 def _(spark, d):
     return audit.run_status(_entries(spark, d))
@@ -760,6 +777,46 @@ def _(spark, d):
     return feeds.range_feed("AWS", part.select(body.alias("body"))).select("cidr", "network", "bits", "role", "version")
 
 
+VIEWS["feed_rows"] = f"""
+SELECT p_partkey AS id, {pick(['AWS', 'GCP', 'OCI', 'Azure'], 'p_partkey % 4')} AS provider, {pick(['EC2', 'Google Cloud', 'OSN', 'AzureFrontDoor.Frontend', 'CLOUDFRONT', 'GOOGLE', 'OBJECT_STORAGE', 'AzureCloud'], 'p_partkey % 8')} AS service, p_partkey % 50 AS a,
+       p_partkey * 37 % 65536 AS b, CASE WHEN p_partkey % 5 = 0 THEN 4 WHEN p_partkey % 11 = 0 THEN 0 ELSE 6 END AS family, CASE WHEN p_partkey % 5 = 0 THEN 16 + p_partkey % 2 * 4 ELSE 32 + p_partkey % 3 * 8 END AS bits FROM {{part}}"""
+VIEWS["feed_cidrs"] = f"""
+SELECT f.*, CASE family WHEN 4 THEN '10.' || CAST(a AS VARCHAR(20)) || '.' || CAST(b // 256 AS VARCHAR(20)) || '.' || CAST(b % 256 AS VARCHAR(20)) || '/' || CAST(bits AS VARCHAR(20))
+       WHEN 6 THEN '2A00:' || hex(CAST(a AS BIGINT)) || ':' || hex(CAST(b AS BIGINT)) || '::/' || CAST(bits AS VARCHAR(20)) ELSE '2a00::1::/32' END AS cidr FROM ({VIEWS['feed_rows']}) f"""
+VIEWS["addresses"] = """
+SELECT DISTINCT l_partkey AS id, l_partkey % 60 AS a, l_partkey * 37 % 65536 + l_suppkey % 3 AS b, CASE WHEN l_suppkey % 4 = 0 THEN 4 WHEN l_suppkey % 13 = 0 THEN 0 ELSE 6 END AS family FROM {lineitem}"""
+VIEWS["address_texts"] = f"""
+SELECT x.*, CASE family WHEN 4 THEN '10.' || CAST(a AS VARCHAR(20)) || '.' || CAST(b // 256 % 256 AS VARCHAR(20)) || '.' || CAST(b % 256 AS VARCHAR(20)) WHEN 6 THEN '2a00:' || lower(hex(CAST(a AS BIGINT))) || ':' || lower(hex(CAST(b % 65536 AS BIGINT))) || '::7' ELSE '2a00:nowhere' END AS ip FROM ({VIEWS['addresses']}) x"""
+
+
+def _feed(spark, d):
+    """The rows of all four providers, each in its own shape."""
+    rows = view(spark, d, "feed_cidrs")
+    one = lambda *c: F.to_json(F.struct(*c))
+    v6 = F.col("cidr").contains(":")
+    aws = one(F.lit("2024").alias("createDate"), F.when(~v6, F.array(F.struct(F.col("cidr").alias("ip_prefix"), "service"))).alias("prefixes"), F.when(v6, F.array(F.struct(F.col("cidr").alias("ipv6_prefix"), "service"))).alias("ipv6_prefixes"))
+    gcp = one(F.lit("7").alias("syncToken"), F.array(F.struct(F.when(~v6, F.col("cidr")).alias("ipv4Prefix"), F.when(v6, F.col("cidr")).alias("ipv6Prefix"), "service", F.lit("eu").alias("scope"))).alias("prefixes"))
+    oci = one(F.lit("t").alias("last_updated_timestamp"), F.array(F.struct(F.lit("eu").alias("region"), F.array(F.struct("cidr", F.array("service").alias("tags"))).alias("cidrs"))).alias("regions"))
+    azure = one(F.lit("3").alias("changeNumber"), F.array(F.struct(F.col("service").alias("name"), F.struct(F.lit("").alias("region"), F.array("cidr").alias("addressPrefixes")).alias("properties"))).alias("values"))
+    parts = [feeds.range_feed(p, rows.where(F.col("provider") == p).select(body.alias("body"))) for p, body in (("AWS", aws), ("GCP", gcp), ("OCI", oci), ("Azure", azure))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+_ROLE = "CASE provider WHEN 'AWS' THEN CASE service WHEN 'CLOUDFRONT' THEN 'EDGE' ELSE 'PUBLIC_CLOUD_COMPUTE' END WHEN 'GCP' THEN 'PUBLIC_CLOUD_COMPUTE' WHEN 'Azure' THEN CASE WHEN starts_with(service, 'AzureFrontDoor.') THEN 'EDGE' ELSE 'PUBLIC_CLOUD_SERVICE' END ELSE 'PUBLIC_CLOUD_SERVICE' END"
+
+
+@query("range_feeds", f"SELECT cidr, family, bits, provider, service, {_ROLE} AS role FROM [feed_cidrs] WHERE family <> 0")
+def _(spark, d):
+    return _feed(spark, d).select("cidr", "family", "bits", "provider", "service", "role")
+
+
+@query("address_match", f"""SELECT ip, provider, service, role, bits FROM (SELECT DISTINCT ip FROM [address_texts]) LEFT JOIN (SELECT ip, provider, service, {_ROLE} AS role, bits FROM
+ (SELECT x.ip, f.*, row_number() OVER (PARTITION BY x.ip ORDER BY f.bits DESC, service IN ('EC2', 'Google Cloud', 'GOOGLE', 'AzureCloud'), provider, service) AS k FROM [address_texts] x JOIN [feed_cidrs] f ON f.family = x.family AND f.a = x.a
+  AND CASE WHEN x.family = 4 THEN f.bits = 16 OR (f.bits = 20 AND f.b // 4096 = x.b % 65536 // 4096) WHEN x.family = 6 THEN f.bits = 32 OR (f.bits = 40 AND f.b // 256 = x.b % 65536 // 256) OR (f.bits = 48 AND f.b = x.b % 65536) ELSE false END) WHERE k = 1) USING (ip)""")
+def _(spark, d):
+    return network.match_addresses(view(spark, d, "address_texts"), _feed(spark, d)).drop("region")
+
+
 @query("registry_rows", "SELECT s_suppkey AS lead_id, 0 AS position, s_name AS legal_name, 'ACTIVE' AS status FROM supplier")
 def _(spark, d):
     name = F.struct(F.struct(F.lit("L").alias("lei"), F.struct(F.struct(F.col("s_name").alias("name")).alias("legalName"), F.lit("ACTIVE").alias("status")).alias("entity")).alias("attributes"))

@@ -24,6 +24,10 @@ def validated_leads(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problem", F.when(corrupt, "unreadable").when(blank, "no_company").when(~band.isin("", *policy.BANDS), "bad_band"))
 
 
+#: Services of content delivery and name resolution: fixed values.
+AWS_EDGE = ("CLOUDFRONT", "GLOBALACCELERATOR", "ROUTE53", "ROUTE53_HEALTHCHECKS")
+
+
 def cidr(text: Column) -> tuple[Column, Column]:
     """Network as a number and bits of an IPv4 range; nulls where it is none."""
     from leadloom.operators.network import ipv4
@@ -33,12 +37,15 @@ def cidr(text: Column) -> tuple[Column, Column]:
 
 
 def range_feed(provider: str, feed: DataFrame) -> DataFrame:
-    """One provider's feed (column body: its JSON) as cidr, network, bits, provider, service, region, role, version.
+    """One provider's feed (column body: its JSON) as cidr, network (IPv4 as a number), family, bits, hi, lo, provider, service, region,
+    role, version.
 
     A body that cannot be read, or a range that is none, contributes nothing.
     """
+    from leadloom.operators.network import range_key
+
     shapes = {
-        "AWS": "syncToken string, prefixes array<struct<ip_prefix:string,region:string,service:string>>, ipv6_prefixes array<struct<ipv6_prefix:string,region:string,service:string>>",
+        "AWS": "createDate string, syncToken string, prefixes array<struct<ip_prefix:string,region:string,service:string>>, ipv6_prefixes array<struct<ipv6_prefix:string,region:string,service:string>>",
         "GCP": "syncToken string, prefixes array<struct<ipv4Prefix:string,ipv6Prefix:string,service:string,scope:string>>",
         "OCI": "last_updated_timestamp string, regions array<struct<region:string,cidrs:array<struct<cidr:string,tags:array<string>>>>>",
         "Azure": "changeNumber string, values array<struct<name:string,properties:struct<region:string,addressPrefixes:array<string>>>>",
@@ -46,8 +53,8 @@ def range_feed(provider: str, feed: DataFrame) -> DataFrame:
     j = feed.select(F.from_json("body", shapes[provider]).alias("j")).where("j is not null")
     if provider == "AWS":
         both = F.concat(F.coalesce("j.prefixes", F.array().cast("array<struct<ip_prefix:string,region:string,service:string>>")), F.coalesce(F.col("j.ipv6_prefixes").cast("array<struct<ip_prefix:string,region:string,service:string>>"), F.array().cast("array<struct<ip_prefix:string,region:string,service:string>>")))
-        rows = j.select("j.syncToken", F.explode(both).alias("p")).select(F.col("p.ip_prefix").alias("cidr"), "p.service", "p.region", F.col("syncToken").alias("version"))
-        role = F.when(F.col("service").isin("CLOUDFRONT", "GLOBALACCELERATOR"), "EDGE").when(F.col("service") == "EC2", "PUBLIC_CLOUD_COMPUTE").otherwise("PUBLIC_CLOUD_SERVICE")
+        rows = j.select(F.coalesce("j.createDate", "j.syncToken").alias("version"), F.explode(both).alias("p")).select(F.col("p.ip_prefix").alias("cidr"), F.coalesce("p.service", F.lit("AMAZON")).alias("service"), "p.region", "version")
+        role = F.when(F.col("service").isin(*AWS_EDGE), "EDGE").when(F.col("service").isin("AMAZON", "EC2"), "PUBLIC_CLOUD_COMPUTE").otherwise("PUBLIC_CLOUD_SERVICE")
     elif provider == "GCP":
         rows = j.select("j.syncToken", F.explode("j.prefixes").alias("p")).select(F.coalesce("p.ipv4Prefix", "p.ipv6Prefix").alias("cidr"), "p.service", F.col("p.scope").alias("region"), F.col("syncToken").alias("version"))
         role = F.lit("PUBLIC_CLOUD_COMPUTE")
@@ -57,9 +64,9 @@ def range_feed(provider: str, feed: DataFrame) -> DataFrame:
     else:
         rows = j.select("j.changeNumber", F.explode("j.values").alias("v")).select(F.explode("v.properties.addressPrefixes").alias("cidr"), F.col("v.name").alias("service"), "v.properties.region", F.col("changeNumber").alias("version"))
         role = F.when(F.col("service").startswith("AzureFrontDoor."), "EDGE").otherwise("PUBLIC_CLOUD_SERVICE")
-    network, bits = cidr(F.col("cidr"))
-    v6 = F.col("cidr").contains(":")
-    return rows.select("cidr", network.alias("network"), bits.alias("bits"), F.lit(provider).alias("provider"), "service", "region", role.alias("role"), "version").where(F.col("network").isNotNull() | v6)
+    network, _ = cidr(F.col("cidr"))
+    keyed = rows.withColumn("_key", range_key(F.col("cidr"))).where("_key is not null")
+    return keyed.select("cidr", network.alias("network"), "_key.*", F.lit(provider).alias("provider"), "service", "region", role.alias("role"), "version")
 
 
 def registry_records(answers: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.functions.expr import let
+
 #: Path segments in order of priority; and those that count beyond the landing page's own links.
 PATHS = ("about", "company", "team", "careers", "jobs", "engineering", "technology", "platform", "security", "infrastructure", "trust", "subprocessors", "privacy", "dpa", "status", "architecture", "legal", "compliance")
 NOT_OWN = ("blog", "questions", "careers", "jobs", "community", "forum", "tag", "tags", "news", "press")
@@ -21,31 +23,57 @@ def visible_text(html: Column) -> Column:
     """
     unseen = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{e}\b[^>]*+(?:>.*?(?:</{e}\s*+>|\z)|\z)" for e in ("script", "style", "title"))
     seen = F.regexp_replace(html, unseen, "")
-    tail = F.substring_index(seen, ">", -1)  # no tag ends in it, and before it every tag does
-    lines = F.regexp_replace(F.left(seen, F.length(seen) - F.length(tail)), r"(?i)</?(?:p|div|br|li|ul|h[1-6]|article|nav|footer|table|tr)\b[^>]*>", "\n")
-    text = F.concat(F.regexp_replace(lines, "<[^>]*>", ""), tail)
+    # no tag ends behind the last bracket, and before it every tag does
+    ended = lambda c, pattern, by: let(F.struct(c.alias("c"), F.length(F.substring_index(c, ">", -1)).alias("n")), lambda x: F.concat(F.regexp_replace(F.left(x["c"], F.length(x["c"]) - x["n"]), pattern, by), F.right(x["c"], x["n"])))
+    text = ended(ended(seen, r"(?i)</?(?:p|div|br|li|ul|h[1-6]|article|nav|footer|table|tr)\b[^>]*>", "\n"), "<[^>]*>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[ \t\r]+", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def elements(html: Column, name: str, attribute: str | None = None) -> Column:
+    """What stands in each element of a name (whose start tag holds the attribute), up to the first end tag after it; one that never ends
+    has nothing, and takes the rest of the page with it, so that the time is in proportion to the page."""
+    tagged = F.left(html, F.length(html) - F.length(F.substring_index(html, ">", -1)))  # in it every tag ends
+    whole = F.regexp_extract_all(tagged, F.lit(rf"(?is)(<{name}\b[^>]*+>.*?(?:</{name}\s*+>|\z))"), F.lit(1))
+    ended = F.filter(whole, lambda x: F.rlike(F.right(x, F.lit(64)), F.lit(rf"(?is)</{name}\s*>\z")))
+    if attribute:
+        ended = F.filter(ended, lambda x: F.contains(F.lower(F.substring_index(x, ">", 1)), F.lit(attribute)))
+    return F.transform(ended, _inside)
+
+
+def _inside(x: Column) -> Column:
+    """An element without its own start and end tag."""
+    rest = F.substring(x, F.instr(x, ">") + 1, F.length(x))
+    return F.left(rest, F.length(rest) - F.length(F.substring_index(rest, "</", -1)) - 2)
+
+
+def faq_entities(blocks: Column) -> Column:
+    """index, name and answer of each question of the FAQ pages in JSON-LD blocks: a document may be a list, hold its nodes in @graph, give
+    @type as a list and mainEntity as one object. A block that is no JSON gives nothing."""
+    get = F.try_variant_get
+    many = lambda v, path: F.coalesce(get(v, path, "array<variant>"), F.filter(F.array(get(v, path, "variant")), lambda x: x.isNotNull()))
+    documents = F.flatten(F.transform(blocks, lambda b: many(F.try_parse_json(b), "$")))
+    nodes = F.flatten(F.transform(documents, lambda d: F.coalesce(get(d, "$['@graph']", "array<variant>"), F.array(d))))
+    types = lambda n: F.coalesce(get(n, "$['@type']", "array<string>"), F.array(get(n, "$['@type']", "string")))
+    pages = F.filter(nodes, lambda n: F.array_contains(types(n), "FAQPage"))
+    text = lambda v, path: F.coalesce(F.trim(get(v, path, "string")), F.lit(""))
+    return F.flatten(F.transform(pages, lambda n: F.transform(many(n, "$.mainEntity"), lambda q, i: F.struct(i.alias("i"), text(q, "$.name").alias("name"), text(q, "$.acceptedAnswer.text").alias("answer")))))
+
+
 def chunks(pages: DataFrame) -> DataFrame:
-    """page_id, locator, text: the main text, question answers in JSON-LD, details elements and each table row."""
-    html = F.col("html")
-    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
-    every = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(1))
-    block = "struct<`@type`:string,mainEntity:array<struct<name:string,acceptedAnswer:struct<text:string>>>>"
-    entities = "array<struct<name:string,acceptedAnswer:struct<text:string>>>"
-    read = lambda j: F.coalesce(F.when(F.from_json(j, block)["@type"] == "FAQPage", F.from_json(j, block)["mainEntity"]), F.array().cast(entities))
-    faq = F.flatten(F.transform(every(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), read))
+    """page_id, locator, text: the main text, question answers in JSON-LD, details elements and each table row; empty ones are left out."""
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*+(?:>|\\z)", " "), r"\s+", " "))
     named = lambda parts, prefix: F.transform(parts, lambda t, i: F.struct(F.concat(F.lit(prefix), i.cast("string"), F.lit("]")).alias("locator"), t.alias("text")))
+    found = pages.select(
+        "page_id", "html", elements(F.col("html"), "script", "application/ld+json").alias("_blocks"), elements(F.col("html"), "details").alias("_details"), elements(F.col("html"), "tr").alias("_rows")
+    ).withColumn("_faq", faq_entities(F.col("_blocks")))
     rows = F.concat(
-        F.array(F.struct(F.lit("main_text").alias("locator"), visible_text(html).alias("text"))),
-        named(F.transform(faq, lambda q: F.concat_ws(" ", q["name"], q["acceptedAnswer"]["text"])), "jsonld:FAQPage.mainEntity["),
-        named(F.transform(every(r"(?is)<details\b[^>]*>(.*?)</details>"), bare), "details["),
-        named(F.transform(every(r"(?is)<tr\b[^>]*>(.*?)</tr>"), bare), "table["),
-    )
-    return pages.select("page_id", F.explode(rows).alias("c")).select("page_id", "c.locator", "c.text").where(F.col("text") != "")
+        F.array(F.struct(F.lit("main_text").alias("locator"), visible_text(F.col("html")).alias("text"))),
+        F.transform("_faq", lambda q: F.struct(F.concat(F.lit("jsonld:FAQPage.mainEntity["), q["i"].cast("string"), F.lit("]")).alias("locator"), bare(F.concat_ws(" ", q["name"], q["answer"])).alias("text"))),
+        named(F.transform("_details", bare), "details["), named(F.transform("_rows", bare), "table["),
+    )
+    return found.select("page_id", F.explode(rows).alias("c")).select("page_id", "c.locator", "c.text").where(F.col("text") != "")
 
 
 def page_flag(html: Column, text: Column) -> Column:

@@ -502,6 +502,35 @@ def _(spark, d):
     return pages.chunks(spark.read.parquet(f"{d}/pages.parquet"))
 
 
+_FAQ = [
+    '{"@type":"FAQPage","mainEntity":[{"name":"Why {n}?","acceptedAnswer":{"text":"Because <b>so</b>."}},{"name":" "},{"name":"How?"}]}',
+    '{"@graph":[{"@type":"Thing"},{"@type":["WebPage","FAQPage"],"mainEntity":{"name":"One {n}","acceptedAnswer":{"text":"Two"}}}]}',
+    '[{"@type":"FAQPage","mainEntity":[{"name":"L{n}"}]},{"@type":"Other","mainEntity":[{"name":"no"}]}]', '{"@type":"FAQPage","mainEntity":[{"name":"broken {n}"', '{"@type":"FAQPage","mainEntity":[1,{"name":7,"acceptedAnswer":"x"}]}', '',
+]
+_MARKUP = ["<details open><summary>More</summary> text {n}</details><DETAILS> </DETAILS>", "<table><tr><th>a</th><td>{n}</td></tr>\n<tr class=x>\n<td>b</td></tr></table>", "<details>never ends {n}<table><tr>", "<tr>cut<tr>row {n}</tr >", ""]
+
+
+def _planted(values: list[str], index: str) -> str:
+    """A SQL choice of strings, in which {n} is the page; braces are spelled out, as they mark tables elsewhere."""
+    spelled = lambda v: v.replace("{n}", "\0").replace("{", "' || chr(123) || '").replace("}", "' || chr(125) || '").replace("\0", "' || CAST(page_id AS VARCHAR(20)) || '")
+    quoted = ["'" + spelled(v.replace("'", "''")) + "'" for v in values]
+    return f"CASE {index} " + " ".join(f"WHEN {i} THEN {q}" for i, q in enumerate(quoted)) + " END"
+
+
+VIEWS["marked_pages"] = f"""
+SELECT page_id, html || '<script type="application/ld+json">' || {_planted(_FAQ, 'page_id % 6')} || '</script>' || {_planted(_MARKUP, 'page_id % 5')} AS html FROM {{pages}}"""
+_CHUNKS = {
+    "page_id % 6": {0: [("jsonld:FAQPage.mainEntity[0]", "Why {n}? Because so ."), ("jsonld:FAQPage.mainEntity[2]", "How?")], 1: [("jsonld:FAQPage.mainEntity[0]", "One {n} Two")], 2: [("jsonld:FAQPage.mainEntity[0]", "L{n}")], 4: [("jsonld:FAQPage.mainEntity[1]", "7")]},
+    "page_id % 5": {0: [("details[0]", "More text {n}")], 1: [("table[0]", "a {n}"), ("table[1]", "b")], 3: [("table[0]", "cut row {n}")]},
+}
+_EXPECTED = " UNION ALL ".join(f"SELECT page_id, '{loc}' AS locator, {_planted([text], '0')} AS text FROM pages WHERE {index} = {i}" for index, cases in _CHUNKS.items() for i, rows in cases.items() for loc, text in rows)
+
+
+@query("page_structure", _EXPECTED)
+def _(spark, d):
+    return pages.chunks(view(spark, d, "marked_pages")).where("locator <> 'main_text'")
+
+
 @query("page_flags")
 def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", pages.page_flag(F.col("html"), pages.visible_text(F.col("html"))).alias("flag"))

@@ -17,6 +17,41 @@ def screen_freshness(leads: DataFrame, answers: DataFrame, as_of: Column, days:
     return leads.select("lead_id").join(last, "lead_id", "left").select("lead_id", "answer_id", F.when(F.col("fetched_at").isNull(), "never_asked").when(age <= days, "fresh").otherwise("stale").alias("freshness"))
 
 
+def screens_as_of(queries: DataFrame, answers: DataFrame, days: int = 30) -> DataFrame:
+    """query_id, answer_id and outcome of each query at its time: what the last answer to the same name and country says by then.
+
+    fresh: a readable answer not older than days, answer_id names it; degraded: none, and the last attempt failed; stale: only older
+    answers, or one that cannot say when it was fetched; not_configured: never an attempt, and the service is not set up; never_asked:
+    never an attempt, though it is.
+
+    queries: query_id, name, country, as_of, configured. answers: answer_id, name, country, fetched_at (text), ok. Names are compared in
+    lower case without blanks around them; a null country is a country of its own. Both tables are one union in the order of time: inside
+    a day by a running maximum, over days by one row per key and day, so that a name that holds most rows is split by days.
+    """
+    key = [F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("k1"), F.coalesce("country", F.lit("")).alias("k2")]
+    at = F.try_to_timestamp("fetched_at")
+    told = answers.select(*key, at.alias("t"), "answer_id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    asked = queries.select(*key, F.col("as_of").cast("timestamp").alias("t"), "query_id", F.coalesce("configured", F.lit(False)).alias("configured"))
+    attempt = F.struct("t", "ok", "answer_id")
+    mine = told.where("t is not null").select("k1", "k2", "t", F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("boolean").alias("configured"), F.when(F.col("ok"), attempt).alias("good"), attempt.alias("last"))
+    theirs = asked.select("k1", "k2", "t", F.lit(1).alias("kind"), "query_id", "configured", *[F.lit(None).cast(mine.schema[c].dataType).alias(c) for c in ("good", "last")])
+    rows = mine.union(theirs).withColumn("day", F.to_date("t"))
+    daily = rows.groupBy("k1", "k2", "day").agg(F.max("good").alias("good"), F.max("last").alias("last"))
+    before = Window.partitionBy("k1", "k2").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = daily.select("k1", "k2", "day", F.max("good").over(before).alias("good_before"), F.max("last").over(before).alias("last_before"))
+    so_far = Window.partitionBy("k1", "k2", "day").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({"good_now": F.max("good").over(so_far), "last_now": F.max("last").over(so_far)}).where("kind = 1")
+    undated = told.where("t is null").groupBy("k1", "k2").agg(F.bool_or("ok").alias("undated"))
+    full = seen.join(carried, ["k1", "k2", "day"], "left").join(undated, ["k1", "k2"], "left")
+    good, last = F.coalesce("good_now", "good_before"), F.coalesce("last_now", "last_before")
+    fresh = F.coalesce(good["t"] >= F.col("t") - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
+    outcome = (
+        F.when(fresh, "fresh").when(F.coalesce(~last["ok"], F.lit(False)), "degraded").when(good.isNotNull() | F.coalesce("undated", F.lit(False)), "stale")
+        .when(F.col("undated").isNotNull(), "degraded").when(F.col("configured"), "never_asked").otherwise("not_configured")
+    )
+    return full.select("query_id", F.when(fresh, good["answer_id"]).alias("answer_id"), outcome.alias("outcome"))
+
+
 def with_list_hits(cases: DataFrame, names: DataFrame, short: DataFrame, domains: DataFrame, second: DataFrame, second_screens: DataFrame) -> DataFrame:
     """cases with the best name_score, domain_score and second_score, short_hit and second_screen of each lead_id.
 

@@ -307,6 +307,20 @@ def _(spark, d):
     return decide.screen_freshness(view(spark, d, "leads"), view(spark, d, "screens"), F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")))
 
 
+_WHO = f"{pick([' Acme', 'acme ', 'Bolt', 'Globex'], 'o_custkey % 4')} || CAST(o_custkey % 40 AS VARCHAR(20)) AS name, nullif({pick(['', 'DE', 'HU'], 'o_custkey % 3')}, '') AS country"
+VIEWS["asked"] = f"SELECT o_orderkey AS query_id, {_WHO}, o_orderdate AS as_of, o_custkey % 5 <> 0 AS configured FROM {{orders}} WHERE o_orderkey % 3 = 1"
+VIEWS["told"] = f"""
+SELECT o_orderkey AS answer_id, {_WHO}, CASE WHEN o_orderkey % 19 = 0 THEN 'some day' ELSE CAST(o_orderdate AS VARCHAR(30)) END AS fetched_at, o_orderkey % 7 < 5 AS ok FROM {{orders}} WHERE o_orderkey % 3 = 0 AND o_custkey % 40 < 30 AND o_orderkey % 11 < 3"""
+
+
+@query("screens_as_of", """SELECT query_id, CASE WHEN good_t >= as_of - INTERVAL 30 DAY THEN good_id END AS answer_id, CASE WHEN good_t >= as_of - INTERVAL 30 DAY THEN 'fresh' WHEN NOT last_ok THEN 'degraded' WHEN good_t IS NOT NULL OR undated THEN 'stale' WHEN undated IS NOT NULL THEN 'degraded' WHEN configured THEN 'never_asked' ELSE 'not_configured' END AS outcome
+ FROM (SELECT q.query_id, q.as_of, q.configured, u.undated, max(a.t) FILTER (a.ok) AS good_t, (max(struct_pack(t := a.t, id := a.answer_id)) FILTER (a.ok)).id AS good_id, (max(struct_pack(t := a.t, ok := a.ok, id := a.answer_id)) FILTER (a.t IS NOT NULL)).ok AS last_ok
+  FROM [asked] q LEFT JOIN (SELECT *, TRY_CAST(fetched_at AS TIMESTAMP) AS t FROM [told]) a ON lower(trim(a.name)) = lower(trim(q.name)) AND coalesce(a.country, '') = coalesce(q.country, '') AND a.t <= q.as_of
+  LEFT JOIN (SELECT lower(trim(name)) AS n, coalesce(country, '') AS c, bool_or(ok) AS undated FROM [told] WHERE TRY_CAST(fetched_at AS TIMESTAMP) IS NULL GROUP BY ALL) u ON u.n = lower(trim(q.name)) AND u.c = coalesce(q.country, '') GROUP BY ALL)""")
+def _(spark, d):
+    return decide.screens_as_of(view(spark, d, "asked"), view(spark, d, "told"))
+
+
 VIEWS["verifier"] = f"""
 SELECT c_custkey AS answer_id, 'U' || CAST(c_custkey AS VARCHAR(20)) || '@gmail.com' AS email, {pick(['valid', 'invalid', 'disposable', 'ambiguous', 'accept_all'], 'c_custkey % 5')} AS status, CAST(c_custkey % 101 AS INT) AS score FROM {{customer}} WHERE c_custkey % 8 <> 0"""
 

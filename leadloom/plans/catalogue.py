@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom import policy
+from leadloom import policy, profiles
 from leadloom.functions import names
 from leadloom.operators import audit, decide, evidence, extraction, identity, injection, linkage, mail, network, pages, scoring, suffixes, threads
 from leadloom.sources import feeds, mail_archive
@@ -109,39 +109,76 @@ def _(spark, d):
 
 
 # ---- scoring -------------------------------------------------------------------------------------------------
-_BAND = "CASE size_band " + " ".join(f"WHEN '{k}' THEN {{}}" for k in policy.BANDS) + " END"
-_B = [_BAND.format(*[v[i] for v in policy.BANDS.values()]) for i in range(3)]
-_HEADS = f"(SELECT *, CASE WHEN nullif(employees, 0) IS NOT NULL AND {_B[1]} IS NOT NULL AND NOT (employees BETWEEN {_B[1]} AND {_B[2]}) THEN {_B[0]} ELSE coalesce(nullif(employees, 0), {_B[0]}) END AS headcount FROM [leads])"
-_SCALE = "CASE WHEN headcount IS NULL THEN 3 " + " ".join(f"WHEN headcount < {b} THEN {p}" for b, p in policy.TIERS if b) + " ELSE 24 END"
-_LIKE = lambda col, words: "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
-_SPEND_EACH = f"CASE WHEN {_LIKE('lower(industry)', policy.HIGH_SPEND)} THEN 60 WHEN {_LIKE('lower(industry)', policy.LOW_SPEND)} THEN 3 ELSE 15 END"
-_SPEND = f"CASE WHEN headcount IS NULL THEN 'LOW' WHEN headcount * ({_SPEND_EACH}) < 1000 THEN 'LOW' WHEN headcount * ({_SPEND_EACH}) < 100000 THEN 'MEDIUM' WHEN headcount * ({_SPEND_EACH}) < 1000000 THEN 'HIGH' ELSE 'VERY_HIGH' END"
-_CATS = " UNION ALL ".join(f"SELECT lead_id, position, cited, '{c}' AS category FROM [signals] WHERE {_LIKE('lower(signal)', w)}" for c, w in policy.WORKLOADS.items())
-_BONUS = f"""(SELECT lead_id, least(count(*) * 5, 15) AS bonus, sum(CASE WHEN bearing THEN 1 ELSE 0 END) AS backed FROM
- (SELECT c.lead_id, c.category, arg_min(e.family IN {_in(policy.CLOUD_BEARING)} AND e.family <> 'edge_delivery', c.position) AS bearing FROM ({_CATS}) c JOIN [evidence] e ON e.ordinal = c.cited AND e.lead_id = c.lead_id
-  WHERE c.category <> 'kubernetes/iac at scale' OR e.family <> 'engineering_footprint' OR e.strength = 'STRONG' GROUP BY c.lead_id, c.category) GROUP BY lead_id)"""
+_LIKE = lambda col, words: "(" + (" OR ".join(f"contains({col}, '{w}')" for w in words) or "false") + ")"
 _MEDIUM = f"(SELECT lead_id, count(DISTINCT family) AS medium_families FROM {_DEDUP} WHERE family <> 'edge_delivery' AND strength_rank >= 1 GROUP BY lead_id)"
 
 
-def _complexity_sql(text: str) -> str:
-    parts = []
-    for field, how, words in policy.COMPLEXITY:
-        col = f"lower(substring({text}, 1, 3000))" if field == "text" else "lower(industry)"
-        parts.append(f"CASE WHEN {_LIKE(col, words) if how == 'any' else _LIKE(col, words).replace(' OR ', ' AND ')} THEN 5 ELSE 0 END")
-    return f"least({' + '.join(parts)}, 15)"
+def _heads_sql(p: profiles.Fit) -> str:
+    band = "CASE size_band " + " ".join(f"WHEN '{k}' THEN {{}}" for k in p.bands) + " END"
+    used, least, most = (band.format(*[v[i] for v in p.bands.values()]) for i in range(3))
+    return f"(SELECT *, CASE WHEN nullif(employees, 0) IS NOT NULL AND {least} IS NOT NULL AND NOT (employees BETWEEN {least} AND {most}) THEN {used} ELSE coalesce(nullif(employees, 0), {used}) END AS headcount FROM [leads])"
+
+
+def _scale_sql(p: profiles.Fit) -> str:
+    return f"CASE WHEN headcount IS NULL THEN {p.unknown_points} " + " ".join(f"WHEN headcount < {b} THEN {n}" for b, n in p.tiers if b) + f" ELSE {p.tiers[-1][1]} END"
+
+
+def _spend_sql(p: profiles.Fit) -> str:
+    each = f"CASE WHEN {_LIKE('lower(industry)', p.high_spend)} THEN {p.usd['infra-heavy']} WHEN {_LIKE('lower(industry)', p.low_spend)} THEN {p.usd['low-infra']} ELSE {p.usd['neutral']} END"
+    return f"CASE WHEN headcount IS NULL THEN '{p.spend_edges[0][1]}' " + " ".join(f"WHEN headcount * ({each}) < {n} THEN '{t}'" for n, t in p.spend_edges) + f" ELSE '{p.spend_above}' END"
+
+
+def _bonus_sql(p: profiles.Fit) -> str:
+    named = " UNION ALL ".join(f"SELECT lead_id, position, cited, '{c}' AS category FROM [signals] WHERE {_LIKE('lower(signal)', w)}" for c, w in p.workloads.items())
+    return f"""(SELECT lead_id, least(count(*) * {p.workload_points}, {p.workload_cap}) AS bonus, sum(CASE WHEN bearing THEN 1 ELSE 0 END) AS backed FROM
+ (SELECT c.lead_id, c.category, arg_min(e.family IN {_in(policy.CLOUD_BEARING)} AND e.family <> 'edge_delivery', c.position) AS bearing FROM ({named}) c JOIN [evidence] e ON e.ordinal = c.cited AND e.lead_id = c.lead_id
+  WHERE c.category <> 'kubernetes/iac at scale' OR e.family <> 'engineering_footprint' OR e.strength = 'STRONG' GROUP BY c.lead_id, c.category) GROUP BY lead_id)"""
 
 
-_FIT = f"""(SELECT *, least(scale_points + cloud_points + complexity_points, 100) AS score FROM (SELECT l.lead_id, {_SCALE} AS scale_points, CAST(least(base + coalesce(bonus, 0), 55) AS INTEGER) AS cloud_points, {_complexity_sql('website_text')} AS complexity_points,
- CASE WHEN greatest(CASE WHEN base > 0 THEN 1 ELSE 0 END + coalesce(backed, 0), coalesce(medium_families, 0)) < 2 THEN 'LOW' WHEN known = 2 THEN 'HIGH' WHEN known = 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, {_SPEND} AS spend_tier, state
- FROM (SELECT h.*, q.website_text, coalesce(s.state, 'UNKNOWN') AS state, CASE coalesce(s.state, 'UNKNOWN') WHEN 'CONFIRMED' THEN 40 WHEN 'LIKELY' THEN 30 WHEN 'POSSIBLE' THEN 18 WHEN 'EDGE_ONLY' THEN 5 ELSE 0 END AS base, b.bonus, b.backed, m.medium_families,
+def _complexity_sql(text: str, p: profiles.Fit = profiles.DEFAULT) -> str:
+    parts = []
+    for r in p.rules:
+        col = f"lower(substring({text}, 1, 3000))" if r.field == "text" else "lower(industry)"
+        tests = [_LIKE(col, r.any)] * bool(r.any) + [_LIKE(col, r.all).replace(" OR ", " AND ")] * bool(r.all)
+        parts.append(f"CASE WHEN {' AND '.join(tests) or 'false'} THEN {r.points} ELSE 0 END")
+    return f"least({' + '.join(parts) or '0'}, {p.complexity_cap})"
+
+
+def _fit_sql(p: profiles.Fit) -> str:
+    seen = "greatest(CASE WHEN base > 0 THEN 1 ELSE 0 END + coalesce(backed, 0), coalesce(medium_families, 0)) >= 2"
+    if p.needs_cloud:
+        confidence = f"CASE WHEN NOT ({seen}) THEN 'LOW' WHEN known = 2 THEN 'HIGH' WHEN known = 1 THEN 'MEDIUM' ELSE 'LOW' END"
+    else:
+        confidence = f"CASE known + CAST({seen} AS INT) WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END"
+    points = " ".join(f"WHEN '{k}' THEN {v}" for k, v in p.state_points.items())
+    return f"""(SELECT *, least(scale_points + cloud_points + complexity_points, {p.max_score}) AS score FROM (SELECT l.lead_id, {_scale_sql(p)} AS scale_points, CAST(least(base + coalesce(bonus, 0), {p.cloud_cap}) AS INTEGER) AS cloud_points, {_complexity_sql('website_text', p)} AS complexity_points,
+ {confidence} AS confidence, {_spend_sql(p)} AS spend_tier, state
+ FROM (SELECT h.*, q.website_text, coalesce(s.state, 'UNKNOWN') AS state, CASE coalesce(s.state, 'UNKNOWN') {points} ELSE 0 END AS base, b.bonus, b.backed, m.medium_families,
        CASE WHEN coalesce(q.gleif, q.wikidata) IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN h.employees IS NOT NULL THEN 1 ELSE 0 END AS known
-       FROM {_HEADS} h JOIN [hq_candidates] q USING (lead_id) LEFT JOIN {_STATES} s USING (lead_id) LEFT JOIN {_BONUS} b USING (lead_id) LEFT JOIN {_MEDIUM} m USING (lead_id)) l))"""
+       FROM {_heads_sql(p)} h JOIN [hq_candidates] q USING (lead_id) LEFT JOIN {_STATES} s USING (lead_id) LEFT JOIN {_bonus_sql(p)} b USING (lead_id) LEFT JOIN {_MEDIUM} m USING (lead_id)) l))"""
+
 
+_HEADS, _SCALE, _SPEND, _BONUS, _FIT = (f(profiles.DEFAULT) for f in (_heads_sql, _scale_sql, _spend_sql, _bonus_sql, _fit_sql))
 
-def _fit(spark, d):
-    leads = scoring.employees_for_scoring(view(spark, d, "leads")).join(view(spark, d, "hq_candidates"), "lead_id")
+
+def _fit(spark, d, p=profiles.DEFAULT):
+    leads = scoring.employees_for_scoring(view(spark, d, "leads"), p).join(view(spark, d, "hq_candidates"), "lead_id")
     rows = view(spark, d, "evidence")
-    return scoring.fit(leads, evidence.usage_state(rows), scoring.workload_bonus(view(spark, d, "signals"), rows), F.col("website_text"), F.coalesce("gleif", "wikidata").isNotNull())
+    return scoring.fit(leads, evidence.usage_state(rows), scoring.workload_bonus(view(spark, d, "signals"), rows, p), F.col("website_text"), F.coalesce("gleif", "wikidata").isNotNull(), p)
+
+
+#: A second profile, which needs no cloud evidence: size and complexity carry its score.
+NEUTRAL = profiles.fit_of({"name": "neutral", "fit": {
+    "threshold": 45, "sales_ready_min_confidence": "LOW", "confidence": {"requires_cloud_signal": False}, "scale": {"unknown": {"points": 4}, "tiers": [{"below": 20, "points": 6}, {"below": 500, "points": 22}, {"points": 38}]},
+    "cloud": {"points_cap": 25, "state_points": {"CONFIRMED": 20, "LIKELY": 15}}, "workload_intensity": {"points_per_category": 3, "cap": 6, "categories": {"data": ["big data", "postgres"], "hiring": ["sre"]}},
+    "complexity": {"points_cap": 12, "rules": [{"points": 7, "any": ["partners", "branch"], "all": ["team"]}, {"points": 6, "field": "industry", "any": ["health", "fin"]}]}, "spend": {"high_industries": [], "tier_edges": [[5000, "SMALL"], [90000, "LARGE"]], "tier_above": "HUGE"},
+}})
+
+
+@query("fit_by_profile", f"SELECT 'default' AS profile, lead_id, scale_points, cloud_points, complexity_points, confidence, spend_tier, score FROM {_FIT} UNION ALL SELECT 'neutral', lead_id, scale_points, cloud_points, complexity_points, confidence, spend_tier, score FROM {_fit_sql(NEUTRAL)}")
+def _(spark, d):
+    both = [_fit(spark, d, p).drop("state").withColumn("profile", F.lit(name)) for name, p in (("default", profiles.DEFAULT), ("neutral", NEUTRAL))]
+    return both[0].unionByName(both[1])
 
 
 @query("scale_points", f"SELECT lead_id, CAST(headcount AS INTEGER) AS headcount, {_SCALE} AS scale_points FROM {_HEADS}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-
 STRENGTHS = ("WEAK", "MEDIUM", "STRONG", "DIRECT")  # by rank
 FAMILIES = ("first_party_statement", "vendor_case_study", "ats_hiring", "engineering_footprint", "network_footprint", "edge_delivery", "corporate_identity", "encyclopedic", "policy")
 SCOPES = ("workload", "storage", "edge", "saas_dependency", "unknown")
@@ -45,19 +43,3 @@ RESTRICTED_TLDS = {"ir": "Iran", "cu": "Cuba", "kp": "North Korea", "sy": "Syria
 NAME_FLOOR, DOMAIN_FLOOR, CANDIDATE_FLOOR, WEAK_CAP, KEEP_FLOOR = 95, 90, 85, 89, 70
 #: Authority of a headquarters source.
 AUTHORITY = {"gleif": "registry", "wikidata": "enrichment", "llm": "inference", "website_tld": "hint"}
-
-
-@dataclass(frozen=True)
-class Policy:
-    """What a deployment may set; an unknown key is an error."""
-
-    threshold: int = THRESHOLD
-    requires_cloud_signal: bool = True
-    competitors: tuple[str, ...] = ()
-
-    @classmethod
-    def load(cls, given: dict) -> Policy:
-        known = {f.name for f in fields(cls)}
-        if unknown := sorted(set(given) - known):
-            raise ValueError(f"unknown policy keys: {', '.join(unknown)}")
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})

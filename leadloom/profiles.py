@@ -35,7 +35,7 @@ whole, text, flag = _kind(int, "a whole number"), _kind(str, "a text"), _kind(bo
 
 def listed(item: Callable, some: bool = False) -> Callable[[Any, str], tuple]:
     def check(value: Any, where: str) -> tuple:
-        if not isinstance(value, list) or (some and not value):
+        if not isinstance(value, (list, tuple)) or (some and not value):
             raise ProfileError(f"{where}: a list expected, not {value!r}")
         return tuple(item(x, f"{where}[{i}]") for i, x in enumerate(value))
 
@@ -71,7 +71,7 @@ def chosen(*allowed: str) -> Callable[[Any, str], str]:
 
 
 def _edge(value: Any, where: str) -> tuple[int, str]:
-    if not isinstance(value, list) or len(value) != 2:
+    if not isinstance(value, (list, tuple)) or len(value) != 2:
         raise ProfileError(f"{where}: [amount, tier] expected, not {value!r}")
     return whole(value[0], where), text(value[1], where)
 

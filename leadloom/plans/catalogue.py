@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom import policy, profiles
 from leadloom.functions import names
-from leadloom.operators import audit, decide, evidence, extraction, identity, injection, linkage, mail, network, pages, scoring, suffixes, threads
+from leadloom.operators import audit, decide, evidence, extraction, identity, injection, linkage, mail, network, pages, records, scoring, suffixes, threads
 from leadloom.sources import feeds, mail_archive
 from leadloom.sources.views import VIEWS, oracle, pick, view
 from leadloom.streaming import claims
@@ -34,6 +34,14 @@ def query(name: str, sql: str | None = None, whole: bool = True) -> Callable[[Qu
     return add
 
 
+def _root(spark):
+    """A fresh place in the folder that executors share; a session of one process may do without a named one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or f'file://{tempfile.mkdtemp(prefix='leadloom-')}').rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
 def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -841,6 +849,40 @@ def _(spark, d):
     return rows.groupBy("lead_id").agg(F.max_by("term", F.struct("score", "term")).alias("term"), F.max("score").alias("score"))
 
 
+_FATE = pick(list(records.STATUSES), "doc_id % 7")
+
+
+@query("record_sink", f"""SELECT substring(sha256(message_id), 1, 24) AS record_id, doc_id, CASE WHEN doc_id % 6 = 0 THEN 'processed' WHEN doc_id % 2 = 0 THEN {_FATE} ELSE 'needs_review' END AS status, doc_id % 2 = 1 AS dry_run, CAST(CASE WHEN doc_id % 6 = 0 THEN 3 WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS processed_at
+ FROM (SELECT doc_id, '<' || CAST(doc_id AS VARCHAR) || '@x>' AS message_id FROM documents)""")
+def _(spark, d):
+    """A real run of every second message, a dry run of all, and another real run of some."""
+    sink = records.RecordSink(f"{_root(spark)}/records")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", records.record_id(F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit("@x>"))).alias("record_id"))
+    fate = F.get(F.array(*map(F.lit, records.STATUSES)), (F.col("doc_id") % 7).cast("int"))
+    runs = (("one", rows.where("doc_id % 2 = 0"), fate, False), ("two", rows, F.lit("needs_review"), True), ("three", rows.where("doc_id % 6 = 0"), F.lit("processed"), False))
+    for n, (run, some, status, dry) in enumerate(runs, 1):
+        sink.write(some.select("record_id", "doc_id", status.alias("status"), F.lit(dry).alias("dry_run"), F.lit(n).cast("long").alias("processed_at")), run)
+    return sink.read(spark).select("record_id", "doc_id", "status", "dry_run", "processed_at")
+
+
+@query("run_report", "SELECT count(*) AS attempted, count(*) FILTER (status IN ('processed', 'duplicate', 'auto_generated', 'needs_review', 'rejected')) AS succeeded, count(*) FILTER (status IN ('failed', 'dead_letter')) AS errors, count(*) FILTER (status NOT IN " + _in(records.STATUSES) + ") AS other, " + ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in records.STATUSES) + " FROM [messages]")
+def _(spark, d):
+    return records.observed_write(view(spark, d, "messages").select("doc_id", "status"), f"{_root(spark)}/run")
+
+
+_MARKED = "(SELECT *, CASE WHEN expected = got THEN 'OK' WHEN expected IN ('review', 'blocked') AND got IN ('review', 'blocked') THEN 'SOFT' ELSE 'MISS' END AS mark FROM [cases])"
+
+
+@query("case_marks", f"SELECT case_id, expected, got, mark FROM {_MARKED}")
+def _(spark, d):
+    return records.case_marks(view(spark, d, "cases")).select("case_id", "expected", "got", "mark")
+
+
+@query("accuracy", f"SELECT model, count(*) AS cases, round(count(*) FILTER (mark = 'OK') / count(*), 3) AS strict, round(count(*) FILTER (got IN ('clear', 'review', 'blocked') AND (got = 'clear') = (expected = 'clear')) / count(*), 3) AS flagged, count(*) FILTER (mark = 'SOFT') AS soft_misses FROM {_MARKED} GROUP BY model")
+def _(spark, d):
+    return records.accuracy(view(spark, d, "cases"), "model")
+
+
 # ---- sources -------------------------------------------------------------------------------------------------
 @query("leads_valid", f"SELECT lead_id, CASE WHEN lead_id % 10 = 0 THEN 'no_company' WHEN lead_id % 7 = 0 THEN 'bad_band' END AS problem FROM [leads]")
 def _(spark, d):
@@ -951,14 +993,6 @@ def _(spark, d):
 
 
 # ---- streams -------------------------------------------------------------------------------------------------
-def _root(spark):
-    """A fresh place in the folder that executors share; a session of one process may do without a named one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.conf.get("spark.master", "").startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or f'file://{tempfile.mkdtemp(prefix='leadloom-')}').rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def _stream(spark, rows):
     """A table as files, and a stream over them."""
     root = _root(spark)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leadloom import policy, profiles
 from leadloom.functions import names
 from leadloom.operators import audit, decide, evidence, extraction, identity, injection, linkage, mail, network, pages, records, scoring, suffixes, threads
+from leadloom.plans import fuzzy_sql
 from leadloom.sources import feeds, mail_archive
 from leadloom.sources.views import VIEWS, oracle, pick, view
 from leadloom.streaming import claims
@@ -19,16 +20,18 @@ from leadloom.streaming import claims
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: SQL of queries whose list floors are fuzzy scores that SQL does not give: it equals them where no lead is on a list.
+#: SQL of queries as it is where no lead is on a list.
 UNLISTED: dict[str, str] = {}
 COMPETITORS = ("Blue Widget Inc", "bolt small holdings", "BlueSky Cloud Inc", "red anvil co")
 
 
-def query(name: str, sql: str | None = None, whole: bool = True) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, unlisted: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            (ORACLES if whole else UNLISTED)[name] = oracle(sql)
+            ORACLES[name] = oracle(sql)
+        if unlisted:
+            UNLISTED[name] = oracle(unlisted)
         return f
 
     return add
@@ -272,18 +275,42 @@ def _competitors(spark):
     return spark.createDataFrame([(c,) for c in COMPETITORS], "term string")
 
 
-@query("competitor_hits")
+_LISTED = "(SELECT t AS term, " + _NORM("t") + " AS listed FROM unnest([" + ", ".join(f"'{c}'" for c in COMPETITORS) + "]) x(t))"
+_GENERIC = ("cloud", "group", "data", "software", "global")
+_WEAK = lambda c: f"(len({fuzzy_sql.words(c)}) = 0 OR len(list_filter({fuzzy_sql.words(c)}, lambda w: w NOT IN {_in(_GENERIC)})) = 0 OR list_max(list_transform({fuzzy_sql.words(c)}, lambda w: length(w))) <= 3)"
+
+
+def _hits_sql(names: str, floor: int) -> str:
+    """lead_id, term and score (unrounded) of rows lead_id, normal against the list, all pairs of distinct names."""
+    pairs = f"(SELECT DISTINCT normal AS a, listed AS b FROM {names} CROSS JOIN {_LISTED})"
+    capped = f"(SELECT a, b, CASE WHEN {_WEAK('a')} THEN least(score, {policy.WEAK_CAP}.0) ELSE score END AS score FROM {fuzzy_sql.name(pairs)})"
+    return f"(SELECT lead_id, term, score FROM {names} JOIN {capped} ON a = normal JOIN {_LISTED} ON listed = b WHERE score >= {floor})"
+
+
+_NAMES = f"(SELECT lead_id, {_NORM('company')} AS normal FROM [leads])"
+
+
+@query("competitor_hits", f"SELECT lead_id, term, CAST(floor(score) AS INTEGER) AS score FROM {_hits_sql(_NAMES, policy.KEEP_FLOOR)}")
 def _(spark, d):
     return identity.competitor_hits(view(spark, d, "leads"), _competitors(spark))
 
 
-@query("acronym_hits")
+_BARE = f"regexp_replace(t, '{_LEGAL_SQL}', ' ', 'g')"
+_SHORT = "(SELECT t AS term, lower(array_to_string(list_transform(CASE WHEN len(caps) > 0 THEN caps ELSE list_filter(regexp_split_to_array(bare, '\\s+'), lambda w: w <> '') END, lambda w: substring(w, 1, 1)), '')) AS short FROM (SELECT t, " + _BARE + " AS bare, regexp_extract_all(" + _BARE + ", '[A-Z][a-z0-9]*') AS caps FROM unnest([" + ", ".join(f"'{c}'" for c in COMPETITORS) + "]) x(t)))"
+
+
+@query("acronym_hits", f"SELECT lead_id, term, 80 AS score FROM (SELECT lead_id, {_NORM('company')} AS normal FROM (SELECT lead_id, CASE WHEN lead_id % 5 = 0 THEN 'BSC ltd' ELSE company END AS company FROM [leads])) JOIN {_SHORT} ON normal = short")
 def _(spark, d):
     leads = view(spark, d, "leads").withColumn("company", F.when(F.col("lead_id") % 5 == 0, "BSC ltd").otherwise(F.col("company")))
     return identity.acronym_hits(leads, _competitors(spark))
 
 
-@query("registry_match")
+_KEYED = lambda c: f"array_to_string(list_sort({fuzzy_sql.words(_NORM(c))}), ' ')"
+_REGISTRY = f"(SELECT p_partkey AS position, upper(p_name) AS legal_name, {_KEYED('upper(p_name)')} AS theirs FROM part WHERE p_size % 3 <> 0)"
+
+
+@query("registry_match", f"""WITH n AS MATERIALIZED (SELECT lead_id, {_KEYED('company')} AS ours FROM [leads]), r AS MATERIALIZED {_REGISTRY}, c AS MATERIALIZED (SELECT a, b, score FROM {fuzzy_sql.token_sort("(SELECT DISTINCT ours AS a, theirs AS b FROM n CROSS JOIN (SELECT DISTINCT theirs FROM r))")} WHERE score >= 85)
+SELECT lead_id, position, legal_name, 'WEAK' AS strength, CAST(floor(score) AS INTEGER) AS score FROM (SELECT lead_id, position, legal_name, score, row_number() OVER (PARTITION BY lead_id ORDER BY position) AS k FROM n JOIN c ON a = ours JOIN r ON theirs = b) WHERE k = 1""")
 def _(spark, d):
     leads = view(spark, d, "leads").select("lead_id", "company", F.lit(None).cast("string").alias("hq"))
     records = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("position"), F.upper("p_name").alias("legal_name"), F.when(F.col("p_size") % 3 == 0, "LAPSED").otherwise("ACTIVE").alias("status"), F.lit("DE").alias("country"))
@@ -296,9 +323,38 @@ _STEPS = [
     ("watchlist_blocked", "screen_status = 'blocked_evidence'", "'blocked'"), ("watchlist_review", "status = 'clear' AND screen_status = 'review_evidence'", "'review'"), ("jurisdiction", "status = 'clear' AND NOT screenable", "'review'"),
     ("not_screened", "status = 'clear' AND screen_status = 'skipped' AND coalesce(screen_reason, '') <> 'not_configured'", "'review'"),
 ]
-_DECIDED = f"(SELECT *, CASE WHEN verdict = '' THEN 'review' ELSE verdict END AS status, CAST([] AS VARCHAR[]) AS fl FROM {_HITS})"
-for _name, _test, _to in _STEPS:
-    _DECIDED = f"(SELECT * REPLACE (CASE WHEN {_test} THEN {_to} ELSE status END AS status, CASE WHEN {_test} THEN list_append(fl, '{_name}') ELSE fl END AS fl) FROM {_DECIDED})"
+
+
+def _decided_sql(rows: str, steps: list[tuple[str, str, str]]) -> str:
+    out = f"(SELECT *, CASE WHEN verdict = '' THEN 'review' ELSE verdict END AS status, CAST([] AS VARCHAR[]) AS fl FROM {rows})"
+    for name, test, to in steps:
+        out = f"(SELECT * REPLACE (CASE WHEN {test} THEN {to} ELSE status END AS status, CASE WHEN {test} THEN list_append(fl, '{name}') ELSE fl END AS fl) FROM {out})"
+    return out
+
+
+_DECIDED = _decided_sql(_HITS, _STEPS)
+_SECOND_BLOCKED = f"(coalesce(second_screen, '') = 'blocked_evidence' OR coalesce(second_score, 0) >= {policy.NAME_FLOOR})"
+_LIST_STEPS = [
+    *_STEPS[:2], ("near_exact", f"status = 'clear' AND (hq_hit IS NOT NULL OR greatest(coalesce(name_score, 0), coalesce(domain_score, 0)) >= {policy.NAME_FLOOR})", "'review'"),
+    ("abbreviation", "status = 'clear' AND coalesce(short_hit, false)", "'review'"), ("domain", f"status = 'clear' AND coalesce(domain_score, 0) >= {policy.DOMAIN_FLOOR}", "'review'"), *_STEPS[3:5],
+    ("second_blocked", _SECOND_BLOCKED, "'blocked'"), ("second_review", f"NOT {_SECOND_BLOCKED} AND (coalesce(second_screen, '') = 'review_evidence' OR coalesce(second_score, 0) >= {policy.CANDIDATE_FLOOR})", "CASE WHEN status = 'blocked' THEN 'blocked' ELSE 'review' END"), *_STEPS[5:],
+]
+_READINGS = f"""(SELECT DISTINCT lead_id, host, reading FROM (SELECT lead_id, host, unnest([{_NORM("replace(label, '-', '')")}, {_NORM("regexp_replace(label, '[-.]', ' ', 'g')")}]) AS reading FROM
+ (SELECT lead_id, host, regexp_replace(host, '\\.[^.]+$', '') AS label FROM (SELECT DISTINCT lead_id, unnest([{_HOST('website')}, split_part(email, '@', -1)]) AS host FROM [leads]))) WHERE reading <> '')"""
+_DOMAIN_PAIRS = f"(SELECT DISTINCT reading AS a, listed AS b FROM {_READINGS} CROSS JOIN {_LISTED})"
+_CLOSED = fuzzy_sql.ratio("replace(a, ' ', '')", "replace(b, ' ', '')")
+_DOMAIN_HITS = f"""(SELECT lead_id, term, host, CAST(floor(max(score)) AS INTEGER) AS score FROM {_READINGS} JOIN (SELECT a, b, CASE WHEN {_WEAK('a')} THEN least(raw, {policy.WEAK_CAP}.0) ELSE raw END AS score FROM (SELECT a, b, greatest(score, {_CLOSED}) AS raw FROM {fuzzy_sql.name(_DOMAIN_PAIRS)})) ON a = reading
+ JOIN {_LISTED} ON listed = b WHERE score >= {policy.CANDIDATE_FLOOR} GROUP BY lead_id, term, host)"""
+_SECOND = f"(SELECT lead_id, organisation, typed, other AS normal FROM (SELECT lead_id, organisation, {_NORM('company')} AS typed, {_NORM('organisation')} AS other FROM (SELECT lead_id, company, CASE lead_id % 3 WHEN 0 THEN company || ' group' WHEN 1 THEN segment ELSE '' END AS organisation FROM [leads])) WHERE typed <> '' AND other <> '' AND typed <> other)"
+_ASKED = f"(SELECT lead_id, normal AS a, {_NORM("organisation || CASE WHEN lead_id % 3 = 0 THEN '' ELSE ' trading' END")} AS b FROM {_SECOND})"
+_SIMILAR = f"(SELECT t.a, t.b, CAST(floor(greatest(t.score, coalesce(p.score, 0.0))) AS INTEGER) AS alike FROM {fuzzy_sql.token_sort(_ASKED)} t LEFT JOIN {fuzzy_sql.partial(f'(SELECT DISTINCT a, b FROM {_ASKED})')} p ON p.a = t.a AND p.b = t.b)"
+_SECOND_SCREENS = f"""(SELECT lead_id, CASE WHEN lead_id % 13 = 0 THEN 'skipped' WHEN lead_id % 7 = 0 OR lead_id % 6 = 5 THEN 'none' WHEN lead_id % 4 <> 2 AND lead_id % 10 >= 9 AND alike >= 80 AND NOT {_WEAK('a')} THEN 'blocked_evidence' WHEN lead_id % 4 <> 2 AND lead_id % 10 >= 5 THEN 'review_evidence' ELSE 'info' END AS status
+ FROM {_ASKED} JOIN {_SIMILAR} USING (a, b))"""
+_LIST_HITS = f"""(SELECT h.*, n.name_score, k.short_hit, m.domain_score, s.second_score, w.status AS second_screen FROM {_HITS} h
+ LEFT JOIN (SELECT lead_id, max(CAST(floor(score) AS INTEGER)) AS name_score FROM {_hits_sql(_NAMES, policy.KEEP_FLOOR)} GROUP BY lead_id) n USING (lead_id) LEFT JOIN (SELECT DISTINCT lead_id, true AS short_hit FROM {_NAMES} JOIN {_SHORT} ON normal = short) k USING (lead_id)
+ LEFT JOIN (SELECT lead_id, max(score) AS domain_score FROM {_DOMAIN_HITS} GROUP BY lead_id) m USING (lead_id) LEFT JOIN (SELECT lead_id, max(CAST(floor(score) AS INTEGER)) AS second_score FROM {_hits_sql(f'(SELECT lead_id, normal FROM {_SECOND})', policy.KEEP_FLOOR)} GROUP BY lead_id) s USING (lead_id)
+ LEFT JOIN {_SECOND_SCREENS} w USING (lead_id))"""
+_LISTED_DECIDED = _decided_sql(_LIST_HITS, _LIST_STEPS)
 
 
 def _organisations(leads):
@@ -321,28 +377,36 @@ def _decided(spark, d):
     return decide.compliance(decide.with_list_hits(_hits(spark, d), *hits, screens))
 
 
-@query("compliance_decision", f"SELECT lead_id, status, status <> 'clear' AS flagged, array_to_string(fl, ',') AS floors, CASE WHEN status = 'clear' AND screen_status = 'skipped' THEN 'not_configured' END AS note FROM {_DECIDED}", whole=False)
-def _(spark, d):
-    return _decided(spark, d).select("lead_id", "status", "flagged", "floors", "note")
-
-
 _READY = "(c.status = 'clear' AND f.score >= 60 AND f.confidence IN ('MEDIUM', 'HIGH'))"
 _SIZE = f"(coalesce(c.employees, 0) <> 0 OR c.size_band IN {_in(policy.BANDS)})"
 _SEEN = "(f.state IN ('CONFIRMED', 'LIKELY', 'POSSIBLE'))"
-_CARD = f"""(SELECT lead_id, c.company, c.status, f.score, f.confidence, f.spend_tier, f.state, {_READY} AS sales_ready,
+
+
+def _card_sql(decided: str) -> str:
+    return f"""(SELECT lead_id, c.company, c.status, f.score, f.confidence, f.spend_tier, f.state, {_READY} AS sales_ready,
  CASE WHEN c.status = 'blocked' THEN 'DO NOT ENGAGE' WHEN c.status = 'review' THEN 'HOLD' WHEN {_READY} AND c.contact_quality = 'valid' THEN 'CONTACT NOW' WHEN {_READY} THEN 'WORK THE ACCOUNT' WHEN {_SEEN} AND NOT {_SIZE} THEN 'CONFIRM SIZE'
   WHEN f.confidence = 'LOW' THEN 'LOW PRIORITY: ' || CASE WHEN {_SIZE} THEN 'public-cloud use' ELSE 'company size' END || ' unknown' WHEN NOT {_SEEN} THEN 'LOW PRIORITY: no public cloud' ELSE 'LOW PRIORITY: below threshold' END AS next_action
- FROM {_DECIDED} c JOIN {_FIT} f USING (lead_id))"""
+ FROM {decided} c JOIN {_FIT} f USING (lead_id))"""
+
 
+def _both(sql):
+    """The SQL with the list floors, and without them."""
+    return sql(_LISTED_DECIDED, _card_sql(_LISTED_DECIDED)), sql(_DECIDED, _card_sql(_DECIDED))
 
-@query("scorecard", f"SELECT * FROM {_CARD}", whole=False)
+
+@query("compliance_decision", *_both(lambda _DECIDED, _CARD: f"SELECT lead_id, status, status <> 'clear' AS flagged, array_to_string(fl, ',') AS floors, CASE WHEN status = 'clear' AND screen_status = 'skipped' THEN 'not_configured' END AS note FROM {_DECIDED}"))
+def _(spark, d):
+    return _decided(spark, d).select("lead_id", "status", "flagged", "floors", "note")
+
+
+@query("scorecard", *_both(lambda _DECIDED, _CARD: f"SELECT * FROM {_CARD}"))
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: evidence state, fit, compliance and next action of every lead."""
     joined = _decided(spark, sf_dir).select("lead_id", "company", "status", "employees", "size_band", "contact_quality").join(_fit(spark, sf_dir), "lead_id")
     return decide.next_action(joined).select("lead_id", "company", "status", "score", "confidence", "spend_tier", "state", "sales_ready", "next_action")
 
 
-@query("tracker_latest", f"SELECT company_key, lead_id, status, score, next_action FROM (SELECT *, lower(trim(company)) AS company_key, row_number() OVER (PARTITION BY lower(trim(company)) ORDER BY lead_id DESC) AS r FROM {_CARD}) WHERE r = 1", whole=False)
+@query("tracker_latest", *_both(lambda _DECIDED, _CARD: f"SELECT company_key, lead_id, status, score, next_action FROM (SELECT *, lower(trim(company)) AS company_key, row_number() OVER (PARTITION BY lower(trim(company)) ORDER BY lead_id DESC) AS r FROM {_CARD}) WHERE r = 1"))
 def _(spark, d):
     return decide.current_rows(scorecard(spark, d), F.col("company"), F.col("lead_id")).select("company_key", "lead_id", "status", "score", "next_action")
 
@@ -375,7 +439,7 @@ def _(spark, d):
     return decide.contact_quality(view(spark, d, "leads"), view(spark, d, "verifier"))
 
 
-@query("notifications", f"SELECT lead_id, '[' || next_action || '] ' || trim(company) || ' (fit ' || CAST(score AS VARCHAR) || ', ' || confidence || ')' AS subject, 'Compliance: ' || status || chr(10) || 'Cloud usage: ' || state || chr(10) || 'Spend prior: ' || spend_tier AS body FROM {_CARD}", whole=False)
+@query("notifications", *_both(lambda _DECIDED, _CARD: f"SELECT lead_id, '[' || next_action || '] ' || trim(company) || ' (fit ' || CAST(score AS VARCHAR) || ', ' || confidence || ')' AS subject, 'Compliance: ' || status || chr(10) || 'Cloud usage: ' || state || chr(10) || 'Spend prior: ' || spend_tier AS body FROM {_CARD}"))
 def _(spark, d):
     return decide.notifications(scorecard(spark, d))
 
@@ -701,7 +765,7 @@ def _(spark, d):
 
 
 # ---- further joins -------------------------------------------------------------------------------------------
-@query("domain_hits")
+@query("domain_hits", f"SELECT * FROM {_DOMAIN_HITS}")
 def _(spark, d):
     return linkage.domain_hits(view(spark, d, "leads"), _competitors(spark))
 
@@ -710,7 +774,12 @@ VIEWS["answers"] = f"""
 SELECT o_orderkey AS answer_id, o_custkey AS query_key, o_orderdate AS fetched_at, o_orderpriority AS source, {pick(['US', 'DE', 'IR', ''], 'o_orderkey % 4')} AS country, CAST(o_orderkey % 5 AS INT) AS n_results FROM {{orders}}"""
 
 
-@query("watchlist_screen")
+_ALL_ASKED = f"(SELECT lead_id AS query_key, {_NORM('company')} AS a, {_NORM("company || CASE WHEN lead_id % 3 = 0 THEN '' ELSE ' trading' END")} AS b FROM [leads])"
+_ALL_SIMILAR = f"(SELECT t.a, t.b, CAST(floor(greatest(t.score, coalesce(p.score, 0.0))) AS INTEGER) AS alike FROM {fuzzy_sql.token_sort(_ALL_ASKED)} t LEFT JOIN {fuzzy_sql.partial(f'(SELECT DISTINCT a, b FROM {_ALL_ASKED})')} p ON p.a = t.a AND p.b = t.b)"
+
+
+@query("watchlist_screen", f"""SELECT query_key, CASE WHEN query_key % 13 = 0 THEN 'skipped' WHEN query_key % 7 = 0 OR query_key % 6 = 5 THEN 'none' WHEN query_key % 4 <> 2 AND query_key % 10 >= 9 AND alike >= 80 AND NOT {_WEAK('a')} THEN 'blocked_evidence'
+ WHEN query_key % 4 <> 2 AND query_key % 10 >= 5 THEN 'review_evidence' ELSE 'info' END AS status FROM {_ALL_ASKED} JOIN {_ALL_SIMILAR} USING (a, b)""")
 def _(spark, d):
     leads = view(spark, d, "leads").select(F.col("lead_id").alias("query_key"), F.col("company").alias("query_name"))
     return linkage.screen(leads, _watchlist(leads))

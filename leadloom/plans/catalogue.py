@@ -620,7 +620,14 @@ def _(spark, d):
 
 
 # ---- pages ---------------------------------------------------------------------------------------------------
-@query("page_chunks")
+_SEEN_SQL = r"regexp_replace(html, '(?is)<!--.*?(?:-->|\z)" + "".join(rf"|<{e}\b[^>]*(?:>.*?(?:</{e}\s*>|\z)|\z)" for e in ("script", "style", "title")) + "', '', 'g')"
+_LINES_SQL = rf"regexp_replace(regexp_replace({_SEEN_SQL}, '(?i)</?(?:p|div|br|li|ul|h[1-6]|article|nav|footer|table|tr)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _from, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    _LINES_SQL = f"replace({_LINES_SQL}, '{_from}', '{_char}')"
+_VISIBLE = rf"trim(regexp_replace(regexp_replace({_LINES_SQL}, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+@query("page_chunks", f"SELECT page_id, 'main_text' AS locator, {_VISIBLE} AS text FROM pages WHERE {_VISIBLE} <> ''")
 def _(spark, d):
     return pages.chunks(spark.read.parquet(f"{d}/pages.parquet"))
 
@@ -654,7 +661,11 @@ def _(spark, d):
     return pages.chunks(view(spark, d, "marked_pages")).where("locator <> 'main_text'")
 
 
-@query("page_flags")
+_SHELL = " OR ".join(f"contains(html, '{m}')" for m in pages.SHELL_MARKERS)
+
+
+@query("page_flags", f"""SELECT page_id, CASE WHEN ({_SHELL}) AND length(text) < 300 THEN 'js_shell_marker' WHEN length(text) < 300 THEN 'short_text' WHEN length(text) < 0.02 * length(html) THEN 'low_text_html_ratio' WHEN len(lines) > 0 AND len(list_filter(lines, lambda x: len(regexp_split_to_array(trim(x), ' +')) <= 3)) >= 0.7 * len(lines) THEN 'mostly_short_lines' ELSE 'none' END AS flag
+ FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM (SELECT page_id, html, {_VISIBLE} AS text FROM pages))""")
 def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", pages.page_flag(F.col("html"), pages.visible_text(F.col("html"))).alias("flag"))
 
@@ -797,7 +808,10 @@ def _(spark, d):
     return linkage.entity_by_host(leads, leads.select(F.concat(F.lit("Q"), F.col("lead_id") % 500).alias("qid"), (F.col("lead_id") % 7).alias("position"), "website"))
 
 
-@query("title_gate")
+_TITLED = "(SELECT lead_id, lower(company) AS a, lower(regexp_replace(company, ' (inc|ltd|gmbh|kft|s\\.a\\.|holdings|b\\.v\\.)$', '') || CASE WHEN lead_id % 3 = 0 THEN ' (disambiguation page of things)' ELSE '' END) AS b FROM [leads])"
+
+
+@query("title_gate", f"SELECT lead_id, CAST(floor(score) AS INTEGER) AS score FROM {_TITLED} JOIN {fuzzy_sql.token_sort(_TITLED)} USING (a, b) WHERE score >= 75")
 def _(spark, d):
     leads = view(spark, d, "leads").select("lead_id", "company", F.concat(F.initcap(F.regexp_replace("company", r" (inc|ltd|gmbh|kft|s\.a\.|holdings|b\.v\.)$", "")), F.when(F.col("lead_id") % 3 == 0, " (disambiguation page of things)").otherwise("")).alias("title"))
     return linkage.relevant_titles(leads).select("lead_id", F.col("score").cast("int").alias("score"))
@@ -845,7 +859,7 @@ def _(spark, d):
     return linkage.status_components(view(spark, d, "seeded").select(F.col("doc_id").alias("page_id"), F.concat(F.col("text"), F.lit(" all systems operational")).alias("text")))
 
 
-VIEWS["hosts"] = f"""
+VIEWS["page_hosts"] = f"""
 SELECT page_id, {pick(['www.', '', 'docs.eu.', 'Status.', ''], 'page_id % 5')} || 'site' || CAST(page_id % 97 AS VARCHAR(20)) || '.' ||
        {pick(['com', 'co.uk', 'github.io', 'x.ck', 'ck', 'www.ck', 'nowhere', 'kobe.jp', 'city.kobe.jp', 'eu-west-1.compute.amazonaws.com', 'com.', 'hu'], 'page_id % 12')} AS host FROM {{pages}}
 UNION ALL SELECT page_id, {pick(['ck', 'www.ck', 'co.uk', 'github.io', 'localhost', '10.0.0.1', '[::1]', 'a..b', '', 'city.kobe.jp'], 'page_id % 10')} FROM {{pages}}"""
@@ -861,9 +875,9 @@ def _registrable_sql(hosts: str) -> str:
     return f"(SELECT host, array_to_string(l[len(l) - m + 1:], '.') AS public_suffix, CASE WHEN m < len(l) THEN array_to_string(l[len(l) - m:], '.') END AS registrable, {rule} AS rule FROM {cut})"
 
 
-@query("registrable_domains", f"SELECT * FROM {_registrable_sql('[hosts]')}")
+@query("registrable_domains", f"SELECT * FROM {_registrable_sql('[page_hosts]')}")
 def _(spark, d):
-    return suffixes.registrable(view(spark, d, "hosts"), suffixes.common_rules(spark))
+    return suffixes.registrable(view(spark, d, "page_hosts"), suffixes.common_rules(spark))
 
 
 VIEWS["nominations"] = f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -20,12 +21,31 @@ _COLUMNS = [c.split()[0] for c in CLAIM.split(", ")]
 ENDED = ("failed", "rejected", "dead_letter")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "int64", "claimed_at": "int64", "duplicate_of": "Int64", "attempts": "int32"})
+class Message(NamedTuple):
+    """A row of CLAIM, or of what comes in: then the fields after status are null."""
 
+    doc_id: int
+    claimed_at: int
+    content_hash: str | None
+    status: str
+    outcome: str | None = None
+    reason: str | None = None
+    duplicate_of: int | None = None
+    attempts: int | None = None
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    return pd.concat(list(batches)).sort_values(["claimed_at", "doc_id"]).itertuples(index=False)
+
+def _frame(rows: list[Message]) -> pd.DataFrame:
+    # as objects: most groups have one row, and the types come from the schema
+    return pd.DataFrame(dict(zip(_COLUMNS, ([*c] for c in zip(*rows, strict=True)), strict=True)), dtype=object) if rows else pd.DataFrame({c: [] for c in _COLUMNS}, dtype=object)
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> list[Message]:
+    """The rows of a group by time, missing values as None."""
+    out = []
+    for batch in batches:
+        columns = [batch[c].tolist() for c in Message._fields if c in batch.columns]
+        out += [Message(*(None if x != x else x for x in row)) for row in zip(*columns, strict=True)]
+    return sorted(out, key=lambda m: (m.claimed_at, m.doc_id)) if len(out) > 1 else out
 
 
 def claims(messages: DataFrame, key: str, stale_s: int = 900, max_attempts: int = 3, lifetime_ms: int | None = None, notices: bool = False) -> DataFrame:
@@ -45,7 +65,7 @@ def claims(messages: DataFrame, key: str, stale_s: int = 900, max_attempts: int
                 state.update((doc_id, since, status, attempts, True))
                 if lifetime_ms:
                     state.setTimeoutDuration(lifetime_ms)
-                yield _frame([(doc_id, since, None, status, "stale", None, None, attempts)])
+                yield _frame([Message(doc_id, since, None, status, "stale", None, None, attempts)])
             elif lifetime_ms:
                 state.remove()
             return
@@ -57,16 +77,16 @@ def claims(messages: DataFrame, key: str, stale_s: int = 900, max_attempts: int
                 dead = m.status == "failed" and attempts >= max_attempts
                 outcome = "dead_letter" if dead else "taken_over" if held else "claimed"
                 held = (m.doc_id, m.claimed_at, "dead_letter" if dead else m.status, attempts)
-                out.append((m.doc_id, m.claimed_at, m.content_hash, held[2], outcome, None, None, attempts))
+                out.append(Message(m.doc_id, m.claimed_at, m.content_hash, held[2], outcome, None, None, attempts))
             else:
-                out.append((m.doc_id, m.claimed_at, m.content_hash, m.status, "duplicate", "message_id", held[0], held[3]))
+                out.append(Message(m.doc_id, m.claimed_at, m.content_hash, m.status, "duplicate", "message_id", held[0], held[3]))
         state.update((*held, False))
         waits = [x for x in (wait if held[2] == "claimed" else None, lifetime_ms) if x]
         if waits:
             state.setTimeoutDuration(min(waits))
         yield _frame(out)
 
-    own = messages.select(F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("doc_id").cast("string"))).alias("claim_key"), "doc_id", "claimed_at", "status", F.coalesce("content_hash", F.lit("")).alias("content_hash"))
+    own = messages.select(F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("doc_id").cast("string"))).alias("claim_key"), "doc_id", "claimed_at", F.coalesce("content_hash", F.lit("")).alias("content_hash"), "status")
     timeout = GroupStateTimeout.ProcessingTimeTimeout if wait or lifetime_ms else GroupStateTimeout.NoTimeout
     return own.groupBy("claim_key").applyInPandasWithState(step, CLAIM, "doc_id long, claimed_at long, status string, attempts int, told boolean", "append", timeout)
 
@@ -83,12 +103,11 @@ def content_twins(decided: DataFrame, lifetime_ms: int | None = None) -> DataFra
             return
         first, out = (state.get[0] if state.exists else None), []
         for m in _in_order(batches):
-            row = [None if pd.isna(x) else x for x in (getattr(m, c) for c in _COLUMNS)]
             if m.outcome == "claimed" and first is not None:
-                row[4:7] = ["duplicate", "content", first]
-            elif first is None and m.outcome in ("claimed", "taken_over") and m.status not in ENDED and row[2] is not None:
+                m = m._replace(outcome="duplicate", reason="content", duplicate_of=first)
+            elif first is None and m.outcome in ("claimed", "taken_over") and m.status not in ENDED and m.content_hash is not None:
                 first = m.doc_id
-            out.append(tuple(row))
+            out.append(m)
         if first is not None:
             state.update((first,))
             if lifetime_ms:

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.expr import let
 
-#: Path segments in order of priority; and those that count beyond the landing page's own links.
-PATHS = ("about", "company", "team", "careers", "jobs", "engineering", "technology", "platform", "security", "infrastructure", "trust", "subprocessors", "privacy", "dpa", "status", "architecture", "legal", "compliance")
+#: Path segments in order of priority; those that count on pages other than the landing page; and sections in which they never do: fixed values.
+PATHS = (
+    "about", "company", "team", "careers", "jobs", "engineering", "technology", "platform", "security", "infrastructure", "trust(?:-center)?", "sub-?processors?", "privacy", "dpa", "status", "architecture", "legal", "compliance",
+    "blog/engineering",
+)
+DISCOVERED = ("security", "trust(?:-center)?", "sub-?processors?", "privacy", "legal", "dpa", "compliance", "infrastructure", "status")
 NOT_OWN = ("blog", "questions", "careers", "jobs", "community", "forum", "tag", "tags", "news", "press")
 #: Sections of hiring and engineering, and the words of cloud technology that make a page there strong evidence.
 HIRING_SECTIONS = ("careers", "jobs", "engineering")
@@ -86,14 +90,20 @@ def page_flag(html: Column, text: Column) -> Column:
     return F.when(marked & (F.length(text) < 300), "js_shell_marker").when(F.length(text) < 300, "short_text").when(F.length(text) < 0.02 * F.length(html), "low_text_html_ratio").when((F.size(lines) > 0) & (short >= 0.7 * F.size(lines)), "mostly_short_lines").otherwise("none")
 
 
-def path_priority(path: Column) -> Column:
+def path_priority(path: Column, paths: tuple[str, ...] = PATHS) -> Column:
     out = None
-    for i, p in enumerate(PATHS):
+    for i, p in enumerate(paths):
         test = F.lower(path).rlike(f"/{p}([^a-z]|$)")
         out = F.when(test, i) if out is None else out.when(test, i)
     return out
 
 
+def discovered_priority(path: Column) -> Column:
+    """Of a path found elsewhere than on the landing page: fewer segments count, and none under a section of other people's or passing texts."""
+    section = F.lower(F.regexp_extract(path, "^/([^/?#]*)", 1))
+    return F.when(~section.isin(*NOT_OWN), path_priority(path, DISCOVERED))
+
+
 def page_strength(path: Column, text: Column) -> Column:
     """STRONG for a page of hiring or engineering that names cloud technology, else MEDIUM."""
     named = F.exists(F.array(*map(F.lit, CLOUD_WORDS)), lambda w: F.lower(text).contains(w))
@@ -101,13 +111,28 @@ def page_strength(path: Column, text: Column) -> Column:
     return F.when(F.coalesce(hiring & named, F.lit(False)), "STRONG").otherwise("MEDIUM")
 
 
-def crawl_frontier(links: DataFrame, limit: int = 5) -> DataFrame:
-    """The best paths of each page: first by priority, then in the order of the links; each path once."""
-    once = links.withColumn("priority", path_priority(F.col("path"))).where(F.col("priority").isNotNull()).groupBy("page_id", "path").agg(F.min("priority").alias("priority"), F.min("position").alias("position"))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("priority", "position", "path"))
+def crawl_frontier(links: DataFrame, limit: int = 5, landing: Column | None = None) -> DataFrame:
+    """The best paths of each page: first by priority, then in the order of the links; each path once.
+
+    landing: whether a link stands on the landing page itself; such links come before all that were discovered elsewhere, which have a
+    narrower priority. None: all are.
+    """
+    own = F.lit(True) if landing is None else F.coalesce(landing, F.lit(False))
+    scored = links.withColumns({"_late": F.when(own, 0).otherwise(1), "priority": F.when(own, path_priority(F.col("path"))).otherwise(discovered_priority(F.col("path")))})
+    best = F.struct("_late", "priority", "position")
+    once = scored.where(F.col("priority").isNotNull()).groupBy("page_id", "path").agg(F.min(best).alias("b")).select("page_id", "path", "b.*")
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("_late", "priority", "position", "path"))
     return once.withColumn("rank", rank).where(F.col("rank") <= limit).select("page_id", "path", "rank")
 
 
+def robots_rules(files: DataFrame) -> DataFrame:
+    """host, prefix: what the robots files (host, status, body) forbid to everybody. A file that was not read forbids nothing."""
+    groups = F.split(F.concat(F.lit("\n"), F.regexp_replace("body", r"\r\n?", "\n")), r"(?i)\n[ \t]*user-agent[ \t]*:")
+    general = F.filter(groups, lambda g, i: (i > 0) & (F.trim(F.substring_index(g, "\n", 1), F.lit(" \t")) == "*"))
+    rules = F.flatten(F.transform(general, lambda g: F.regexp_extract_all(g, F.lit(r"(?im)^[ \t]*disallow[ \t]*:[ \t]*(\S[^\n]*?)[ \t]*$"), F.lit(1))))
+    return files.where("status = 200 and body is not null").select("host", F.explode(rules).alias("prefix")).distinct()
+
+
 def robots_allowed(links: DataFrame, rules: DataFrame) -> DataFrame:
     """Links that no Disallow prefix of the host's general group covers. rules: host, prefix."""
     return links.join(rules, (F.col("link_host") == F.col("host")) & (F.col("prefix") != "") & F.col("path").startswith(F.col("prefix")), "left_anti")

@@ -694,6 +694,27 @@ def _(spark, d):
     return pages.robots_allowed(links, rules).select("page_id", "position", "path")
 
 
+VIEWS["found_links"] = f"""
+SELECT page_id, position, position <= 3 AS landing, {pick(['/trust-center', '/sub-processors', '/blog/engineering', '/blog/security-tips', '/careers/security-engineer', '/about', '/privacy', '/team', '/Status', '/questions/legal', '/x', '/eu/security/'], '(page_id * 5 + position * 7) % 12')} AS path
+FROM (SELECT p.page_id, k.l_linenumber AS position FROM {{pages}} p JOIN (SELECT DISTINCT l_linenumber FROM {{lineitem}}) k ON k.l_linenumber <= 2 + p.page_id % 6)"""
+_RANKED = lambda paths: "CASE " + " ".join(f"WHEN regexp_matches(lower(path), '/{p}([^a-z]|$)') THEN {i}" for i, p in enumerate(paths)) + " END"
+
+
+@query("crawl_plan", f"""SELECT page_id, path, CAST(rank AS INTEGER) AS rank FROM (SELECT page_id, path, row_number() OVER (PARTITION BY page_id ORDER BY b.late, b.priority, b.position, path) AS rank FROM (SELECT page_id, path, min(struct_pack(late := NOT landing, priority := priority, position := position)) AS b FROM
+ (SELECT *, CASE WHEN landing THEN {_RANKED(pages.PATHS)} WHEN lower(regexp_extract(path, '^/([^/?#]*)', 1)) NOT IN {_in(pages.NOT_OWN)} THEN {_RANKED(pages.DISCOVERED)} END AS priority FROM [found_links]) WHERE priority IS NOT NULL GROUP BY page_id, path)) WHERE rank <= 4""")
+def _(spark, d):
+    return pages.crawl_frontier(view(spark, d, "found_links"), 4, F.col("landing"))
+
+
+VIEWS["robots"] = f"""
+SELECT page_id, CAST(CASE WHEN page_id % 9 = 0 THEN 404 ELSE 200 END AS INT) AS status, {pick(['', '# all', 'User-agent: other', 'User-agent: *'], 'page_id % 4')} || chr(10) || 'Disallow: /about' || chr(13) || chr(10) || ' USER-AGENT : * ' || chr(10) || 'Disallow:' || chr(10) || 'disallow: /x y ' || chr(10) || 'Allow: /x' || chr(10) || 'User-agent: *bot' || chr(10) || 'Disallow: /' AS body FROM {{pages}}"""
+
+
+@query("robots_rules", "SELECT CAST(page_id AS VARCHAR) AS host, '/x y' AS prefix FROM pages WHERE page_id % 9 <> 0 UNION SELECT CAST(page_id AS VARCHAR), '/about' FROM pages WHERE page_id % 9 <> 0 AND page_id % 4 = 3")
+def _(spark, d):
+    return pages.robots_rules(view(spark, d, "robots").withColumn("host", F.col("page_id").cast("string")))
+
+
 @query("url_union", "SELECT page_id, path, CAST(source AS INTEGER) AS source, position FROM (SELECT *, row_number() OVER (PARTITION BY page_id, path ORDER BY source, position) AS r FROM (SELECT page_id, path, 0 AS source, position FROM [links] WHERE position <= 3 UNION ALL SELECT page_id, path, 1, position FROM [links])) WHERE r = 1")
 def _(spark, d):
     links = view(spark, d, "links")

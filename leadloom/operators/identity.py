@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom import policy
 from leadloom.functions import fuzzy, names
+from leadloom.functions.expr import lookup
 
 #: ISO codes of countries by name, and countries of code domains: fixed values.
 TLD_COUNTRIES = {"hu": "HUNGARY", "de": "GERMANY", "fr": "FRANCE", "ru": "RUSSIA", "ir": "IRAN"}
@@ -83,10 +84,25 @@ def acronym_hits(leads: DataFrame, competitors: DataFrame) -> DataFrame:
     return leads.select("lead_id", names.normalise_name(F.col("company")).alias("normal")).join(short, F.col("normal") == F.col("short")).select("lead_id", "term", F.lit(80).alias("score"))
 
 
+#: Codes of country names, and of the domains that stand for one country: fixed values.
+COUNTRY_CODES = {
+    "united states of america": "US", "united states": "US", "usa": "US", "iran": "IR", "islamic republic of iran": "IR", "hungary": "HU", "italy": "IT", "india": "IN", "norway": "NO", "united kingdom": "GB", "germany": "DE", "france": "FR",
+    "netherlands": "NL", "canada": "CA", "australia": "AU", "spain": "ES", "sweden": "SE",
+}
+DOMAIN_CODES = {"us": "US", "ir": "IR", "hu": "HU", "it": "IT", "in": "IN", "no": "NO", "uk": "GB", "de": "DE", "fr": "FR", "nl": "NL", "ca": "CA", "au": "AU"}
+
+
+def country_code(name: Column) -> Column:
+    """The code of a country's name, or of a code itself; null for others, which cannot be compared."""
+    return F.coalesce(lookup(COUNTRY_CODES, F.lower(F.trim(name))), F.when(name.rlike("^[A-Z]{2}$"), name))
+
+
 def registry_match(leads: DataFrame, records: DataFrame) -> DataFrame:
-    """The first accepted registry record of each lead: position, legal_name, status, country; leads carry hq (may be null).
+    """The first accepted registry record of each lead: position, legal_name, strength, score; records: position, legal_name, status,
+    country (a code); leads carry hq (may be null) and, if at all, website.
 
-    Scored by sorted words, active only; a known country must agree. Distinct names are blocked on grams of their sorted words:
+    Scored by sorted words, active only. A known headquarters must agree with the record's country (STRONG); without it the country of
+    the website's own domain must (MEDIUM); a record against which nothing speaks for or against is a name alone (WEAK). Distinct names are blocked on grams of their sorted words:
     at this bound two names of more than 16 letters together share a 3-gram, others a 2-gram (then neither has more than 9) or all.
     """
     key = lambda c: F.array_join(F.array_sort(F.array_remove(F.split(names.normalise_name(F.col(c)), " "), "")), " ")
@@ -101,7 +117,8 @@ def registry_match(leads: DataFrame, records: DataFrame) -> DataFrame:
     pairs = blocks(leads, "_ours").join(blocks(records, "_theirs"), "gram").where(near).select("_ours", "_theirs").distinct()
     close = pairs.withColumn("score", fuzzy.fuzz_token_sort("_ours", "_theirs")).where(F.col("score") >= 85)
     scored = leads.join(close, "_ours").join(records, "_theirs")
-    known = F.col("hq").isNotNull() & (F.col("hq") != "")
-    accepted = scored.where(~known | (F.col("hq") == F.col("country")))
+    seat, site = country_code(F.col("hq")), lookup(DOMAIN_CODES, names.last_label(names.host_of(F.col("website")))) if "website" in leads.columns else F.lit(None).cast("string")
+    strength = F.when(seat.isNotNull(), F.when(seat == F.col("country"), "STRONG")).when(site.isNotNull(), F.when(site == F.col("country"), "MEDIUM")).otherwise("WEAK")
+    accepted = scored.withColumn("strength", strength).where(F.col("strength").isNotNull())
     first = F.row_number().over(Window.partitionBy("lead_id").orderBy("position"))
-    return accepted.withColumn("_r", first).where("_r = 1").select("lead_id", "position", "legal_name", F.when(known, "STRONG").otherwise("WEAK").alias("strength"), F.col("score").cast("int").alias("score"))
+    return accepted.withColumn("_r", first).where("_r = 1").select("lead_id", "position", "legal_name", "strength", F.col("score").cast("int").alias("score"))

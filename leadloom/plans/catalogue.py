@@ -309,11 +309,19 @@ _KEYED = lambda c: f"array_to_string(list_sort({fuzzy_sql.words(_NORM(c))}), ' '
 _REGISTRY = f"(SELECT p_partkey AS position, upper(p_name) AS legal_name, {_KEYED('upper(p_name)')} AS theirs FROM part WHERE p_size % 3 <> 0)"
 
 
-@query("registry_match", f"""WITH n AS MATERIALIZED (SELECT lead_id, {_KEYED('company')} AS ours FROM [leads]), r AS MATERIALIZED {_REGISTRY}, c AS MATERIALIZED (SELECT a, b, score FROM {fuzzy_sql.token_sort("(SELECT DISTINCT ours AS a, theirs AS b FROM n CROSS JOIN (SELECT DISTINCT theirs FROM r))")} WHERE score >= 85)
-SELECT lead_id, position, legal_name, 'WEAK' AS strength, CAST(floor(score) AS INTEGER) AS score FROM (SELECT lead_id, position, legal_name, score, row_number() OVER (PARTITION BY lead_id ORDER BY position) AS k FROM n JOIN c ON a = ours JOIN r ON theirs = b) WHERE k = 1""")
+_SEATED = f"(SELECT lead_id, website, {_KEYED('company')} AS ours, CASE lead_id % 5 WHEN 0 THEN 'Germany' WHEN 1 THEN 'Hungary' WHEN 2 THEN 'Atlantis' END AS hq FROM [leads])"
+_SEAT, _SITE = "CASE hq WHEN 'Germany' THEN 'DE' WHEN 'Hungary' THEN 'HU' END", f"{_CASE(_TLD('website'), identity.DOMAIN_CODES)}"
+_GRADE = f"CASE WHEN {_SEAT} IS NOT NULL THEN CASE WHEN {_SEAT} = country THEN 'STRONG' END WHEN {_SITE} IS NOT NULL THEN CASE WHEN {_SITE} = country THEN 'MEDIUM' END ELSE 'WEAK' END"
+
+
+@query("registry_match", f"""WITH n AS MATERIALIZED {_SEATED}, r AS MATERIALIZED (SELECT *, split_part('DE|HU|FR', '|', CAST(position % 3 + 1 AS INT)) AS country FROM {_REGISTRY}),
+ c AS MATERIALIZED (SELECT a, b, score FROM {fuzzy_sql.token_sort("(SELECT DISTINCT ours AS a, theirs AS b FROM n CROSS JOIN (SELECT DISTINCT theirs FROM r))")} WHERE score >= 85)
+SELECT lead_id, position, legal_name, strength, CAST(floor(score) AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY position) AS k FROM (SELECT lead_id, position, legal_name, score, {_GRADE} AS strength FROM n JOIN c ON a = ours JOIN r ON theirs = b) WHERE strength IS NOT NULL) WHERE k = 1""")
 def _(spark, d):
-    leads = view(spark, d, "leads").select("lead_id", "company", F.lit(None).cast("string").alias("hq"))
-    records = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("position"), F.upper("p_name").alias("legal_name"), F.when(F.col("p_size") % 3 == 0, "LAPSED").otherwise("ACTIVE").alias("status"), F.lit("DE").alias("country"))
+    hq = F.when(F.col("lead_id") % 5 == 0, "Germany").when(F.col("lead_id") % 5 == 1, "Hungary").when(F.col("lead_id") % 5 == 2, "Atlantis")
+    leads = view(spark, d, "leads").select("lead_id", "company", "website", hq.alias("hq"))
+    country = F.get(F.array(F.lit("DE"), F.lit("HU"), F.lit("FR")), (F.col("p_partkey") % 3).cast("int"))
+    records = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("position"), F.upper("p_name").alias("legal_name"), F.when(F.col("p_size") % 3 == 0, "LAPSED").otherwise("ACTIVE").alias("status"), country.alias("country"))
     return identity.registry_match(leads, records)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom import policy
-from leadloom.functions.expr import lookup
 
 LEAD = "name string, email string, company string, website string, job_title string, company_size_band string"
 
@@ -123,13 +122,3 @@ def repo_signals(entries: DataFrame, limit: int = 8) -> DataFrame:
 def certificate_names(rows: DataFrame) -> DataFrame:
     """domain and name, one row per line of name_value."""
     return rows.select("domain", F.explode(F.split("name_value", "\n")).alias("name")).where(F.trim("name") != "")
-
-
-def policy_rows(spark: SparkSession) -> DataFrame:
-    """The policy lists as a table: list, position, value."""
-    lists = {"jurisdictions": policy.JURISDICTIONS, "markers": policy.MARKERS, "high_spend": policy.HIGH_SPEND, "low_spend": policy.LOW_SPEND}
-    return spark.createDataFrame([(k, i, v) for k, vs in lists.items() for i, v in enumerate(vs)], "list string, position int, value string")
-
-
-def country_code(name: Column) -> Column:
-    return lookup({"france": "FR", "germany": "DE", "russia": "RU", "iran": "IR", "hungary": "HU", "united kingdom": "GB", "united states": "US", "china": "CN"}, F.lower(F.trim(name)))

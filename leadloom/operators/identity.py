@@ -78,10 +78,11 @@ def competitor_hits(leads: DataFrame, competitors: DataFrame, generic: tuple[str
     return leads.select("lead_id", names.normalise_name(F.col("company")).alias("normal")).join(scored, "normal").select("lead_id", "term", F.col("score").cast("int").alias("score"))
 
 
-def acronym_hits(leads: DataFrame, competitors: DataFrame) -> DataFrame:
-    """Leads whose whole name is a listed name's acronym."""
+def acronym_hits(leads: DataFrame, competitors: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """Leads whose whole name is a listed name's acronym. scored: their competitor_hits; a listed name that is one of them already counts there."""
     short = competitors.select("term", F.lower(names.acronym(F.col("term"))).alias("short"))
-    return leads.select("lead_id", names.normalise_name(F.col("company")).alias("normal")).join(short, F.col("normal") == F.col("short")).select("lead_id", "term", F.lit(80).alias("score"))
+    hits = leads.select("lead_id", names.normalise_name(F.col("company")).alias("normal")).join(short, F.col("normal") == F.col("short")).select("lead_id", "term", F.lit(80).alias("score"))
+    return hits if scored is None else hits.join(scored.select("lead_id", "term"), ["lead_id", "term"], "left_anti")
 
 
 #: Codes of country names, and of the domains that stand for one country: fixed values.

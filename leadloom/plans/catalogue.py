@@ -299,10 +299,13 @@ _BARE = f"regexp_replace(t, '{_LEGAL_SQL}', ' ', 'g')"
 _SHORT = "(SELECT t AS term, lower(array_to_string(list_transform(CASE WHEN len(caps) > 0 THEN caps ELSE list_filter(regexp_split_to_array(bare, '\\s+'), lambda w: w <> '') END, lambda w: substring(w, 1, 1)), '')) AS short FROM (SELECT t, " + _BARE + " AS bare, regexp_extract_all(" + _BARE + ", '[A-Z][a-z0-9]*') AS caps FROM unnest([" + ", ".join(f"'{c}'" for c in COMPETITORS) + "]) x(t)))"
 
 
-@query("acronym_hits", f"SELECT lead_id, term, 80 AS score FROM (SELECT lead_id, {_NORM('company')} AS normal FROM (SELECT lead_id, CASE WHEN lead_id % 5 = 0 THEN 'BSC ltd' ELSE company END AS company FROM [leads])) JOIN {_SHORT} ON normal = short")
+_ABBREVIATED = f"(SELECT lead_id, {_NORM('company')} AS normal FROM (SELECT lead_id, CASE WHEN lead_id % 5 = 0 THEN 'BSC ltd' WHEN lead_id % 5 = 1 THEN 'Rac' ELSE company END AS company FROM [leads]))"
+
+
+@query("acronym_hits", f"SELECT lead_id, term, 80 AS score FROM (SELECT lead_id, term FROM {_ABBREVIATED} JOIN {_SHORT} ON normal = short EXCEPT SELECT lead_id, term FROM {_hits_sql(_ABBREVIATED, policy.KEEP_FLOOR)})")
 def _(spark, d):
-    leads = view(spark, d, "leads").withColumn("company", F.when(F.col("lead_id") % 5 == 0, "BSC ltd").otherwise(F.col("company")))
-    return identity.acronym_hits(leads, _competitors(spark))
+    leads = view(spark, d, "leads").withColumn("company", F.when(F.col("lead_id") % 5 == 0, "BSC ltd").when(F.col("lead_id") % 5 == 1, "Rac").otherwise(F.col("company")))
+    return identity.acronym_hits(leads, _competitors(spark), identity.competitor_hits(leads, _competitors(spark)))
 
 
 _KEYED = lambda c: f"array_to_string(list_sort({fuzzy_sql.words(_NORM(c))}), ' ')"
@@ -359,7 +362,7 @@ _SIMILAR = f"(SELECT t.a, t.b, CAST(floor(greatest(t.score, coalesce(p.score, 0.
 _SECOND_SCREENS = f"""(SELECT lead_id, CASE WHEN lead_id % 13 = 0 THEN 'skipped' WHEN lead_id % 7 = 0 OR lead_id % 6 = 5 THEN 'none' WHEN lead_id % 4 <> 2 AND lead_id % 10 >= 9 AND alike >= 80 AND NOT {_WEAK('a')} THEN 'blocked_evidence' WHEN lead_id % 4 <> 2 AND lead_id % 10 >= 5 THEN 'review_evidence' ELSE 'info' END AS status
  FROM {_ASKED} JOIN {_SIMILAR} USING (a, b))"""
 _LIST_HITS = f"""(SELECT h.*, n.name_score, k.short_hit, m.domain_score, s.second_score, w.status AS second_screen FROM {_HITS} h
- LEFT JOIN (SELECT lead_id, max(CAST(floor(score) AS INTEGER)) AS name_score FROM {_hits_sql(_NAMES, policy.KEEP_FLOOR)} GROUP BY lead_id) n USING (lead_id) LEFT JOIN (SELECT DISTINCT lead_id, true AS short_hit FROM {_NAMES} JOIN {_SHORT} ON normal = short) k USING (lead_id)
+ LEFT JOIN (SELECT lead_id, max(CAST(floor(score) AS INTEGER)) AS name_score FROM {_hits_sql(_NAMES, policy.KEEP_FLOOR)} GROUP BY lead_id) n USING (lead_id) LEFT JOIN (SELECT DISTINCT lead_id, true AS short_hit FROM (SELECT lead_id, term FROM {_NAMES} JOIN {_SHORT} ON normal = short EXCEPT SELECT lead_id, term FROM {_hits_sql(_NAMES, policy.KEEP_FLOOR)})) k USING (lead_id)
  LEFT JOIN (SELECT lead_id, max(score) AS domain_score FROM {_DOMAIN_HITS} GROUP BY lead_id) m USING (lead_id) LEFT JOIN (SELECT lead_id, max(CAST(floor(score) AS INTEGER)) AS second_score FROM {_hits_sql(f'(SELECT lead_id, normal FROM {_SECOND})', policy.KEEP_FLOOR)} GROUP BY lead_id) s USING (lead_id)
  LEFT JOIN {_SECOND_SCREENS} w USING (lead_id))"""
 _LISTED_DECIDED = _decided_sql(_LIST_HITS, _LIST_STEPS)
@@ -381,7 +384,8 @@ def _decided(spark, d):
     second = linkage.second_identities(_organisations(leads))
     asked = second.select(F.col("lead_id").alias("query_key"), F.col("company").alias("query_name"))
     screens = linkage.worst_screen(linkage.screen(asked, _watchlist(asked)).withColumnRenamed("query_key", "lead_id"))
-    hits = (identity.competitor_hits(leads, listed), identity.acronym_hits(leads, listed), linkage.domain_hits(leads, listed), identity.competitor_hits(second, listed))
+    scored = identity.competitor_hits(leads, listed)
+    hits = (scored, identity.acronym_hits(leads, listed, scored), linkage.domain_hits(leads, listed), identity.competitor_hits(second, listed))
     return decide.compliance(decide.with_list_hits(_hits(spark, d), *hits, screens))
 
 

@@ -1062,6 +1062,26 @@ def _(spark, d):
     return feeds.registry_records(rows).select("lead_id", "position", "legal_name", "status")
 
 
+@query("entity_facts", """SELECT 'Q' || CAST(s_suppkey AS VARCHAR) AS qid, CASE WHEN s_suppkey % 4 <> 0 THEN 'https://s' || CAST(s_suppkey AS VARCHAR) || '.example' END AS website, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE coalesce(n_name, 'N' || CAST(s_nationkey AS VARCHAR)) END AS country,
+ CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'N99' END AS headquarters, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE array_to_string(list_transform(range(0, 5), lambda i: coalesce(m[(s_nationkey + i) % 25], 'N' || CAST((s_nationkey + i) % 25 AS VARCHAR))), '|') END AS industries,
+ CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 3 = 0 THEN coalesce(n_name, 'N' || CAST(s_nationkey AS VARCHAR)) END AS parent, CASE s_suppkey % 3 WHEN 0 THEN s_suppkey * 3 WHEN 1 THEN s_suppkey END AS employees, CASE s_suppkey % 3 WHEN 0 THEN '+2024-01-01T00:00:00Z' END AS as_of
+ FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 1) ON n_nationkey = s_nationkey CROSS JOIN (SELECT map(list(CAST(n_nationkey AS BIGINT)), list(n_name)) AS m FROM nation WHERE n_nationkey % 4 <> 1)""")
+def _(spark, d):
+    item = lambda n: F.concat(F.lit('{"mainsnak":{"datavalue":{"value":{"entity-type":"item","id":"N'), n.cast("string"), F.lit('"}}}}'))
+    nation, none = F.col("s_nationkey"), F.lit('{"mainsnak":{"snaktype":"novalue"}}')
+    amount = lambda n, day="": F.concat(F.lit('{"mainsnak":{"datavalue":{"value":{"amount":"+'), n.cast("string"), F.lit('"}}}' + day + "}"))
+    dated = lambda y: f',"qualifiers":{{"P585":[{{"datavalue":{{"value":{{"time":"+1990"}}}}}},{{"datavalue":{{"value":{{"time":"+{y}-01-01T00:00:00Z"}}}}}}]}}'
+    key = F.col("s_suppkey")
+    counts = F.when(key % 3 == 0, F.concat_ws(",", amount(key), amount(key * 2, dated(2023)), amount(key * 3, dated(2024)), amount(key * 4, dated(2024)))).when(key % 3 == 1, F.concat_ws(",", amount(key), amount(key * 2))).otherwise(none)
+    site = F.when(key % 4 == 0, none).otherwise(F.concat(none, F.lit(',{"mainsnak":{"datavalue":{"value":"https://s'), key.cast("string"), F.lit('.example"}}}')))
+    of = lambda p, body: F.concat(F.lit(f'"{p}":['), body, F.lit("]"))
+    links = [of("P17", F.concat_ws(",", none, item(nation), item(F.lit(98)))), of("P159", item(F.lit(99))), of("P452", F.concat_ws(",", *[item((nation + i) % 25) for i in range(7)])), of("P749", F.when(key % 3 == 0, item(nation)).otherwise(none))]
+    body = F.concat(F.lit("{"), F.concat_ws(",", of("P856", site), of("P1128", counts), F.when(key % 7 != 0, F.concat_ws(",", *links))), F.lit("}"))
+    answers = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("Q"), key.cast("string")).alias("qid"), body.alias("claims"))
+    labels = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 4 <> 1").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("qid"), F.col("n_name").alias("label"))
+    return feeds.entity_facts(answers, labels).withColumn("industries", F.array_join("industries", "|"))
+
+
 @query("latest_quantity", "SELECT 'Q' || CAST(s_suppkey AS VARCHAR) AS qid, s_suppkey * 2 AS employees, '2024-01-01' AS as_of FROM supplier")
 def _(spark, d):
     claim = lambda n, day: f'{{"mainsnak":{{"datavalue":{{"value":"+{n}"}}}}{day}}}'

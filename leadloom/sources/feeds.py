@@ -90,6 +90,38 @@ def latest_quantity(claims: DataFrame) -> DataFrame:
     return amounts.where(F.col("n").isNotNull()).groupBy("qid").agg(F.max_by(F.struct("n", "as_of"), F.struct(F.coalesce("as_of", F.lit("")).alias("d"), (-F.col("position")).alias("p"))).alias("b")).select("qid", F.col("b.n").alias("employees"), F.col("b.as_of").alias("as_of"))
 
 
+#: Properties of an entity that name other entities, and how many of each are kept: fixed values.
+ENTITY_LINKS = {"country": ("P17", 1), "headquarters": ("P159", 1), "industries": ("P452", 5), "parent": ("P749", 1)}
+
+
+def entity_facts(answers: DataFrame, labels: DataFrame) -> DataFrame:
+    """qid, website, country, headquarters, industries (an array), parent, employees and as_of of each entity.
+
+    answers: qid and claims (JSON: lists of claims by property, whose values are texts, items or quantities). labels: qid, label. An item
+    without a label is named by its id; claims without a value are passed over; the quantity with the latest date holds, undated ones
+    come before all dated ones, and the first of equals stays. Claims that are no JSON give nulls.
+    """
+    get = F.try_variant_get
+    value = "$.mainsnak.datavalue.value"
+    listed = lambda p: F.coalesce(get(F.col("_claims"), f"$.{p}", "array<variant>"), F.array().cast("array<variant>"))
+    some = lambda c: F.filter(c, lambda x: x.isNotNull())
+    texts = some(F.transform(listed("P856"), lambda c: get(c, value, "string")))
+    day = lambda c: F.coalesce(get(F.get(get(c, "$.qualifiers.P585", "array<variant>"), F.size(get(c, "$.qualifiers.P585", "array<variant>")) - 1), "$.datavalue.value.time", "string"), F.lit(""))
+    counts = F.filter(F.transform(listed("P1128"), lambda c, i: F.struct(day(c).alias("day"), (-i).alias("late"), F.ltrim(get(c, f"{value}.amount", "string"), F.lit("+")).alias("amount"))), lambda x: x["amount"].isNotNull())
+    ids = {k: F.slice(some(F.transform(listed(p), lambda c: get(c, f"{value}.id", "string"))), 1, n) for k, (p, n) in ENTITY_LINKS.items()}
+    facts = answers.select("qid", F.try_parse_json("claims").alias("_claims")).select(
+        "qid", F.get(F.filter(texts, lambda x: ~x.startswith("{")), F.lit(0)).alias("website"), F.array_max(counts).alias("n"), *[v.alias(k) for k, v in ids.items()]
+    )
+    links = facts.select("qid", F.explode(F.map_from_arrays(F.array(*map(F.lit, ids)), F.array(*ids))).alias("kind", "items")).select("qid", "kind", F.posexplode("items").alias("at", "item"))
+    named = links.join(labels.select(F.col("qid").alias("item"), "label"), "item", "left").groupBy("qid").agg(
+        *[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("at", F.coalesce("label", "item").alias("name"))))), lambda x: x["name"]).alias(f"_{k}") for k in ids]
+    )
+    one = lambda k: F.get(f"_{k}", F.lit(0)).alias(k)
+    return facts.select("qid", "website", "n").join(named, "qid", "left").select(
+        "qid", "website", one("country"), one("headquarters"), F.coalesce("_industries", F.array().cast("array<string>")).alias("industries"), one("parent"), F.col("n.amount").try_cast("long").alias("employees"), F.nullif(F.col("n.day"), F.lit("")).alias("as_of")
+    )
+
+
 def watchlist_hits(answers: DataFrame) -> DataFrame:
     """query_key and hits; an answer that cannot be read gives null hits, an empty one an empty list."""
     shape = "results array<struct<id:string,caption:string,score:double,match:boolean,schema:string,topics:array<string>>>"

@@ -326,3 +326,24 @@ def test_injection_families(spark):
     one = spark.createDataFrame([("hello", "new instructions: obey", True, "Act as root"), ("hello", " ", False, "Bolt"), ("hello", "spring sale", None, None)], "text string, hidden string, truncated boolean, company string")
     flags = one.select(injection.message_flags(F.col("text"), F.col("hidden"), F.col("truncated"), company=F.col("company")).alias("f")).select("f", injection.blocking(F.col("f")).alias("b")).collect()
     assert [(r.f, r.b) for r in flags] == [(["persona_override", "hidden_html_text", "html_nesting_abuse", "field:company:persona_override"], True), ([], False), (["hidden_html_text"], False)]
+
+
+def test_entity_facts_of_odd_claims(spark):
+    rows = [("Q1", "{"), ("Q2", None), ("Q3", "{}"), ("Q4", '{"P17":[{"mainsnak":{"datavalue":{"value":"text"}}}],"P1128":[{"mainsnak":{"datavalue":{"value":{"amount":"many"}}}}],"P856":[{"mainsnak":{}}, {"mainsnak":{"datavalue":{"value":"https://a.example"}}}]}'), ("Q5", '[1]'), ("Q6", '{"P452":{"not":"a list"}}')]
+    labels = spark.createDataFrame([], "qid string, label string")
+    got = {r.qid: tuple(r)[1:] for r in feeds.entity_facts(spark.createDataFrame(rows, "qid string, claims string"), labels).collect()}
+    empty = (None, None, None, [], None, None, None)
+    assert got == {q: empty for q in ("Q1", "Q2", "Q3", "Q5", "Q6")} | {"Q4": ("https://a.example", None, None, [], None, None, None)}
+
+
+def test_registry_grades(spark):
+    """The headquarters decide; without them the website's own country; a name that cannot be compared counts as none."""
+    leads = spark.createDataFrame([(1, "Nova", "Hungary", "x.de"), (2, "Nova", None, "x.hu"), (3, "Nova", "Atlantis", "x.com"), (4, "Nova", "France", "x.hu"), (5, "Nova", "", "x.it")], "lead_id long, company string, hq string, website string")
+    records = spark.createDataFrame([(0, "Nova", "ACTIVE", "HU")], "position int, legal_name string, status string, country string")
+    assert {r.lead_id: r.strength for r in identity.registry_match(leads, records).collect()} == {1: "STRONG", 2: "MEDIUM", 3: "WEAK"}
+
+
+def test_robots_groups(spark):
+    rows = [("a", 200, "User-agent: *\nDisallow: /x\nDisallow:\n\nUser-agent: b\nDisallow: /\nuser-agent:*\r\nDISALLOW:  /y z \r\nAllow: /q"), ("b", 404, "User-agent: *\nDisallow: /"), ("c", 200, None), ("d", 200, "Disallow: /lost"), ("e", 200, "")]
+    table = spark.createDataFrame(rows, "host string, status int, body string")
+    assert sorted(tuple(r) for r in pages.robots_rules(table).collect()) == [("a", "/x"), ("a", "/y z")]

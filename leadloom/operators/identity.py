@@ -112,14 +112,18 @@ def registry_match(leads: DataFrame, records: DataFrame) -> DataFrame:
         runs = lambda q: F.when(F.length(c) >= q, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.concat(F.array(F.col(c)), runs(3), F.when(F.length(c) <= 9, runs(2)).otherwise(F.array().cast("array<string>"))))
 
-    leads, records = leads.withColumn("_ours", key("company")), records.where(F.col("status") == "ACTIVE").withColumn("_theirs", key("legal_name"))
+    seat = country_code(F.col("hq"))
+    site = lookup(DOMAIN_CODES, names.last_label(names.host_of(F.col("website")))) if "website" in leads.columns else F.lit(None).cast("string")
+    leads = leads.withColumns({"_ours": key("company"), "_seat": seat, "_site": site}).select("lead_id", "_ours", "_seat", "_site")
+    # the first record of a name and country stands for the others, so that leads meet few rows however many share a name
+    records = records.where(F.col("status") == "ACTIVE").withColumn("_theirs", key("legal_name")).groupBy("_theirs", "country").agg(F.min("position").alias("position"), F.min_by("legal_name", "position").alias("legal_name"))
     blocks = lambda rows, c: rows.select(c).where(F.col(c).isNotNull()).distinct().select(c, F.explode(grams(c)).alias("gram"))
     near = F.least(F.length("_ours"), F.length("_theirs")) * 200 >= (F.length("_ours") + F.length("_theirs")) * 85
     pairs = blocks(leads, "_ours").join(blocks(records, "_theirs"), "gram").where(near).select("_ours", "_theirs").distinct()
     close = pairs.withColumn("score", fuzzy.fuzz_token_sort("_ours", "_theirs")).where(F.col("score") >= 85)
     scored = leads.join(close, "_ours").join(records, "_theirs")
-    seat, site = country_code(F.col("hq")), lookup(DOMAIN_CODES, names.last_label(names.host_of(F.col("website")))) if "website" in leads.columns else F.lit(None).cast("string")
-    strength = F.when(seat.isNotNull(), F.when(seat == F.col("country"), "STRONG")).when(site.isNotNull(), F.when(site == F.col("country"), "MEDIUM")).otherwise("WEAK")
+    agrees = lambda c, grade: F.when(F.col(c) == F.col("country"), grade)
+    strength = F.when(F.col("_seat").isNotNull(), agrees("_seat", "STRONG")).when(F.col("_site").isNotNull(), agrees("_site", "MEDIUM")).otherwise("WEAK")
     accepted = scored.withColumn("strength", strength).where(F.col("strength").isNotNull())
     first = F.row_number().over(Window.partitionBy("lead_id").orderBy("position"))
     return accepted.withColumn("_r", first).where("_r = 1").select("lead_id", "position", "legal_name", "strength", F.col("score").cast("int").alias("score"))

@@ -94,18 +94,21 @@ def match_addresses(addresses: DataFrame, ranges: DataFrame, ip: str = "ip") ->
     """Of each distinct address (text, either family) the range of the longest prefix: ip, provider, service, region, role, bits; then specific
     before generic services, provider, service. Texts that are no address and addresses without a range have nulls.
 
-    ranges: cidr, provider, service, region, role. An address is masked to each length that its family's ranges have (33 and 129 at most)
+    ranges: cidr (or family, bits, hi and lo, as feeds give them), provider, service, region, role. An address is masked to each length that its family's ranges have (33 and 129 at most)
     and joined by equality on family, length and 128 bits.
     """
-    table = ranges.withColumn("r", range_key(F.col("cidr"))).where("r is not null").select("r.*", "provider", "service", "region", "role")
-    asked = addresses.select(F.col(ip).alias("ip")).distinct().withColumn("a", ip_key(F.col("ip")))
+    keys = ["family", "bits", "hi", "lo"]
+    keyed = ranges if set(keys) <= set(ranges.columns) else ranges.withColumn("r", range_key(F.col("cidr"))).where("r is not null").select("*", "r.*")
+    rank = F.struct(is_generic(F.col("provider"), F.col("service")).alias("b"), F.col("provider").alias("c"), F.col("service").alias("d"))
+    # the best of equal networks stands for them, so that an address meets one row per length
+    table = keyed.groupBy(*keys).agg(F.min_by(F.struct("provider", "service", "region", "role"), rank).alias("m"))
+    asked = addresses.select(F.col(ip).alias("ip")).distinct()
     lengths = [(r["family"], r["bits"]) for r in table.select("family", "bits").distinct().collect()]
     none = F.array().cast("array<int>")
     of = {f: F.array(*[F.lit(b) for b in sorted(b for g, b in lengths if g == f)]).cast("array<int>") if any(g == f for g, _ in lengths) else none for f in (4, 6)}
-    each = asked.where("a is not null").select("ip", "a.*", F.explode(F.when(F.col("a.family") == 4, of[4]).otherwise(of[6])).alias("bits"))
+    each = asked.withColumn("a", ip_key(F.col("ip"))).where("a is not null").select("ip", "a.*", F.explode(F.when(F.col("a.family") == 4, of[4]).otherwise(of[6])).alias("bits"))
     hi, lo = masked(F.col("family"), F.col("hi"), F.col("lo"), F.col("bits"))
-    order = F.struct((-F.col("bits")).alias("a"), is_generic(F.col("provider"), F.col("service")).alias("b"), F.col("provider").alias("c"), F.col("service").alias("d"))
-    best = each.select("ip", "family", "bits", hi.alias("hi"), lo.alias("lo")).join(table, ["family", "bits", "hi", "lo"]).groupBy("ip").agg(F.min_by(F.struct("provider", "service", "region", "role", "bits"), order).alias("m"))
+    best = each.select("ip", "family", "bits", hi.alias("hi"), lo.alias("lo")).join(table, keys).groupBy("ip").agg(F.max_by(F.struct("m.provider", "m.service", "m.region", "m.role", "bits"), "bits").alias("m"))
     return asked.join(best, "ip", "left").select("ip", "m.provider", "m.service", "m.region", "m.role", "m.bits")
 
 

@@ -36,7 +36,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_PIECE = 1 << 22
+#: Bytes of text hashed at once, unless one text is longer: a task holds about 80 bytes for each of them.
+_PIECE = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -50,9 +51,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(n, 1024).bit_length()
     if size not in _POWERS:
-        _POWERS.clear()
         one = np.ones(1, dtype=np.uint64)
         up, down = (np.concatenate([one, np.cumprod(np.full(size - 1, b, dtype=np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        if size > 4 * _PIECE:  # of one long text: not kept in a worker that later tasks and stages share
+            return up, down
+        _POWERS.clear()
         _POWERS[size] = up, down
     return _POWERS[size]
 
@@ -116,11 +119,11 @@ def rarity(docs: DataFrame, k: int) -> np.ndarray:
             for s in text_sets(batch.column(0), k):
                 held.append(s)
                 n += len(s)
-                if n > 1 << 20:
-                    table += np.bincount((np.concatenate(held) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(table))
+                if n > 1 << 17:
+                    np.add.at(table, (np.concatenate(held) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), np.int32(1))
                     held, n = [], 0
             if held:
-                table += np.bincount((np.concatenate(held) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(table))
+                np.add.at(table, (np.concatenate(held) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), np.int32(1))
         part = int(np.random.default_rng().integers(64))
         small = np.minimum(table, 65535).astype(np.uint16)  # of one task; only the order matters
         rows = [(c, part, small[c * width : (c + 1) * width]) for c in range(chunks)]

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from leadloom.llm._common import documents, materialize
 
 SEQUENCE, END_ID = 2048, 1
-#: Entries of window and queue that a task holds at once.
-HELD = 1 << 20
+#: Entries of window and queue that a task holds at once, and bytes of text, unless one text is longer.
+HELD, PART = 1 << 20, 1 << 20
 _LOADED: dict[tuple[str, str], WordIds] = {}
 
 
@@ -80,6 +81,16 @@ def word_ids(path: str, special: str) -> WordIds:
     return _LOADED[path, special]
 
 
+def parts_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in stretches of about PART bytes of text: what is held as Python objects does not follow the batch."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART)) + 1
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def tokenize(docs: DataFrame, path: str, special: str, doc_id: str = "doc_id", text: str = "text", queue: str = "source") -> DataFrame:
     """doc_id, queue, block (the task), start in the block's queue, n_tokens and the ids, END_ID last."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -87,7 +98,7 @@ def tokenize(docs: DataFrame, path: str, special: str, doc_id: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, block, spent = word_ids(path, special), TaskContext.get().partitionId(), {}
         end = np.asarray([END_ID], dtype=coder.dtype).tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, 1)):
             starts, counts, ids = [], [], []
             queues = batch.column(2).to_pylist()
             for body, q in zip(batch.column(1).to_pylist(), queues, strict=True):

@@ -28,16 +28,27 @@ from leadloom.llm._common import KeyFilter, discard, documents, let, materialize
 RARITY_BITS = 16
 
 
+def line_words(line: Column) -> Column:
+    """Hashes of the words of a line."""
+    plain = F.when(line.rlike("[\t\x0b\f\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
+    return F.transform(F.array_remove(F.split(plain, " "), ""), lambda word: F.xxhash64(word))
+
+
 def line_shingles(line: Column, k: int) -> Column:
     """Hashes of the k-word windows of a line that has words, repeats included; with fewer words the whole line as one."""
-    plain = F.when(line.rlike("[\t\x0b\f\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
-    hashes = F.transform(F.array_remove(F.split(plain, " "), ""), lambda word: F.xxhash64(word))
 
     def windows(h: Column) -> Column:
         each = F.transform(F.slice(h, F.lit(1), F.size(h) - (k - 1)), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
         return F.when(F.size(h) >= k, each).otherwise(F.array(F.xxhash64(h)))
 
-    return let(hashes, windows)
+    return let(line_words(line), windows)
+
+
+def shingle_rows(lines: DataFrame, k: int) -> DataFrame:
+    """What line_shingles gives, as one row (token) each: windows are hashed by compiled code, not inside a lambda."""
+    h, at = F.col("words"), F.col("at")
+    rows = lines.select(line_words(F.col("line")).alias("words")).select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))).alias("at"))
+    return rows.select(F.when(F.size(h) >= k, F.xxhash64(*[F.get(h, at + j) for j in range(k)])).otherwise(F.xxhash64(h)).alias("token"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,7 +60,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def rarity_table(lines: DataFrame, k: int) -> Column:
     """An array of constants: the binary logarithm of how often the shingles of each of 2^RARITY_BITS buckets occur in all lines."""
     bucket = F.shiftrightunsigned("token", 64 - RARITY_BITS)
-    counts = lines.select(F.explode(line_shingles(F.col("line"), k)).alias("token")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = shingle_rows(lines, k).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     table = np.zeros(1 << RARITY_BITS, dtype=np.int64)
     if counts.num_rows:
         table[counts["bucket"].to_numpy()] = np.log2(counts["n"].to_numpy()).astype(np.int64) + 1
@@ -84,7 +95,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def line_sets(docs: DataFrame, ends: DataFrame, k: int) -> DataFrame:
     """doc_id, line_no and tokens of the lines named in ends, read from the texts again."""
     held = KeyFilter(ends.select("doc_id").distinct()).passing(docs, F.col("doc_id"))
-    found = KeyFilter(ends).passing(lines_of(held), F.col("doc_id"), F.col("line_no")).join(ends, ["doc_id", "line_no"], "left_semi")
+    found = KeyFilter(ends).passing(lines_of(held), F.col("doc_id"), F.col("line_no")).join(ends, ["doc_id", "line_no"])  # ends are distinct; a semi-join would go below the filters
     sets = found.dropDuplicates(["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(line_shingles(F.col("line"), k)).alias("tokens"))
     return materialize(sets, "lines")
 
@@ -112,9 +123,14 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         ),
         "lines",
     )
-    # the earliest line of each set stands for it, the others are repeats
-    same = F.struct("doc_id", "line_no", "prefix")
-    classes = materialize(lines.groupBy("n", "s1", "s2").agg(F.min(same).alias("first"), F.count(F.lit(1)).alias("k")).select("n", "s1", "s2", "k", "first.*"), "sets")
+    # the earliest line of each set stands for it, the others are repeats; prefixes are shuffled only where a set may have several lines
+    key = [F.col(c) for c in ("n", "s1", "s2")]
+    twins = materialize(lines.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*key), "twins")
+    same, maybe = F.struct("doc_id", "line_no", "prefix"), KeyFilter(twins)
+    groups = maybe.passing(lines, *key).groupBy(*key).agg(F.min(same).alias("first"), F.count(F.lit(1)).alias("k")).select(*key, "k", "first.*")
+    alone = maybe.missing(lines, *key).select(*key, F.lit(1).cast("long").alias("k"), "doc_id", "line_no", "prefix")
+    classes = materialize(groups.unionByName(alone), "sets")
+    discard(twins)
     several = classes.where("k > 1").select("n", "s1", "s2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"))
     members = KeyFilter(several.select("n", "s1", "s2")).passing(lines.select("doc_id", "line_no", "n", "s1", "s2"), F.col("n"), F.col("s1"), F.col("s2"))
     other = (F.col("doc_id") != F.col("fd")) | (F.col("line_no") != F.col("fl"))
@@ -123,7 +139,7 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # tokens of two sets or more, then their places
     twice = materialize(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token"), "tokens")
     places = classes.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = materialize(KeyFilter(twice).passing(places, F.col("token")).join(twice, "token", "left_semi"), "shared")
+    shared = materialize(KeyFilter(twice).passing(places, F.col("token")).join(twice, "token"), "shared")  # a semi-join would go below the filter
     discard(twice)
     lead = shared.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "pos")).alias("lead"))
     led = shared.join(lead, "token").where(

@@ -81,6 +81,11 @@ def word_ids(path: str, special: str) -> WordIds:
     return _LOADED[path, special]
 
 
+def forget() -> None:
+    """Free the vocabulary and the words of a worker that has no more texts to encode: it outlives the stage."""
+    _LOADED.clear()
+
+
 def parts_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """A batch in stretches of about PART bytes of text: what is held as Python objects does not follow the batch."""
     ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -198,12 +203,14 @@ def pack(
     weights = [targets.get(q, min(targets.values())) for q in names] if targets else None
     plan = Schedule([total[q] for q in names], shares_of([total[q] for q in names], weights), window_sequences * length)
 
-    index = spark.createDataFrame([(q, i) for i, q in enumerate(names)], "queue string, qi int")
+    # from Arrow: rows of Python objects would go through Python workers of their own, which stay
+    index = spark.createDataFrame(pa.table({"queue": pa.array(names, pa.string()), "qi": pa.array(range(len(names)), pa.int32())}))
     numbered = sums.alias("s").join(index.alias("i"), F.col("s.queue").eqNullSafe(F.col("i.queue"))).select("s.block", "s.queue", "s.n", "i.qi")
     before = Window.partitionBy("qi").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(numbered.select("block", "queue", "qi", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "offsets")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # bounds what is held at once
                 part = batch.slice(at, 512)

@@ -21,3 +21,16 @@ def test_packing_takes_a_batch_in_parts_of_bounded_text():
         parts = list(packing.parts_of(whole, 1))
         assert [i for p in parts for i in p.column(0).to_pylist()] == whole.column(0).to_pylist()
         assert all(sum(len(t or "") for t in p.column(1).to_pylist()[:-1]) < packing.PART for p in parts)
+
+
+def test_packing_frees_its_vocabulary_and_starts_no_other_workers(spark, monkeypatch):
+    tasks, real = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, *a, **b: tasks.append(run) or real(self, run, *a, **b))
+    docs = spark.createDataFrame([(1, "some words", "a"), (2, "more of them", None), (3, None, "b")], "doc_id long, text string, source string")
+    for frame, n in ((docs, 3), (docs.limit(0), 0)):
+        packed = packing.pack(frame)
+        assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
+        assert len({r.doc_id for r in packed.collect()}) == n
+    packing.word_ids(packing.public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.public_tokenizers.path("byte_bpe_50k.json"))
+    list(tasks[-1](iter([])))
+    assert not packing._LOADED

@@ -17,6 +17,9 @@ one; an empty table stays empty; extra columns are carried through whatever thei
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +29,14 @@ from leadloom.llm._common import KeyFilter, discard, documents, let, materialize
 #: Bits of the rarity table, a fixed size whatever the input. Beyond some 10^9 shingles its counters even out: then more pairs
 #: are compared, and the result stays the same.
 RARITY_BITS = 16
+#: White space within lines, besides the space.
+RARE_SPACE = "\t\x0b\f\r"
 
 
 def line_words(line: Column) -> Column:
     """Hashes of the words of a line."""
-    plain = F.when(line.rlike("[\t\x0b\f\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
+    rare = reduce(or_, (F.contains(line, F.lit(c)) for c in RARE_SPACE))  # compared as bytes; a pattern would decode every line
+    plain = F.when(rare, F.translate(line, RARE_SPACE, "    ")).otherwise(line)
     return F.transform(F.array_remove(F.split(plain, " "), ""), lambda word: F.xxhash64(word))
 
 
@@ -54,7 +60,7 @@ def shingle_rows(lines: DataFrame, k: int) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0) and line, of the lines with words."""
     each = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.where(F.col("line").rlike(r"[^\x20\t\x0b\f\r]"))
+    return each.where(F.ltrim("line", F.lit(f" {RARE_SPACE}")) != "")
 
 
 def rarity_table(lines: DataFrame, k: int) -> Column:
@@ -70,7 +76,8 @@ def rarity_table(lines: DataFrame, k: int) -> Column:
 def by_rarity(tokens: Column, table: Column) -> Column:
     """Tokens as numbers whose order is rarity, then hash: seven bits of rarity and 56 of the hash."""
     rarity = lambda h: F.get(table, F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int"))
-    return F.sort_array(F.transform(F.array_distinct(tokens), lambda h: F.coalesce(F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)), h)))
+    ranked = F.transform(tokens, lambda h: F.coalesce(F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)), h))
+    return F.sort_array(F.array_distinct(ranked))  # outside the lambda's argument, which Spark interprets with all that it holds
 
 
 def possible(percent: int, n: Column, pos: Column, m: Column, qos: Column) -> Column:

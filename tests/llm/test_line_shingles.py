@@ -34,3 +34,18 @@ def test_joins_stay_above_their_filters_and_alone_lines_are_not_grouped(spark, m
     assert got == want
     assert not any("LeftSemi" in plan for _, plan in plans)
     assert [plan.count("LeftAnti") for label, plan in plans if label == "sets"] == [1]
+
+
+def test_lines_are_told_apart_without_patterns_and_sets_are_compiled(spark):
+    """Patterns decode every line; what a lambda takes as its argument is interpreted with it."""
+    space = "\t \x0b\f\r"
+    docs = spark.createDataFrame([(1, f"a\n\n{space}\n {space} b\u00a0{space}\n\u2003\n"), (2, None), (3, ""), (None, "a")], "doc_id long, text string")
+    lines = line_dedup.lines_of(docs)
+    table = F.array_repeat(F.lit(1).cast("long"), 1 << line_dedup.RARITY_BITS)
+    sets = lines.select("doc_id", "line_no", "line", line_dedup.by_rarity(line_dedup.line_shingles(F.col("line"), 1), table).alias("ordered"))
+    found = {(r.doc_id, r.line_no): (r.line, len(r.ordered)) for r in sets.collect()}
+    assert found == {(1, 0): ("a", 1), (1, 3): (f" {space} b\u00a0{space}", 1), (1, 4): ("\u2003", 1)}
+    twice = spark.createDataFrame([("b a b a b",)], "line string").select(line_dedup.by_rarity(line_dedup.line_shingles(F.col("line"), 1), table).alias("ordered")).first().ordered
+    assert len(twice) == 2 and twice == sorted(twice)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "sort_array(array_distinct(transform(" in plan

@@ -1,9 +1,15 @@
 """Line deduplication by an exact set-similarity join of lines.
 
-A line is the set of its distinct 5-word shingles (a shorter line is one shingle). Lines of the same set are collapsed first.
-Tokens are ordered by rarity: counts of all shingles in a table of fixed size, then the hash. Two lines within the threshold
-share a token so early in this order that the rest of either line still holds the overlap they need; pairs of such tokens
-are verified on whole sets. A line is removed when an earlier one (by doc_id, then line number) is of the same set or within
+A line is the set of its distinct 5-word shingles (a shorter line is one shingle). Lines of the same text are repeats and go first.
+
+A cheap exact filter then leaves the lines that may match another. In one order of all words, a line shows the shingles that
+begin with the first few of its words: so many that two lines within the threshold show several common ones, or all
+that they have in common. A line that shows fewer shingles that another line shows too matches none. Windows are rows here,
+which Spark compiles; only these shingles are hashed, and nothing is counted beforehand.
+
+Of the lines left, those of the same set are collapsed. Tokens are ordered by rarity: counts of all their shingles in a table of
+fixed size, then the hash. Two lines within the threshold share a token so early in this order that the rest of either line
+still holds the overlap they need; pairs of such tokens are verified on whole sets. A line is removed when an earlier one (by doc_id, then line number) is of the same set or within
 the threshold.
 
 Candidates are verified in two rounds: each line against the earliest line it shares most tokens with; then the lines that
@@ -29,15 +35,32 @@ from leadloom.llm._common import KeyFilter, discard, documents, let, materialize
 #: Bits of the rarity table, a fixed size whatever the input. Beyond some 10^9 shingles its counters even out: then more pairs
 #: are compared, and the result stays the same.
 RARITY_BITS = 16
+#: How many more shared shingles than one a match must show in the first filter, and percent of the windows besides: each costs
+#: the line a shingle, and spares chance matches, of which long lines have more.
+SPARE, SPARE_PERCENT = 1, 4
 #: White space within lines, besides the space.
 RARE_SPACE = "\t\x0b\f\r"
 
 
-def line_words(line: Column) -> Column:
-    """Hashes of the words of a line."""
+def words_of(line: Column) -> Column:
+    """The words of a line."""
     rare = reduce(or_, (F.contains(line, F.lit(c)) for c in RARE_SPACE))  # compared as bytes; a pattern would decode every line
     plain = F.when(rare, F.translate(line, RARE_SPACE, "    ")).otherwise(line)
-    return F.transform(F.array_remove(F.split(plain, " "), ""), lambda word: F.xxhash64(word))
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def line_words(line: Column) -> Column:
+    """Hashes of the words of a line."""
+    return F.transform(words_of(line), lambda word: F.xxhash64(word))
+
+
+def word_order(words: Column) -> Column:
+    """Numbers for words, in whose order long words, which are rare, mostly come first. Equal numbers of unlike words lose no match."""
+    return F.transform(words, lambda word: F.call_function("shiftrightunsigned", F.xxhash64(word), F.least(F.octet_length(word), F.lit(16))))
+
+
+def line_key(doc_id: Column, line_no: Column) -> Column:
+    return F.xxhash64(doc_id, line_no)
 
 
 def line_shingles(line: Column, k: int) -> Column:
@@ -63,6 +86,59 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.where(F.ltrim("line", F.lit(f" {RARE_SPACE}")) != "")
 
 
+def spare(n: Column) -> Column:
+    return SPARE + F.floor(n * SPARE_PERCENT / 100).cast("int")
+
+
+def shown(lines: DataFrame, k: int, percent: int) -> DataFrame:
+    """line (a hash of doc_id and line_no), need (how many of its tokens a match shows at the least) and token, of the shingles that each line shows.
+
+    They are those whose first word is among the line's first in one order of words, so that any two lines cut the same order. So
+    many distinct first words begin as many distinct shingles at the least; a line with fewer words shows all it has.
+    """
+    w, n, at = F.col("w"), F.col("n"), F.col("at")
+    rows = lines.select(line_key(F.col("doc_id"), F.col("line_no")).alias("line"), word_order(words_of(F.col("line"))).alias("w")).select("*", F.greatest(F.size(w) - (k - 1), F.lit(1)).alias("n"))
+    rows = rows.select("*", F.sort_array(F.array_distinct(F.slice(w, F.lit(1), n))).alias("first"))
+    fewest = F.ceil(F.size("first") * percent / 100).cast("int")  # a match has as many windows and shares as many shingles
+    need = F.least(1 + spare(fewest), fewest)
+    last = F.get("first", n - F.ceil(n * percent / 100).cast("int") + spare(n))
+    rows = rows.select("line", "w", need.alias("need"), last.alias("last"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    token = F.when(F.size(w) >= k, F.xxhash64(*[F.get(w, at + j) for j in range(k)])).otherwise(F.xxhash64(w))
+    return rows.where(F.col("last").isNull() | (F.get(w, at) <= F.col("last"))).select("line", "need", token.alias("token"))
+
+
+def promising(lines: DataFrame, k: int, percent: int) -> DataFrame:
+    """line, the hashes of the lines that show enough shingles that are shown twice; no other line matches one."""
+    places = materialize(shown(lines, k, percent), "shown")
+    common = materialize(places.groupBy("token").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("token"), "common")
+    hits = KeyFilter(common).passing(places, F.col("token")).join(common, "token").groupBy("line").agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need"))
+    left = materialize(hits.where("hits >= need").select("line"), "ends")
+    discard(places, common)
+    return left
+
+
+def same_texts(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, s1 and s2 (hashes of the text) of the lines whose text an earlier line has."""
+    key = [F.col("s1"), F.col("s2")]
+    texts = materialize(lines.select("doc_id", "line_no", F.xxhash64("line").alias("s1"), F.hash("line").alias("s2")), "texts")
+    twins = materialize(texts.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*key), "twins")
+    maybe = materialize(KeyFilter(twins).passing(texts, *key), "maybe")
+    first = maybe.groupBy(*key).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*key, "first")
+    repeats = materialize(maybe.join(first, ["s1", "s2"]).where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no", "s1", "s2"), "repeats")
+    discard(texts, twins, maybe)
+    return repeats
+
+
+def without(lines: DataFrame, repeats: DataFrame) -> DataFrame:
+    """The lines but those of same_texts; only lines that may be among them are shuffled."""
+    key = ["doc_id", "line_no", "s1", "s2"]
+    maybe = KeyFilter(repeats.select("doc_id", "line_no"))
+    at = (F.col("doc_id"), F.col("line_no"))
+    held = maybe.passing(lines, *at).select("*", F.xxhash64("line").alias("s1"), F.hash("line").alias("s2"))
+    gone = repeats.distinct().select(*key, F.lit(True).alias("gone"))  # an anti-join would go below the filter
+    return maybe.missing(lines, *at).unionByName(held.join(gone, key, "left").where("gone IS NULL").select(*lines.columns))
+
+
 def rarity_table(lines: DataFrame, k: int) -> Column:
     """An array of constants: the binary logarithm of how often the shingles of each of 2^RARITY_BITS buckets occur in all lines."""
     bucket = F.shiftrightunsigned("token", 64 - RARITY_BITS)
@@ -99,10 +175,9 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, ["xd", "xl"]).join(two, ["yd", "yl"]).where(most * (100 + percent) >= percent * (F.col("xn") + F.col("yn"))).select("xd", "xl", "yd", "yl")
 
 
-def line_sets(docs: DataFrame, ends: DataFrame, k: int) -> DataFrame:
+def line_sets(lines: DataFrame, ends: DataFrame, k: int) -> DataFrame:
     """doc_id, line_no and tokens of the lines named in ends, read from the texts again."""
-    held = KeyFilter(ends.select("doc_id").distinct()).passing(docs, F.col("doc_id"))
-    found = KeyFilter(ends).passing(lines_of(held), F.col("doc_id"), F.col("line_no")).join(ends, ["doc_id", "line_no"])  # ends are distinct; a semi-join would go below the filters
+    found = KeyFilter(ends).passing(lines, F.col("doc_id"), F.col("line_no")).join(ends, ["doc_id", "line_no"])  # ends are distinct; a semi-join would go below the filters
     sets = found.dropDuplicates(["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(line_shingles(F.col("line"), k)).alias("tokens"))
     return materialize(sets, "lines")
 
@@ -121,7 +196,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id and gone, the numbers of its lines that an earlier line stands for; only documents that lose a line."""
-    each = lines_of(docs)
+    copies = same_texts(lines_of(docs))
+    left = promising(without(lines_of(docs), copies), k, percent)
+    name = line_key(F.col("doc_id"), F.col("line_no"))
+    each = materialize(KeyFilter(left).passing(lines_of(docs), name).join(left.withColumnRenamed("line", "name"), name == F.col("name")).drop("name"), "left")
+    discard(left)
     table = rarity_table(each, k)
     n = F.size("ordered")
     lines = materialize(
@@ -158,7 +237,7 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     best = materialize(likely(met, classes, percent), "pairs")
     discard(met)
     ends = materialize(ends_of(best), "ends")
-    sets = line_sets(docs, ends, k)
+    sets = line_sets(each, ends, k)
     matched = materialize(verified(best, sets, percent), "matched")
     discard(best, ends)
     x = shared.join(matched, ["doc_id", "line_no"], "left_anti").alias("x")
@@ -172,10 +251,10 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rest = materialize(likely(met, classes, percent), "pairs")
     discard(met, classes)
     more = materialize(ends_of(rest).join(sets.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"), "ends")
-    further = line_sets(docs, more, k)
+    further = line_sets(each, more, k)
     late = verified(rest, sets.union(further), percent)
-    lost = materialize(repeats.union(matched).union(late).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "lost")
-    discard(rest, more, sets, further, matched, repeats)
+    lost = materialize(copies.select("doc_id", "line_no").union(repeats).union(matched).union(late).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "lost")
+    discard(rest, more, sets, further, matched, repeats, copies, each)
     return lost
 
 

@@ -49,3 +49,33 @@ def test_lines_are_told_apart_without_patterns_and_sets_are_compiled(spark):
     assert len(twice) == 2 and twice == sorted(twice)
     plan = sets._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan and "sort_array(array_distinct(transform(" in plan
+
+
+def test_only_lines_that_may_match_are_ordered_and_none_of_these_is_lost(spark, monkeypatch):
+    """Small vocabularies: words and shingles that repeat within a line, chance matches, lines of every length."""
+    kept, real = [], line_dedup.materialize
+
+    def watched(df, label):
+        out = real(df, label)
+        kept.extend([out.count()] * (label == "sets"))
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", watched)
+    rng = np.random.default_rng(5)
+    alone = [" ".join(f"{'long' * (i % 3)}{i}_{j}" for j in range(1 + i % 40)) for i in range(120)]
+    near = []
+    for i in range(150):
+        base = [f"v{x}" for x in rng.integers(2 + i % 9 * 12, size=1 + i)]
+        cut = rng.integers(0, 2 + len(base) // 8)
+        near += [" ".join(base), " ".join(base[cut:]) or "w", " ".join([*base[: len(base) - cut], *base[:cut]])]
+    lines = [x for pair in zip(alone, near, strict=False) for x in pair] + near[len(alone) :]
+
+    def grams(line):
+        w = line.split(" ")
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [grams(x) for x in lines]
+    want = {i for i, x in enumerate(sets) if any(100 * len(x & y) >= 80 * len(x | y) for y in sets[:i])}
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed = 1").collect()}
+    assert got == want and len(want) > 100
+    assert len(kept) == 1 and len(want) < kept[0] + len(lines) - len(set(lines)) and kept[0] <= len(near)

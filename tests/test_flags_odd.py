@@ -11,7 +11,7 @@ ODD = (
 )
 
 
-@pytest.mark.parametrize("name", ["draft_reasons", "injection_flags"])
+@pytest.mark.parametrize("name", ["draft_reasons", "injection_flags", "message_flags"])
 def test_odd_texts_equal_their_sql(spark, tmp_path, name):
     spark.createDataFrame([(12 * n, t) for n, t in enumerate(ODD)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()

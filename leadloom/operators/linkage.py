@@ -60,8 +60,9 @@ def screen(queries: DataFrame, hits: DataFrame, generic: tuple[str, ...] = ("clo
 def entity_by_host(leads: DataFrame, entities: DataFrame) -> DataFrame:
     """The first entity in search order whose official website has the lead's host. entities: qid, position, website."""
     own = leads.select("lead_id", names.host_of(F.col("website")).alias("host"))
-    found = own.join(entities.select("qid", "position", names.host_of(F.col("website")).alias("host")), "host")
-    return found.groupBy("lead_id").agg(F.min_by("qid", F.struct("position", "qid")).alias("qid"))
+    # the first entity of a host stands for the others, so that a host of many leads and entities makes no pairs of them
+    first = entities.groupBy(names.host_of(F.col("website")).alias("host")).agg(F.min(F.struct("position", "qid")).alias("e"))
+    return own.join(first, "host").groupBy("lead_id").agg(F.min("e")["qid"].alias("qid"))
 
 
 def relevant_titles(pairs: DataFrame) -> DataFrame:

@@ -170,12 +170,16 @@ def statements(texts: DataFrame) -> DataFrame:
 def footprints(observations: DataFrame) -> DataFrame:
     """lead_id, category, provider, holder of observations in order: named clouds first per provider; a control panel with its
     first holder is managed hosting; other holders stay unknown and never become a provider."""
-    named = observations.where("provider is not null").groupBy("lead_id", F.when(F.col("scope") == "edge", "EDGE").otherwise("PUBLIC_CLOUD").alias("category"), "provider").agg(F.lit(None).cast("string").alias("holder"), F.min("ordinal").alias("ordinal"))
-    bare = observations.where("provider is null and holder is not null").groupBy("lead_id", "holder").agg(F.min("ordinal").alias("ordinal"))
-    panel = observations.groupBy("lead_id").agg(F.max(F.coalesce("panel", F.lit(False))).alias("panel"))
-    first = F.row_number().over(Window.partitionBy("lead_id").orderBy("ordinal"))
-    held = bare.withColumn("_r", first).join(panel, "lead_id").select("lead_id", F.when(F.col("panel") & (F.col("_r") == 1), "MANAGED_HOSTING").otherwise("UNKNOWN").alias("category"), F.lit(None).cast("string").alias("provider"), "holder", "ordinal")
-    return named.unionByName(held)
+    cloud = F.when(F.col("provider").isNotNull(), F.when(F.col("scope") == "edge", "EDGE").otherwise("PUBLIC_CLOUD")).alias("cloud")
+    holder = F.when(F.col("provider").isNull(), F.col("holder")).alias("holder")
+    # summed up once; what follows sees one row per lead and provider or holder
+    rows = observations.select("lead_id", cloud, "provider", holder, "ordinal", F.coalesce("panel", F.lit(False)).alias("panel"))
+    seen = rows.groupBy("lead_id", "cloud", "provider", "holder").agg(F.min("ordinal").alias("ordinal"), F.max("panel").alias("panel"))
+    bare = (F.col("cloud").isNull() & F.col("holder").isNotNull()).alias("bare")
+    first = F.row_number().over(Window.partitionBy("lead_id", "bare").orderBy("ordinal"))
+    marked = seen.select("*", bare).withColumns({"_r": first, "panel": F.max("panel").over(Window.partitionBy("lead_id"))})
+    category = F.coalesce("cloud", F.when(F.col("panel") & (F.col("_r") == 1), "MANAGED_HOSTING").otherwise("UNKNOWN"))
+    return marked.where("cloud is not null or bare").select("lead_id", category.alias("category"), "provider", "holder", "ordinal")
 
 
 def answer_inventory(answers: DataFrame) -> DataFrame:

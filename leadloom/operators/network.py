@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,18 +36,23 @@ def ipv4(text: Column) -> Column:
 
 
 def longest_prefix(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Of each ip (a number) the range of the longest prefix; then specific before generic, provider, service.
+    """Of each ip (a number) the range of the longest prefix; then specific before generic, provider, service."""
+    return ips.join(matched_ranges(ips, ranges), "ip", "left").select("ip", "m.provider", "m.service", "m.bits")
+
+
+def matched_ranges(ips: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ip and its range m, of the ips that have one.
 
-    An ip is masked to each prefix length that occurs (33 at most), and joined by equality on length and network.
+    An ip is masked to each prefix length that occurs (33 at most), and joined by equality on length and network with the best of the
+    ranges there, so that it meets one row per length however many ranges name the same network.
     """
+    rank = F.struct((F.col("service") == "generic").alias("b"), F.col("provider").alias("c"), F.col("service").alias("d"))
+    table = ranges.groupBy("bits", "network").agg(F.min_by(F.struct("provider", "service", "bits"), rank).alias("m"))
     lengths = sorted(r["bits"] for r in ranges.select("bits").distinct().collect())
-    sizes = F.create_map(*[F.lit(x) for n in lengths for x in (n, 1 << (32 - n))]) if lengths else None
-    if sizes is None:
-        return ips.select("ip", F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("service"), F.lit(None).cast("int").alias("bits"))
-    masked = ips.select("ip", F.explode(F.array(*map(F.lit, lengths))).alias("bits")).withColumn("network", F.col("ip") - F.col("ip") % sizes[F.col("bits")])
-    order = F.struct((-F.col("bits")).alias("a"), (F.col("service") == "generic").alias("b"), F.col("provider").alias("c"), F.col("service").alias("d"))
-    best = masked.join(ranges, ["bits", "network"]).groupBy("ip").agg(F.min_by(F.struct("provider", "service", "bits"), order).alias("m"))
-    return ips.join(best, "ip", "left").select("ip", "m.provider", "m.service", "m.bits")
+    ip = F.col("ip").cast("long")
+    network = lambda n: F.struct(F.lit(n).alias("bits"), (ip - ip % (1 << (32 - n))).alias("network"))
+    masked = F.array(*map(network, lengths)) if lengths else F.array().cast("array<struct<bits:int,network:bigint>>")
+    return ips.select("ip", F.inline(masked)).join(table, ["bits", "network"]).groupBy("ip").agg(F.max_by("m", "bits").alias("m"))
 
 
 #: Services that name a whole provider and not a product, by provider: fixed values.
@@ -126,12 +133,15 @@ def holder_rule(holder: Column) -> Column:
 
 
 def classify_hosts(hosts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """host, cname, ip, holder: the CNAME's rule, else the address's range, else its holder's rule, else nothing."""
-    matched = longest_prefix(hosts.where(F.col("ip").isNotNull()).select("ip").distinct(), ranges).where(F.col("provider").isNotNull())
-    role = F.when(F.col("r.service") == "CLOUDFRONT", "edge").when(F.col("r.service") == "STORAGE", "storage").otherwise("workload")
-    by_range = F.when(F.col("r.provider").isNotNull(), F.struct(F.col("r.provider").alias("provider"), F.col("r.service").alias("service"), role.alias("scope")))
-    joined = hosts.alias("h").join(matched.alias("r"), "ip", "left")
-    return joined.select("h.host", F.coalesce(cname_rule(F.col("cname")), by_range, holder_rule(F.col("holder"))).alias("m")).select("host", "m.provider", "m.service", "m.scope")
+    """The rows of hosts (host, cname, ip, holder and any more) with provider, service and scope: the CNAME's rule, else the address's range, else its holder's rule, else nothing."""
+    # one expression for all rules: this test is pushed down to the tables, where 22 of them would each work out the name again
+    any_rule = "|".join(re.escape(p) for p, *_ in CNAME_RULES)
+    asked = hosts.where(F.col("ip").isNotNull() & ~F.coalesce(F.lower("cname").rlike(any_rule), F.lit(False)))
+    matched = matched_ranges(asked.select("ip").distinct(), ranges).withColumnRenamed("m", "_r")
+    role = F.when(F.col("_r.service") == "CLOUDFRONT", "edge").when(F.col("_r.service") == "STORAGE", "storage").otherwise("workload")
+    by_range = F.when(F.col("_r.provider").isNotNull(), F.struct("_r.provider", "_r.service", role.alias("scope")))
+    found = hosts.join(matched, "ip", "left").withColumn("_m", F.coalesce(cname_rule(F.col("cname")), by_range, holder_rule(F.col("holder"))))
+    return found.select(*hosts.columns, "_m.provider", "_m.service", "_m.scope")
 
 
 def network_evidence(classified: DataFrame) -> DataFrame:

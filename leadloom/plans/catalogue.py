@@ -498,10 +498,7 @@ _CLASS = f"(SELECT lead_id, host, ip, coalesce({_RULE}, CASE WHEN m.provider IS
 
 
 def _classified(spark, d):
-    hosts = view(spark, d, "hosts")
-    keyed = hosts.withColumn("host", F.concat_ws("|", "lead_id", "host", "ip"))
-    key = F.split("host", r"\|")
-    return network.classify_hosts(keyed, view(spark, d, "ranges")).withColumns({"lead_id": key[0].cast("long"), "ip": key[2].cast("long"), "host": key[1]})
+    return network.classify_hosts(view(spark, d, "hosts"), view(spark, d, "ranges"))
 
 
 @query("host_classification", f"SELECT lead_id, host, ip, c.provider AS provider, c.service AS service, c.scope AS scope FROM {_CLASS}")
@@ -936,7 +933,7 @@ def _(spark, d):
 
 @query("footprints", f"SELECT lead_id, CASE WHEN c.scope = 'edge' THEN 'EDGE' ELSE 'PUBLIC_CLOUD' END AS category, c.provider AS provider, CAST(NULL AS VARCHAR) AS holder FROM {_CLASS} WHERE c.provider IS NOT NULL GROUP BY 1, 2, 3 UNION ALL SELECT lead_id, CASE WHEN lead_id % 5 = 0 AND row_number() OVER (PARTITION BY lead_id ORDER BY ordinal) = 1 THEN 'MANAGED_HOSTING' ELSE 'UNKNOWN' END, NULL, holder FROM (SELECT k.lead_id, h.holder, min(k.ip) AS ordinal FROM {_CLASS} k JOIN [hosts] h USING (lead_id, host, ip) WHERE k.c.provider IS NULL GROUP BY 1, 2)")
 def _(spark, d):
-    rows = _classified(spark, d).join(view(spark, d, "hosts").select("lead_id", "host", "ip", "holder"), ["lead_id", "host", "ip"])
+    rows = _classified(spark, d)
     return linkage.footprints(rows.withColumns({"ordinal": F.col("ip"), "panel": F.col("lead_id") % 5 == 0})).select("lead_id", "category", "provider", "holder")
 
 
